@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, line_dedup, secret_scan
+from . import bpe, chat_format, exact_dedup, line_dedup, packing, secret_scan
+
+#: The folder of public vocabulary files is a parameter; the package that holds them names it.
+WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,11 +36,23 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(_table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup(_table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), vocabulary(WORDS))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"), vocabulary(BYTES))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
@@ -47,9 +68,17 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op4_line_dedup, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_exact_dedup, op4_line_dedup, op7_best_fit_packing, op8_bpe, op10_chat_format)}
 
 ORACLE = {
+    "op3_exact_dedup": r"""
+        WITH norm AS (
+            SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents
+        ), ranked AS (
+            SELECT doc_id, n, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS k, count(*) OVER (PARTITION BY n) AS group_size
+            FROM norm WINDOW w AS (PARTITION BY n ORDER BY length(t) DESC, doc_id)
+        )
+        SELECT doc_id, keep_id, group_size, k = 1 AS kept, sha256(n) AS text_sha256 FROM ranked""",
     "op4_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, str_split(coalesce(text, ''), chr(10)) AS l FROM documents
