@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, exact_dedup, line_dedup, packing, secret_scan
+from . import ann, bpe, chat_format, exact_dedup, line_dedup, packing, secret_scan
 
 #: The folder of public vocabulary files is a parameter; the package that holds them names it.
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -53,6 +53,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), vocabulary(BYTES))
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
@@ -68,7 +72,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_exact_dedup, op4_line_dedup, op7_best_fit_packing, op8_bpe, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_exact_dedup, op4_line_dedup, op7_best_fit_packing, op8_bpe, op9_ann, op10_chat_format)}
 
 ORACLE = {
     "op3_exact_dedup": r"""
