@@ -111,12 +111,12 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, vec_id="vec_id"
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     dim = F.size("e").alias("dim")
     rows = vectors.select("vec_id", "e", dim, deal(shards).alias("shard"), every(blocks).alias("block"))
-    queries = vectors.filter(is_query).select("vec_id", "e", dim, deal(blocks).alias("block"), every(shards).alias("shard"))
+    queries = vectors.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"), dim, deal(blocks).alias("block"), every(shards).alias("shard"))
     schema = pa.schema([("query_id", pa.int64()), ("shard", pa.int32()), ("top", pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())])))])
 
-    def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids = t.column("vec_id").to_numpy()
-        x = t.column("e").combine_chunks()
+    def matrix(t: pa.Table, i: str, e: str) -> tuple[np.ndarray, np.ndarray]:
+        ids = t.column(i).to_numpy()
+        x = t.column(e).combine_chunks()
         x = (x if isinstance(x, pa.ListArray) else x.chunk(0)).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
         order = np.argsort(ids, kind="stable")
         return ids[order], x[order]
@@ -124,7 +124,7 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, vec_id="vec_id"
     def task(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if left.num_rows and right.num_rows:
-            for q, scores, ids in Shard(*matrix(left)).search(*matrix(right), k):
+            for q, scores, ids in Shard(*matrix(left, "vec_id", "e")).search(*matrix(right, "query_id", "q"), k):
                 out.append((int(q), key[0].as_py(), [{"score": s, "vec_id": j} for s, j in zip(scores, ids, strict=True)]))
         return pa.Table.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(schema.types)], schema=schema)
 
