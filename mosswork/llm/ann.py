@@ -30,8 +30,8 @@ from .common import durable, only
 #: Vectors of a shard, queries of a block.
 SHARD, BLOCK = 8192, 8192
 PROJECTIONS = 65
-#: Share of the lines that make a candidate, and of a shard's vectors to verify before widening ends.
-THRESHOLD, ENOUGH = 0.75, 0.05
+#: Share of the lines that make a candidate; widening ends at that share of a shard's vectors, and so many for each neighbour sought.
+THRESHOLD, ENOUGH, EACH = 0.75, 0.04, 15
 #: Half widths of windows, as multiples of the typical distance between projections.
 WIDTHS = tuple(0.15 * 1.12**i for i in range(36))
 TOP = "array<struct<score:double,vec_id:bigint>>"
@@ -60,7 +60,7 @@ class Shard:
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
         n, least = len(self.ids), max(1, math.ceil(THRESHOLD * PROJECTIONS))
-        enough = min(n, k + 1 + math.ceil(ENOUGH * n))
+        enough = min(n, EACH * k + 1 + math.ceil(ENOUGH * n))
         scale = self.longest / np.sqrt((queries**2).sum(1, keepdims=True))
         centres = self.lines[:, :-1] @ (queries * scale).T
         typical = self.longest * math.sqrt(2)
