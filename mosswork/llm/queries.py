@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat_format, exact_dedup, line_dedup, packing, secret_scan
+from . import ann, bpe, chat_format, exact_dedup, line_dedup, ngram_join, packing, secret_scan
 
 #: The folder of public vocabulary files is a parameter; the package that holds them names it.
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -45,6 +45,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_of", "n_links")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary(WORDS))
 
@@ -72,7 +76,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_exact_dedup, op4_line_dedup, op7_best_fit_packing, op8_bpe, op9_ann, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_exact_dedup, op4_line_dedup, op6_ngram_join, op7_best_fit_packing, op8_bpe, op9_ann, op10_chat_format)}
 
 ORACLE = {
     "op3_exact_dedup": r"""
