@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat_format, exact_dedup, line_dedup, ngram_join, packing, secret_scan
+from . import ann, bpe, chat_format, exact_dedup, line_dedup, ngram_join, packing, quality, secret_scan
 
 #: The folder of public vocabulary files is a parameter; the package that holds them names it.
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -21,6 +21,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return told.select("doc_id", "lang", "perplexity", "keep")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find(_table(spark, sf_dir, "documents"))
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
@@ -76,7 +81,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_exact_dedup, op4_line_dedup, op6_ngram_join, op7_best_fit_packing, op8_bpe, op9_ann, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_secret_scan, op3_exact_dedup, op4_line_dedup, op6_ngram_join, op7_best_fit_packing, op8_bpe, op9_ann, op10_chat_format)}
 
 ORACLE = {
     "op3_exact_dedup": r"""
