@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat_format, exact_dedup, line_dedup, ngram_join, packing, quality, secret_scan
+from . import ann, bpe, chat_format, exact_dedup, line_dedup, ngram_join, packing, quality, secret_scan, suffix_dedup
 
 #: The folder of public vocabulary files is a parameter; the package that holds them names it.
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -50,6 +50,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r.end - r.start)
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_of", "n_links")
 
@@ -81,7 +87,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_secret_scan, op3_exact_dedup, op4_line_dedup, op6_ngram_join, op7_best_fit_packing, op8_bpe, op9_ann, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_secret_scan, op3_exact_dedup, op4_line_dedup, op5_suffix_dedup, op6_ngram_join, op7_best_fit_packing, op8_bpe, op9_ann, op10_chat_format)}
 
 ORACLE = {
     "op3_exact_dedup": r"""
