@@ -28,7 +28,7 @@ from .tokens import WordEncoder, opened
 SIZE = 2048
 END = 0
 #: Pieces of one length in a group in which ranks are counted.
-GROUP = 50_000
+GROUP = 1_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 

@@ -15,6 +15,8 @@ from tokenizers import Tokenizer  # noqa: E402
 
 #: White space beyond ASCII's and what str.split cuts at though tokenizers may not.
 UNUSUAL = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: A stop or comma inside a run of punctuation, or a character whose normal form takes more than lower case.
+ENTANGLED = re.compile(r"[^\w\s][.,]|_[.,]|[\u0130\u0250-\U0010ffff]")
 PLAIN_CUT = re.compile("[ \t\n\x0b\x0c\r]+")
 
 #: Byte-level alphabet: printable bytes stand for themselves, the others, in order, for U+0100 and on.
@@ -43,46 +45,37 @@ class WordEncoder:
     32-bit bytes. Words are runs without white space; each is encoded once and remembered, up to
     `most` of them (then all are forgotten, so memory is bounded)."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         self.tokenizer, self.most = load(path), most
         self.words: dict[str, bytes] = {}
 
-    def _learn(self, words: list[str]) -> None:
-        """A word of ASCII letters with one stop or comma behind is two words to the tokenizer: letters and punctuation
-        are never in one pre-token, and case goes."""
+    def _learn(self, words: list[str], used: set[str]) -> None:
+        """Letters of known normal form are one pre-token and go to the model straight."""
         if len(self.words) + len(words) > self.most:
             self.words.clear()
-        known, parts = self.words, {}
+            words = list(used)
+        known, odd, tokenize = self.words, [], self.tokenizer.model.tokenize
         for w in words:
-            if w.isascii():
-                low = w.lower()
-                parts[w] = (low[:-1], low[-1]) if low[-1] in ".," and low[:-1].isalpha() else (low,)
+            if w.isalpha() and (w.isascii() or (max(w) < "\u0250" and "\u0130" not in w)):
+                shown = w.lower() if w.isascii() else normalize("NFC", w).lower().encode().decode("latin-1").translate(BYTE_LEVEL)
+                known[w] = np.array([t.id for t in tokenize(shown)], "<u4").tobytes()
             else:
-                parts[w] = (w[:-1], w[-1]) if w[-1] in ".," and w[:-1].isalpha() else (w,)
-        new = [p for p in dict.fromkeys(p for ps in parts.values() for p in ps) if p not in known]
-        odd, tokenize = [], self.tokenizer.model.tokenize
-        for p in new:
-            if p.isalpha() and (p.isascii() or (max(p) < "\u0250" and "\u0130" not in p)):  # one pre-token; what the normaliser does is known
-                p_ = p if p.isascii() else normalize("NFC", p).lower().encode().decode("latin-1").translate(BYTE_LEVEL)
-                known[p] = np.array([t.id for t in tokenize(p_)], "<u4").tobytes()
-            else:
-                odd.append(p)
-        for p, e in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, "<u4").tobytes()
-        for w, ps in parts.items():
-            if w not in known:
-                known[w] = b"".join(known[p] for p in ps)
+                odd.append(w)
+        for w, e in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _split(self, text: str) -> list[str]:
+        """Runs without white space; in plain texts lower case, and cut before each stop and comma, where a pre-token begins."""
+        if UNUSUAL.search(text):
+            return PLAIN_CUT.split(text)
+        if ENTANGLED.search(text):
+            return text.split()
+        return text.lower().replace(".", " .").replace(",", " ,").split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [PLAIN_CUT.split(t) if UNUSUAL.search(t) else t.split() for t in texts]
-        known = self.words
-        new = {w for ws in split for w in ws if w not in known}
-        new.discard("")
-        if new:
-            self._learn(list(new))
-            missing = {w for ws in split for w in ws if w and w not in self.words}
-            if missing:  # forgotten meanwhile
-                self._learn(list(missing))
+        split = [self._split(t) for t in texts]
+        used = set().union(*split) - {""}
+        self._learn(list(used - self.words.keys()), used)
         self.words[""] = b""
         look = self.words.__getitem__
         return [b"".join(map(look, ws)) for ws in split]
@@ -100,9 +93,11 @@ class ChunkEncoder:
 
     MASK = 0x7E00  # a chunk of 64 bytes in the mean
     WORD = re.compile(r"\s+\S+|\S+|\s+")
+    #: Runs of white space or punctuation, which are pre-tokens as a whole.
+    MIXED = re.compile(r"[^\w\s][.,]|_[.,]|\s[\s.,]|\x00")
     SAFE = re.compile(r"(?<=\S)(?=\s)")
 
-    def __init__(self, path: str, most_chunks: int = 250_000, most_words: int = 500_000):
+    def __init__(self, path: str, most_chunks: int = 250_000, most_words: int = 700_000):
         self.tokenizer, self.most_chunks, self.most_words = load(path), most_chunks, most_words
         self.chunks: dict[str, tuple] = {}
         self.words: dict[str, tuple[str, str]] = {}
@@ -118,27 +113,23 @@ class ChunkEncoder:
         return ends[(b[ends] & 0xC0) != 0x80]
 
     def _learn(self, new: set[str], needed: set[str]) -> None:
-        """Letters, one stop or comma behind them and one line feed before them are pre-tokens of
-        their own, so words that differ in these alone are encoded once."""
         known = self.words
-        if len(known) + 2 * len(new) > self.most_words:
+        if len(known) + len(new) > self.most_words:
             known.clear()
             new = needed
-        parts = {}
-        for w in new:
-            before, rest = ("\n", w[1:]) if w[0] == "\n" and len(w) > 1 else ("", w)
-            stem, after = (rest[:-1], rest[-1]) if rest[-1] in ".," else (rest, "")
-            parts[w] = tuple(filter(None, (before, stem, after))) if (stem[1:] if stem[:1] == " " else stem).isalpha() else (w,)
-        fresh = list({p for ps in parts.values() for p in ps if p not in known})
+        fresh = list(new)
         for p, e in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
             known[p] = ("".join([f"{i}," for i in e.ids]), self.tokenizer.decode(e.ids, skip_special_tokens=False))
-        for w, ps in parts.items():
-            if len(ps) > 1:
-                known[w] = ("".join([known[p][0] for p in ps]), "".join([known[p][1] for p in ps]))
 
     def _pieces(self, text: str) -> tuple[str, str]:
         """Decimal ids, each with a comma behind, and the decoded text of a text whose ends are safe."""
-        words, known = self.WORD.findall(text), self.words
+        known = self.words
+        if self.MIXED.search(text):
+            words = self.WORD.findall(text)
+        else:  # before a single space or line feed, a stop or a comma a pre-token begins
+            words = text.replace(" ", "\0 ").replace("\n", "\0\n").replace(".", "\0.").replace(",", "\0,").split("\0")
+            if not words[0]:
+                del words[0]
         try:
             got = [known[w] for w in words]
         except KeyError:
