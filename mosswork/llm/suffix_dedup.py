@@ -213,7 +213,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     size = some.agg(F.sum(F.col("n") + LENGTH)).first()[0] or 0
     shards = max(1, -(-size // SHARD))
     wanted = some.groupBy(F.col("id").alias("i"), F.col("th").alias("h")).agg(F.collect_set(F.struct("anchor", "start", "n")).alias("wanted"))
-    bytes_ = docs.join(wanted, (F.col("id") == F.col("i")) & (F.col("th") == F.col("h"))).select("id", "th", "text", "wanted")
+    bytes_ = docs.join(wanted.hint("merge"), (F.col("id") == F.col("i")) & (F.col("th") == F.col("h"))).select("id", "th", "text", "wanted")
     bytes_ = bytes_.mapInArrow(_cut, "id long, th long, anchor long, start long, n long, bytes binary")
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
     sorted_ = bytes_.groupBy(shard).applyInArrow(sorted_shard, RANGES)
@@ -226,7 +226,7 @@ def dedup(documents: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     docs = own.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("th"), "text", "doc_id")
     found = repeats(docs.select("id", "th", "text"))
     ranges = found.groupBy(F.col("id").alias("i"), F.col("th").alias("h")).agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("ranges"))
-    joined = docs.join(ranges, (F.col("id") == F.col("i")) & (F.col("th") == F.col("h")), "left").select("doc_id", "text", "ranges")
+    joined = docs.join(ranges.hint("merge"), (F.col("id") == F.col("i")) & (F.col("th") == F.col("h")), "left").select("doc_id", "text", "ranges")
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
     def cut(it):
