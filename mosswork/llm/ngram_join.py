@@ -144,14 +144,15 @@ def join(documents: DataFrame, doc_id="doc_id", text="text", threshold: float =
 
     keys = classes.select("c", F.explode("keys").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("c").alias("least"), F.count("*").alias("n")).filter("n > 1").select("key", "least")
-    meet = keys.join(buckets, "key").filter("c <> least").select(F.col("c").alias("a"), F.col("least").alias("b"))
+    meet = keys.join(buckets.hint("merge"), "key").filter("c <> least").select(F.col("c").alias("a"), F.col("least").alias("b"))
     families = components(meet)
 
     member = families.select(F.col("node").alias("c"), F.col("root").alias("family")).join(classes.select("c", "rep", "size"), "c")
     blocks = families.groupBy(F.col("root").alias("family")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
     member = member.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("c"), "n").cast("int"))
     member = durable(member.select("c", "family", "n", "block", "size", F.col("rep.doc_id").alias("id"), F.col("rep.th").alias("h")), "families")
-    texts = docs.join(member, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h")))
+    # a table of members can be small enough to broadcast on small inputs alone; the plan is one for all sizes
+    texts = docs.join(member.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h")))
     tasks = texts.select("family", "block", "c", "size", "text", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
     tasks = tasks.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other")
     found = durable(tasks.groupBy("family", "lo", "hi").applyInArrow(_verify(threshold), "c binary, root binary, links long"), "links")
@@ -159,10 +160,10 @@ def join(documents: DataFrame, doc_id="doc_id", text="text", threshold: float =
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
     whole = components(found.select(F.col("c").alias("a"), F.col("root").alias("b")))
     linked = links.join(whole.withColumnRenamed("node", "c"), "c")
-    named = classes.select("c", "rep", "size").join(linked, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    named = classes.select("c", "rep", "size").join(linked.hint("merge"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     roots = named.groupBy("root").agg(F.min("rep").alias("top"))
     named = named.join(roots, "root").select("c", "rep", "top", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
-    return sets.select("doc_id", "th", "c").join(named, "c", "left").select(
+    return sets.select("doc_id", "th", "c").join(named.hint("merge"), "c", "left").select(
         "doc_id",
         F.col("th").alias("text_hash"),
         F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("class_id"),
@@ -177,4 +178,4 @@ def kept_rows(documents: DataFrame, doc_id="doc_id", text="text", threshold: flo
     drop = join(documents, doc_id, text, threshold).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).distinct()
     own = documents.select(F.struct(*(documents[f"`{c}`"] for c in documents.columns)).alias("row"))
     same = F.col(f"row.`{doc_id}`").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col("row")[text], F.lit(""))) == F.col("_h"))
-    return own.join(drop, same, "left_anti").select("row.*")
+    return own.join(drop.hint("merge"), same, "left_anti").select("row.*")
