@@ -40,10 +40,10 @@ def records(spark, sf_dir):
 
 
 def rounded(df, *keys):
-    return df.select(*keys, *(F.round(c, 6).alias(c) if t == "double" else c for c, t in df.dtypes if c not in keys))
+    return df.select(*keys, *(F.round(c, 9).alias(c) if t == "double" else c for c, t in df.dtypes if c not in keys))
 
 
-@query(f"SELECT l_orderkey, n_claims, n_supported, n_refuted, n_insufficient, round(true_rate, 6) AS true_rate, round(false_rate, 6) AS false_rate, round(unverifiable_rate, 6) AS unverifiable_rate, round(accuracy, 6) AS accuracy FROM ({STATS_SQL})")
+@query(f"SELECT l_orderkey, n_claims, n_supported, n_refuted, n_insufficient, round(true_rate, 9) AS true_rate, round(false_rate, 9) AS false_rate, round(unverifiable_rate, 9) AS unverifiable_rate, round(accuracy, 9) AS accuracy FROM ({STATS_SQL})")
 def verdict_stats(spark, sf_dir):
     return rounded(an.verdict_stats(claims(spark, sf_dir), "l_orderkey"), "l_orderkey")
 
@@ -51,8 +51,8 @@ def verdict_stats(spark, sf_dir):
 _RUN_SQL = f"""SELECT topic, model, seed, count(*) AS n, avg(CASE WHEN found THEN 1.0 ELSE 0.0 END) AS coverage, {', '.join(f'avg(CASE WHEN found THEN {m} END) AS {m}' for m in MEASURES)} FROM ({RECORDS_SQL}) GROUP BY topic, model, seed"""
 
 
-@query(f"""SELECT topic, model, count(*) AS n, round(avg(CASE WHEN found THEN 1.0 ELSE 0.0 END), 6) AS coverage, {', '.join(f'round(avg(CASE WHEN found THEN {m} END), 6) AS {m}' for m in MEASURES)},
-    round(stddev_samp(CASE WHEN found THEN accuracy END), 6) AS accuracy_std FROM ({RECORDS_SQL}) GROUP BY topic, model""")
+@query(f"""SELECT topic, model, count(*) AS n, round(avg(CASE WHEN found THEN 1.0 ELSE 0.0 END), 9) AS coverage, {', '.join(f'round(avg(CASE WHEN found THEN {m} END), 9) AS {m}' for m in MEASURES)},
+    round(stddev_samp(CASE WHEN found THEN accuracy END), 9) AS accuracy_std FROM ({RECORDS_SQL}) GROUP BY topic, model""")
 def factuality_by_topic_model(spark, sf_dir):
     r = records(spark, sf_dir)
     rows = r.groupBy("topic", "model").agg(
@@ -61,28 +61,28 @@ def factuality_by_topic_model(spark, sf_dir):
     return rounded(rows, "topic", "model")
 
 
-@query(f"SELECT topic, model, seed, n, round(coverage, 6) AS coverage, {', '.join(f'round({m}, 6) AS {m}' for m in MEASURES)} FROM ({_RUN_SQL})")
+@query(f"SELECT topic, model, seed, n, round(coverage, 9) AS coverage, {', '.join(f'round({m}, 9) AS {m}' for m in MEASURES)} FROM ({_RUN_SQL})")
 def factuality_run_level(spark, sf_dir):
     return rounded(an.run_means(records(spark, sf_dir), ["topic", "model", "seed"], MEASURES, F.col("found")), "topic", "model", "seed")
 
 
-@query(f"SELECT topic, model, count(*) AS runs, {', '.join(f'round(avg({m}), 6) AS {m}_mean, round(stddev_samp({m}), 6) AS {m}_std' for m in MEASURES)} FROM ({_RUN_SQL}) GROUP BY topic, model")
+@query(f"SELECT topic, model, count(*) AS runs, {', '.join(f'round(avg({m}), 9) AS {m}_mean, round(stddev_samp({m}), 9) AS {m}_std' for m in MEASURES)} FROM ({_RUN_SQL}) GROUP BY topic, model")
 def two_level_seed_summary(spark, sf_dir):
     runs = an.run_means(records(spark, sf_dir), ["topic", "model", "seed"], MEASURES, F.col("found"))
     return rounded(an.mean_of_means(runs, ["topic", "model"], MEASURES), "topic", "model")
 
 
-@query(f"SELECT model, count(*) AS n, {', '.join(f'round(avg({m}), 6) AS {m}' for m in MEASURES)} FROM ({RECORDS_SQL}) GROUP BY model")
+@query(f"SELECT model, count(*) AS n, {', '.join(f'round(avg({m}), 9) AS {m}' for m in MEASURES)} FROM ({RECORDS_SQL}) GROUP BY model")
 def aggregate_by_candidate(spark, sf_dir):
     return rounded(an.pooled(records(spark, sf_dir), ["model"], MEASURES), "model")
 
 
-@query(f"SELECT model, round(sum(n_supported)::DOUBLE / sum(n_claims), 6) AS true_rate, round(sum(n_refuted)::DOUBLE / sum(n_claims), 6) AS false_rate FROM ({RECORDS_SQL}) GROUP BY model")
+@query(f"SELECT model, round(sum(n_supported)::DOUBLE / sum(n_claims), 9) AS true_rate, round(sum(n_refuted)::DOUBLE / sum(n_claims), 9) AS false_rate FROM ({RECORDS_SQL}) GROUP BY model")
 def ratio_of_sums(spark, sf_dir):
     return rounded(an.ratio_of_sums(records(spark, sf_dir), ["model"], {"true_rate": ("n_supported", "n_claims"), "false_rate": ("n_refuted", "n_claims")}), "model")
 
 
-@query(f"SELECT topic, count(*) FILTER (NOT found) AS n, round(avg(CASE WHEN NOT found THEN true_rate END), 6) AS frontier_web_true_rate FROM ({RECORDS_SQL}) GROUP BY topic")
+@query(f"SELECT topic, count(*) FILTER (NOT found) AS n, round(avg(CASE WHEN NOT found THEN true_rate END), 9) AS frontier_web_true_rate FROM ({RECORDS_SQL}) GROUP BY topic")
 def frontier_slice(spark, sf_dir):
     r = records(spark, sf_dir).select("topic", F.col("true_rate").alias("web_true_rate"), (~F.col("found")).alias("is_frontier"))
     return rounded(an.frontier(r).groupBy("topic").agg(F.count_if("is_frontier").alias("n"), F.avg("frontier_web_true_rate").alias("frontier_web_true_rate")), "topic")
@@ -97,13 +97,13 @@ def wiki_found_strict_loose(spark, sf_dir):
     return d.select("doc_id", told(True).alias("strict"), told(False).alias("loose"))
 
 
-@query("""SELECT lang, count(*) AS n, count(*) FILTER (quality = 1) AS strict, count(*) FILTER (quality IS NULL OR quality = 1) AS loose, round((count(*) FILTER (quality = 1))::DOUBLE / count(*), 6) AS coverage
+@query("""SELECT lang, count(*) AS n, count(*) FILTER (quality = 1) AS strict, count(*) FILTER (quality IS NULL OR quality = 1) AS loose, round((count(*) FILTER (quality = 1))::DOUBLE / count(*), 9) AS coverage
     FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang""")
 def coverage_summary(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
     q = F.col("quality")
     rows = d.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(q == 1).alias("strict"), F.count_if(q.isNull() | (q == 1)).alias("loose"))
-    return rows.withColumn("coverage", F.round(F.col("strict") / F.col("n"), 6))
+    return rows.withColumn("coverage", F.round(F.col("strict") / F.col("n"), 9))
 
 
 @query("""SELECT o_orderkey FROM orders ORDER BY md5('123:' || o_orderkey::VARCHAR), o_orderkey LIMIT 50""")
@@ -112,7 +112,7 @@ def seeded_sample(spark, sf_dir):
 
 
 @query(f"""WITH k AS (SELECT unnest([42, 123, 7]) AS seed), r AS (SELECT seed, r.*, row_number() OVER (PARTITION BY k.seed, model ORDER BY md5(k.seed || ':' || l_orderkey::VARCHAR), l_orderkey) AS p FROM ({RECORDS_SQL.replace(', o_orderkey % 3 AS seed', '')}) r CROSS JOIN k)
-    SELECT model, count(*) AS runs, round(avg(a), 6) AS accuracy_mean, round(stddev_samp(a), 6) AS accuracy_std FROM (SELECT model, seed, avg(accuracy) AS a FROM r WHERE p <= 100 GROUP BY model, seed) GROUP BY model""")
+    SELECT model, count(*) AS runs, round(avg(a), 9) AS accuracy_mean, round(stddev_samp(a), 9) AS accuracy_std FROM (SELECT model, seed, avg(accuracy) AS a FROM r WHERE p <= 100 GROUP BY model, seed) GROUP BY model""")
 def multi_seed_sample(spark, sf_dir):
     r = records(spark, sf_dir).drop("seed")
     parts = [an.sampled(r, "l_orderkey", 100, s, "model").withColumn("seed", F.lit(s)) for s in (42, 123, 7)]
@@ -161,14 +161,14 @@ def funnel_total(spark, sf_dir):
     return fn.total(fn.by_hop(funnel_entities(spark, sf_dir))).select("entities", *_FUNNEL_COLUMNS)
 
 
-@query(f"""{_FUNNEL_SQL} SELECT model, CAST(sum(canonical_kept) AS BIGINT) AS canonical_kept, CAST(sum(ner_accepted) AS BIGINT) AS ner_accepted, round(coalesce(sum(ner_accepted)::DOUBLE / nullif(sum(canonical_kept), 0), 0), 6) AS ner_survival FROM g GROUP BY model""")
+@query(f"""{_FUNNEL_SQL} SELECT model, CAST(sum(canonical_kept) AS BIGINT) AS canonical_kept, CAST(sum(ner_accepted) AS BIGINT) AS ner_accepted, round(coalesce(sum(ner_accepted)::DOUBLE / nullif(sum(canonical_kept), 0), 0), 9) AS ner_survival FROM g GROUP BY model""")
 def funnel_model(spark, sf_dir):
-    return fn.by_model(funnel_entities(spark, sf_dir), "model").select("model", "canonical_kept", "ner_accepted", F.round("ner_survival", 6).alias("ner_survival"))
+    return fn.by_model(funnel_entities(spark, sf_dir), "model").select("model", "canonical_kept", "ner_accepted", F.round("ner_survival", 9).alias("ner_survival"))
 
 
-@query(f"""{_FUNNEL_SQL} SELECT hop, round(avg(round(ner_accepted::DOUBLE / nullif(canonical_kept, 0), 4)), 6) AS ner_survival_mean, round(stddev_pop(round(ner_accepted::DOUBLE / nullif(canonical_kept, 0), 4)), 6) AS ner_survival_std FROM g WHERE queue_status = 'done' GROUP BY hop""")
+@query(f"""{_FUNNEL_SQL} SELECT hop, round(avg(round(ner_accepted::DOUBLE / nullif(canonical_kept, 0), 4)), 9) AS ner_survival_mean, round(stddev_pop(round(ner_accepted::DOUBLE / nullif(canonical_kept, 0), 4)), 9) AS ner_survival_std FROM g WHERE queue_status = 'done' GROUP BY hop""")
 def funnel_mean_std(spark, sf_dir):
-    return fn.survival_spread(funnel_entities(spark, sf_dir)).select("hop", F.round("ner_survival_mean", 6).alias("ner_survival_mean"), F.round("ner_survival_std", 6).alias("ner_survival_std"))
+    return fn.survival_spread(funnel_entities(spark, sf_dir)).select("hop", F.round("ner_survival_mean", 9).alias("ner_survival_mean"), F.round("ner_survival_std", 9).alias("ner_survival_std"))
 
 
 @query("""SELECT CAST(l_orderkey % 4 AS INT) AS hop, '{' || string_agg('"' || r || '":' || n, ',' ORDER BY r) || '}' AS ner_reject_reason_counts FROM (
@@ -197,7 +197,7 @@ def bought(spark, sf_dir):
 
 
 @query(f"""WITH m AS ({_BOUGHT}), s AS (SELECT g, count(*) AS n FROM m GROUP BY g), p AS (SELECT a.g AS a, b.g AS b, count(*) AS shared FROM m a JOIN m b ON a.item = b.item AND a.g < b.g GROUP BY a.g, b.g)
-    SELECT x.g AS a, y.g AS b, x.n AS size_a, y.n AS size_b, coalesce(shared, 0) AS shared, round(coalesce(shared, 0)::DOUBLE / (x.n + y.n - coalesce(shared, 0)), 6) AS jaccard, round(coalesce(shared, 0)::DOUBLE / least(x.n, y.n), 6) AS overlap
+    SELECT x.g AS a, y.g AS b, x.n AS size_a, y.n AS size_b, coalesce(shared, 0) AS shared, round(coalesce(shared, 0)::DOUBLE / (x.n + y.n - coalesce(shared, 0)), 9) AS jaccard, round(coalesce(shared, 0)::DOUBLE / least(x.n, y.n), 9) AS overlap
     FROM s x JOIN s y ON x.g < y.g LEFT JOIN p ON p.a = x.g AND p.b = y.g""")
 def entity_overlap_pairs(spark, sf_dir):
     return rounded(an.set_overlap(bought(spark, sf_dir), "g", "item"), "a", "b")
@@ -230,18 +230,18 @@ def _measures():
 
 
 @query(f"""{_PAIRS_SQL}, g AS (SELECT doc_id, other, {_G('w', 1)} AS a1, {_G('v', 1)} AS b1, {_G('w', 2)} AS a2, {_G('v', 2)} AS b2, {_G('w', 3)} AS a3, {_G('v', 3)} AS b3 FROM p)
-    SELECT doc_id, other, round({_J('a1', 'b1')}, 6) AS jaccard, {', '.join(f"round({_J(f'a{n}', f'b{n}')}, 6) AS ngram_{n}_jaccard, round({_O(f'a{n}', f'b{n}')}, 6) AS ngram_{n}_overlap" for n in (1, 2, 3))} FROM g""")
+    SELECT doc_id, other, round({_J('a1', 'b1')}, 9) AS jaccard, {', '.join(f"round({_J(f'a{n}', f'b{n}')}, 9) AS ngram_{n}_jaccard, round({_O(f'a{n}', f'b{n}')}, 9) AS ngram_{n}_overlap" for n in (1, 2, 3))} FROM g""")
 def pair_ngram_overlap(spark, sf_dir):
-    return pairs(spark, sf_dir).select("doc_id", "other", *(F.round(c, 6).alias(k) for k, c in _measures().items()))
+    return pairs(spark, sf_dir).select("doc_id", "other", *(F.round(c, 9).alias(k) for k, c in _measures().items()))
 
 
 @query(f"""{_PAIRS_SQL}, g AS (SELECT doc_id, other, {_G('w', 1)} AS a1, {_G('v', 1)} AS b1, {_G('w', 2)} AS a2, {_G('v', 2)} AS b2, {_G('w', 3)} AS a3, {_G('v', 3)} AS b3 FROM p), m AS (
     SELECT doc_id, other, {_J('a1', 'b1')} AS j, {_O('a1', 'b1')} AS o1, {_O('a2', 'b2')} AS o2, {_O('a3', 'b3')} AS o3 FROM g)
     SELECT doc_id, other, {', '.join(f'''round(coalesce((coalesce({w[0]} * j, 0) + coalesce({w[1]} * o1, 0) + coalesce({w[2]} * o2, 0) + coalesce({w[3]} * o3, 0)) / nullif(CASE WHEN j IS NULL THEN 0 ELSE {w[0]} END + CASE WHEN o1 IS NULL THEN 0 ELSE {w[1]} END
-    + CASE WHEN o2 IS NULL THEN 0 ELSE {w[2]} END + CASE WHEN o3 IS NULL THEN 0 ELSE {w[3]} END, 0), 0)::DOUBLE, 6) AS {n}''' for n, w in (('evaluation', ('0.1::DOUBLE',) * 4), ('capture', ('0.15::DOUBLE', '0.15::DOUBLE', '0.25::DOUBLE', '0.25::DOUBLE'))))} FROM m""")
+    + CASE WHEN o2 IS NULL THEN 0 ELSE {w[2]} END + CASE WHEN o3 IS NULL THEN 0 ELSE {w[3]} END, 0), 0)::DOUBLE, 9) AS {n}''' for n, w in (('evaluation', ('0.1::DOUBLE',) * 4), ('capture', ('0.15::DOUBLE', '0.15::DOUBLE', '0.25::DOUBLE', '0.25::DOUBLE'))))} FROM m""")
 def combined_similarity(spark, sf_dir):
     m = _measures()
-    return pairs(spark, sf_dir).select("doc_id", "other", F.round(combined(m, WEIGHTS_EVALUATION), 6).alias("evaluation"), F.round(combined(m, WEIGHTS_CAPTURE), 6).alias("capture"))
+    return pairs(spark, sf_dir).select("doc_id", "other", F.round(combined(m, WEIGHTS_EVALUATION), 9).alias("evaluation"), F.round(combined(m, WEIGHTS_CAPTURE), 9).alias("capture"))
 
 
 _TF_WORDS = lambda t: rf"list_filter(regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "))"
@@ -250,23 +250,23 @@ _TF_WORDS = lambda t: rf"list_filter(regexp_extract_all(lower({t}), '[\p{{L}}\p{
 @query(f"""WITH s AS (SELECT doc_id, left(text, 400) AS a, lag(left(text, 400)) OVER (PARTITION BY lang ORDER BY doc_id) AS b FROM documents), t AS (SELECT doc_id, {_TF_WORDS('a')} AS x, {_TF_WORDS('b')} AS y FROM s WHERE b IS NOT NULL), g AS (
     SELECT doc_id, unnest(list_concat(x, list_transform(range(1, greatest(1, len(x))), lambda i: x[i] || ' ' || x[i + 1]))) AS g, 0 AS side FROM t UNION ALL SELECT doc_id, unnest(list_concat(y, list_transform(range(1, greatest(1, len(y))), lambda i: y[i] || ' ' || y[i + 1]))), 1 FROM t), c AS (
     SELECT doc_id, g, (count(*) FILTER (side = 0))::DOUBLE AS p, (count(*) FILTER (side = 1))::DOUBLE AS q FROM g GROUP BY doc_id, g), w AS (SELECT doc_id, p * i AS p, q * i AS q FROM (SELECT *, CASE WHEN p > 0 AND q > 0 THEN 1.0::DOUBLE ELSE 1 + ln(1.5::DOUBLE) END AS i FROM c))
-    SELECT t.doc_id, round(coalesce(sum(p * q) / nullif(sqrt(sum(p * p)) * sqrt(sum(q * q)), 0), 0), 6) AS cosine FROM t LEFT JOIN w ON w.doc_id = t.doc_id GROUP BY t.doc_id""")
+    SELECT t.doc_id, round(coalesce(sum(p * q) / nullif(sqrt(sum(p * p)) * sqrt(sum(q * q)), 0), 0), 9) AS cosine FROM t LEFT JOIN w ON w.doc_id = t.doc_id GROUP BY t.doc_id""")
 def tfidf_pairs(spark, sf_dir):
     from pyspark.sql import Window
 
     head = F.substring("text", 1, 400)
     d = table(spark, sf_dir, "documents").select("doc_id", head.alias("a"), F.lag(head).over(Window.partitionBy("lang").orderBy("doc_id")).alias("b")).filter("b is not null")
-    return tfidf_cosine(d, "doc_id", "a", "b").withColumn("cosine", F.round("cosine", 6))
+    return tfidf_cosine(d, "doc_id", "a", "b").withColumn("cosine", F.round("cosine", 9))
 
 
 @query(rf"""WITH s AS (SELECT doc_id, {TOKENS} AS w, list_transform(list_filter(string_split_regex(text, '[.!?]+'), lambda x: trim(x) <> ''), lambda x: len(list_filter(string_split_regex(x, '\s+'), lambda y: y <> ''))) AS l,
     length(regexp_replace(text, '[^.,;:!?\-()\[\]{{}}"''/]', '', 'g')) AS p, len(list_filter(string_split_regex(text, '\s+'), lambda y: y <> '')) AS n FROM documents)
-    SELECT doc_id, round(list_avg(l), 6) AS sentence_words, round(p::DOUBLE / greatest(n, 1), 6) AS punctuation, round(len(list_distinct(w))::DOUBLE / nullif(len(w), 0), 6) AS ttr FROM s""")
+    SELECT doc_id, round(list_avg(l), 9) AS sentence_words, round(p::DOUBLE / greatest(n, 1), 9) AS punctuation, round(len(list_distinct(w))::DOUBLE / nullif(len(w), 0), 9) AS ttr FROM s""")
 def stylistic_features(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text", tx.tokens(F.col("text")).alias("w"))
     l = sentence_lengths(F.col("text"))
     return d.select(
-        "doc_id", F.round(F.aggregate(l, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(l), F.lit(0)), 6).alias("sentence_words"), F.round(punctuation_density(F.col("text")), 6).alias("punctuation"), F.round(type_token_ratio(F.col("w")), 6).alias("ttr")
+        "doc_id", F.round(F.aggregate(l, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(l), F.lit(0)), 9).alias("sentence_words"), F.round(punctuation_density(F.col("text")), 9).alias("punctuation"), F.round(type_token_ratio(F.col("w")), 9).alias("ttr")
     )
 
 

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas
 import pytest
 
 import __spark_entry__ as entry
@@ -22,7 +23,7 @@ def con():
 
 
 def shown(frame):
-    cell = lambda v: None if v is None or v != v else round(float(v), 6) if isinstance(v, float) else int(v) if hasattr(v, "__index__") else v
+    cell = lambda v: None if v is None or pandas.isna(v) else round(float(v), 6) if isinstance(v, float) else int(v) if hasattr(v, "__index__") else v
     return sorted(repr(tuple(cell(v) for v in row)) for row in frame[sorted(frame.columns)].astype(object).itertuples(index=False, name=None))
 
 
