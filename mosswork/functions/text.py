@@ -157,3 +157,23 @@ def rendered(template: Column, values: dict[str, Column]) -> Column:
     for name, value in values.items():
         template = F.replace(template, F.lit("{" + name + "}"), F.coalesce(value, F.lit("")))
     return template
+
+
+def file_extension(url: Column, default: str = ".jpg") -> Column:
+    """Extension of an image's path, in lower case; the default where there is none that is known."""
+    path = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)?([^?#]*)", 1))
+    found = F.regexp_extract(path, r"(\.(?:jpg|jpeg|png|gif|svg|webp))$", 1)
+    return F.when(found == "", default).otherwise(found)
+
+
+def first_setting(*settings: Column) -> Column:
+    """A stage's setting, else the global one, else the default: the first that is neither null nor blank."""
+    return F.coalesce(*(F.nullif(F.trim(c.cast("string")), F.lit("")) for c in settings))
+
+
+def wait_seconds(message: Column, default: float = 5.0) -> Column:
+    """Seconds to wait that a provider's message names: `in 1.5s`, `in 200ms`, `in 2m`."""
+    rx = r"(?i)in\s+(\d+(?:\.\d+)?)\s*(ms|s|m)\b"
+    unit = F.lower(F.regexp_extract(message, rx, 2))
+    n = F.regexp_extract(message, rx, 1).try_cast("double")
+    return F.coalesce(n * F.when(unit == "ms", 0.001).when(unit == "m", 60.0).otherwise(1.0), F.lit(default))

@@ -55,3 +55,17 @@ def test_salvage():
     assert salvage.phrases("- Paris: true")[1] == "regex_simple"
     assert [v["verdict"] for v in salvage._verdicts({"verdicts": [{"idx": 1, "verdict": "True"}, {"idx": 1, "verdict": "false"}]}, 2)] == ["refuted", "insufficient"]
     assert salvage.infobox("{{Infobox x|name=[[A|Ann]]|image=q|k={{d|1|2}}}}") == [{"key": "name", "value": "Ann"}, {"key": "k", "value": "{{d|1|2}}"}]
+
+
+def test_small_settings(spark):
+    assert [one(spark, u, tx.file_extension) for u in ("https://x.org/a.PNG?w=1", "https://x.org/a", "b.webp")] == [".png", ".jpg", ".webp"]
+    assert [one(spark, m, tx.wait_seconds) for m in ("try again in 200ms", "retry in 2m", "no idea")] == [0.2, 120.0, 5.0]
+    assert one(spark, " ", lambda c: tx.first_setting(c, F.lit("global"))) == "global"
+
+
+def test_page_text_and_legacy_claims(spark):
+    assert salvage.page_text("<nav>menu</nav><article>A <b>b</b> &amp; c<script>x</script></article>tail") == "A b & c"
+    assert salvage.page_text("<p>only</p>") == "only"
+    row = spark.createDataFrame([([(" a ", "TRUE", 2.0, [3, 1, 3]), ("", "false", 0.1, None)],)], "x array<struct<claim:string,verdict:string,confidence:double,sources:array<int>>>")
+    got = row.select(salvage.legacy_claims(F.col("x")).alias("y")).first().y
+    assert [tuple(g) for g in got] == [("a", "true", 1.0, [1, 3])]
