@@ -272,6 +272,27 @@ def test_quality(spark):
     assert not told[900] and not told[901] and told[902] and told[None] and len(told) == 404
 
 
+def test_toxic_words_in_clean_prose_and_mild_noise_are_rejected(spark):
+    r = random.Random(8)
+    syllables = ["ba", "de", "ki", "lo", "mu", "na", "re", "si", "to"]
+    words = lambda n: ["".join(r.choice(syllables) for _ in range(r.randint(1, 4))) for _ in range(n)]
+
+    def text(kind):  # clean prose varies: up to 0.3 of its words are of any letters, and noise is 0.6 of them
+        share = 0.6 if kind == "noise" else 0.3 * r.random()
+        w = [x if r.random() > share else "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in x) for x in words(200)]
+        if kind == "toxic":
+            for word in ("wretch", "vermin", "wretch"):
+                w.insert(r.randrange(len(w)), word)
+        return " ".join(w)
+
+    kinds = ["toxic" if i % 10 == 0 else "noise" if i % 10 == 5 else "clean" for i in range(900)]
+    docs = spark.createDataFrame([(i, text(k), "en") for i, k in enumerate(kinds)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(k != "noise"), int(k == "toxic")) for i, k in enumerate(kinds) if i < 600], "doc_id long, quality int, toxic int")
+    told = {x.doc_id: x.keep for x in quality.classify(docs, labels).collect()}
+    kept = {k: np.mean([told[i] for i in range(600, 900) if kinds[i] == k]) for k in ("clean", "toxic", "noise")}  # none of them has a label
+    assert kept["clean"] >= 0.97 and kept["toxic"] <= 0.1 and kept["noise"] <= 0.1, kept
+
+
 def test_model_probabilities_sum_to_one(spark):
     texts = spark.createDataFrame([("the cat sat on the mat, the end",), ("A cat. 12!",)], "text string")
     tables = [(t["gram"].to_numpy(np.int64), t["p"].to_numpy(float), t["rest"].to_numpy(float)) for t in (m.toPandas() for m in quality.model(quality.gram_counts(texts)))]
