@@ -293,6 +293,17 @@ def test_toxic_words_in_clean_prose_and_mild_noise_are_rejected(spark):
     assert kept["clean"] >= 0.97 and kept["toxic"] <= 0.1 and kept["noise"] <= 0.1, kept
 
 
+def test_characters_are_not_folded(spark):
+    texts = ["ask Q7 and é", "ask Q8 and é", "猫と犬と鳥", "ask Q7 and à"]
+    counts = quality.character_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
+    want = collections.Counter(("\0" * (quality.LENGTH - 1) + t)[i : i + quality.LENGTH] for t in texts for i in range(len(t)))
+    assert {x.gram: x.n for x in counts.collect()} == want
+    ends = sorted({c for t in texts for c in t}) + ["Z", "9", "ê", "狗"]
+    p = {x.gram[-1]: x.p for x in quality.probabilities(spark.createDataFrame([(("ask " + c)[-quality.LENGTH :],) for c in ends], "gram string"), counts, "test").collect()}
+    assert p["Q"] > 100 * p["Z"] and p["7"] > 2 * p["9"] and p["é"] > 2 * p["ê"] and p["猫"] > 2 * p["狗"]
+    assert abs(sum(p.values()) - 4 * p["Z"] + (0x110000 - len(ends) + 4) * p["Z"] - 1) < 1e-6  # with all unseen code points
+
+
 def test_model_probabilities_sum_to_one(spark):
     texts = spark.createDataFrame([("the cat sat on the mat, the end",), ("A cat. 12!",)], "text string")
     tables = [(t["gram"].to_numpy(np.int64), t["p"].to_numpy(float), t["rest"].to_numpy(float)) for t in (m.toPandas() for m in quality.model(quality.gram_counts(texts)))]
