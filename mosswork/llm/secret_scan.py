@@ -1,8 +1,8 @@
 """Secret scans with corpus-wide ownership frequency (native).
 
 Candidates of each text are hashed by their secret value. The hashes are counted over the corpus by
-distinct repositories and owners: a value seen with many owners is a widely copied example, one
-that stays with few owners looks live. Base kinds (assign, access, hex) are always reported, with
+distinct repositories and owners: a value seen with many owners, or in many repositories of few owners, is
+a widely copied example; one that stays with few of both looks live. Base kinds (assign, access, hex) are always reported, with
 that verdict beside them; the further kind `opaque` (long mixed strings, which alone would catch
 too much) is reported only where its value looks live and it overlaps no base span.
 
@@ -34,6 +34,8 @@ BASE_KINDS = (
 )
 #: 24 or more characters of one run with an upper-case letter, a lower-case letter and two digits.
 OPAQUE = r"(?<![A-Za-z0-9+/_-])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])(?=[A-Za-z+/_-]*[0-9][A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{24,}"
+#: A value in more distinct repositories than this is an example, whoever owns them.
+MAX_REPOS = 10
 KINDS = (*BASE_KINDS, ("opaque", OPAQUE, 0, 24))
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,hash:bigint,hash2:int>>"
 
@@ -79,23 +81,23 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash", "hash2").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"))
 
 
-def judged(scanned: DataFrame, max_owners: int) -> DataFrame:
+def judged(scanned: DataFrame, max_owners: int, max_repos: int) -> DataFrame:
     """doc_id, text_hash, spans: every candidate of each document with `live`, sorted by start and kind."""
     each = scanned.select("doc_id", "text_hash", "owner", "repo", F.explode(F.concat("base", "opaque")).alias("s")).select("*", "s.hash", "s.hash2")
     frequency = ownership(each.select("hash", "hash2", "owner", "repo"))
     return (
         each.join(frequency, ["hash", "hash2"])
         .groupBy("doc_id", "text_hash")
-        .agg(F.array_sort(F.collect_set(F.struct("s.start", "s.rank", "s.end", "s.kind", (F.col("n_owners") <= max_owners).alias("live")))).alias("spans"))
+        .agg(F.array_sort(F.collect_set(F.struct("s.start", "s.rank", "s.end", "s.kind", ((F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)).alias("live")))).alias("spans"))
     )
 
 
-def find(documents: DataFrame, doc_id="doc_id", text="text", owner="source", repo="doc_id", max_owners: int = 2) -> DataFrame:
+def find(documents: DataFrame, doc_id="doc_id", text="text", owner="source", repo="doc_id", max_owners: int = 2, max_repos: int = MAX_REPOS) -> DataFrame:
     """One row per row of documents: doc_id, spans: array<struct<start,rank,end,kind,live>>."""
     docs = only(documents, doc_id=doc_id, text=text, owner=owner, repo=repo).withColumn("text", text_or_empty())
     scanned = with_candidates(docs.withColumn("text_hash", F.xxhash64("text"))).drop("text")
     scanned = durable(scanned, "secret-candidates")
-    found = judged(scanned.filter("size(base) + size(opaque) > 0"), max_owners).withColumnsRenamed({"doc_id": "id", "text_hash": "th"})
+    found = judged(scanned.filter("size(base) + size(opaque) > 0"), max_owners, max_repos).withColumnsRenamed({"doc_id": "id", "text_hash": "th"})
     every = scanned.select("doc_id", "text_hash").join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("th")), "left")
     keep = F.filter("spans", lambda s: (s.kind != "opaque") | s.live)
     return every.select("doc_id", F.coalesce(keep, F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,live:boolean>>")).alias("spans"))
@@ -110,10 +112,11 @@ def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(done)
 
 
-def redacted(documents: DataFrame, doc_id="doc_id", text="text", owner="source", repo="doc_id", max_owners: int = 2) -> DataFrame:
+def redacted(documents: DataFrame, doc_id="doc_id", text="text", owner="source", repo="doc_id", max_owners: int = 2, max_repos: int = MAX_REPOS) -> DataFrame:
     """documents, all columns, with base spans and live-looking opaque strings masked in `text`.
 
-    Base spans need no corpus statistics, so only documents that hold an opaque candidate leave the map side."""
+    Candidates of all documents are counted, as `find` does. Base spans need no verdict, so only texts of documents that
+    hold an opaque candidate leave the map side."""
     columns = documents.columns
     own = documents.select(F.struct(*(documents[f"`{c}`"] for c in columns)).alias("row"))
     plain = F.coalesce(F.col("row")[text], F.lit(""))
@@ -122,7 +125,8 @@ def redacted(documents: DataFrame, doc_id="doc_id", text="text", owner="source",
     write = lambda rows, spans: rows.select(F.when(F.size(spans) == 0, F.col("row")).otherwise(F.col("row").withField(text, redact(F.col("text"), spans))).alias("row"))
     easy = write(scanned.filter("size(opaque) = 0"), F.col("base"))
     rare = durable(scanned.filter("size(opaque) > 0"), "secret-opaque")
-    found = judged(rare.select("doc_id", "text_hash", "owner", "repo", "base", "opaque"), max_owners).withColumnsRenamed({"doc_id": "id", "text_hash": "th"})
+    candidates = durable(scanned.select("doc_id", "text_hash", "owner", "repo", "base", "opaque").filter("size(base) + size(opaque) > 0"), "secret-candidates")
+    found = judged(candidates, max_owners, max_repos).withColumnsRenamed({"doc_id": "id", "text_hash": "th"})
     hard = rare.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("th")))
     hard = write(hard, F.filter("spans", lambda s: (s.kind != "opaque") | s.live))
     return easy.unionByName(hard).select("row.*")

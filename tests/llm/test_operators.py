@@ -91,6 +91,18 @@ def test_secrets_by_owner_and_masks(spark):
     assert masked == {0: "key [SECRET] end", 1: "é " + example, 2: example, 3: example + " [SECRET]", 4: None}
 
 
+def test_secrets_copied_within_one_source_and_as_base_spans(spark):
+    copied, few, assigned = "aB3" + "xY7z" * 7, "Qq9" + "mN4k" * 7, "Zz8" + "pL5w" * 7
+    rows = [(i, "see " + copied, "hot") for i in range(400)] + [(1000 + i, few, "hot") for i in range(5)]
+    rows += [(2000, assigned, "o0")] + [(2000 + i, "token=" + assigned, f"o{i}") for i in (1, 2, 3)]  # its owners hold it as assign spans
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {x.doc_id: [(s.kind, s.live) for s in x.spans] for x in secret_scan.find(table).collect()}
+    want = {i: [] for i in range(400)} | {1000 + i: [("opaque", True)] for i in range(5)} | {2000: []} | {2000 + i: [("assign", False)] for i in (1, 2, 3)}
+    assert found == want
+    masked = {x.doc_id: x.text for x in secret_scan.redacted(table).collect()}
+    assert masked == {i: "[SECRET]" if want[i] else t for i, t, _ in rows}
+
+
 def test_exact_dedup(docs, rows):
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
     groups = collections.defaultdict(list)
