@@ -215,10 +215,12 @@ _J = lambda a, b: f"CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN len(list_inters
 _O = lambda a, b: f"len(list_intersect({a}, {b}))::DOUBLE / nullif(least(len({a}), len({b})), 0)"
 
 
-def pairs(spark, sf_dir):
+def pairs(spark, sf_dir, whole=False):
+    """whole: without the length filter that the SQL of the first two queries has."""
     from pyspark.sql import Window
 
-    d = table(spark, sf_dir, "documents").filter("n_chars < 20000").select("doc_id", "lang", "text")
+    d = table(spark, sf_dir, "documents")
+    d = (d if whole else d.filter("n_chars < 20000")).select("doc_id", "lang", "text")
     o = Window.partitionBy("lang").orderBy("doc_id")
     w = tx.tokens(F.col("text"))
     p = d.select("doc_id", w.alias("w"), F.lag("doc_id").over(o).alias("other"), F.lag(w).over(o).alias("v")).filter("other is not null")
@@ -244,6 +246,17 @@ def combined_similarity(spark, sf_dir):
     return pairs(spark, sf_dir).select("doc_id", "other", F.round(combined(m, WEIGHTS_EVALUATION), 9).alias("evaluation"), F.round(combined(m, WEIGHTS_CAPTURE), 9).alias("capture"))
 
 
+@query()
+def pair_ngram_overlap_all(spark, sf_dir):
+    return pairs(spark, sf_dir, whole=True).select("doc_id", "other", *(F.round(c, 9).alias(k) for k, c in _measures().items()))
+
+
+@query()
+def combined_similarity_all(spark, sf_dir):
+    m = _measures()
+    return pairs(spark, sf_dir, whole=True).select("doc_id", "other", F.round(combined(m, WEIGHTS_EVALUATION), 9).alias("evaluation"), F.round(combined(m, WEIGHTS_CAPTURE), 9).alias("capture"))
+
+
 _TF_WORDS = lambda t: rf"list_filter(regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "))"
 
 
@@ -259,6 +272,16 @@ def tfidf_pairs(spark, sf_dir):
     return tfidf_cosine(d, "doc_id", "a", "b").withColumn("cosine", F.round("cosine", 9))
 
 
+@query()
+def tfidf_pairs_all(spark, sf_dir):
+    """Whole texts; null ones are empty."""
+    from pyspark.sql import Window
+
+    o, text = Window.partitionBy("lang").orderBy("doc_id"), F.coalesce("text", F.lit(""))
+    d = table(spark, sf_dir, "documents").select("doc_id", text.alias("a"), F.lag(text).over(o).alias("b")).filter("b is not null")
+    return tfidf_cosine(d, "doc_id", "a", "b").withColumn("cosine", F.round("cosine", 9))
+
+
 @query(rf"""WITH s AS (SELECT doc_id, {TOKENS} AS w, list_transform(list_filter(string_split_regex(text, '[.!?]+'), lambda x: trim(x) <> ''), lambda x: len(list_filter(string_split_regex(x, '\s+'), lambda y: y <> ''))) AS l,
     length(regexp_replace(text, '[^.,;:!?\-()\[\]{{}}"''/]', '', 'g')) AS p, len(list_filter(string_split_regex(text, '\s+'), lambda y: y <> '')) AS n FROM documents)
     SELECT doc_id, round(list_avg(l), 9) AS sentence_words, round(p::DOUBLE / greatest(n, 1), 9) AS punctuation, round(len(list_distinct(w))::DOUBLE / nullif(len(w), 0), 9) AS ttr FROM s""")
@@ -297,3 +320,11 @@ def claim_explode(spark, sf_dir):
     listed = c.groupBy(F.col("l_orderkey").alias("subject")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "verdict"))).alias("v"))
     r = listed.select("subject", F.transform("v", lambda x: x.l_linenumber.cast("string")).alias("claims"), F.transform("v", lambda x: x.verdict).alias("wiki_verdicts"), F.array().cast("array<string>").alias("web_verdicts"))
     return an.claim_rows(r)
+
+
+@query()
+def claim_explode_all(spark, sf_dir):
+    """Every line item is a claim, those of one number too."""
+    listed = claims(spark, sf_dir).groupBy(F.col("l_orderkey").alias("subject")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "verdict"))).alias("v"))
+    r = listed.select("subject", F.transform("v", lambda x: x.l_linenumber.cast("string")).alias("claims"), F.transform("v", lambda x: x.verdict).alias("wiki_verdicts"), F.array().cast("array<string>").alias("web_verdicts"))
+    return an.claim_rows(r)

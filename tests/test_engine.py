@@ -135,3 +135,39 @@ def test_recorded_responses(spark):
     body = json.dumps({"choices": [{"message": {"content": "hi"}}], "usage": {"prompt_tokens": 3, "completion_tokens": 4}})
     r = spark.createDataFrame([(body, "A B::2::7")], "b string, c string").select(logs.answer_text(F.col("b")).alias("t"), logs.usage(F.col("b")).alias("u"), logs.custom_id(F.col("c")).alias("c")).first()
     assert r.t == "hi" and tuple(r.u) == (3, 4) and tuple(r.c) == ("A B", 2, 7)
+
+
+def test_queries_over_whole_tables(spark, tmp_path):
+    import math
+    from collections import Counter
+
+    from mosswork.functions.similarity import STOP_WORDS
+    from mosswork.plans import rate_queries as rq
+
+    long = " ".join(f"word{i % 50}" for i in range(4000))
+    texts = {1: "stone river stone", 2: long, 3: "river stone word7", 4: "x" * 500 + " river tail", 5: "tail river"}
+    rows = [(i, t, "en", None if i == 3 else len(t)) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(1, n, "ARN"[n % 3]) for n in range(1, 8)] + [(1, 7, "A"), (2, 5, "R")]
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {}
+    for i in range(2, 6):
+        a, b = set(texts[i].split()), set(texts[i - 1].split())
+        want[i, i - 1] = len(a & b) / len(a | b)
+    got = {(r.doc_id, r.other): r.jaccard for r in rq.pair_ngram_overlap_all(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    assert {(r.doc_id, r.other) for r in rq.combined_similarity_all(spark, str(tmp_path)).collect()} == set(want)
+
+    def grams(t):
+        w = [x for x in t.split() if len(x) > 1 and x not in STOP_WORDS]
+        return Counter(w + [" ".join(p) for p in zip(w, w[1:])])
+
+    def cosine(a, b):
+        weight = lambda c, o: {g: n * (1 if g in o else 1 + math.log(1.5)) for g, n in c.items()}
+        x, y = weight(a, b), weight(b, a)
+        return sum(v * y.get(g, 0) for g, v in x.items()) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+
+    tf = {r.doc_id: r.cosine for r in rq.tfidf_pairs_all(spark, str(tmp_path)).collect()}
+    assert tf.keys() == {2, 3, 4, 5} and all(abs(tf[i] - cosine(grams(texts[i]), grams(texts[i - 1]))) < 1e-6 for i in tf) and tf[5] > 0
+    verdict = {"A": "supported", "R": "refuted", "N": "insufficient"}
+    assert Counter((r.subject, r.claim, r.wiki_verdict) for r in rq.claim_explode_all(spark, str(tmp_path)).collect()) == Counter((k, str(n), verdict[f]) for k, n, f in items)
