@@ -7,8 +7,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import dot
-
 BLOCK = 4096
 
 
@@ -46,9 +44,25 @@ def topk(queries: DataFrame, index: DataFrame, k: int, least: float | None = Non
 
 def in_batch(batch: DataFrame, threshold: float) -> DataFrame:
     """position, best_score, duplicate_of of a batch (position, e): a candidate is a duplicate if the best match among all
-    others reaches the threshold and came earlier. A better match that came later hides an earlier one."""
-    pairs = batch.alias("a").join(batch.alias("b"), F.col("a.position") != F.col("b.position"))
-    pairs = pairs.select(F.col("a.position").alias("position"), F.col("b.position").alias("other"), dot(F.col("a.e"), F.col("b.e")).alias("score"))
+    others reaches the threshold and came earlier. A better match that came later hides an earlier one. Blocks meet in tasks, as in `topk`."""
+    nb = max(1, -(-batch.count() // BLOCK))
+    every = F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))
+    deal = F.pmod(F.xxhash64("position"), F.lit(nb)).cast("int")
+    left = batch.select(F.col("position").alias("other"), F.col("e").alias("oe"), deal.alias("b"), every.alias("q"))
+    right = batch.select("position", "e", deal.alias("q"), every.alias("b"))
+
+    def task(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"position": [], "other": [], "score": []})
+        x = x.sort_values("other")
+        ids, own = x["other"].to_numpy(), y["position"].to_numpy()
+        scores = np.round(_matrix(y["e"]) @ _matrix(x["oe"]).T, 12)  # the order of a product's sums must not break ties
+        scores[own[:, None] == ids[None, :]] = -np.inf
+        at = scores.argmax(1)  # the first of equals, by position
+        out = pd.DataFrame({"position": own, "other": ids[at], "score": scores[np.arange(len(own)), at]})
+        return out[np.isfinite(out["score"])]
+
+    pairs = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInPandas(task, "position long, other long, score double")
     best = pairs.groupBy("position").agg(F.max(F.struct("score", (-F.col("other")).alias("o"))).alias("m"))
     best = best.select("position", F.greatest(F.col("m.score"), F.lit(0.0)).alias("best_score"), (-F.col("m.o")).alias("other"))
     return best.select("position", "best_score", F.when((F.col("best_score") >= threshold) & (F.col("other") < F.col("position")), F.col("other")).alias("duplicate_of"))

@@ -113,6 +113,13 @@ def in_batch_duplicates(spark, sf_dir):
     return ve.in_batch(b, 0.3).select("position", F.round("best_score", 5).alias("best_score"), "duplicate_of")
 
 
+@query()
+def in_batch_duplicates_all(spark, sf_dir):
+    """All embeddings are one batch."""
+    b = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("position"), F.col("embedding").alias("e"))
+    return ve.in_batch(b, 0.3).select("position", F.round("best_score", 5).alias("best_score"), "duplicate_of")
+
+
 @query("""WITH c AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(64)) AS i FROM embeddings) GROUP BY label, i), v AS (SELECT label, list(x ORDER BY i) AS e FROM c GROUP BY label)
     SELECT a.label AS a, b.label AS b, round(list_cosine_similarity(a.e, b.e), 5) AS cosine FROM v a JOIN v b ON a.label < b.label""")
 def centroid_similarity(spark, sf_dir):
@@ -195,8 +202,15 @@ def seen_candidates(spark, sf_dir):
     return _flagged(spark, sf_dir).select("doc_id", "place", "key", "in_seen")
 
 
-def _flagged(spark, sf_dir):
-    w = F.slice(tx.tokens(F.col("text")), 1, 40)  # candidates of an article: its first words, as many as a lead paragraph links
+@query()
+def seen_candidates_all(spark, sf_dir):
+    """All tokens of a text are its candidates."""
+    return _flagged(spark, sf_dir, None).select("doc_id", "place", "key", "in_seen")
+
+
+def _flagged(spark, sf_dir, most=40):
+    w = tx.tokens(F.col("text"))
+    w = w if most is None else F.slice(w, 1, most)  # the SQL of seen_candidates takes the first words only
     each = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("subject"), F.lit(0).alias("hop"), F.posexplode(w).alias("place", "phrase"))
     seen = table(spark, sf_dir, "benchmark").select(F.explode(tx.tokens(F.col("text"))).alias("canon_key")).distinct()
     return crawl.seen_flags(each, seen)
@@ -204,8 +218,7 @@ def _flagged(spark, sf_dir):
 
 @query()
 def pre_ner_dedup(spark, sf_dir):
-    w = F.slice(tx.tokens(F.col("text")), 1, 40)
-    each = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("subject"), F.lit(0).alias("hop"), F.posexplode(w).alias("place", "phrase"))
+    each = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("subject"), F.lit(0).alias("hop"), F.posexplode(tx.tokens(F.col("text"))).alias("place", "phrase"))
     seen = table(spark, sf_dir, "benchmark").select(F.explode(tx.tokens(F.col("text"))).alias("canon_key")).distinct()
     return crawl.deduplicated(each, seen).select("subject", "place", "key", "reason")
 

@@ -171,3 +171,31 @@ def test_queries_over_whole_tables(spark, tmp_path):
     assert tf.keys() == {2, 3, 4, 5} and all(abs(tf[i] - cosine(grams(texts[i]), grams(texts[i - 1]))) < 1e-6 for i in tf) and tf[5] > 0
     verdict = {"A": "supported", "R": "refuted", "N": "insufficient"}
     assert Counter((r.subject, r.claim, r.wiki_verdict) for r in rq.claim_explode_all(spark, str(tmp_path)).collect()) == Counter((k, str(n), verdict[f]) for k, n, f in items)
+
+
+def test_candidates_and_batches_are_whole(spark, tmp_path, monkeypatch):
+    import random
+
+    from mosswork.plans import engine_queries as eq
+
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(100)]
+    texts = [(1, " ".join(words + [words[0]])), (2, "alpha beta")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(words[90] + " beta",)], "text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen = {words[90], "beta"}
+    want = {(i, p, w, w in seen) for i, t in texts for p, w in enumerate(t.split())}
+    assert {tuple(r) for r in eq.seen_candidates_all(spark, str(tmp_path)).select("doc_id", "place", "key", "in_seen").collect()} == want
+    reasons = {(r.subject, r.place): r.reason for r in eq.pre_ner_dedup(spark, str(tmp_path)).collect()}
+    assert len(reasons) == 103 and reasons["1", 80] == "kept" and "kept" not in (reasons["1", 90], reasons["1", 100], reasons["2", 1])
+
+    r = random.Random(3)
+    e = [[r.gauss(0, 1) for _ in range(8)] for _ in range(60)]
+    e[50], e[51] = list(e[7]), list(e[7])
+    e = [[x / sum(y * y for y in v) ** 0.5 for x in v] for v in e]
+    spark.createDataFrame([(i, i % 3, v) for i, v in enumerate(e)], "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(vector, "BLOCK", 16)
+    got = {x.position: (x.best_score, x.duplicate_of) for x in eq.in_batch_duplicates_all(spark, str(tmp_path)).collect()}
+    assert got.keys() == set(range(60)) and got[50][1] == 7 and got[51][1] == 7 and got[7][1] is None
+    for i in range(60):
+        score, other = max((round(sum(a * b for a, b in zip(e[i], e[j])), 12), -j) for j in range(60) if j != i)
+        assert abs(got[i][0] - max(score, 0)) < 1e-4 and got[i][1] == (-other if score >= 0.3 and -other < i else None)
