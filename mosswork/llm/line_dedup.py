@@ -2,17 +2,17 @@
 
 A repeated run is `min_run` or more consecutive lines that also occur earlier: in a document of
 smaller id, or in the same document further up. Lines compare trimmed, by 64-bit hashes;
-`min_run` of them together decide. Every line covered by a repeated run goes; the first occurrence stays.
+`min_run` of them together decide. With `min_words`, fewer lines are a run too if they hold more words
+than that together, down to one long line. Every line covered by a repeated run goes; the first occurrence stays.
 
 Winnowing: of every `min_run` consecutive line hashes the least (the last of equals) is a
 fingerprint, so two equal runs always share one at the same place. Fingerprints that occur once
-can't begin a match and end there. The others are joined to their positions and extended both ways
-over the windows that chose them; each extension is compared by all its line hashes against the
-earliest place of the same lines. That is one minimum per content, combined map-side: copies
+can't begin a match and end there: they are a filter. The windows of the others are compared by all their line
+hashes against the earliest place of the same lines; positions are not extended. That is one minimum per content, combined map-side: copies
 are never paired with each other, and a line that a third of all rows hold is one group with one minimum.
 
 Defined cases: a null text is empty, an empty text is one empty line; documents of fewer than
-`min_run` lines keep all; order between rows of one id is by text hash, and rows with the same id and text
+`min_run` lines keep all without `min_words`; order between rows of one id is by text hash, and rows with the same id and text
 are one document given twice (each gets the same result); an empty table gives an empty result; further columns are dropped.
 """
 
@@ -24,35 +24,50 @@ from pyspark.sql import functions as F
 from .common import durable, only, text_or_empty
 
 
-def fingerprints(docs: DataFrame, min_run: int) -> DataFrame:
+def _words(lines):
+    return F.transform(lines, lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != "")))
+
+
+def _windows(n: int):
+    return F.transform(F.sequence(F.lit(0), F.size("h") - n), lambda i: F.struct(i.alias("at"), F.slice("h", i + 1, F.lit(n)).alias("lines")))
+
+
+def fingerprints(docs: DataFrame, min_run: int, min_words: int | None = None) -> DataFrame:
     """A row per fingerprint of each document (doc_id, text_hash, text): print, and the windows
     (first line, line hashes) that chose it."""
-    lines = docs.select("doc_id", "text_hash", F.transform(F.split("text", "\n"), lambda x: F.xxhash64(F.trim(x))).alias("h")).filter(F.size("h") >= min_run)
-    windows = F.transform(F.sequence(F.lit(0), F.size("h") - min_run), lambda i: F.struct(i.alias("at"), F.slice("h", i + 1, F.lit(min_run)).alias("lines")))
+    own = F.split("text", "\n")
+    lines = docs.select("doc_id", "text_hash", F.transform(own, lambda x: F.xxhash64(F.trim(x))).alias("h"), *([] if min_words is None else [_words(own).alias("words")]))
+    windows = _windows(min_run)
+    if min_words is None:
+        lines = lines.filter(F.size("h") >= min_run)
+    else:  # shorter windows count where they are long in words
+        long = lambda n: F.filter(_windows(n), lambda w: F.aggregate(F.slice("words", w.at + 1, F.lit(n)), F.lit(0), lambda s, x: s + x) > min_words)
+        enough = lambda n, w: F.when(F.size("h") >= n, w).otherwise(F.array().cast("array<struct<at:int,lines:array<bigint>>>"))
+        windows = F.concat(*(enough(n, long(n)) for n in range(1, min_run)), enough(min_run, windows))
     least = F.transform(windows, lambda w: F.struct(F.array_min(w.lines).alias("print"), w.alias("w")))
     each = lines.select("doc_id", "text_hash", F.explode(least).alias("x")).select("doc_id", "text_hash", "x.print", "x.w.at", "x.w.lines")
-    place = F.col("at") + min_run - F.array_position(F.reverse("lines"), F.col("print"))
+    place = F.col("at") + F.size("lines") - F.array_position(F.reverse("lines"), F.col("print"))
     return each.withColumn("place", place.cast("int"))
 
 
-def repeated_windows(docs: DataFrame, min_run: int) -> DataFrame:
-    """doc_id, text_hash, at: windows of which the same lines also begin earlier."""
-    each = durable(fingerprints(docs, min_run), "line-fingerprints")
+def repeated_windows(docs: DataFrame, min_run: int, min_words: int | None = None) -> DataFrame:
+    """doc_id, text_hash, at, n: windows of n lines of which the same lines also begin earlier."""
+    each = durable(fingerprints(docs, min_run, min_words), "line-fingerprints")
     chosen = each.select("print", "doc_id", "text_hash", "place").distinct()
     shared = chosen.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print")
     candidates = each.join(shared, "print", "left_semi")
     here = F.struct(F.col("doc_id"), F.col("text_hash"), F.col("at"))
     first = candidates.groupBy("lines").agg(F.min(here).alias("first"))
-    return candidates.join(first, "lines").filter(~here.eqNullSafe(F.col("first"))).select("doc_id", "text_hash", "at")
+    return candidates.join(first, "lines").filter(~here.eqNullSafe(F.col("first"))).select("doc_id", "text_hash", "at", F.size("lines").alias("n"))
 
 
-def dedup(documents: DataFrame, doc_id="doc_id", text="text", min_run: int = 3) -> DataFrame:
+def dedup(documents: DataFrame, doc_id="doc_id", text="text", min_run: int = 3, min_words: int | None = None) -> DataFrame:
     """One row per row of documents: doc_id, n_lines, removed (array of line numbers, from 0), kept_text."""
     docs = only(documents, doc_id=doc_id, text=text).withColumn("text", text_or_empty()).withColumn("text_hash", F.xxhash64("text"))
     gone = (
-        repeated_windows(docs, min_run)
+        repeated_windows(docs, min_run, min_words)
         .groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("th"))
-        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + (min_run - 1)))))).alias("removed"))
+        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1))))).alias("removed"))
     )
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("th")), "left")
     lines = F.split("text", "\n")

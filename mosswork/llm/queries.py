@@ -46,7 +46,15 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.dedup(_table(spark, sf_dir, "documents"))
+    return _line_dedup(line_dedup.dedup(_table(spark, sf_dir, "documents")))
+
+
+def op4_line_dedup_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op4, with passages of one or two lines and over 50 words, which op4's SQL does not have."""
+    return _line_dedup(line_dedup.dedup(_table(spark, sf_dir, "documents"), min_words=50))
+
+
+def _line_dedup(done: DataFrame) -> DataFrame:
     return done.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
@@ -87,7 +95,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_secret_scan, op3_exact_dedup, op4_line_dedup, op5_suffix_dedup, op6_ngram_join, op7_best_fit_packing, op8_bpe, op9_ann, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_secret_scan, op3_exact_dedup, op4_line_dedup, op4_line_dedup_passages, op5_suffix_dedup, op6_ngram_join, op7_best_fit_packing, op8_bpe, op9_ann, op10_chat_format)}
 
 ORACLE = {
     "op3_exact_dedup": r"""

@@ -142,6 +142,24 @@ def test_line_dedup(docs, rows):
     assert multiset(line_dedup.dedup(docs).collect(), "doc_id", "n_lines", "kept_text") == want
 
 
+def test_line_dedup_by_words(spark):
+    r = random.Random(5)
+    line = lambda n: " ".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(n))
+    pool = [line(n) for n in (60, 51, 50, 30, 26, 25, 5, 3, 1)] + [""]
+    texts = ["\n".join(r.choice(pool) if r.random() < 0.6 else line(8) for _ in range(r.randint(1, 6))) for _ in range(60)] + [pool[0], pool[2]]
+    first, gone = {}, {i: set() for i in range(len(texts))}
+    for i, t in enumerate(texts):  # every run of any length, by brute force
+        ls = t.split("\n")
+        for a in range(len(ls)):
+            for b in range(a + 1, len(ls) + 1):
+                if b - a >= 3 or sum(len(x.split()) for x in ls[a:b]) > 50:
+                    if first.setdefault(tuple(ls[a:b]), (i, a)) != (i, a):
+                        gone[i] |= set(range(a, b))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.doc_id: set(x.removed) for x in line_dedup.dedup(table, min_words=50).collect()} == gone
+    assert gone[60] == {0} and not gone[61]
+
+
 def test_suffix_dedup(docs, rows):
     table = sorted({(rank(i), i, t or "") for i, t, *_ in rows})
     ids = collections.Counter(i for _, i, _ in table)
