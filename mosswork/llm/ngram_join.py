@@ -1,13 +1,13 @@
-"""N-gram Jaccard join with a MinHash LSH forest.
+"""N-gram Jaccard join with MinHash banding, in place of an LSH forest.
 
-Documents with equal shingle sets become one class. Each class has a place in `TREES` prefix tries of
-its signature; the matched prefix starts at full depth and is shortened until two documents at the
-threshold meet in some trie with the target recall. Classes under one prefix are joined to the least of them, never to each other; the
+Documents with equal shingle sets become one class. Each class has one key in each of `TREES` bands of
+its signature; the rows of a band are computed beforehand, the most with which two documents at the
+threshold meet in some band with the target recall. Classes under one key are joined to the least of them, never to each other; the
 connected families are then verified exactly: members of a family are dealt into blocks, each pair of blocks is
 one task that counts common shingles of all pairs by matrix products, and what leaves the task is a row per member (number of links, least
 linked member), not a row per pair. A family of any size so becomes many equal tasks; no links are lost to caps.
 
-A true pair that no trie brings together directly is still found if its family is connected otherwise, so recall is at least
+A true pair that no band brings together directly is still found if its family is connected otherwise, so recall is at least
 the target. Links of a document count all other documents with Jaccard similarity at or above the threshold, copies included.
 
 Defined cases: null texts and texts without words have no shingles, so no links, and each is its own class; a text of
