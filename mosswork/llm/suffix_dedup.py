@@ -3,7 +3,9 @@
 Suffixes are sorted in shards. Which shard a string belongs to is settled by content: of the hashes of its `GRAM`-byte
 pieces the least is its anchor, so equal strings have equal anchors wherever they stand. Strings with one anchor
 that follow each other make a segment. Equal segments are equal strings throughout; only their first is of interest, and all
-others go. Different segments under one anchor are what needs sorting: their bytes are laid one after another in the order of the
+others go. Different segments under one anchor are what may need sorting. Each of their strings holds the `SIDE` bytes before the anchor
+or the `SIDE` bytes behind it, so a segment has two halves, known by the anchor and those bytes; halves that no
+other segment shares hold no repeat. The bytes of the other halves are laid one after another in the order of the
 documents, their suffixes are sorted by induction (see suffix_sort), common prefixes are computed in text order, and neighbours that share
 `LENGTH` bytes are one string, of which all but the first occurrence go.
 
@@ -17,33 +19,56 @@ table gives an empty result; further columns are dropped.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, batches, durable, only, text_or_empty
-from .suffix_sort import _hashes, prefixes, suffix_array
+from .suffix_sort import FACTOR, _hashes, _powers, prefixes, suffix_array
 
 LENGTH, GRAM = 100, 24
+#: Each string reaches so far beyond its anchor on one side at least.
+SIDE = (LENGTH - GRAM) // 2
 #: Bytes of a document that are anchored at once: a place takes 20 bits beside the hash.
 STRETCH = 1 << 20
 #: Segments compared within a task before rows are sent; bytes of a shard.
 HELD, SHARD = 2_000_000, 1_500_000
 NO_ID = 2**63 - 1
-_SEGMENTS = pa.schema([(n, pa.int64()) for n in ("id", "th", "anchor", "segment", "start", "n")])
-SEGMENTS = "id long, th long, anchor long, segment long, start long, n long"
+#: place: start, number of strings and the anchor's distance from the start, packed; sides: 32-bit hashes of both halves, 0 for none.
+_SEGMENTS = pa.schema([(n, pa.int64()) for n in ("id", "th", "anchor", "segment", "place", "sides")])
+SEGMENTS = "id long, th long, anchor long, segment long, place long, sides long"
 _RANGES = pa.schema([(n, pa.int64()) for n in ("id", "th", "start", "n")])
 RANGES = "id long, th long, start long, n long"
 M = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _place(start, n, anchor):
+    return start << 16 | n << 8 | anchor
+
+
+def _start(place):
+    return place >> 16
+
+
+def _n(place):
+    return place >> 8 & 255
+
+
 def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """anchor, hash, start and number of strings of each segment of a text."""
+    """anchor, hash, place and sides of each segment of a text."""
     found = [_stretch(np.frombuffer(data, np.uint8, min(STRETCH + LENGTH - 1, len(data) - at), at), at) for at in range(0, max(0, len(data) - LENGTH + 1), STRETCH)]
     return tuple(np.concatenate(x) if found else np.zeros(0, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
 
 
+@cache
+def _back() -> np.ndarray:
+    """Powers of the inverse of the hash's factor, which shift the hash of a stretch to the place 0."""
+    return _powers(STRETCH + LENGTH, pow(FACTOR, -1, 2**64))
+
+
 def _stretch(b: np.ndarray, at: int):
     h, grams = b.astype(np.uint64) + np.uint64(1), {}
     for k in range(5):  # hashes of 1, 2, 4, 8 and 16 bytes
@@ -66,11 +91,16 @@ def _stretch(b: np.ndarray, at: int):
     anchor = (least & np.uint64(STRETCH * 2 - 1)).astype(np.int64)
     start = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
     n = np.diff(np.append(start, len(anchor)))
-    sums, power = _hashes(b)
-    end = start + n + LENGTH - 1
-    whole = (sums[end] - sums[start]) * power[len(b) - start]
-    whole = (whole ^ n.astype(np.uint64) * M ^ (anchor[start] - start).astype(np.uint64)) * np.uint64(0x94D049BB133111EB)
-    return h[anchor[start]].view(np.int64), (whole ^ (whole >> np.uint64(32))).view(np.int64), start + at, n
+    sums, _ = _hashes(b)
+    end, anchor = start + n + LENGTH - 1, anchor[start]
+    away = anchor - start
+    back = _back()  # the same bytes have one hash in every text
+    whole = (sums[end] - sums[start]) * back[start]
+    whole = (whole ^ n.astype(np.uint64) * M ^ away.astype(np.uint64)) * np.uint64(0x94D049BB133111EB)
+    before, behind = np.maximum(anchor - SIDE, 0), np.minimum(anchor + GRAM + SIDE, len(b))
+    sides = [((sums[y] - sums[x]) * back[x] * M) >> np.uint64(32) | np.uint64(1) for x, y in ((before, anchor), (anchor, behind))]
+    left, right = np.where(away > SIDE, sides[0], np.uint64(0)), np.where(away - n < SIDE, sides[1], np.uint64(0))
+    return h[anchor].view(np.int64), (whole ^ (whole >> np.uint64(32))).view(np.int64), _place(start + at, n, away), (left << np.uint64(32) | right).view(np.int64)
 
 
 def _rows(it):
@@ -78,9 +108,9 @@ def _rows(it):
     parts, held = [], 0
     for b in batches(it):
         for i, th, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            a, s, start, n = segments(t.encode())
+            a, *rest = segments(t.encode())
             if len(a):
-                parts.append((np.full(len(a), i), np.full(len(a), th), a, s, start, n))
+                parts.append((np.full(len(a), i), np.full(len(a), th), a, *rest))
                 held += len(a)
         if held >= HELD:
             yield [np.concatenate(x) for x in zip(*parts, strict=True)]
@@ -99,10 +129,11 @@ def _firsts(rows) -> tuple[np.ndarray, np.ndarray]:
 
 def _later(rows, order, first) -> list[np.ndarray]:
     """Ranges of starts of rows that are not the first of their segment, joined where they touch."""
-    x = [rows[c][order] for c in (0, 1, 4, 5)]
+    x = [rows[c][order] for c in (0, 1, 4)]
     lead = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-    gone = ~first & ~np.logical_and.reduce([c == c[lead] for c in x[:3]])
-    return _joined([c[gone] for c in x])
+    gone = ~first & ~np.logical_and.reduce([c == c[lead] for c in x])
+    i, th, place = (c[gone] for c in x)
+    return _joined([i, th, _start(place), _n(place)])
 
 
 def _joined(x: list[np.ndarray]) -> list[np.ndarray]:
@@ -146,29 +177,52 @@ def _sorted_groups(it):
 _FOUND = pa.schema([*_SEGMENTS, ("sort", pa.bool_())])
 
 
+def _shared(keys: list[np.ndarray], some: np.ndarray) -> np.ndarray:
+    """Of the marked rows, those whose keys another marked row has too."""
+    at = np.flatnonzero(some)
+    keys = [k[at] for k in keys]
+    order = np.lexsort(keys)
+    same = np.logical_and.reduce([k[order][1:] == k[order][:-1] for k in keys])
+    out = np.zeros(len(some), bool)
+    out[at[order]] = np.append(False, same) | np.append(same, False) if len(at) else False
+    return out
+
+
 def compared(it):
-    """Later copies of segments (sort false), and the first of each of several segments of an anchor (sort true)."""
+    """Later copies of segments (sort false), and the first of each segment of which another one shares a half (sort true; sides
+    that no other shares are 0)."""
     for rows in _sorted_groups(it):
         order, first = _firsts(rows)
         rows = [c[order] for c in rows]
-        start = np.flatnonzero(np.append(True, rows[2][1:] != rows[2][:-1]))
-        kinds = np.repeat(np.add.reduceat(first.astype(np.int64), start), np.diff(np.append(start, len(first))))
         lead = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
         gone = ~first & ~np.logical_and.reduce([rows[c] == rows[c][lead] for c in (0, 1, 4)])
-        pick = gone | (first & (kinds > 1))
+        left, right = rows[5].view(np.uint64) >> np.uint64(32), rows[5].view(np.uint64) & np.uint64(2**32 - 1)
+        left, right = (np.where(_shared([side, rows[2]], first & (side != 0)), side, np.uint64(0)) for side in (left, right))
+        rows[5] = (left << np.uint64(32) | right).view(np.int64)
+        pick = gone | (first & (rows[5] != 0))
         yield batch(_FOUND, *(c[pick] for c in rows), first[pick])
 
 
+_HALVES = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("half", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())])
+HALVES = "id long, th long, half long, start long, n long, bytes binary"
+
+
 def _cut(it):
-    """Rows (id, th, text, wanted: anchor, start, n) to rows with the segments' bytes."""
-    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("anchor", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())])
+    """Rows (id, th, text, wanted: anchor, place, sides) to rows with the bytes of the halves."""
     for b in batches(it, rows=256):
         out = []
         for i, th, t, wanted in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
             data = t.encode()
-            out += [(i, th, w["anchor"], w["start"], w["n"], data[w["start"] : w["start"] + w["n"] + LENGTH - 1]) for w in wanted]
+            for w in wanted:
+                start, n, away = _start(w["place"]), _n(w["place"]), w["place"] & 255
+                split = min(max(away - SIDE, 0), n)  # strings before it hold what is before the anchor
+                sides = w["sides"] & 2**64 - 1
+                for side, s, m in ((sides >> 32, start, split), (sides & 2**32 - 1 and sides | 1 << 63, start + split, n - split)):
+                    if side and m:
+                        half = (w["anchor"] ^ (side & 2**32 - 1) * 0x9E3779B97F4A7C15 ^ side >> 63) & 2**64 - 1
+                        out.append((i, th, half - (half >> 63 << 64), s, m, data[s : s + m + LENGTH - 1]))
         if out:
-            yield batch(schema, *map(list, zip(*out, strict=True)))
+            yield batch(_HALVES, *map(list, zip(*out, strict=True)))
 
 
 def sorted_shard(t: pa.Table) -> pa.Table:
@@ -183,7 +237,7 @@ def sorted_shard(t: pa.Table) -> pa.Table:
     base = np.cumsum(lengths) - lengths
     text[base + lengths - 1] = 1
     sa = suffix_array(text)
-    shared = prefixes(text, sa, LENGTH)
+    shared = prefixes(text, sa)
     valid = np.zeros(len(text) + 1, np.int64)
     np.add.at(valid, base, 1)
     np.add.at(valid, base + ns, -1)
@@ -206,16 +260,17 @@ def repeats(docs: DataFrame) -> DataFrame:
     """id, th, start, n: starts, n in a row, of strings that also start earlier. docs: id, th, text."""
     within = docs.mapInArrow(repeats_within, RANGES)
     firsts = docs.mapInArrow(first_segments, SEGMENTS)
-    dealt = firsts.repartition("anchor").sortWithinPartitions("anchor", "segment", "id", "th", "start")
+    dealt = firsts.repartition("anchor").sortWithinPartitions("anchor", "segment", "id", "th", "place")
     found = durable(dealt.mapInArrow(compared, SEGMENTS + ", sort boolean"), "segments")
-    between = found.filter(~F.col("sort")).select("id", "th", "start", "n")
+    n = F.shiftright("place", 8).bitwiseAND(F.lit(255))
+    between = found.filter(~F.col("sort")).select("id", "th", F.shiftright("place", 16).alias("start"), n.alias("n"))
     some = found.filter("sort")
-    size = some.agg(F.sum(F.col("n") + LENGTH)).first()[0] or 0
+    size = some.agg(F.sum(n + LENGTH)).first()[0] or 0
     shards = max(1, -(-size // SHARD))
-    wanted = some.groupBy(F.col("id").alias("i"), F.col("th").alias("h")).agg(F.collect_set(F.struct("anchor", "start", "n")).alias("wanted"))
+    wanted = some.groupBy(F.col("id").alias("i"), F.col("th").alias("h")).agg(F.collect_set(F.struct("anchor", "place", "sides")).alias("wanted"))
     bytes_ = docs.join(wanted.hint("merge"), (F.col("id") == F.col("i")) & (F.col("th") == F.col("h"))).select("id", "th", "text", "wanted")
-    bytes_ = bytes_.mapInArrow(_cut, "id long, th long, anchor long, start long, n long, bytes binary")
-    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
+    bytes_ = bytes_.mapInArrow(_cut, HALVES)
+    shard = F.pmod(F.xxhash64("half"), F.lit(shards)).alias("shard")
     sorted_ = bytes_.groupBy(shard).applyInArrow(sorted_shard, RANGES)
     return within.unionByName(between).unionByName(sorted_)
 

@@ -15,7 +15,7 @@ def _types(t: np.ndarray) -> np.ndarray:
 
 def _dealt(sa: np.ndarray, at: np.ndarray, chars: np.ndarray, ends: np.ndarray, sign: int) -> None:
     """Append positions, in order, to their buckets, which grow from `ends` in direction `sign`."""
-    order = np.argsort(chars, kind="stable")
+    order = np.argsort(chars.astype(np.uint16), kind="stable")  # a radix sort, linear
     chars, at = chars[order], at[order]
     new = np.flatnonzero(np.append(True, chars[1:] != chars[:-1]))
     sizes = np.diff(np.append(new, len(chars)))
@@ -102,8 +102,11 @@ def _suffixes_of_names(names: np.ndarray, k: int) -> np.ndarray:
     return np.array(induced(_sorted_lms(names, lms, np.array(induced(lms.tolist()), np.int64)).tolist()), np.int64)
 
 
-def _powers(n: int) -> np.ndarray:
-    return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, np.uint64(0x9E3779B97F4A7C15))]))
+FACTOR = 0x9E3779B97F4A7C15
+
+
+def _powers(n: int, factor: int = FACTOR) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, np.uint64(factor))]))
 
 
 def _hashes(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,24 +144,32 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     return _induced(t, small, _sorted_lms(t, lms, _induced(t, small, lms, k)), k)
 
 
-def prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """For each position of the text, how many symbols its suffix shares with the one before it in order, up to `most`."""
+def prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """For each position of the text, how many symbols its suffix shares with the one before it in order, before either
+    meets a separator (symbols 0 and 1). These are permuted common prefixes: where the suffixes one place to the left
+    agree in their first symbol, the value is one less than theirs; only the others are compared, symbol by symbol."""
     n = len(text)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
-    here = np.flatnonzero(before >= 0)
-    there = before[here]
-    sums, power = _hashes(text)
-    shared = np.zeros(len(here), np.int64)
-    step = 1 << most.bit_length()
-    while step:
-        longer = np.minimum(shared + step, most)
-        fits = np.maximum(here, there) + longer <= n
-        a, b, m = here[fits], there[fits], longer[fits]
-        same = (sums[a + m] - sums[a]) * power[n - a] == (sums[b + m] - sums[b]) * power[n - b]
-        at = np.flatnonzero(fits)[same]
-        shared[at] = longer[at]
-        step >>= 1
-    out = np.zeros(n, np.int64)
-    out[here] = shared
-    return out
+    left = np.append(0, text[:-1])
+    own = np.flatnonzero((before < 0) | (left <= 1) | (left != left[before]))  # all others follow from these
+    stops = np.append(np.flatnonzero(text <= 1), n)
+    here, there = own[before[own] >= 0], before[own[before[own] >= 0]]
+    room = np.minimum(stops[np.searchsorted(stops, here)] - here, stops[np.searchsorted(stops, there)] - there)
+    packed = np.append(text, np.zeros(4, text.dtype)).astype(np.uint64)
+    packed = packed[:n] | packed[1 : n + 1] << np.uint64(16) | packed[2 : n + 2] << np.uint64(32) | packed[3 : n + 3] << np.uint64(48)
+    shared, active = np.zeros(len(here), np.int64), np.arange(len(here))
+    for values, step in ((packed, 4), (text, 1)):
+        active = np.arange(len(here))
+        while len(active):
+            done = shared[active]
+            active = active[done + step <= room[active]]
+            done = shared[active]
+            active = active[values[here[active] + done] == values[there[active] + done]]
+            shared[active] += step
+    value = np.zeros(n, np.int64)
+    value[here] = shared
+    root = np.zeros(n, np.int64)
+    root[own] = own
+    root = np.maximum.accumulate(root)
+    return value[root] - (np.arange(n) - root)

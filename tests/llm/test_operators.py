@@ -184,9 +184,29 @@ def test_suffix_arrays():
         t = np.append(r.randint(1, r.choice([2, 3, 9]), r.randint(1, 60)), 0)
         s, sa = t.tolist(), suffix_array(t)
         assert sa.tolist() == sorted(range(len(s)), key=lambda i: s[i:])
-        p = prefixes(t, sa, 5)
+        p = prefixes(t, sa)
         for a, b in zip(sa[1:], sa):
-            assert p[a] == next((k for k in range(6) if k == 5 or max(a, b) + k >= len(s) or s[a + k] != s[b + k]), 5)
+            assert p[a] == next(k for k in range(len(s)) if s[a + k] != s[b + k] or s[a + k] <= 1)
+        assert p[sa[0]] == 0
+
+
+def test_suffix_halves(spark):
+    """Variants of one passage: only what two of them share goes, whichever side of the anchor it lies on."""
+    r = np.random.RandomState(4)
+    word = lambda n: bytes(r.randint(97, 123, n).tolist()).decode()
+    common = word(260)
+    texts = [word(50) + common[i % 60 : 160 + i % 97] + word(60) for i in range(120)] + [common[:99], common[161:], ""]
+    spark_rows = [(i, t) for i, t in enumerate(texts)]
+    seen, want = set(), []
+    for i, t in spark_rows:
+        gone = set()
+        for k in range(len(t) - 99):
+            if t[k : k + 100] in seen:
+                gone.update(range(k, k + 100))
+            seen.add(t[k : k + 100])
+        want.append((i, len(gone)))
+    got = suffix_dedup.dedup(spark.createDataFrame(spark_rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, sum(e.end - e.start for e in x.removed)) for x in got) == want and sum(n for _, n in want) > 1000
 
 
 def test_ngram_join(docs, rows):
