@@ -60,3 +60,29 @@ def batches(it, rows: int = 2048, mb: int = 16):
 
 def batch(schema: pa.Schema, *arrays) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(arrays, schema.types, strict=True)], schema=schema)
+
+
+#: A key is hot if it holds more than one in so many of the rows; so there are at most as many hot keys.
+HOT = 1000
+
+
+def joined(rows: DataFrame, told: DataFrame, *key: str) -> DataFrame:
+    """rows joined with told (unique by key; its column `n` says how many of the rows have that key). Rows of hot keys
+    stay where they are and meet at most HOT broadcast rows, so that no task gets all rows of one key; the others are joined by
+    shuffle. `rows` and `told` are read more than once and should be durable."""
+    total = told.agg(F.sum("n")).first()[0] or 0
+    told, hot = told.filter(F.col("n") <= total // HOT), told.filter(F.col("n") > total // HOT)
+    near = rows.join(F.broadcast(hot), list(key))
+    far = rows.join(F.broadcast(hot.select(*key)), list(key), "left_anti")
+    return near.unionByName(far.join(told.hint("merge"), list(key)))
+
+
+def bound(value, f):
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def running(values, combine):
+    """Running totals of an array in as many rounds as its length has binary digits; no array is appended to."""
+    step = lambda acc, r: F.transform(acc, lambda x, i: F.coalesce(combine(x, F.get(acc, i - F.pow(F.lit(2), r).cast("int"))), x))
+    return bound(values, lambda v: F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(v), F.lit(1)))).cast("int")), v, step))

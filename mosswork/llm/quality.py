@@ -29,103 +29,18 @@ from pyspark.sql import functions as F
 
 from .common import batch, batches, durable, only, text_or_empty
 
-#: A small closed alphabet, on which `dense` shows that the formulas of `model` add up to one; scoring does not use it.
-SYMBOLS, ORDER = 64, 4
 LOWEST, HIGHEST = 0.001, 0.995
 #: One in so many trusted documents sets thresholds instead of training.
 HELD_OUT = 3
 
 
-def _class(c: str) -> int:
-    if "a" <= c <= "z":
-        return 1 + ord(c) - ord("a")
-    if c in "\n\r":
-        return 27
-    if c.isspace():
-        return 28
-    if c.isdigit():
-        return 29
-    if c in ".,":
-        return 30 + (c == ",")
-    if c.isupper():
-        return 32
-    return 33 + ord(c) % 20 if c.isalpha() else 53 + ord(c) % 10
-
-
-_table: list[np.ndarray] = []
-
-
-def symbols(text: str) -> np.ndarray:
-    """The classes of a text's characters, from 1; 0 is what stands before a text."""
-    if not _table:
-        table = np.full(0x110000, 33, np.int64)
-        table[:0x3000] = [_class(chr(i)) for i in range(0x3000)]
-        table[0x3000:] += np.arange(0x3000, 0x110000) % 20
-        _table.append(table)
-    return _table[0][np.frombuffer(text.encode("utf-32-le"), np.uint32)]
-
-
-def grams(text: str) -> np.ndarray:
-    """The n-gram that ends at each character, as a number with SYMBOLS digits."""
-    s = np.concatenate([np.zeros(ORDER - 1, np.int64), symbols(text)])
-    return reduce(lambda k, j: k * SYMBOLS + s[j : len(s) - ORDER + 1 + j], range(ORDER), np.zeros(len(s) - ORDER + 1, np.int64))
-
-
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """gram, n of a table (text), combined in each task before they are shuffled."""
-    schema = pa.schema([("gram", pa.int32()), ("n", pa.int64())])
-
-    def count(it):
-        seen = np.zeros(SYMBOLS**ORDER, np.int32)
-        for b in batches(it):
-            for t in b.column(0).to_pylist():
-                np.add.at(seen, grams(t), 1)
-        found = np.flatnonzero(seen)
-        yield batch(schema, found.astype(np.int32), seen[found].astype(np.int64))
-
-    return texts.mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def model(counts: DataFrame) -> list[DataFrame]:
-    """For each order from 1: (gram, p, rest): the discounted probability of seen n-grams, and (with p null) the weight that
-    a seen context leaves to the next lower order, in one table."""
-    tables, at = [], counts.select("gram", "n")
-    for order in range(ORDER, 0, -1):
-        at = durable(at, f"grams-{order}")
-        share = at.agg(*(F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)))
-        y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
-        off = [F.greatest(F.lit(0.05), F.coalesce(i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")), F.lit(0.5 * i))) for i in (1, 2, 3)]
-        share = share.select(*(d.alias(f"d{i + 1}") for i, d in enumerate(off)))
-        discounted = at.crossJoin(F.broadcast(share)).select(  # one row of discounts
-            "gram", (F.col("gram") / SYMBOLS).cast("int").alias("context"), "n", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")).alias("d")
-        )
-        totals = discounted.groupBy("context").agg(F.sum("n").alias("total"), F.sum("d").alias("left"))
-        p = discounted.join(totals, "context").select("gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("p"), F.lit(None).cast("double").alias("rest"))
-        tables.append(p.unionByName(totals.select(F.col("context").alias("gram"), F.lit(None).cast("double").alias("p"), (F.col("left") / F.col("total")).alias("rest"))))
-        at = at.groupBy((F.col("gram") % SYMBOLS ** (order - 1)).cast("int").alias("gram")).agg(F.count("*").alias("n"))
-    return tables[::-1]
-
-
-def dense(tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Bits that each n-gram costs. tables: gram, p, rest of each order from 1, as `model` has them."""
-    low = np.full((1, SYMBOLS), 1 / SYMBOLS, np.float32)
-    for order, (gram, p, rest) in enumerate(tables, 1):
-        weight = np.ones(SYMBOLS ** (order - 1), np.float32)
-        context = np.isnan(p)
-        weight[gram[context]] = rest[context]
-        low = low[np.arange(len(weight)) % len(low)]  # the one large copy; the rest is in place
-        low *= weight[:, None]
-        low.reshape(-1)[gram[~context]] += p[~context].astype(np.float32)
-    np.log2(low, out=low)
-    np.negative(low, out=low)
-    return low.reshape(-1)
-
-
-#: Scoring counts n-grams of so many real characters (code points, nothing folded).
-LENGTH = ORDER
+#: N-grams have so many real characters (code points, nothing folded).
+LENGTH = 4
 PAD = "\0" * (LENGTH - 1)
 #: Uniform probability below the shortest n-grams: one of all code points.
 LEAST = 1 / 0x110000
+#: Bytes of text in a block, if a task reads as much; entries of a task's pages of costs.
+BLOCK, PAGE = 48 << 20, 2_000_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -209,43 +124,83 @@ def scored(docs: DataFrame, trained: DataFrame, toxic: DataFrame) -> DataFrame:
     text = docs.columns.index("text")
 
     def blocks(it):
-        where = TaskContext.get().partitionId() << 32
-        for i, b in enumerate(batches(it, 8192)):
-            yield where + i, b
+        where, n, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
+        for b in batches(it, 8192):
+            if held and size + b.nbytes > BLOCK:
+                yield where + n, held
+                n, held, size = n + 1, [], 0
+            held.append(b)
+            size += b.nbytes
+        if held:
+            yield where + n, held
+
+    buckets = max(64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def grams_of(it):
-        schema = pa.schema([("block", pa.int64()), ("gram", pa.string())])
-        for block, b in blocks(it):
-            known, found = np.empty(0, np.uint64), []
-            for _, joined, h, place in _parts(b.column(text).to_pylist()):
-                u, first = np.unique(h, return_index=True)
-                new = ~np.isin(u, known, assume_unique=True)
-                found += [joined[i : i + LENGTH] for i in place[first[new]].tolist()]
-                known = np.union1d(known, u)
-            yield batch(schema, np.full(len(found), block), found)
+        """A block's distinct n-grams, dealt into buckets by their hash: a row holds many of them."""
+        schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("grams", pa.list_(pa.string()))])
+        for block, held in blocks(it):
+            known, found = np.empty(0, np.uint64), [[] for _ in range(buckets)]
+            for b in held:
+                for _, joined, h, place in _parts(b.column(text).to_pylist()):
+                    u, first = np.unique(h, return_index=True)
+                    new = ~np.isin(u, known, assume_unique=True)
+                    for k, i in zip((u[new] >> np.uint64(33)).astype(np.int64) % buckets, place[first[new]].tolist(), strict=True):
+                        found[k].append(joined[i : i + LENGTH])
+                    known = np.union1d(known, u)
+            some = [k for k in range(buckets) if found[k]]
+            yield batch(schema, some, np.full(len(some), block), [found[k] for k in some])
 
     def packed(it):
         schema = pa.schema([("block", pa.int64()), ("rows", pa.binary())])
-        for block, b in blocks(it):
+        for block, held in blocks(it):
             out = pa.BufferOutputStream()
-            with pa.ipc.new_stream(out, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_batch(b)
+            with pa.ipc.new_stream(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                for b in held:
+                    w.write_batch(b)
             yield batch(schema, [block], [out.getvalue().to_pybytes()])
 
-    each = docs.mapInArrow(grams_of, "block long, gram string").groupBy("gram").agg(F.collect_list("block").alias("blocks"))
-    each = durable(each, "block-grams")
+    def paged(it):
+        """Rows (gram, cost, gain, blocks) to a row per block: its n-grams one after another, their costs and gains."""
+        schema = pa.schema([("block", pa.int64()), ("grams", pa.string()), ("cost", pa.binary()), ("gain", pa.binary())])
+
+        def page(rows):
+            grams = np.frombuffer("".join(g for r in rows for g in r.column(0).to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, LENGTH)
+            cost, gain = (np.concatenate([r.column(c).to_numpy() for r in rows]) for c in (1, 2))
+            of = np.repeat(np.arange(len(grams)), np.concatenate([r.column(3).value_lengths().to_numpy() for r in rows]))
+            block = np.concatenate([r.column(3).flatten().to_numpy() for r in rows])
+            order = np.argsort(block, kind="stable")
+            of, block = of[order], block[order]
+            ends = [*np.flatnonzero(block[1:] != block[:-1]) + 1, len(block)]
+            own = [of[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            return batch(schema, block[np.array(ends) - 1], [grams[x].tobytes().decode("utf-32-le") for x in own], [cost[x].tobytes() for x in own], [gain[x].tobytes() for x in own])
+
+        held, n = [], 0
+        for b in it:
+            if b.num_rows:
+                held.append(b)
+                n += len(b.column(3).flatten())
+            if n > PAGE:
+                yield page(held)
+                held, n = [], 0
+        if held:
+            yield page(held)
+
+    each = docs.mapInArrow(grams_of, "bucket int, block long, grams array<string>").repartition("bucket").select("bucket", "block", F.explode("grams").alias("gram"))
+    each = durable(each.groupBy("bucket", "gram").agg(F.collect_list("block").alias("blocks")), "block-grams")
     needed = each.select("gram")
     good = probabilities(needed, character_counts(trained), "good").withColumnRenamed("p", "good")
     bad = probabilities(needed, character_counts(toxic), "toxic").withColumnRenamed("p", "bad")
     costs = good.join(bad, "gram").select("gram", (-F.log2("good")).cast("float").alias("cost"), F.log2(F.col("bad") / F.col("good")).cast("float").alias("gain"))
-    told = each.join(costs, "gram").select(F.explode("blocks").alias("block"), "gram", "cost", "gain")
+    told = each.join(costs, "gram").select("gram", "cost", "gain", "blocks").mapInArrow(paged, "block long, grams string, cost binary, gain binary")
     schema = docs.select(*keep).schema.add("bits", "double").add("peak", "double")
 
     def score(own, told):
-        s = np.frombuffer("".join(told.column("gram").to_pylist()).encode("utf-32-le"), np.uint32)
+        s = np.frombuffer("".join(told.column("grams").to_pylist()).encode("utf-32-le"), np.uint32)
         keys = _hashes(s)[::LENGTH] if len(s) else np.empty(0, np.uint64)
         order = np.argsort(keys)
-        keys, cost, gain = keys[order], told.column("cost").to_numpy()[order], told.column("gain").to_numpy()[order]
+        cost, gain = (np.frombuffer(b"".join(told.column(c).to_pylist()), np.float32)[order] for c in ("cost", "gain"))
+        keys = keys[order]
         out = []
         for rows in own.column("rows"):
             for b in pa.ipc.open_stream(rows.as_py()):

@@ -354,11 +354,65 @@ def test_characters_are_not_folded(spark):
     assert abs(sum(p.values()) - 4 * p["Z"] + (0x110000 - len(ends) + 4) * p["Z"] - 1) < 1e-6  # with all unseen code points
 
 
-def test_model_probabilities_sum_to_one(spark):
-    texts = spark.createDataFrame([("the cat sat on the mat, the end",), ("A cat. 12!",)], "text string")
-    tables = [(t["gram"].to_numpy(np.int64), t["p"].to_numpy(float), t["rest"].to_numpy(float)) for t in (m.toPandas() for m in quality.model(quality.gram_counts(texts)))]
-    p = 2.0 ** -quality.dense(tables).astype(float)
-    assert np.allclose(p.reshape(-1, quality.SYMBOLS).sum(1), 1, atol=1e-4)
+def kneser_ney(texts, n):
+    """Interpolated modified Kneser-Ney in plain Python: a function of an n-gram."""
+    counts = {n: collections.Counter(("\0" * (n - 1) + t)[i : i + n] for t in texts for i in range(len(t)))}
+    for k in range(n - 1, 0, -1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+    off = {}
+    for k, c in counts.items():
+        of = collections.Counter(c.values())
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] else 0
+        off[k] = [max(0.05, i - (i + 1) * y * of[i + 1] / of[i]) if of[1] and of[i] else 0.5 * i for i in (1, 2, 3)]
+    followed = {k: collections.defaultdict(list) for k in counts}
+    for k, c in counts.items():
+        for g, m in c.items():
+            followed[k][g[:-1]].append(m)
+
+    def p(g):
+        if not g:
+            return 1 / 0x110000
+        k, low = len(g), p(g[1:])
+        own = followed[k].get(g[:-1])
+        if not own:
+            return low
+        d = lambda m: off[k][min(m, 3) - 1]
+        m = counts[k].get(g, 0)
+        return ((m - d(m) if m else 0) + sum(map(d, own)) * low) / sum(own)
+
+    return p
+
+
+def test_scores_against_plain_kneser_ney(spark, docs, rows):
+    n = quality.LENGTH
+    good, bad = [t or "" for _, t, *_ in rows[:30]], [t or "" for _, t, *_ in rows[30:45]]
+    table = lambda texts: spark.createDataFrame([(t,) for t in texts], "text string")
+    seen = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    got = collections.Counter((r.doc_id, r.lang, r.bits and round(r.bits, 3), r.peak and round(r.peak, 2)) for r in quality.scored(seen, table(good), table(bad)).collect())
+    p, q, want = kneser_ney(good, n), kneser_ney(bad, n), []
+    for i, t, lang, *_ in rows:
+        if not t:
+            want.append((i, lang, None, None))
+            continue
+        grams = [("\0" * (n - 1) + t)[k : k + n] for k in range(len(t))]
+        at = least = peak = 0.0
+        for g in grams:
+            at += np.log2(q(g) / p(g))
+            peak = max(peak, at - least)
+            least = min(least, at)
+        want.append((i, lang, sum(-np.log2(p(g)) for g in grams) / len(grams), peak))
+    assert len(want) == sum(got.values())
+    known = collections.defaultdict(list)
+    for i, lang, b, k in got:
+        known[i, lang].append((b, k))
+    for i, lang, b, k in want:
+        assert any((b is None and x is None) or (b is not None and x is not None and abs(x - b) < 2e-3 and abs(y - k) < 0.02 + 1e-5 * k) for x, y in known[i, lang])
+
+
+def test_probabilities_sum_to_one():
+    p = kneser_ney(["abcab cabba", "bb ac cab"], 3)
+    seen = "abc "
+    assert abs(sum(p("ab" + c) for c in seen) + (0x110000 - len(seen)) * p("ab\u1234") - 1) < 1e-9
 
 
 def test_chat_format(spark):
