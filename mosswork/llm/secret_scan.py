@@ -6,13 +6,13 @@ a widely copied example; one that stays with few of both looks live. Base kinds
 that verdict beside them; the further kind `opaque` (long mixed strings, which alone would catch
 too much) is reported only where its value looks live and it overlaps no base span.
 
-The counts come from two partial aggregations, (hash, owner, repository) and then hash, so a value
-that a third of all rows hold shrinks within each task before it is shuffled. Texts are never shuffled:
-candidates go through one small table.
+The counts come from partial aggregations, (hash, owner, repository), (hash, owner), then hash, so a value
+that a third of all rows hold shrinks within each task before it is shuffled; its candidates meet the counts by
+broadcast (see common.joined). Texts are never shuffled: candidates go through one small table.
 
 Positions: Spark gives matched strings, not places, so a place is the summed length of the pieces
 between matches (`split`) and the matches before it; both come from the same leftmost
-non-overlapping scan. Code points throughout.
+non-overlapping scan. Sums are running totals, so many spans of one very long text cost little more than in proportion. Code points throughout.
 
 Defined cases: a null text is empty; a null owner or repository counts as one value of its own;
 rows with the same id and text are one document given twice, each gets the same result; rows with the
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, only, text_or_empty
+from .common import bound, durable, joined, only, running, text_or_empty
 
 #: Fixed by the contract: kind, pattern, group that holds the secret value, least length of that group.
 BASE_KINDS = (
@@ -47,46 +47,50 @@ def spans_of(text: Column, rank: int) -> Column:
     secret = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     pieces = F.transform(F.split(text, pattern, -1), F.length)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc.at + x.gap
-        span = F.struct(
-            start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(x.whole)).alias("end"), F.lit(kind).alias("kind"), F.xxhash64(x.secret).alias("hash"), F.hash(x.secret).alias("hash2")
-        )
-        return F.struct((start + F.length(x.whole)).alias("at"), F.when(F.length(x.secret) >= least, F.concat(acc.spans, F.array(span))).otherwise(acc.spans).alias("spans"))
-
-    none = F.array().cast(SPAN)
     zipped = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), secret.alias("secret"))
-    found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc.spans)
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    span = lambda x, end: F.struct(
+        (end - F.length(x.whole)).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), F.xxhash64(x.secret).alias("hash"), F.hash(x.secret).alias("hash2")
+    )
+    ends = lambda z: running(F.transform(z, lambda x: x.gap + F.length(x.whole)), lambda x, y: x + y)
+    placed = bound(zipped, lambda z: F.zip_with(z, ends(z), lambda x, e: F.struct(x.alias("x"), e.alias("e"))))
+    spans = F.transform(F.filter(placed, lambda y: F.length(y.x.secret) >= least), lambda y: span(y.x, y.e))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPAN))
 
 
 def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(spans_of(text, r) for r in range(len(BASE_KINDS)))))
 
 
-def opaque_spans(text: Column, base: Column) -> Column:
-    return F.filter(spans_of(text, len(BASE_KINDS)), lambda o: ~F.exists(base, lambda b: (b.start < o.end) & (o.start < b.end)))
+def _apart(every: Column) -> Column:
+    """Of all spans of a text, sorted, the opaque ones that overlap no base span: the furthest end of base spans up to them and the
+    next start of one behind them say so."""
+    base = lambda s: s.rank < len(BASE_KINDS)
+    reach = running(F.transform(every, lambda s: F.when(base(s), s.end).otherwise(0)), lambda x, y: F.greatest(x, y))
+    ahead = F.reverse(running(F.transform(F.reverse(every), lambda s: F.when(base(s), s.start).otherwise(2**31 - 1)), lambda x, y: F.least(x, y)))
+    kept = F.filter(F.arrays_zip(every.alias("s"), reach.alias("reach"), ahead.alias("ahead")), lambda z: ~base(z.s) & (z.reach <= z.s.start) & (z.ahead >= z.s.end))
+    return F.transform(kept, lambda z: z.s)
 
 
 def with_candidates(docs: DataFrame) -> DataFrame:
     """Adds `base` and `opaque`, the sorted spans of `text`."""
-    docs = docs.withColumn("base", base_spans(F.col("text")))
-    return docs.withColumn("opaque", opaque_spans(F.col("text"), F.col("base")))
+    docs = docs.withColumn("base", base_spans(F.col("text"))).withColumn("opaque", spans_of(F.col("text"), len(BASE_KINDS)))
+    docs = docs.withColumn("every", F.when((F.size("base") > 0) & (F.size("opaque") > 0), F.array_sort(F.concat("base", "opaque"))))
+    return docs.withColumn("opaque", F.when(F.col("every").isNull(), F.col("opaque")).otherwise(_apart(F.col("every")))).drop("every")
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """hash, hash2, n_owners, n_repos of candidates (hash, hash2, owner, repo)."""
-    seen = candidates.groupBy("hash", "hash2", "owner", "repo").agg(F.lit(1).alias("one"))
-    by_owner = seen.groupBy("hash", "hash2", "owner").agg(F.count("*").alias("repos"))
-    return by_owner.groupBy("hash", "hash2").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"))
+    """hash, hash2, n_owners, n_repos, n (rows) of candidates (hash, hash2, owner, repo)."""
+    seen = candidates.groupBy("hash", "hash2", "owner", "repo").agg(F.count("*").alias("n"))
+    by_owner = seen.groupBy("hash", "hash2", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
+    return by_owner.groupBy("hash", "hash2").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n"))
 
 
 def judged(scanned: DataFrame, max_owners: int, max_repos: int) -> DataFrame:
     """doc_id, text_hash, spans: every candidate of each document with `live`, sorted by start and kind."""
     each = scanned.select("doc_id", "text_hash", "owner", "repo", F.explode(F.concat("base", "opaque")).alias("s")).select("*", "s.hash", "s.hash2")
-    frequency = ownership(each.select("hash", "hash2", "owner", "repo"))
+    frequency = durable(ownership(each.select("hash", "hash2", "owner", "repo")), "secret-ownership")
     return (
-        each.join(frequency, ["hash", "hash2"])
+        joined(each, frequency, "hash", "hash2")
         .groupBy("doc_id", "text_hash")
         .agg(F.array_sort(F.collect_set(F.struct("s.start", "s.rank", "s.end", "s.kind", ((F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)).alias("live")))).alias("spans"))
     )
@@ -104,12 +108,18 @@ def find(documents: DataFrame, doc_id="doc_id", text="text", owner="source", rep
 
 
 def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
-    """The text with each maximal run of spans, sorted by start, replaced by `mask`."""
-    step = lambda acc, s: F.when(
-        s.end <= acc.at, acc
-    ).otherwise(F.struct(s.end.alias("at"), F.when(s.start < acc.at, acc.out).otherwise(F.concat(acc.out, F.substring(text, acc.at + 1, s.start - acc.at), F.lit(mask))).alias("out")))
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc.out, F.substring(text, acc.at + 1, F.length(text))))
-    return F.when(F.size(spans) == 0, text).otherwise(done)
+    """The text with each maximal run of spans, sorted by start, replaced by `mask`. The text is cut once, at all edges of runs."""
+    cut = lambda y, a, n: F.array_join(F.slice(y.chars, a + 1, n), "")
+
+    def written(y: Column) -> Column:
+        heads = F.transform(y.spans, lambda s, i: F.struct(s.start.alias("start"), F.coalesce(F.get(y.reach, i - 1), F.lit(0)).alias("before")))
+        heads = F.filter(heads, lambda h: h.start >= h.before)
+        pieces = F.transform(heads, lambda h: F.concat(cut(y, h.before, h.start - h.before), F.lit(mask)))
+        return F.concat(F.array_join(pieces, ""), cut(y, F.element_at(y.reach, -1), F.size(y.chars)))
+
+    reach = running(F.transform(spans, lambda s: s.end), lambda x, y: F.greatest(x, y))
+    whole = F.struct(spans.alias("spans"), reach.alias("reach"), F.split(text, "").alias("chars"))
+    return F.when(F.size(spans) == 0, text).otherwise(bound(whole, written))
 
 
 def redacted(documents: DataFrame, doc_id="doc_id", text="text", owner="source", repo="doc_id", max_owners: int = 2, max_repos: int = MAX_REPOS) -> DataFrame:
