@@ -1,8 +1,9 @@
 """Chat formatting by event-sourced reconstruction (native).
 
 A log holds events of conversations: `message` starts a message, `delta` appends to it, `edit`
-replaces its text, `regenerate` discards what it held and everything later, starting anew. Events
-are partitioned by conversation, sorted by sequence, folded into final messages and rendered.
+replaces its text, `regenerate` discards what it held and everything later, starting anew; of several
+messages of one name they are about the last, and without one they start it. Events
+are partitioned by conversation, sorted by sequence, folded into final messages and rendered. Every conversation is folded, plain ones too.
 
 Everything is DataFrame functions. The only shuffle brings a conversation's events together; a
 rendered conversation is one value, so its rows have to meet, but texts are escaped before the
@@ -14,7 +15,8 @@ escape is reversible for any string.
 
 Defined cases: null text, role or kind is empty text, an empty role, a `message`; a null sequence
 sorts first; ties of sequence are ordered by kind, role, text; null conversation ids form one
-conversation; an empty log gives no conversation; other columns are dropped.
+conversation; of equal events each counts; a very long conversation or text costs in proportion, but for events about earlier messages, each
+of which copies the list of messages; an empty log gives no conversation; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import bound, only
 
 OPEN, CLOSE = "<s>", "</s>"
 CONTROL = r"([<\[])(/?(?:s>|INST\]))"
@@ -43,25 +45,39 @@ def unescape_role(c: Column) -> Column:
     return unescape(F.regexp_replace(c, r"<\^n>", "\n"))
 
 
-def _fold(events: Column) -> Column:
-    """The final messages of sorted events. Runs of plain messages are the common case and need
-    no fold at all; otherwise each event costs one step."""
+def _runs(events: Column) -> Column:
+    """Sorted events with deltas that directly follow an event of their message written into it."""
+    heads = F.filter(F.sequence(F.lit(0), F.size(events) - 1), lambda i: (i == 0) | (F.get(events, i).kind != "delta") | (F.get(events, i).message != F.get(events, i - 1).message))
+
+    def run(h: Column, i: Column, e: Column) -> Column:
+        first, last = F.get(events, i), F.coalesce(F.get(h, e), F.size(events))
+        return F.struct(first.kind.alias("kind"), first.message.alias("message"), first.role.alias("role"), F.array_join(F.transform(F.slice(events, i + 1, last - i), lambda x: x.text), "").alias("text"))
+
+    return bound(heads, lambda h: F.transform(h, lambda i, k: run(h, i, k + 1)))
+
+
+def _fold(runs: Column) -> Column:
+    """The final messages. Each step takes one event about an earlier message, if any, and all plain messages up to the next such
+    event, so a step costs a copy of the list and there are as many steps as such events."""
     kind = "array<struct<message:string,role:string,text:string>>"
+    plain = lambda e: F.struct(e.message.alias("message"), e.role.alias("role"), e.text.alias("text"))
+    starts = F.filter(F.sequence(F.lit(0), F.size(runs) - 1), lambda i: (i == 0) | (F.get(runs, i).kind != "message"))
+    steps = bound(starts, lambda st: F.transform(st, lambda i, k: F.struct(F.get(runs, i).alias("e"), F.slice(runs, i + 2, F.coalesce(F.get(st, k + 1), F.size(runs)) - i - 1).alias("rest"))))
+
+    def step(acc: Column, x: Column) -> Column:
+        e, rest = x.e, F.transform(x.rest, plain)
+        back = F.array_position(F.reverse(F.transform(acc, lambda m: m.message)), e.message)
+        at = F.when((e.kind == "message") | (back == 0), 0).otherwise(F.size(acc) - back.cast("int") + 1)
+
+        def done(at: Column) -> Column:
+            old = F.get(acc, at - 1)
+            new = F.struct(e.message.alias("message"), F.when(e.kind == "regenerate", e.role).otherwise(old.role).alias("role"), F.when(e.kind == "delta", F.concat(old.text, e.text)).otherwise(e.text).alias("text"))
+            later = F.when(e.kind == "regenerate", F.array().cast(kind)).otherwise(F.slice(acc, at + 1, F.size(acc)))
+            return F.when(at == 0, F.concat(acc, F.array(plain(e)), rest)).otherwise(F.concat(F.slice(acc, F.lit(1), at - 1), F.array(new), later, rest))
 
-    def step(acc: Column, e: Column) -> Column:
-        at = F.coalesce(F.array_position(F.transform(acc, lambda m: m.message), e.message), F.lit(0))
-        here = lambda f: F.transform(acc, lambda m, i: F.when(i == at - 1, f(m)).otherwise(m))
-        message = lambda t: F.struct(e.message.alias("message"), e.role.alias("role"), t.alias("text"))
-        fresh = F.concat(acc, F.array(message(e.text)))
-        return (
-            F.when((e.kind == "delta") & (at > 0), here(lambda m: message(F.concat(m.text, e.text)).withField("role", m.role)))
-            .when((e.kind == "edit") & (at > 0), here(lambda m: message(e.text).withField("role", m.role)))
-            .when((e.kind == "regenerate") & (at > 0), F.concat(F.slice(acc, F.lit(1), at - 1), F.array(message(e.text))))
-            .otherwise(fresh)
-        )
+        return bound(at, done)
 
-    plain = F.transform(events, lambda e: F.struct(e.message.alias("message"), e.role.alias("role"), e.text.alias("text")))
-    return F.when(F.forall(events, lambda e: e.kind == "message"), plain).otherwise(F.aggregate(events, F.array().cast(kind), step))
+    return F.aggregate(steps, F.array().cast(kind), step)
 
 
 def reconstruct(log: DataFrame, conv="conv_id", seq="turn", role="role", text="text", kind: str | None = None, message: str | None = None) -> DataFrame:
@@ -80,7 +96,8 @@ def reconstruct(log: DataFrame, conv="conv_id", seq="turn", role="role", text="t
         ).alias("e"),
     )
     events = log.groupBy("conv_id").agg(F.sort_array(F.collect_list("e")).alias("events"))
-    return events.select("conv_id", F.transform(_fold(F.col("events")), lambda m: F.struct(m.role.alias("role"), m.text.alias("text"))).alias("messages"))
+    runs = events.select("conv_id", _runs(F.col("events")).alias("runs"))
+    return runs.select("conv_id", F.transform(_fold(F.col("runs")), lambda m: F.struct(m.role.alias("role"), m.text.alias("text"))).alias("messages"))
 
 
 def render(conversations: DataFrame) -> DataFrame:

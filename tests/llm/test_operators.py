@@ -309,6 +309,25 @@ def test_nearest_neighbours(spark):
     assert hits >= 0.9 * 20 * len(got)
 
 
+def test_nearest_neighbours_over_shards_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD", 300)
+    monkeypatch.setattr(ann, "BLOCK", 20)
+    r = np.random.RandomState(8)
+    x = r.standard_normal((1500, 16))
+    x[700:710] = x[0]  # ties over shards
+    rows = [(i, v.tolist(), "clash", 1) for i, v in enumerate(x)]
+    got = collections.defaultdict(list)
+    for q in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string, shard int"), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got[q.query_id].append(q.vec_id)
+    hits = 0
+    for q, found in got.items():
+        s = x @ x[q]
+        best = sorted((j for j in range(1500) if j != q), key=lambda j: (-s[j], j))[:20]
+        hits += len(set(found) & set(best))
+        assert len(found) == 20 and found == sorted(found, key=lambda j: (-round(s[j], 9), j))
+    assert len(got) == 75 and hits >= 0.9 * 20 * 75
+
+
 def test_quality(spark):
     r = random.Random(6)
     syllables = ["ba", "de", "ki", "lo", "mu", "na", "re", "si", "to"]
@@ -437,3 +456,59 @@ def test_events_fold_into_messages(spark):
     rows = spark.createDataFrame(log, "conv_id int, seq int, kind string, mid string, role string, text string").repartition(4)
     got = chat_format.reconstruct(rows, seq="seq", kind="kind", message="mid").first().messages
     assert [(m.role, m.text) for m in got] == [("user", "hey"), ("assistant", "good day"), ("user", "solo")]
+
+
+def test_events_fold_as_one_by_one(spark):
+    """Against a plain fold, event by event: repeated names, unknown names, long runs of deltas."""
+    r = random.Random(6)
+    log, want = [], {}
+    for c in range(40):
+        made = []
+        for i in range(r.randint(1, 40)):
+            kind, mid, text = r.choice(["message", "message", "delta", "delta", "delta", "edit", "regenerate"]), f"m{r.randint(0, 5)}", f"t{i} "
+            log.append((c, i, kind, mid, r.choice(["user", "assistant"]), text, "clash"))
+            at = max((k for k, m in enumerate(made) if m[0] == mid), default=None)
+            role = log[-1][4]
+            if kind == "message" or at is None:
+                made.append([mid, role, text])
+            elif kind == "delta":
+                made[at][2] += text
+            elif kind == "edit":
+                made[at][2] = text
+            else:
+                made[at:] = [[mid, role, text]]
+        want[c] = [(b, t) for _, b, t in made]
+    rows = spark.createDataFrame(log, "conv_id int, seq int, kind string, mid string, role string, text string, events string").repartition(4)
+    got = {x.conv_id: [(m.role, m.text) for m in x.messages] for x in chat_format.reconstruct(rows, seq="seq", kind="kind", message="mid").collect()}
+    assert got == want
+
+
+def test_long_values_cost_in_proportion(spark):
+    """Very many spans, lines, deltas and messages in one value; squares of these sizes would run for minutes."""
+    n = 20_000
+    text = " ".join(f"token={'ab1' * 3}{i} {'0f' * 13}" for i in range(n))
+    found = secret_scan.find(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).first()
+    assert len(found.spans) == 2 * n and found.spans[-1].end == len(text)
+    masked = secret_scan.redacted(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).first().text
+    assert masked.count("[SECRET]") == 2 * n
+    lines = "\n".join(f"l{i}" for i in range(2 * n))
+    kept = line_dedup.dedup(spark.createDataFrame([(1, lines), (2, lines)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, len(r.removed), r.kept_text == lines) for r in kept) == [(1, 0, True), (2, 2 * n, False)]
+    log = [(1, i, "delta" if i % 2 else "message", f"m{i // 2}", "user", "x") for i in range(n)] + [(1, n + i, "edit", f"m{i}", "user", "y") for i in range(200)]
+    folded = chat_format.reconstruct(spark.createDataFrame(log, "conv_id int, seq int, kind string, mid string, role string, text string"), seq="seq", kind="kind", message="mid").first()
+    assert len(folded.messages) == n // 2 and [m.text for m in folded.messages[199:201]] == ["y", "xx"]
+
+
+def test_bpe_of_unusual_white_space():
+    """Texts with white space that not all agree on take the same way through chunks, with the tokenizer's own ids."""
+    from tokenizers import Tokenizer
+
+    from mosswork.llm.tokens import ChunkEncoder
+
+    t, e, r = Tokenizer.from_file(vocabulary(BYTES)), ChunkEncoder(vocabulary(BYTES)), random.Random(3)
+    t.no_truncation(), t.no_padding()
+    parts = [" ", " ", "　", "\x85", "\x1c", "\x1f", " ", "\n", "\t", "  ", ".", ",", "'s", "don't", "été", "word", "a b", "12", "猫", "_", "<|endoftext|>", "\r\n", " "]
+    for _ in range(1500):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 120)))
+        ids = t.encode(text, add_special_tokens=False).ids
+        assert e.encode(text) == (",".join(map(str, ids)), t.decode(ids, skip_special_tokens=False)), repr(text)
