@@ -32,6 +32,8 @@ SHARD, BLOCK = 8192, 8192
 PROJECTIONS = 65
 #: Share of the lines that make a candidate; widening ends at that share of a shard's vectors, and so many for each neighbour sought.
 THRESHOLD, ENOUGH, EACH = 0.75, 0.04, 15
+#: Vectors of a shard that tell where its windows open.
+PROBES = 32
 #: Half widths of windows, as multiples of the typical distance between projections.
 WIDTHS = tuple(0.15 * 1.12**i for i in range(36))
 TOP = "array<struct<score:double,vec_id:bigint>>"
@@ -56,11 +58,19 @@ class Shard:
         self.order = np.argsort(self.values, 1, kind="stable")
         self.values = np.take_along_axis(self.values, self.order, 1)
         self.longest = math.sqrt(norms.max())
-        self.start = 0
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
+        """Windows open two steps below what the shard's own first vectors need in the median, so no query's result depends on another's."""
         n, least = len(self.ids), max(1, math.ceil(THRESHOLD * PROJECTIONS))
         enough = min(n, EACH * k + 1 + math.ceil(ENOUGH * n))
+        probes = self.x[:PROBES]
+        needed = [t for _, _, t in self._windows(np.arange(len(probes)), probes, least, enough, 0)]
+        first = max(0, int(np.median(needed)) - 2)
+        for i, found, _ in self._windows(np.arange(len(query_ids)), queries, least, enough, first):
+            yield query_ids[i], *self._verified(found, query_ids[i], queries[i], k)
+
+    def _windows(self, numbers: np.ndarray, queries: np.ndarray, least: int, enough: int, first: int):
+        """number, candidates and last step of each query."""
         scale = self.longest / np.sqrt((queries**2).sum(1, keepdims=True))
         centres = self.lines[:, :-1] @ (queries * scale).T
         typical = self.longest * math.sqrt(2)
@@ -68,12 +78,11 @@ class Shard:
             mid = centres[:, c : c + 256]
             edges = np.array([[np.searchsorted(v, m + w, side) for v, m in zip(self.values, mid, strict=True)] for w, side in ((s * w * typical, side) for w in WIDTHS for s, side in ((-1, "left"), (1, "right")))])
             for i in range(mid.shape[1]):
-                yield query_ids[c + i], *self._verified(query_ids[c + i], queries[c + i], edges[:, :, i].tolist(), k, least, enough)
+                yield numbers[c + i], *self._widened(edges[:, :, i].tolist(), least, enough, first)
 
-    def _verified(self, own: int, q: np.ndarray, edges: list, k: int, least: int, enough: int):
-        """Windows open at two steps less than the last query needed: what is wider than enough there costs no recall."""
+    def _widened(self, edges: list, least: int, enough: int, first: int):
         counts, n, lo, hi = None, len(self.ids), None, None
-        for t in range(max(0, self.start - 2), len(WIDTHS)):
+        for t in range(first, len(WIDTHS)):
             a, b = edges[2 * t], edges[2 * t + 1]
             if lo is None:
                 parts = [o[x:y] for o, x, y in zip(self.order, a, b, strict=True)]
@@ -83,15 +92,17 @@ class Shard:
             counts = new if counts is None else counts + new
             lo, hi = a, b
             if np.count_nonzero(counts >= least) >= enough:
-                self.start = t
-                break
-        else:
-            counts[:] = least  # windows that hold all
-        found = np.flatnonzero(counts >= least)
+                return np.flatnonzero(counts >= least), t
+        return np.arange(n), len(WIDTHS)  # windows that hold all
+
+    def _verified(self, found: np.ndarray, own: int, q: np.ndarray, k: int):
+        """The k largest exact products; every candidate that could be among them by the rounded ones is summed exactly."""
         found = found[self.ids[found] != own]
         score = self.x[found] @ q
-        best = found[np.lexsort((self.ids[found], -np.round(score, 12)))[: k + 8]]
-        exact = sorted((-math.fsum(self.x[j] * q), int(self.ids[j])) for j in best)[:k]
+        if len(found) > k:
+            kth = np.partition(score, len(found) - k)[len(found) - k]
+            found = found[score >= kth - 1e-9 * max(1.0, abs(kth))]
+        exact = sorted((-math.fsum(self.x[j] * q), int(self.ids[j])) for j in found)[:k]
         return [-s for s, _ in exact], [j for _, j in exact]
 
 
