@@ -95,7 +95,8 @@ class ChunkEncoder:
     WORD = re.compile(r"\s+\S+|\S+|\s+")
     #: Runs of white space or punctuation, which are pre-tokens as a whole.
     MIXED = re.compile(r"[^\w\s][.,]|_[.,]|\s[\s.,]|\x00")
-    SAFE = re.compile(r"(?<=\S)(?=\s)")
+    #: Between what is white space to nobody and what is to everybody.
+    SAFE = re.compile(r"(?<=\S)(?=[ \t\n\x0b\x0c\r])")
 
     def __init__(self, path: str, most_chunks: int = 250_000, most_words: int = 700_000):
         self.tokenizer, self.most_chunks, self.most_words = load(path), most_chunks, most_words
@@ -124,7 +125,9 @@ class ChunkEncoder:
     def _pieces(self, text: str) -> tuple[str, str]:
         """Decimal ids, each with a comma behind, and the decoded text of a text whose ends are safe."""
         known = self.words
-        if self.MIXED.search(text):
+        if UNUSUAL.search(text):
+            words = self.SAFE.split(text)
+        elif self.MIXED.search(text):
             words = self.WORD.findall(text)
         else:  # before a single space or line feed, a stop or a comma a pre-token begins
             words = text.replace(" ", "\0 ").replace("\n", "\0\n").replace(".", "\0.").replace(",", "\0,").split("\0")
@@ -143,14 +146,14 @@ class ChunkEncoder:
         if not first:
             return (text,)
         a, core = first.start(), text.rstrip()
+        if UNUSUAL.search(text):
+            *_, last = self.SAFE.finditer(text)
+            return (text[:a], *self._pieces(text[a : last.start()]), text[last.start() :])
         b = len(core) if len(core) < len(text) else len(core.rsplit(None, 1)[0])
         return (text[:a], *self._pieces(text[a:b]), text[b:])
 
     def encode(self, text: str) -> tuple[str, str]:
         """ids as decimals joined by commas, and the text decoded from them."""
-        if UNUSUAL.search(text):  # white space to us may be none to the tokenizer
-            e = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return ",".join(map(str, e)), self.tokenizer.decode(e, skip_special_tokens=False)
         data, at, seam = text.encode(), 0, ""
         chunks, words, ids, decoded = self.chunks, self.words, [], []
         for end in [*self._cuts(data).tolist(), len(data)]:
