@@ -33,7 +33,15 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.mosswork_path = jpath
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete durable tables that nothing reads any more."""
+    for t in tables:
+        t.mosswork_path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(t.mosswork_path, True)
 
 
 def only(df: DataFrame, **columns) -> DataFrame:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import dropped, durable, joined
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) from edges (a, b); nodes are every a and b.
 
     Each round joins nodes with the least neighbour, which is combined map-side, so a node with very many edges
-    is one minimum and a join that can be split. Rounds end when the edges no longer change; their
+    is one minimum, and its edges meet that where they are (see common.joined). Rounds end when the edges no longer change; their
     number grows with the logarithm of the longest path."""
     tidy = lambda e: e.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     stars, before = durable(tidy(edges), "edges"), None
@@ -22,9 +22,10 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = mark
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        stars = durable(tidy(small.unionByName(least.select("a", F.col("m").alias("b")))), "edges")
+        first = durable(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n")), "least")
+        large = durable(joined(both, first, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        second = durable(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
+        small = joined(large, second, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        old, stars = stars, durable(tidy(small.unionByName(second.select("a", F.col("m").alias("b")))), "edges")
+        dropped(old, first, large, second)
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
