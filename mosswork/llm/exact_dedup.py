@@ -29,6 +29,8 @@ from .common import batch, batches, durable, only, text_or_empty
 BLANK = "\x20\x09\x0a\x0b\x0c\x0d"
 OUT = "doc_id long, n long, text_sha256 string, run long, place long, run_n long, run_size long, run_best long, run_place long, edge long, edge_text string"
 ARROW = pa.schema([(f.split()[0], pa.string() if f.endswith("string") else pa.int64()) for f in OUT.split(", ")])
+#: So many rows of ends are broadcast; more are joined by shuffle.
+MOST_ENDS = 100_000
 NO_ID = 2**63 - 1  # ranks a null id last
 
 
@@ -100,8 +102,8 @@ def dedup(documents: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     keyed = keyed.select("*", F.substring("norm", 1, 32).alias("head"), F.xxhash64("norm").alias("h"))
     ranged = keyed.repartitionByRange("head", "h", "doc_id").sortWithinPartitions("head", "h", "norm", "doc_id")
     runs = durable(ranged.select("doc_id", "n", "norm").mapInArrow(_runs, OUT), "content-runs")
-    ends = _merged(runs)
-    joined = runs.join(F.broadcast(ends), "run", "left")  # two rows a partition: bounded
+    ends = durable(_merged(runs), "content-ends")  # two rows a partition at most
+    joined = runs.join(F.broadcast(ends) if ends.count() <= MOST_ENDS else ends.hint("merge"), "run", "left")
     return joined.select(
         "doc_id",
         F.when(F.col("size").isNull(), F.col("run_best")).otherwise(F.col("best")).alias("keep_id"),
