@@ -109,12 +109,19 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
+def strip(c: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
+
+
 def slug(c: Column) -> Column:
-    return F.regexp_replace(c, r"[^\p{L}\p{N}_\-.()]+", "_")
+    """Each space is one underscore, ends are stripped before; a run of other odd characters is one underscore too."""
+    return F.regexp_replace(F.replace(strip(c), F.lit(" "), F.lit("_")), r"[^\p{L}\p{N}_\-.()]+", "_")
 
 
 def safe_file_name(c: Column, most: int = 120) -> Column:
-    return F.substring(F.regexp_replace(F.trim(c), r"[^\p{L}\p{N}_\-.]+", "_"), 1, most)
+    """Each odd character is an underscore of its own, dots too; then ends are stripped and spaces become underscores."""
+    return F.substring(F.replace(strip(F.regexp_replace(c, r"[^\p{L}\p{N}_\- ]", "_")), F.lit(" "), F.lit("_")), 1, most)
 
 
 def item_key(subject: Column, hop: Column) -> Column:
@@ -142,14 +149,26 @@ def alternates(title: Column) -> Column:
     return F.array_distinct(F.filter(F.array(title, bare, head), lambda x: x != ""))
 
 
+PARENTHESIS = r"(?s)^(.+?)\s*\((.+?)\)\s*$"
+
+
+def _subject(title: Column) -> tuple[Column, Column, Column]:
+    """The stripped subject, what stands in its closing parenthesis (or null), and both in one line."""
+    clean = strip(title)
+    inside = F.when(clean.rlike(PARENTHESIS), strip(F.regexp_extract(clean, PARENTHESIS, 2)))
+    return clean, inside, F.when(inside.isNull(), clean).otherwise(F.concat(strip(F.regexp_extract(clean, PARENTHESIS, 1)), F.lit(" "), inside))
+
+
 def search_query(title: Column) -> Column:
-    """'X (Y)' becomes 'X Y'."""
-    return squeeze(F.regexp_replace(title, r"[()]", " "))
+    """The single query of the first evidence pipeline."""
+    return F.concat(F.lit('"'), _subject(title)[2], F.lit('" history facts encyclopedia'))
 
 
 def search_queries(title: Column, most: int = 3) -> Column:
-    q = search_query(title)
-    return F.slice(F.array_distinct(F.array(q, F.concat(q, F.lit(" history")), F.concat(q, F.lit(" facts")))), 1, most)
+    """The queries of the second evidence pipeline."""
+    clean, inside, full = _subject(title)
+    exact = F.when(inside.isNull(), F.concat(F.lit('"'), clean, F.lit('" biography history overview'))).otherwise(F.concat(F.lit('"'), inside, F.lit('" history overview')))
+    return F.slice(F.array(F.concat(full, F.lit(" encyclopedia overview facts")), F.concat(full, F.lit(" wikipedia")), exact), 1, most)
 
 
 def rendered(template: Column, values: dict[str, Column]) -> Column:
@@ -171,9 +190,21 @@ def first_setting(*settings: Column) -> Column:
     return F.coalesce(*(F.nullif(F.trim(c.cast("string")), F.lit("")) for c in settings))
 
 
-def wait_seconds(message: Column, default: float = 5.0) -> Column:
-    """Seconds to wait that a provider's message names: `in 1.5s`, `in 200ms`, `in 2m`."""
-    rx = r"(?i)in\s+(\d+(?:\.\d+)?)\s*(ms|s|m)\b"
-    unit = F.lower(F.regexp_extract(message, rx, 2))
-    n = F.regexp_extract(message, rx, 1).try_cast("double")
-    return F.coalesce(n * F.when(unit == "ms", 0.001).when(unit == "m", 60.0).otherwise(1.0), F.lit(default))
+def wait_seconds(message: Column, now: Column, default: float = 8.0) -> Column:
+    """Seconds from `now` until the UTC time at which a provider's message says that its limit resets, and a half; the default where it
+    names no time or one that is not within two minutes."""
+    told = F.regexp_extract(message, r"Limit resets at:\s*(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})", 1)
+    wait = F.unix_timestamp(F.try_to_timestamp(told, F.lit("yyyy-MM-dd HH:mm:ss"))).cast("double") - now.cast("timestamp").cast("double")
+    return F.coalesce(F.when((wait > 0) & (wait < 120), wait + 0.5), F.lit(default))
+
+
+def safe_run_name(path: Column) -> Column:
+    """A run's relative path as one name."""
+    inner = F.regexp_replace(strip(path), "^/+|/+$", "")
+    return F.when(inner == "", "root_run").otherwise(F.replace(inner, F.lit("/"), F.lit("__")))
+
+
+def first_subject(fields: dict[str, Column]) -> Column:
+    """struct(subject, field): the first field that is not blank, and its name."""
+    told = F.coalesce(*(F.when(F.coalesce(strip(c), F.lit("")) != "", F.struct(strip(c).alias("subject"), F.lit(k).alias("field"))) for k, c in fields.items()))
+    return told

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Patterns of links, categories, headings and scripts.
 CATEGORY = r"(?i)\[\[Category:([^|\]]+)(?:\|[^\]]*)?\]\]"
 LINK = r"\[\[([^:|\]]+)(?:\|[^\]]*)?\]\]"
 RAW_LINK = r"\[\[([^\]]+)\]\]"
@@ -60,11 +61,15 @@ def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def without_templates(text: Column, passes: int = 5) -> Column:
-    """Innermost templates first, as deep as `passes`."""
-    for _ in range(passes):
-        text = F.regexp_replace(text, r"\{\{[^{}]*\}\}", "")
-    return text
+def without_templates(text: Column, passes: int | None = None) -> Column:
+    """Innermost templates first, until none is left, or `passes` times. A text is as deep as it has templates at most, and a pass over a text
+    without any costs a look."""
+    rounds = F.sequence(F.lit(1), F.greatest(F.regexp_count(text, F.lit(r"\}\}")), F.lit(1))) if passes is None else F.sequence(F.lit(1), F.lit(passes))
+    return F.aggregate(rounds, text, lambda t, _: F.when(F.instr(t, "{{") > 0, F.regexp_replace(t, r"\{\{[^{}]*\}\}", "")).otherwise(t))
+
+
+# Sections that end an article's own text, and namespaces of links that show nothing.
+FALLBACK_FILES = r"(?i)\[\[(?:File|Image|Category):[^\]]*\]\]"
 
 
 def excerpt(text: Column, words: int) -> Column:

@@ -133,16 +133,25 @@ _FUNNEL_SQL = """WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS subject, CAST(
 _FUNNEL_COLUMNS = ["canonical_pre_ner_input", "canonical_kept", "canonical_rejected_total", "ner_accepted", "ner_rejected", "ner_rejected_low_conf", "similarity_accepted", "sim_rejected_failure", "sim_rejected_llm_duplicate"]
 
 
+def _decisions(spark, sf_dir):
+    """Line items as decisions on phrases, and those that pass as decisions on similarity."""
+    key = (F.col("l_orderkey").cast("string").alias("subject"), (F.col("l_orderkey") % 4).cast("int").alias("hop"))
+    f, s, n = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_linenumber")
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber", "l_quantity")
+    decisions = l.select(*key, (f == "A").alias("passed_threshold"), F.when(f == "R", "not_named_entity").when(f == "N", "below_conf").alias("decision_reason"), F.lit("model").alias("source"))
+    sims = l.filter(f == "A").select(*key, F.lit("").alias("stage"), F.when(s == "F", "accept").otherwise("reject").alias("decision"), F.when((s == "O") & (n % 2 == 0), "http_status=500").when(s == "O", "llm_duplicate").alias("reason"))
+    return l, key, decisions, sims
+
+
 def funnel_entities(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_orderstatus", F.col("o_orderpriority").alias("model"))
-    key = lambda c: (F.col(c).cast("string").alias("subject"), (F.col(c) % 4).cast("int").alias("hop"))
+    key = (F.col("k").cast("string").alias("subject"), (F.col("k") % 4).cast("int").alias("hop"))
     status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "pending").otherwise("working")
-    state = o.select(*key("k"), status.alias("queue_status"), "model", (F.col("k") % 9).alias("canonical_pre_ner_input"))
-    f, s, n = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_linenumber")
-    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber")
-    decisions = l.select(*key("l_orderkey"), (f == "A").alias("passed_threshold"), F.when(f == "R", "not_named_entity").when(f == "N", "below_conf").alias("decision_reason"), F.lit("model").alias("source"))
-    sims = l.filter(f == "A").select(*key("l_orderkey"), F.lit("").alias("stage"), F.when(s == "F", "accept").otherwise("reject").alias("decision"), F.when((s == "O") & (n % 2 == 0), "http_status=500").when(s == "O", "llm_duplicate").alias("reason"))
-    return fn.entities(state, fn.ner(decisions), fn.similarity(sims))
+    none = F.lit(None)
+    queue = fn.queue_rows(o.select(*key, status.alias("status"), none.cast("string").alias("parent_subject"), none.cast("int").alias("parent_hop"), F.col("k").alias("ordinal")))
+    pre = o.select(*key, (F.col("k") % 9).alias("canonical_pre_ner_input"))
+    _, _, decisions, sims = _decisions(spark, sf_dir)
+    return fn.entities(queue, pre, fn.ner_rows(decisions), fn.similarity_rows(sims))
 
 
 @query(f"{_FUNNEL_SQL} SELECT subject, hop, queue_status, {', '.join(_FUNNEL_COLUMNS)}, round(canonical_kept::DOUBLE / nullif(canonical_pre_ner_input, 0), 4) AS canonical_survival, round(ner_accepted::DOUBLE / nullif(canonical_kept, 0), 4) AS ner_survival FROM g")
@@ -161,9 +170,27 @@ def funnel_total(spark, sf_dir):
     return fn.total(fn.by_hop(funnel_entities(spark, sf_dir))).select("entities", *_FUNNEL_COLUMNS)
 
 
-@query(f"""{_FUNNEL_SQL} SELECT model, CAST(sum(canonical_kept) AS BIGINT) AS canonical_kept, CAST(sum(ner_accepted) AS BIGINT) AS ner_accepted, round(coalesce(sum(ner_accepted)::DOUBLE / nullif(sum(canonical_kept), 0), 0), 9) AS ner_survival FROM g GROUP BY model""")
+_MODEL_SQL = """, count(*) AS n_runs, CAST(sum(canonical_pre_ner_input) AS BIGINT) AS candidates_total, CAST(sum(canonical_kept) AS BIGINT) AS canonical_kept, CAST(sum(ner_accepted) AS BIGINT) AS ner_accepted,
+    round(coalesce(sum(canonical_kept)::DOUBLE / nullif(sum(canonical_pre_ner_input), 0), 0), 9) AS canonical_survival, round(coalesce(sum(ner_accepted)::DOUBLE / nullif(sum(canonical_kept), 0), 0), 9) AS ner_survival"""
+
+
+def _modelled(spark, sf_dir, *keys):
+    model = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("subject"), F.when(F.col("o_orderpriority") == "1-URGENT", "llama").when(F.col("o_orderpriority") == "2-HIGH", "deepseek").otherwise(F.col("o_orderpriority")).alias("model"))
+    rows = fn.by_model(funnel_entities(spark, sf_dir).join(model, "subject"), fn.candidates_total(F.col("canonical_pre_ner_input")), *keys)
+    return rows.select(*keys, F.col("place").cast("int").alias("place"), "n_runs", "candidates_total", "canonical_kept", "ner_accepted", F.round("canonical_survival", 9).alias("canonical_survival"), F.round("ner_survival", 9).alias("ner_survival"))
+
+
+_MODELS = "CASE model WHEN '1-URGENT' THEN 'llama' WHEN '2-HIGH' THEN 'deepseek' ELSE model END AS model, CASE model WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 1 ELSE 4 END AS place"
+
+
+@query(f"{_FUNNEL_SQL} SELECT {_MODELS} {_MODEL_SQL} FROM g GROUP BY ALL")
 def funnel_model(spark, sf_dir):
-    return fn.by_model(funnel_entities(spark, sf_dir), "model").select("model", "canonical_kept", "ner_accepted", F.round("ner_survival", 9).alias("ner_survival"))
+    return _modelled(spark, sf_dir, "model")
+
+
+@query(f"{_FUNNEL_SQL} SELECT {_MODELS}, hop {_MODEL_SQL} FROM g GROUP BY ALL")
+def funnel_model_hop(spark, sf_dir):
+    return _modelled(spark, sf_dir, "model", "hop")
 
 
 @query(f"""{_FUNNEL_SQL} SELECT hop, round(avg(round(ner_accepted::DOUBLE / nullif(canonical_kept, 0), 4)), 9) AS ner_survival_mean, round(stddev_pop(round(ner_accepted::DOUBLE / nullif(canonical_kept, 0), 4)), 9) AS ner_survival_std FROM g WHERE queue_status = 'done' GROUP BY hop""")
@@ -174,7 +201,75 @@ def funnel_mean_std(spark, sf_dir):
 @query("""SELECT CAST(l_orderkey % 4 AS INT) AS hop, '{' || string_agg('"' || r || '":' || n, ',' ORDER BY r) || '}' AS ner_reject_reason_counts FROM (
     SELECT l_orderkey % 4 AS l_orderkey, CASE l_returnflag WHEN 'R' THEN 'not_named_entity' ELSE 'below_conf' END AS r, count(*) AS n FROM lineitem WHERE l_returnflag <> 'A' GROUP BY ALL) GROUP BY l_orderkey""")
 def funnel_reasons(spark, sf_dir):
-    return fn.merged_reasons(funnel_entities(spark, sf_dir), "ner_reject_reason_counts")
+    _, _, decisions, _ = _decisions(spark, sf_dir)
+    return fn.counters(fn.reason_rows(decisions=decisions), "hop").select("hop", "ner_reject_reason_counts")
+
+
+# every log of a run: line items also say what canonical dedup rejected and how answers were parsed
+_ALL_LOGS = """WITH l AS (SELECT CAST(l_orderkey AS VARCHAR) AS subject, CAST(l_orderkey % 4 AS INT) AS hop, l_orderkey AS k, l_linenumber AS n, CAST(l_quantity AS BIGINT) AS q, l_returnflag AS f, l_linestatus AS s FROM lineitem), o AS (
+    SELECT CAST(o_orderkey AS VARCHAR) AS subject, CAST(o_orderkey % 4 AS INT) AS hop, o_orderkey AS k, o_orderstatus AS st FROM orders), k AS (
+    SELECT subject, hop FROM l UNION SELECT subject, hop FROM o UNION SELECT CAST(o_orderkey // 4 AS VARCHAR), CAST((o_orderkey // 4) % 4 AS INT) FROM orders WHERE o_orderkey >= 4), a AS (
+    SELECT subject, hop, true AS has_article, k % 5 + 1 AS raw_wikilink_occurrences, CASE WHEN k % 5 > 0 THEN 2 ELSE 1 END AS raw_wikilink_unique, k % 7 AS extracted_link_targets, k % 2 AS extracted_categories FROM o WHERE k % 3 = 0), c AS (
+    SELECT CAST(k // 4 AS VARCHAR) AS subject, CAST((k // 4) % 4 AS INT) AS hop, count(*) AS inserted_children FROM o WHERE k >= 4 GROUP BY ALL), d AS (
+    SELECT subject, hop, max(n) AS ner_candidates, max(CASE WHEN q > 25 THEN q ELSE 0 END) AS pre, max(CASE WHEN q > 25 THEN n ELSE 0 END) AS kept, max(CASE WHEN q > 25 THEN greatest(q - n, 0) ELSE 0 END) AS gone,
+        count(*) FILTER (n = 1) AS rb, count(*) FILTER (n = 2) AS rs, count(*) FILTER (n = 3) AS ro, count(*) FILTER (n IN (4, 5)) AS rp, CAST(coalesce(sum(CASE WHEN n = 6 THEN 2 WHEN n = 7 AND f = 'A' THEN 1 ELSE 0 END), 0) AS BIGINT) AS ec,
+        count(*) FILTER (f = 'A') AS ok, count(*) FILTER (f <> 'A') AS no, count(*) FILTER (f = 'R') AS ne, count(*) FILTER (f = 'N') AS low FROM l GROUP BY subject, hop), e AS (
+    SELECT k.*, coalesce(has_article, false) AS has_article, st, coalesce(raw_wikilink_occurrences, 0) AS raw_wikilink_occurrences, coalesce(raw_wikilink_unique, 0) AS raw_wikilink_unique, coalesce(extracted_link_targets, 0) AS extracted_link_targets, coalesce(extracted_categories, 0) AS extracted_categories,
+        coalesce(inserted_children, 0) AS inserted_children, d.subject IS NOT NULL AS p, coalesce(d.ner_candidates, 0) AS nc, CASE WHEN coalesce(pre, 0) = 0 AND d.subject IS NOT NULL THEN d.ner_candidates ELSE coalesce(pre, 0) END AS canonical_pre_ner_input,
+        CASE WHEN coalesce(kept, 0) = 0 AND d.subject IS NOT NULL THEN ok + no ELSE coalesce(kept, 0) END AS canonical_kept, coalesce(gone, 0) AS gone, coalesce(rb, 0) AS canonical_rejected_batch, coalesce(rs, 0) AS canonical_rejected_seen, coalesce(ro, 0) AS canonical_rejected_other, coalesce(rp, 0) AS canonical_rejected_plural,
+        coalesce(ec, 0) AS ner_summary_error_count, coalesce(ok, 0) AS ner_accepted, coalesce(no, 0) AS ner_rejected, coalesce(ne, 0) AS ner_rejected_not_ne, coalesce(low, 0) AS ner_rejected_low_conf
+    FROM k LEFT JOIN a USING (subject, hop) LEFT JOIN c USING (subject, hop) LEFT JOIN d USING (subject, hop) LEFT JOIN (SELECT subject, hop, st FROM o) USING (subject, hop)), g AS (
+    SELECT *, CASE WHEN p AND gone = 0 THEN greatest(canonical_pre_ner_input - canonical_kept, 0) ELSE gone END AS canonical_rejected_total, CASE WHEN p AND nc = 0 THEN canonical_pre_ner_input ELSE nc END AS ner_candidates FROM e)"""
+_ALL_COLUMNS = "raw_wikilink_occurrences raw_wikilink_unique extracted_link_targets extracted_categories ner_candidates canonical_pre_ner_input canonical_kept canonical_rejected_total canonical_rejected_seen canonical_rejected_batch canonical_rejected_plural canonical_rejected_other ner_accepted ner_rejected ner_rejected_not_ne ner_rejected_low_conf ner_summary_error_count inserted_children".split()
+
+
+def _all_logs(spark, sf_dir):
+    l, key, decisions, sims = _decisions(spark, sf_dir)
+    n, none = F.col("l_linenumber"), F.lit(None)
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_orderstatus")
+    own = (F.col("k").cast("string").alias("subject"), (F.col("k") % 4).cast("int").alias("hop"))
+    parent = F.when(F.col("k") >= 4, F.expr("k div 4"))
+    queue = o.select(*own, F.when(F.col("o_orderstatus") == "F", "done").otherwise("pending").alias("status"), parent.cast("string").alias("parent_subject"), (parent % 4).cast("int").alias("parent_hop"), F.col("k").alias("ordinal"))
+    written = o.filter("k % 3 = 0")
+    text = F.concat(F.repeat(F.lit("[[A|x]] "), (F.col("k") % 5).cast("int")), F.lit("[[B]]"))
+    drafts = written.select(*own, F.lit("[[old]] [[older]] [[oldest]]").alias("wikitext"), F.lit(0).alias("line_no"))
+    articles = drafts.unionByName(written.select(*own, text.alias("wikitext"), F.lit(1).alias("line_no")))
+    listed = lambda c: F.array_repeat(F.lit("x"), c.cast("int"))
+    plain = lambda at, a, b: written.select(*own, listed(a).alias("links"), listed(b).alias("categories"), none.cast("array<string>").alias("ner_candidates"), none.cast("boolean").alias("diag"), F.lit(at).alias("line_no"))
+    diag = l.select(*key, none.cast("array<string>").alias("links"), none.cast("array<string>").alias("categories"), listed(n).alias("ner_candidates"), F.lit(True).alias("diag"), n.alias("line_no"))
+    meta = plain(0, F.lit(9), F.lit(9)).unionByName(plain(1, F.col("k") % 7, F.col("k") % 2)).unionByName(diag)
+    summaries = l.filter("cast(l_quantity as long) > 25").select(*key, F.col("l_quantity").cast("long").alias("pre_dedup_count"), n.cast("long").alias("post_dedup_count"), none.cast("long").alias("filtered_count"))
+    rejected = l.filter("l_linenumber <= 3 or l_linenumber = 7").select(*key, F.when(n == 7, "elsewhere").when(n == 1, "queue_dedup_batch").otherwise("queue_dedup").alias("stage"), F.when(n == 2, "already_seen").when(n == 3, "odd").otherwise("").alias("rejection_reason"))
+    plural = l.filter("l_linenumber in (4, 5)").select(*key, F.when(n == 4, "plural_batch").otherwise("plural").alias("stage"))
+    runs = l.filter("l_linenumber in (6, 7)").select(
+        *key, F.when(n == 6, "ner_run_summary_global").otherwise("ner_run_summary").alias("stage"), F.when(n == 7, F.when(F.col("l_returnflag") == "A", "exception").otherwise("json")).alias("parse_mode"),
+        F.array(F.lit("json"), F.lit("regex_simple")).alias("parse_modes"), F.lit(2).alias("chunk_failures"),
+    )
+    return queue, articles, meta, summaries, rejected, plural, runs, decisions, sims
+
+
+@query(f"""{_ALL_LOGS} SELECT hop, count(*) AS entities, count(*) FILTER (st = 'F') AS entities_processed, count(*) FILTER (has_article AND coalesce(st, '') <> 'F') AS entities_unprocessed, count(*) FILTER (has_article) AS entities_with_article,
+    {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in _ALL_COLUMNS)}, CAST(sum(CASE WHEN st = 'F' THEN ner_candidates ELSE 0 END) AS BIGINT) AS ner_candidates_processed, round(sum(inserted_children)::DOUBLE / nullif(sum(canonical_pre_ner_input), 0), 4) AS overall_survival_to_inserted FROM g GROUP BY hop""")
+def funnel_all_logs(spark, sf_dir):
+    queue, articles, meta, summaries, rejected, plural, runs, decisions, sims = _all_logs(spark, sf_dir)
+    e = fn.entities(fn.queue_rows(queue), fn.child_rows(queue), fn.article_rows(articles), fn.meta_rows(meta), fn.summary_rows(summaries), fn.rejected_rows(rejected), fn.plural_rows(plural), fn.run_summary_rows(runs), fn.ner_rows(decisions), fn.similarity_rows(sims))
+    return fn.by_hop(e).select("hop", "entities", "entities_processed", "entities_unprocessed", "entities_with_article", *_ALL_COLUMNS, "ner_candidates_processed", "overall_survival_to_inserted")
+
+
+_COUNTED = {
+    "canonical_reason_counts": "CASE n WHEN 1 THEN 'queue_dedup_batch' WHEN 2 THEN 'already_seen' WHEN 3 THEN 'odd' WHEN 4 THEN 'plural_variant_batch' WHEN 5 THEN 'plural_variant' END",
+    "ner_reject_reason_counts": "CASE f WHEN 'R' THEN 'not_named_entity' WHEN 'N' THEN 'below_conf' END",
+    "similarity_reject_reason_counts": "CASE WHEN f = 'A' AND s = 'O' THEN CASE WHEN n % 2 = 0 THEN 'http_status=500' ELSE 'llm_duplicate' END END",
+    "similarity_failure_reason_counts": "CASE WHEN f = 'A' AND s = 'O' AND n % 2 = 0 THEN 'http_status=500' END",
+}
+
+
+@query("WITH l AS (SELECT CAST(l_orderkey % 4 AS INT) AS hop, l_linenumber AS n, l_returnflag AS f, l_linestatus AS s FROM lineitem), r AS (" + " UNION ALL ".join(f"SELECT hop, '{k}' AS c, {v} AS r FROM l" for k, v in _COUNTED.items())
+       + """ UNION ALL SELECT hop, 'ner_summary_parse_modes', unnest(CASE WHEN n = 6 THEN ['json', 'regex_simple'] ELSE [CASE f WHEN 'A' THEN 'exception' ELSE 'json' END] END) FROM l WHERE n IN (6, 7)), k AS (SELECT hop, c, r, count(*) AS n FROM r WHERE r IS NOT NULL GROUP BY ALL), j AS (
+       SELECT hop, c, '{' || string_agg('"' || r || '":' || n, ',' ORDER BY r) || '}' AS t FROM k GROUP BY hop, c) SELECT hop, """ + ", ".join(f"max(t) FILTER (c = '{k}') AS {k}" for k in [*_COUNTED, "ner_summary_parse_modes"]) + " FROM j GROUP BY hop")
+def funnel_counters(spark, sf_dir):
+    _, _, _, _, rejected, plural, runs, decisions, sims = _all_logs(spark, sf_dir)
+    return fn.counters(fn.reason_rows(rejected, plural, decisions, runs, sims), "hop").select("hop", *_COUNTED, "ner_summary_parse_modes")
 
 
 SIM = [("", "accept", ""), ("", "Accept", "ok"), ("x", "reject", "http_status=500"), ("x", "reject", "sdk_exception"), ("similarity_batch_http_error", "reject", "odd"), ("similarity_batch_http_error", "reject", ""), ("s", "reject", None), ("similarity_filter_skip_indexed", "accept", "r"), ("s", "skip", ""), ("s", "", ""), ("", None, "")]

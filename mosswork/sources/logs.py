@@ -81,6 +81,7 @@ def usage(body: Column) -> Column:
 
 
 def custom_id(c: Column) -> Column:
-    """struct(subject, hop, chunk) of subject::hop::chunk."""
-    part = lambda i: F.split_part(c, F.lit("::"), F.lit(i))
-    return F.struct(part(1).alias("subject"), part(2).try_cast("int").alias("hop"), part(3).try_cast("int").alias("chunk"))
+    """struct(subject, hop, chunk, start, n) of the name of a named-entity request; null where it is no such name."""
+    rx = r"(?s)^ner::(.*)::hop=(\d+)::chunk=(\d+)::start=(\d+)::n=(\d+)$"
+    number = lambda i: F.regexp_extract(c, rx, i).try_cast("int")
+    return F.when(c.rlike(rx), F.struct(F.regexp_extract(c, rx, 1).alias("subject"), *(number(i).alias(k) for i, k in enumerate(("hop", "chunk", "start", "n"), 2))))
