@@ -40,7 +40,7 @@ PAD = "\0" * (LENGTH - 1)
 #: Uniform probability below the shortest n-grams: one of all code points.
 LEAST = 1 / 0x110000
 #: Entries of a task's pages of costs.
-PAGE = 2_000_000
+PAGE = 400_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -56,7 +56,7 @@ def _hashes(s: np.ndarray) -> np.ndarray:
     return reduce(lambda h, j: h + s[j : n + j] * _FACTORS[j], range(LENGTH), np.zeros(n, np.uint64))
 
 
-def _parts(texts: list[str], most: int = 2_000_000):
+def _parts(texts: list[str], most: int = 400_000):
     """Lists of texts that have about `most` characters, joined with padding: texts, joined, and the hashes of the n-grams that
     end at each character, with their places."""
     part, n = [], 0
