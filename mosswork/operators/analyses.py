@@ -119,26 +119,30 @@ def found_anywhere(records: DataFrame, found: Column) -> DataFrame:
 def ngram_types(texts: DataFrame, run: str, order: str, words: Column) -> DataFrame:
     """Tokens, types, type-token ratio, 2- and 3-gram types of each run's texts laid one after another, so n-grams span texts.
 
-    Inside a text n-grams are native; those over a border need the last two words of the texts before, which come from the neighbours
-    by position: only border words are ordered, not all tokens."""
+    A text's n-grams are hashed (128 bits) and made distinct within the task before they are shuffled. Those over a border need the last two
+    words of the texts before: ends of texts, not texts, are put in order, in ranges; only the rows at the ends of ranges are looked at together."""
     t = texts.select(run, order, words.alias("w")).filter(F.size("w") > 0)
-    at = Window.partitionBy(run).orderBy(order)
-    edge = t.select(run, order, F.slice("w", 1, 2).alias("head"), F.reverse(F.slice(F.reverse("w"), 1, 2)).alias("tail"), F.size("w").alias("n"))
-    # texts of one word pass on the word before them
-    edge = edge.withColumn("p1", F.lag("tail").over(at)).withColumn("p2", F.lag("tail", 2).over(at))
-    before = F.coalesce(F.concat(F.coalesce("p2", F.array().cast("array<string>")), "p1"), F.array().cast("array<string>"))
-    before = F.reverse(F.slice(F.reverse(before), 1, 2))
-    cross = edge.select(run, before.alias("b"), "head")
+    edge = t.select(run, order, F.slice("w", 1, 2).alias("head"), F.reverse(F.slice(F.reverse("w"), 1, 2)).alias("tail"))
+    edge = edge.repartitionByRange(run, order).withColumn("part", F.spark_partition_id())
+    own = Window.partitionBy("part", run).orderBy(order)
+    last = lambda over: [F.lag("tail").over(over).alias("p1"), F.lag("tail", 2).over(over).alias("p2")]
+    placed = edge.withColumns({"at": F.row_number().over(own), "back": F.row_number().over(Window.partitionBy("part", run).orderBy(F.desc(order)))})
+    columns = [run, "at", "head", "p1", "p2"]
+    inside = placed.select(run, "at", "head", *last(own)).filter("at > 2").select(*columns)
+    ends = placed.filter("at <= 2 or back <= 2")  # four rows of a range and run at most
+    first = ends.select(run, "at", "head", *last(Window.partitionBy(run).orderBy(order))).filter("at <= 2").select(*columns)
+    none = F.array().cast("array<string>")
+    before = F.reverse(F.slice(F.reverse(F.concat(F.coalesce("p2", none), F.coalesce("p1", none))), 1, 2))  # texts of one word pass on the word before them
+    cross = inside.unionByName(first).select(run, before.alias("b"), F.slice("head", 1, 2).alias("head")).filter("size(b) > 0")
     joined = F.concat("b", "head")
-    bi = cross.filter("size(b) > 0").select(run, F.array_join(F.array(F.element_at("b", -1), F.element_at("head", 1)), "\u0001").alias("g"))
-    spanning = F.filter(F.transform(ngrams(joined, 3), lambda g, i: F.struct(g.alias("g"), i.alias("i"))), lambda x: (x.i < F.size("b")) & (x.i + 2 >= F.size("b")))
-    tri = cross.filter("size(b) > 0").select(run, F.explode(spanning).alias("x")).select(run, F.col("x.g").alias("g"))
-    own = lambda n: t.select(run, F.explode(ngrams(F.col("w"), n)).alias("g"))
-    tagged = lambda df, n: df.select(run, F.lit(n).alias("k"), "g")
-    every = tagged(own(1), 1).unionByName(tagged(own(2), 2)).unionByName(tagged(own(3), 3)).unionByName(tagged(bi, 2)).unionByName(tagged(tri, 3))
-    kinds = every.distinct().groupBy(run).agg(*(F.count_if(F.col("k") == k).alias(f"types_{k}") for k in (1, 2, 3)))
-    size = t.groupBy(run).agg(F.sum(F.size("w")).alias("tokens"))
-    return size.join(kinds, run).withColumn("ttr", rate_or_zero(F.col("types_1"), F.col("tokens"))).withColumns({f"diversity_{k}": F.col(f"types_{k}") / F.greatest(F.lit(1), F.col("tokens") - (k - 1)) for k in (2, 3)})
+    spans = lambda n: F.transform(F.filter(F.transform(ngrams(joined, n), lambda g, i: F.struct(g.alias("g"), i.alias("i"))), lambda x: (x.i < F.size("b")) & (x.i + n > F.size("b"))), lambda x: x.g)
+    hashed = lambda k, gs: F.transform(gs, lambda g: F.struct(F.lit(k).alias("k"), F.xxhash64(g).alias("h"), F.xxhash64(g, F.lit(k)).alias("h2")))
+    # the size of a text travels with its n-grams, under a number of its own
+    size = F.array(F.struct(F.lit(0).alias("k"), F.monotonically_increasing_id().alias("h"), F.size("w").cast("long").alias("h2")))
+    every = t.select(run, F.explode(F.concat(size, *(hashed(n, ngrams(F.col("w"), n)) for n in (1, 2, 3)))).alias("x"))
+    every = every.unionByName(cross.select(run, F.explode(F.concat(hashed(2, spans(2)), hashed(3, spans(3)))).alias("x")))
+    kinds = every.select(run, "x.*").distinct().groupBy(run).agg(F.sum(F.when(F.col("k") == 0, F.col("h2"))).alias("tokens"), *(F.count_if(F.col("k") == k).alias(f"types_{k}") for k in (1, 2, 3)))
+    return kinds.withColumn("ttr", rate_or_zero(F.col("types_1"), F.col("tokens"))).withColumns({f"diversity_{k}": F.col(f"types_{k}") / F.greatest(F.lit(1), F.col("tokens") - (k - 1)) for k in (2, 3)})
 
 
 def link_stats(articles: DataFrame, run: str, found: Column, key) -> DataFrame:
@@ -171,3 +175,9 @@ def shortfall(attempted: DataFrame, returned: DataFrame) -> DataFrame:
     """How many attempted subjects came back, did not, or came back without claims."""
     r = attempted.join(returned.select("subject", "n_claims"), "subject", "left")
     return r.agg(F.count("*").alias("attempted"), F.count("n_claims").alias("returned"), F.count_if(F.col("n_claims").isNull()).alias("missing"), F.count_if(F.col("n_claims") == 0).alias("without_claims"))
+
+
+def task_matrix(subjects: DataFrame, candidates: list[str], baselines: list[str]) -> DataFrame:
+    """Every subject with every candidate and baseline, which are few."""
+    each = lambda xs: F.explode(F.array(*map(F.lit, xs)))
+    return subjects.select("subject", each(candidates).alias("candidate")).select("*", each(baselines).alias("baseline"))

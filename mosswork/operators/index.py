@@ -10,12 +10,13 @@ from ..functions.text import index_tokens, slug
 from ..functions.wikitext import links
 
 
-def postings(entries: DataFrame, dedupe: bool = True) -> DataFrame:
-    """token, ids of entries (id, title, snippet). dedupe=False lists an id once per occurrence."""
+def postings(entries: DataFrame, span: int = 100_000, dedupe: bool = True) -> DataFrame:
+    """token, part, ids of entries (id, title, snippet): a part holds the ids of one span, so the list of a word that all entries have is many
+    rows of bounded length. dedupe=False lists an id once per occurrence."""
     t = entries.select("id", F.explode(index_tokens(F.concat_ws(" ", "title", F.substring("snippet", 1, 500)), STOP_WORDS)).alias("token"))
     if dedupe:
         t = t.distinct()
-    return t.groupBy("token").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    return t.groupBy("token", F.floor(F.col("id") / span).alias("part")).agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
 def search(entries: DataFrame, query: list[str], k: int = 50) -> DataFrame:
@@ -45,17 +46,27 @@ def parents(articles: DataFrame) -> DataFrame:
     return articles.groupBy("title").agg(F.max_by(F.struct("parent", "hop"), "position").alias("r")).select("title", "r.*")
 
 
+def numbered(rows: DataFrame, name: str, *order) -> DataFrame:
+    """rows with their place in an order, from 0: ranges are sorted apart, and the sizes of those before a range, a row each, are added."""
+    keys = [f"_o{i}" for i in range(len(order))]
+    ranged = rows.withColumns(dict(zip(keys, order, strict=True))).repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())
+    local = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)))
+    before = ranged.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
+    return local.join(before, "_part").withColumn(name, F.col("_before") + F.col("_at") - 1).drop(*keys, "_part", "_at", "_before")
+
+
 def browse_order(entries: DataFrame) -> DataFrame:
-    """Places by hop, then title. Pages of a site are ordered once, when it is built."""
-    return entries.withColumn("place", F.row_number().over(Window.orderBy("hop", F.lower("title"), "id")) - 1)
+    """Places by hop, then title."""
+    return numbered(entries, "place", F.col("hop"), F.lower("title"), F.col("id"))
 
 
 def cross_references(entries: DataFrame) -> DataFrame:
-    """site, title, other site and path of titles that two or more sites have, in any case."""
-    key = F.lower("title").alias("key")
-    a = entries.select("site", "title", key).distinct()
-    b = entries.select(F.col("site").alias("other_site"), F.col("path").alias("other_path"), key).distinct()
-    return a.join(b, "key").filter("site <> other_site").select("site", "title", "other_site", "other_path")
+    """site, title, other site and path of titles that two or more sites have, in any case. Of a title each site has one path; there are few sites."""
+    of = entries.groupBy(F.lower("title").alias("key"), "site").agg(F.min("path").alias("path"))
+    shared = of.groupBy("key").agg(F.collect_list(F.struct("site", "path")).alias("sites")).filter("size(sites) > 1")
+    titles = entries.select("site", "title", F.lower("title").alias("key")).distinct()
+    each = titles.join(shared, "key").select("site", "title", F.explode("sites").alias("o")).filter("o.site <> site")
+    return each.select("site", "title", F.col("o.site").alias("other_site"), F.col("o.path").alias("other_path"))
 
 
 def featured(entries: DataFrame, preferred: list[str], most: int = 15) -> DataFrame:

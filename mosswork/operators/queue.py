@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .index import numbered
+
 KEY = ["subject", "hop"]
 
 
@@ -69,4 +71,4 @@ def reset_working(rows: DataFrame) -> DataFrame:
 
 
 def with_order(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.col("retry_at").asc_nulls_first(), "created_at", "subject", "hop")))
+    return numbered(rows, "place", F.coalesce("retry_at", F.lit(float("-inf"))), F.col("created_at"), F.col("subject"), F.col("hop"))

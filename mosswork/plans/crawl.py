@@ -4,53 +4,63 @@ Providers are tables joined in; what a provider leaves unanswered fails closed:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import canon_key, plural, singular
+from ..functions.text import canon_key, plural, singular, title_and_confidence
 from ..functions.wikitext import categories, links_outside
+from ..operators import vector
 
 
-def candidates(articles: DataFrame) -> DataFrame:
-    """subject, hop, place, phrase: links, then categories, each once, in order."""
-    both = F.array_distinct(F.concat(links_outside(F.col("wikitext")), categories(F.col("wikitext"))))
+def candidates(articles: DataFrame, confidence: float | None = None) -> DataFrame:
+    """subject, hop, place, phrase: links, then categories, each once, in order. confidence: links carry one, "Title (0.97)", and those below go."""
+    links = links_outside(F.col("wikitext"))
+    if confidence is not None:
+        told = F.transform(links, title_and_confidence)
+        links = F.transform(F.filter(told, lambda x: F.coalesce(x.confidence, F.lit(0.0)) >= confidence), lambda x: x.title)
+    both = F.array_distinct(F.concat(links, categories(F.col("wikitext"))))
     return articles.select("subject", "hop", F.posexplode(both).alias("place", "phrase"))
 
 
 def seen_flags(each: DataFrame, seen: DataFrame) -> DataFrame:
-    """Adds key, in_seen, plural_seen by joins with the seen keys; never through the driver."""
-    keyed = each.withColumns({"key": canon_key(F.col("phrase"))}).filter("key <> ''")
-    keyed = keyed.withColumns({"one": singular(F.col("key")), "many": plural(F.col("key"))})
-    for column, flag in (("key", "in_seen"), ("one", "one_seen"), ("many", "many_seen")):
-        keyed = keyed.join(seen.select(F.col("canon_key").alias(column), F.lit(True).alias(flag)).distinct(), column, "left")
+    """Adds key, one, many, in_seen, plural_seen. Distinct keys and their variants meet the seen keys in one join; then the flags of a
+    key meet its candidates."""
+    keyed = each.withColumn("key", canon_key(F.col("phrase"))).filter("key <> ''")
+    keys = keyed.select("key").distinct().select("key", singular(F.col("key")).alias("one"), plural(F.col("key")).alias("many"))
+    forms = keys.select("key", F.explode(F.array(*(F.struct(F.col(c).alias("form"), F.lit(c == "key").alias("own")) for c in ("key", "one", "many")))).alias("f"))
+    known = seen.select(F.col("canon_key").alias("form")).distinct()
+    hits = forms.select("key", "f.*").filter("form is not null").join(known, "form").groupBy("key").agg(F.bool_or("own").alias("in_seen"), F.bool_or(~F.col("own")).alias("plural_seen"))
+    flagged = keyed.join(hits, "key", "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    return keyed.withColumns({"in_seen": yes("in_seen"), "plural_seen": yes("one_seen") | yes("many_seen")}).drop("one_seen", "many_seen")
+    return flagged.withColumns({"one": singular(F.col("key")), "many": plural(F.col("key")), "in_seen": yes("in_seen"), "plural_seen": yes("plural_seen")})
 
 
-def _fold(rows: Column) -> Column:
-    """Reasons in order; a plural variant is compared with the keys kept so far, so the fold is sequential within one article."""
-    start = F.struct(F.array().cast("array<string>").alias("kept"), F.array().cast("array<struct<place:int,phrase:string,key:string,reason:string>>").alias("out"))
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _reasons(key: pd.Series, one: pd.Series, many: pd.Series, in_seen: pd.Series, plural_seen: pd.Series) -> pd.Series:
+    """Reasons of an article's candidates in order. A candidate is compared with those kept before it, so the fold is sequential; sets make it linear."""
 
-    def step(acc, r):
-        has = lambda k: F.coalesce(F.array_contains(acc.kept, k), F.lit(False))
-        reason = (
-            F.when(r.plural_seen, "plural_variant")
-            .when(F.coalesce(has(r.one), F.lit(False)) | F.coalesce(has(r.many), F.lit(False)), "plural_variant_batch")
-            .when(r.in_seen, "seen")
-            .when(has(r.key), "batch")
-            .otherwise("kept")
-        )
-        row = F.struct(r.place.alias("place"), r.phrase.alias("phrase"), r.key.alias("key"), reason.alias("reason"))
-        return F.struct(F.when(reason == "kept", F.array_append(acc.kept, r.key)).otherwise(acc.kept).alias("kept"), F.array_append(acc.out, row).alias("out"))
+    def fold(rows):
+        kept, out = set(), []
+        for k, o, m, s, p in rows:
+            reason = "plural_variant" if p else "plural_variant_batch" if o in kept or m in kept else "seen" if s else "batch" if k in kept else "kept"
+            if reason == "kept":
+                kept.add(k)
+            out.append(reason)
+        return out
 
-    return F.aggregate(rows, start, step, lambda acc: acc.out)
+    return pd.Series([fold(zip(*x, strict=True)) for x in zip(key, one, many, in_seen, plural_seen, strict=True)])
 
 
 def deduplicated(each: DataFrame, seen: DataFrame) -> DataFrame:
     """subject, hop, place, phrase, key, reason of every candidate; one article's candidates are one group."""
     flagged = seen_flags(each, seen)
-    rows = F.sort_array(F.collect_list(F.struct("place", "phrase", "key", "one", "many", "in_seen", "plural_seen")))
-    return flagged.groupBy("subject", "hop").agg(rows.alias("rows")).select("subject", "hop", F.explode(_fold(F.col("rows"))).alias("x")).select("subject", "hop", "x.*")
+    fields = ("key", "one", "many", "in_seen", "plural_seen")
+    rows = flagged.groupBy("subject", "hop").agg(F.sort_array(F.collect_list(F.struct("place", "phrase", *fields))).alias("rows"))
+    told = rows.select("subject", "hop", "rows", _reasons(*(F.col(f"rows.{c}") for c in fields)).alias("reasons"))
+    each = F.explode(F.zip_with("rows", "reasons", lambda r, x: F.struct(r.place.alias("place"), r.phrase.alias("phrase"), r.key.alias("key"), x.alias("reason"))))
+    return told.select("subject", "hop", each.alias("x")).select("subject", "hop", "x.*")
 
 
 def gated(kept: DataFrame, decisions: DataFrame, threshold: float = 0.0) -> DataFrame:
@@ -63,17 +73,59 @@ def gated(kept: DataFrame, decisions: DataFrame, threshold: float = 0.0) -> Data
     return j.withColumn("gate_reason", reason.otherwise("accepted")).withColumn("passed", F.col("gate_reason") == "accepted").drop("d")
 
 
-def expand(seeds: DataFrame, articles: DataFrame, decisions: DataFrame, max_depth: int, save, max_subjects: int | None = None, threshold: float = 0.0) -> DataFrame:
+def ready(subjects: DataFrame, *stages: DataFrame) -> DataFrame:
+    """Subjects (subject, hop) that every enabled stage before has a payload for."""
+    for s in stages:
+        subjects = subjects.join(s.select("subject", "hop").distinct(), ["subject", "hop"], "left_semi")
+    return subjects
+
+
+def distinct_enough(new: DataFrame, reached: DataFrame, embeddings: DataFrame, threshold: float, answers: DataFrame | None = None) -> DataFrame:
+    """The similarity stage of a wave: new rows (canon_key, phrase, position) that are no duplicate of one reached or of one before them in the wave. Exact
+    repeats of a phrase go first. embeddings: canon_key, e; what has none is a duplicate. answers: canon_key, same: a judge's word where a score is above
+    the threshold; without one it is a duplicate."""
+    once = new.groupBy("phrase").agg(F.min_by(F.struct("canon_key", "position"), "position").alias("r")).select("phrase", "r.*")
+    e = once.join(embeddings, "canon_key").select("canon_key", "phrase", F.col("position").alias("id"), "e")
+    index = reached.join(embeddings, "canon_key").select((-1 - F.xxhash64("canon_key") % (1 << 62)).alias("id"), "e")
+    best = vector.topk(e.select("id", "e"), index, 1).select(F.col("query_id").alias("id"), F.col("score").alias("db"))
+    batch = vector.in_batch(e.select(F.col("id").alias("position"), "e"), threshold).select(F.col("position").alias("id"), "best_score", "duplicate_of")
+    j = e.drop("e").join(best, "id", "left").join(batch, "id", "left")
+    told = (answers or new.sparkSession.createDataFrame([], "canon_key string, same boolean")).select("canon_key", "same")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    d = vector.decision(zero("db"), zero("best_score"), F.col("duplicate_of"), F.lit(True), threshold, "llm", F.col("same"))
+    return j.join(told, "canon_key", "left").withColumn("d", d).select("canon_key", "phrase", F.col("id").alias("position"), "d.decision", "d.reason")
+
+
+def levels(roots: DataFrame, edges: DataFrame, save) -> DataFrame:
+    """node, depth of everything that edges (parent, child) reach from roots (node), level by level; a node has its least depth."""
+    frontier = save(roots.select("node", F.lit(0).alias("depth")).distinct(), "level")
+    reached, depth = frontier, 0
+    while not frontier.isEmpty():
+        depth += 1
+        next_ = frontier.join(edges, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct().join(reached.select("node"), "node", "left_anti")
+        frontier = save(next_.select("node", F.lit(depth).alias("depth")), "level")
+        reached = reached.unionByName(frontier)
+    return reached
+
+
+def expand(
+    seeds: DataFrame, articles: DataFrame, decisions: DataFrame, max_depth: int, save, max_subjects: int | None = None, threshold: float = 0.0,
+    embeddings: DataFrame | None = None, similarity: float = 0.9, answers: DataFrame | None = None, stages: tuple[DataFrame, ...] = (), confidence: float | None = None,
+) -> DataFrame:
     """subject, hop, parent_subject, canon_key of everything reached. articles: subject, wikitext as a provider recorded them.
-    save(df, name) makes each level durable (a table or checkpoint), so a lost executor repeats one level at most."""
+    save(df, name) makes each level durable (a table or checkpoint), so a lost executor repeats one level at most.
+    embeddings: with them new subjects pass the similarity stage. stages: payloads that an article needs before it is written. confidence: links carry one."""
     frontier = save(seeds.select("subject", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("parent_subject"), canon_key(F.col("subject")).alias("canon_key")).dropDuplicates(["canon_key"]), "level")
     reached = frontier
     for hop in range(1, max_depth + 1):
-        written = frontier.select("subject", "hop").join(articles, "subject")
-        each = deduplicated(candidates(written), reached.select("canon_key")).filter("reason = 'kept'")
+        written = ready(frontier.select("subject", "hop"), *stages).join(articles, "subject")
+        each = deduplicated(candidates(written, confidence), reached.select("canon_key")).filter("reason = 'kept'")
         ok = gated(each, decisions, threshold).filter("passed")
         # of articles that name one key on a level the first by subject and place is its parent
         new = ok.groupBy(F.col("key").alias("canon_key")).agg(F.min(F.struct("subject", "place", "phrase")).alias("r"))
+        if embeddings is not None:
+            wave = save(new.select("canon_key", F.col("r.phrase").alias("phrase"), F.xxhash64("canon_key").alias("position")), "wave")
+            new = new.join(distinct_enough(wave, reached, embeddings, similarity, answers).filter("decision = 'accept'").select("canon_key"), "canon_key", "left_semi")
         frontier = new.select(F.col("r.phrase").alias("subject"), F.lit(hop).alias("hop"), F.col("r.subject").alias("parent_subject"), "canon_key")
         if max_subjects is not None:
             left = max_subjects - reached.count()

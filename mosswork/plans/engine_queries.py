@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import wikitext as wk
 from ..functions.similarity import cosine, unit
+from ..operators import analyses as an
 from ..operators import evidence as ev
+from ..operators import funnel as fn
 from ..operators import queue as qu
 from ..operators import vector as ve
 from . import crawl
@@ -27,7 +29,19 @@ def saver(spark):
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="mosswork-"))
     return lambda df, name: df.checkpoint()
 
-URLS = ["https://www.britannica.com/a", "http://en.wikipedia.org/x", "https://news.bbc.co.uk/1", "https://cs.mit.edu/", "http://foo.org/a", "https://blog.university-press.net/z", "http://plain.net", "https://plain.net:8080/p?q#r", "ftp://x", "https://loc.gov", "https://a.ac.uk/p", "notaurl"]
+# url, domain, root, first score, second score, label, excluded by the first scheme (with the suffix `net`), by the second
+URLS = [
+    ("https://www.britannica.com/a", "www.britannica.com", "britannica.com", 100, 100, "gold", False, False), ("http://en.wikipedia.org/x", "en.wikipedia.org", "wikipedia.org", 70, 98, "gold", True, False),
+    ("https://news.bbc.co.uk/1", "news.bbc.co.uk", "co.uk", 35, 32, "low", False, False), ("https://cs.mit.edu/", "cs.mit.edu", "mit.edu", 93, 70, "acceptable", False, False),
+    ("https://www.investopedia.com/t", "www.investopedia.com", "investopedia.com", 35, 69, "acceptable", False, False), ("http://healthline.com", "healthline.com", "healthline.com", 30, 65, "acceptable", False, False),
+    ("https://www.mayoclinic.org/x", "www.mayoclinic.org", "mayoclinic.org", 88, 79, "good", False, False), ("http://webmd.com/", "webmd.com", "webmd.com", 72, 62, "acceptable", False, False),
+    ("https://verywellhealth.com", "verywellhealth.com", "verywellhealth.com", 35, 61, "acceptable", False, False), ("https://blog.university-press.net/z", "blog.university-press.net", "university-press.net", 35, 70, "acceptable", True, False),
+    ("https://www.linkedin.com/in/x", "www.linkedin.com", "linkedin.com", 35, 32, "low", False, True), ("http://plain.net", "plain.net", "plain.net", 30, 30, "low", True, False),
+    ("https://plain.net:8080/p?q#r", "plain.net:8080", "plain.net:8080", 35, 32, "low", False, False), ("ftp://x", "x", "x", 30, 30, "low", False, False), ("https://loc.gov", "loc.gov", "loc.gov", 97, 98, "gold", False, False),
+    ("https://a.ac.uk/p", "a.ac.uk", "ac.uk", 35, 65, "acceptable", False, False), ("notaurl", "", "", 30, 30, "low", False, False), ("https://medium.com/@x", "medium.com", "medium.com", 35, 56, "fair", False, False),
+    ("https://www.reddit.com/r", "www.reddit.com", "reddit.com", 35, 32, "low", True, True), ("https://museum.example.org/", "museum.example.org", "example.org", 70, 70, "acceptable", False, False),
+    ("https://x.fandom.com/wiki", "x.fandom.com", "fandom.com", 35, 32, "low", False, True),
+]
 _DOM = "lower(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1))"
 _ROOT = "CASE WHEN contains({0}, '.') THEN array_to_string(string_split({0}, '.')[-2:], '.') ELSE {0} END"
 
@@ -45,12 +59,14 @@ def _scored(source: str) -> str:
     WHEN greatest({words}) > 0 THEN greatest({words}) WHEN starts_with(url, 'https') THEN 32 ELSE 30 END AS DOUBLE) AS score_b FROM j)"""
 
 
-@query(_scored("(VALUES " + ", ".join(f"('{u}')" for u in URLS) + ") v(url)") + """ SELECT url, d AS domain, root, score_a, score_b, CASE WHEN score_b >= 95 THEN 'gold' WHEN score_b >= 85 THEN 'excellent' WHEN score_b >= 75 THEN 'good' WHEN score_b >= 60 THEN 'acceptable' WHEN score_b >= 40 THEN 'fair' ELSE 'low' END AS label,
-    d IN (""" + ", ".join(f"'{d}'" for d in ev.BLOCKED) + ") OR root IN (" + ", ".join(f"'{d}'" for d in ev.BLOCKED) + ") OR ends_with(d, 'net') AS excluded FROM s")
+@query("SELECT url, domain, root, CAST(a AS DOUBLE) AS score_a, CAST(b AS DOUBLE) AS score_b, label, excluded, excluded_b FROM (VALUES " + ", ".join(f"('{u}', '{d}', '{r}', {a}, {b}, '{l}', {x}, {y})" for u, d, r, a, b, l, x, y in URLS) + ") v(url, domain, root, a, b, label, excluded, excluded_b)")
 def domain_scores(spark, sf_dir):
     u = F.col("url")
-    d = spark.createDataFrame([(x,) for x in URLS], "url string")
-    return d.select("url", ev.domain(u).alias("domain"), ev.root(ev.domain(u)).alias("root"), ev.score_a(u).alias("score_a"), ev.score_b(u).alias("score_b"), ev.label(ev.score_b(u)).alias("label"), ev.excluded(u, ["net"]).alias("excluded"))
+    d = spark.createDataFrame([x[:1] for x in URLS], "url string")
+    return d.select(
+        "url", ev.domain(u).alias("domain"), ev.root(ev.domain(u)).alias("root"), ev.score_a(u).alias("score_a"), ev.score_b(u).alias("score_b"), ev.label(ev.score_b(u)).alias("label"),
+        ev.excluded(u, ["net"]).alias("excluded"), ev.excluded(u, blocked=ev.BLOCKED_B).alias("excluded_b"),
+    )
 
 
 @query(_scored("pages") + " SELECT url, score_a, score_b FROM s")
@@ -82,9 +98,25 @@ def blocked_reasons(spark, sf_dir):
     return spark.createDataFrame(TEXTS, "id int, x string").select("id", ev.blocked_reason(F.col("x")).alias("reason"))
 
 
-@query("""SELECT n_name, unnest([n_name, n_name || ' history', n_name || ' facts']) AS query FROM nation""")
+_SUBJECTS = [" Ada (Countess of  Lovelace) ", "Mercury (planet)", "plain", "A (b) c", "(x)"]
+
+
+@query("""WITH s AS (SELECT n_name AS subject, NULL AS short, NULL AS inside FROM nation UNION ALL SELECT * FROM (VALUES (' Ada (Countess of  Lovelace) ', 'Ada', 'Countess of  Lovelace'), ('Mercury (planet)', 'Mercury', 'planet'), ('plain', NULL, NULL), ('A (b) c', NULL, NULL), ('(x)', NULL, NULL)) v(s, a, b)), t AS (
+    SELECT subject, trim(subject) AS clean, inside, CASE WHEN inside IS NULL THEN trim(subject) ELSE short || ' ' || inside END AS base FROM s)
+    SELECT subject, '"' || base || '" history facts encyclopedia' AS first_pipeline, base || ' encyclopedia overview facts' AS q1, base || ' wikipedia' AS q2, CASE WHEN inside IS NULL THEN '"' || clean || '" biography history overview' ELSE '"' || inside || '" history overview' END AS q3 FROM t""")
 def search_queries(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select("n_name", F.explode(tx.search_queries(F.col("n_name"))).alias("query"))
+    t = table(spark, sf_dir, "nation").select(F.col("n_name").alias("subject")).unionByName(spark.createDataFrame([(x,) for x in _SUBJECTS], "subject string"))
+    q = tx.search_queries(F.col("subject"))
+    return t.select("subject", tx.search_query(F.col("subject")).alias("first_pipeline"), *(F.get(q, i).alias(f"q{i + 1}") for i in range(3)))
+
+
+@query(_scored("pages") + """, every AS (SELECT page_id % 7 AS subject, url, struct_pack(a := 0, b := page_id) AS position FROM pages UNION ALL SELECT (page_id + 3) % 7, url, struct_pack(a := 1, b := page_id) FROM pages), o AS (SELECT subject, url, min(position) AS position FROM every GROUP BY ALL), best AS (
+    SELECT subject, url, position, root, score_b AS score FROM o JOIN (SELECT DISTINCT url, root, score_b FROM s) USING (url)), g AS (SELECT *, row_number() OVER (PARTITION BY subject, root ORDER BY score DESC, position) AS r FROM best), k AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY score DESC, position) AS rank FROM g WHERE r = 1)
+    SELECT subject, url, CAST(rank AS INT) AS rank FROM k WHERE rank <= 5""")
+def second_evidence(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    of = lambda shift: p.select(((F.col("page_id") + shift) % 7).alias("subject"), "url", F.col("page_id").alias("position"))
+    return ev.second_scheme(ev.merged_results(of(0), of(3)), 5).select("subject", "url", "rank")
 
 
 @query("""SELECT c_custkey AS subject, coalesce(a.value, b.value) AS value, CAST(CASE WHEN a.value IS NOT NULL THEN 1 WHEN b.value IS NOT NULL THEN 2 END AS INT) AS phase FROM customer
@@ -102,19 +134,10 @@ def vector_topk(spark, sf_dir):
     return ve.topk(e, e, 5).select("query_id", "rank", "id", F.round("score", 5).alias("score"))
 
 
-_BATCH = "SELECT vec_id AS position, embedding::DOUBLE[] AS e FROM embeddings WHERE label = 0"
-
-
-@query(f"""WITH b AS ({_BATCH}), s AS (SELECT a.position, b.position AS other, list_dot_product(a.e, b.e) AS score FROM b a JOIN b ON a.position <> b.position), m AS (SELECT position, max(score) AS best FROM s GROUP BY position), o AS (
+@query("""WITH b AS (SELECT vec_id AS position, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.position, b.position AS other, round(list_dot_product(a.e, b.e), 12) AS score FROM b a JOIN b ON a.position <> b.position), m AS (SELECT position, max(score) AS best FROM s GROUP BY position), o AS (
     SELECT s.position, m.best, min(other) AS other FROM s JOIN m ON m.position = s.position AND m.best = s.score GROUP BY ALL)
     SELECT position, round(greatest(best, 0), 5) AS best_score, CASE WHEN best >= 0.3 AND other < position THEN other END AS duplicate_of FROM o""")
 def in_batch_duplicates(spark, sf_dir):
-    b = table(spark, sf_dir, "embeddings").filter("label = 0").select(F.col("vec_id").alias("position"), F.col("embedding").alias("e"))
-    return ve.in_batch(b, 0.3).select("position", F.round("best_score", 5).alias("best_score"), "duplicate_of")
-
-
-@query()
-def in_batch_duplicates_all(spark, sf_dir):
     """All embeddings are one batch."""
     b = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("position"), F.col("embedding").alias("e"))
     return ve.in_batch(b, 0.3).select("position", F.round("best_score", 5).alias("best_score"), "duplicate_of")
@@ -182,36 +205,30 @@ def lww_dedup(spark, sf_dir):
 @query("""WITH RECURSIVE t AS (SELECT doc_id, 0 AS depth FROM documents WHERE doc_id = 0 UNION ALL SELECT d.doc_id, t.depth + 1 FROM documents d JOIN t ON d.doc_id // 3 = t.doc_id AND d.doc_id <> 0)
     SELECT depth, count(*) AS n FROM t GROUP BY depth""")
 def bfs_levels(spark, sf_dir):
-    table(spark, sf_dir, "documents").select("doc_id", F.expr("doc_id div 3").alias("parent")).createOrReplaceTempView("mosswork_tree")
-    return spark.sql("""WITH RECURSIVE t(doc_id, depth) AS (SELECT doc_id, 0 FROM mosswork_tree WHERE doc_id = 0 UNION ALL SELECT d.doc_id, t.depth + 1 FROM mosswork_tree d JOIN t ON d.parent = t.doc_id AND d.doc_id <> 0)
-        SELECT depth, count(*) AS n FROM t GROUP BY depth""")
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    edges = d.filter("doc_id <> 0").select(F.expr("doc_id div 3").alias("parent"), F.col("doc_id").alias("child"))
+    return crawl.levels(d.filter("doc_id = 0").select(F.col("doc_id").alias("node")), edges, saver(spark)).groupBy("depth").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id // 3 AS parent, count(*) AS children FROM documents WHERE doc_id > 0 GROUP BY 1")
 def children_count(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("doc_id > 0").select(F.expr("doc_id div 3").alias("parent"))
-    return d.groupBy("parent").agg(F.count("*").alias("children"))
+    parent = F.expr("doc_id div 3")
+    none = F.lit(None).cast("long")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("subject"), F.lit(0).alias("hop"), F.when(F.col("doc_id") > 0, parent).otherwise(none).alias("parent_subject"), F.lit(0).alias("parent_hop"), F.col("doc_id").alias("ordinal"))
+    return fn.child_rows(d).groupBy(F.col("subject").alias("parent")).agg(F.sum("inserted_children").alias("children"))
 
 
-_FIRST = f"SELECT doc_id, CAST(i AS INT) AS place, w[i + 1] AS phrase FROM (SELECT doc_id, ({TOKENS})[1:40] AS w, unnest(range(40)) AS i FROM documents) WHERE i < len(w)"
+_EVERY = f"SELECT doc_id, CAST(unnest(range(len(w))) AS INT) AS place, unnest(w) AS phrase FROM (SELECT doc_id, {TOKENS} AS w FROM documents)"
 _SEEN = f"SELECT DISTINCT unnest({TOKENS}) AS k FROM benchmark"
 
 
-@query(f"""WITH c AS ({_FIRST}), s AS ({_SEEN}) SELECT doc_id, place, {KEY.format('phrase')} AS key, EXISTS (SELECT 1 FROM s WHERE k = phrase) AS in_seen FROM c WHERE {KEY.format('phrase')} <> ''""")
+@query(f"""WITH c AS ({_EVERY}), s AS ({_SEEN}) SELECT doc_id, place, {KEY.format('phrase')} AS key, EXISTS (SELECT 1 FROM s WHERE k = phrase) AS in_seen FROM c WHERE {KEY.format('phrase')} <> ''""")
 def seen_candidates(spark, sf_dir):
     return _flagged(spark, sf_dir).select("doc_id", "place", "key", "in_seen")
 
 
-@query()
-def seen_candidates_all(spark, sf_dir):
-    """All tokens of a text are its candidates."""
-    return _flagged(spark, sf_dir, None).select("doc_id", "place", "key", "in_seen")
-
-
-def _flagged(spark, sf_dir, most=40):
-    w = tx.tokens(F.col("text"))
-    w = w if most is None else F.slice(w, 1, most)  # the SQL of seen_candidates takes the first words only
-    each = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("subject"), F.lit(0).alias("hop"), F.posexplode(w).alias("place", "phrase"))
+def _flagged(spark, sf_dir):
+    each = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("subject"), F.lit(0).alias("hop"), F.posexplode(tx.tokens(F.col("text"))).alias("place", "phrase"))
     seen = table(spark, sf_dir, "benchmark").select(F.explode(tx.tokens(F.col("text"))).alias("canon_key")).distinct()
     return crawl.seen_flags(each, seen)
 
@@ -232,14 +249,15 @@ def ner_gate(spark, sf_dir):
 
 @query()
 def crawl_levels(spark, sf_dir):
-    """Pages as articles: a page links to the titles of the three pages with thrice its id and more; every even one is a named entity."""
-    p = table(spark, sf_dir, "pages").select("page_id")
-    n = F.col("page_id") * 3
-    text = F.concat_ws(" ", *(F.concat(F.lit("[[Page "), (n + i).cast("string"), F.lit("]]")) for i in (0, 1, 2)))
-    articles = p.select(F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("subject"), text.alias("wikitext"))
-    decisions = p.select(F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("phrase"), (F.col("page_id") % 2 == 0).alias("is_ne"), F.lit(None).cast("double").alias("confidence"), F.col("page_id").alias("line_no"))
-    seeds = spark.createDataFrame([("Page 2",)], "subject string")
-    return crawl.expand(seeds, articles, decisions, 6, save=saver(spark))
+    """Documents as articles: the first word is the subject, every word of the text a link; words of four letters and more are named entities."""
+    w = tx.tokens(F.col("text"))
+    d = table(spark, sf_dir, "documents").select("doc_id", w.alias("w")).filter(F.size("w") > 0)
+    text = F.array_join(F.transform(F.array_distinct("w"), lambda x: F.concat(F.lit("[["), x, F.lit("]]"))), " ")
+    first = d.select(F.get("w", 0).alias("subject"), "doc_id", text.alias("wikitext"))
+    articles = first.groupBy("subject").agg(F.min_by("wikitext", "doc_id").alias("wikitext"))
+    words = d.select(F.explode("w").alias("phrase")).distinct()
+    decisions = words.select("phrase", (F.length("phrase") >= 4).alias("is_ne"), F.lit(None).cast("double").alias("confidence"), F.lit(0).alias("line_no"))
+    return crawl.expand(spark.createDataFrame([("the",), ("der",), ("la",)], "subject string"), articles, decisions, 2, save=saver(spark))
 
 
 @query("""SELECT page_id, CAST(len(list_filter(regexp_extract_all(html, '(?is)<h([23])[^>]*>(.*?)</h[23]>', 2), lambda x: true)) AS INT) AS headings FROM pages""")
@@ -247,7 +265,6 @@ def page_headings(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(wk.contents(F.col("html"), 0)).alias("headings"))
 
 
-@query("""SELECT n_nationkey, unnest(['a', 'b']) AS candidate, unnest(['x', 'x']) AS baseline FROM nation UNION ALL SELECT n_nationkey, unnest(['a', 'b']), 'y' FROM nation""")
+@query("""SELECT n_nationkey AS subject, candidate, baseline FROM nation, (VALUES ('a'), ('b')) c(candidate), (VALUES ('x'), ('y'), ('z')) b(baseline)""")
 def task_matrix(spark, sf_dir):
-    lists = (F.explode(F.array(F.lit("a"), F.lit("b"))).alias("candidate"), F.explode(F.array(F.lit("x"), F.lit("y"))).alias("baseline"))
-    return table(spark, sf_dir, "nation").select("n_nationkey", lists[0]).select("*", lists[1])
+    return an.task_matrix(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("subject")), ["a", "b"], ["x", "y", "z"])

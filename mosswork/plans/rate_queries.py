@@ -282,11 +282,11 @@ def normalize_similarity_reason(spark, sf_dir):
     return d.select("id", fn.normalised(F.col("stage"), F.col("decision"), F.col("reason")).alias("x")).select("id", "x.*")
 
 
-_BOUGHT = "SELECT DISTINCT c_mktsegment AS g, l_partkey AS item FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_linenumber = 1"
+_BOUGHT = "SELECT DISTINCT c_mktsegment AS g, l_partkey AS item FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey "
 
 
 def bought(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select("l_orderkey", F.col("l_partkey").alias("item"))
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("item"))
     o, c = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("g"))
     return l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).select("g", "item")
 
@@ -303,23 +303,18 @@ def subject_overlap_venn(spark, sf_dir):
     return an.venn(bought(spark, sf_dir), "g", "item", ["AUTOMOBILE", "BUILDING", "MACHINERY"])
 
 
-# pairs of documents: neighbours in id order of one language
-_PAIRS_SQL = f"""WITH d AS (SELECT doc_id, text, {TOKENS} AS w, lag(doc_id) OVER o AS other, lag(text) OVER o AS text_b, lag({TOKENS}) OVER o AS v FROM documents WHERE n_chars < 20000 WINDOW o AS (PARTITION BY lang ORDER BY doc_id)), p AS (SELECT * FROM d WHERE other IS NOT NULL)"""
+# pairs of documents: each with the one before it by id
+_PAIRS_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {TOKENS.replace('text', "coalesce(text, '')")} AS w FROM documents), p AS (SELECT a.doc_id, b.doc_id AS other, a.text, b.text AS text_b, a.w, b.w AS v FROM d a JOIN d b ON a.doc_id = b.doc_id + 1)"""
 _G = lambda w, n: f"list_distinct(list_transform(range(1, greatest(1, len({w}) - {n - 2})), lambda i: array_to_string({w}[i : i + {n - 1}], '|')))"
 _J = lambda a, b: f"CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b}))) END"
 _O = lambda a, b: f"len(list_intersect({a}, {b}))::DOUBLE / nullif(least(len({a}), len({b})), 0)"
 
 
-def pairs(spark, sf_dir, whole=False):
-    """whole: without the length filter that the SQL of the first two queries has."""
-    from pyspark.sql import Window
-
-    d = table(spark, sf_dir, "documents")
-    d = (d if whole else d.filter("n_chars < 20000")).select("doc_id", "lang", "text")
-    o = Window.partitionBy("lang").orderBy("doc_id")
-    w = tx.tokens(F.col("text"))
-    p = d.select("doc_id", w.alias("w"), F.lag("doc_id").over(o).alias("other"), F.lag(w).over(o).alias("v")).filter("other is not null")
-    return p
+def pairs(spark, sf_dir):
+    """Each document with the one before it, by an equi-join on the id: doc_id, other, their texts and words."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("w", tx.tokens(F.col("text")))
+    before = d.select(F.col("doc_id").alias("other"), F.col("text").alias("text_b"), F.col("w").alias("v"))
+    return d.join(before, F.col("doc_id") == F.col("other") + 1)
 
 
 def _measures():
@@ -341,40 +336,15 @@ def combined_similarity(spark, sf_dir):
     return pairs(spark, sf_dir).select("doc_id", "other", F.round(combined(m, WEIGHTS_EVALUATION), 9).alias("evaluation"), F.round(combined(m, WEIGHTS_CAPTURE), 9).alias("capture"))
 
 
-@query()
-def pair_ngram_overlap_all(spark, sf_dir):
-    return pairs(spark, sf_dir, whole=True).select("doc_id", "other", *(F.round(c, 9).alias(k) for k, c in _measures().items()))
-
-
-@query()
-def combined_similarity_all(spark, sf_dir):
-    m = _measures()
-    return pairs(spark, sf_dir, whole=True).select("doc_id", "other", F.round(combined(m, WEIGHTS_EVALUATION), 9).alias("evaluation"), F.round(combined(m, WEIGHTS_CAPTURE), 9).alias("capture"))
-
-
 _TF_WORDS = lambda t: rf"list_filter(regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "))"
 
 
-@query(f"""WITH s AS (SELECT doc_id, left(text, 400) AS a, lag(left(text, 400)) OVER (PARTITION BY lang ORDER BY doc_id) AS b FROM documents), t AS (SELECT doc_id, {_TF_WORDS('a')} AS x, {_TF_WORDS('b')} AS y FROM s WHERE b IS NOT NULL), g AS (
+@query(f"""{_PAIRS_SQL}, t AS (SELECT doc_id, {_TF_WORDS('text')} AS x, {_TF_WORDS('text_b')} AS y FROM p), g AS (
     SELECT doc_id, unnest(list_concat(x, list_transform(range(1, greatest(1, len(x))), lambda i: x[i] || ' ' || x[i + 1]))) AS g, 0 AS side FROM t UNION ALL SELECT doc_id, unnest(list_concat(y, list_transform(range(1, greatest(1, len(y))), lambda i: y[i] || ' ' || y[i + 1]))), 1 FROM t), c AS (
     SELECT doc_id, g, (count(*) FILTER (side = 0))::DOUBLE AS p, (count(*) FILTER (side = 1))::DOUBLE AS q FROM g GROUP BY doc_id, g), w AS (SELECT doc_id, p * i AS p, q * i AS q FROM (SELECT *, CASE WHEN p > 0 AND q > 0 THEN 1.0::DOUBLE ELSE 1 + ln(1.5::DOUBLE) END AS i FROM c))
     SELECT t.doc_id, round(coalesce(sum(p * q) / nullif(sqrt(sum(p * p)) * sqrt(sum(q * q)), 0), 0), 9) AS cosine FROM t LEFT JOIN w ON w.doc_id = t.doc_id GROUP BY t.doc_id""")
 def tfidf_pairs(spark, sf_dir):
-    from pyspark.sql import Window
-
-    head = F.substring("text", 1, 400)
-    d = table(spark, sf_dir, "documents").select("doc_id", head.alias("a"), F.lag(head).over(Window.partitionBy("lang").orderBy("doc_id")).alias("b")).filter("b is not null")
-    return tfidf_cosine(d, "doc_id", "a", "b").withColumn("cosine", F.round("cosine", 9))
-
-
-@query()
-def tfidf_pairs_all(spark, sf_dir):
-    """Whole texts; null ones are empty."""
-    from pyspark.sql import Window
-
-    o, text = Window.partitionBy("lang").orderBy("doc_id"), F.coalesce("text", F.lit(""))
-    d = table(spark, sf_dir, "documents").select("doc_id", text.alias("a"), F.lag(text).over(o).alias("b")).filter("b is not null")
-    return tfidf_cosine(d, "doc_id", "a", "b").withColumn("cosine", F.round("cosine", 9))
+    return tfidf_cosine(pairs(spark, sf_dir), "doc_id", "text", "text_b").select("doc_id", F.round("cosine", 9).alias("cosine"))
 
 
 @query(rf"""WITH s AS (SELECT doc_id, {TOKENS} AS w, list_transform(list_filter(string_split_regex(text, '[.!?]+'), lambda x: trim(x) <> ''), lambda x: len(list_filter(string_split_regex(x, '\s+'), lambda y: y <> ''))) AS l,
@@ -406,19 +376,9 @@ def attempt_shortfall(spark, sf_dir):
     return an.shortfall(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("subject")), s)
 
 
-@query("""SELECT l_orderkey AS subject, CAST(p AS INT) AS claim_idx, claim, verdict AS wiki_verdict, '' AS web_verdict FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS p, l_linenumber::VARCHAR AS claim,
-    CASE l_returnflag WHEN 'A' THEN 'supported' WHEN 'R' THEN 'refuted' ELSE 'insufficient' END AS verdict FROM (SELECT * FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_linenumber <= 2) QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1))""")
+@query("""SELECT l_orderkey AS subject, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, v) - 1 AS INT) AS claim_idx, l_linenumber::VARCHAR AS claim, v AS wiki_verdict, '' AS web_verdict
+    FROM (SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 'supported' WHEN 'R' THEN 'refuted' ELSE 'insufficient' END AS v FROM lineitem)""")
 def claim_explode(spark, sf_dir):
-    from pyspark.sql import Window
-
-    c = claims(spark, sf_dir).filter("l_linenumber <= 2").distinct().withColumn("n", F.count("*").over(Window.partitionBy("l_orderkey", "l_linenumber"))).filter("n = 1")
-    listed = c.groupBy(F.col("l_orderkey").alias("subject")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "verdict"))).alias("v"))
-    r = listed.select("subject", F.transform("v", lambda x: x.l_linenumber.cast("string")).alias("claims"), F.transform("v", lambda x: x.verdict).alias("wiki_verdicts"), F.array().cast("array<string>").alias("web_verdicts"))
-    return an.claim_rows(r)
-
-
-@query()
-def claim_explode_all(spark, sf_dir):
     """Every line item is a claim, those of one number too."""
     listed = claims(spark, sf_dir).groupBy(F.col("l_orderkey").alias("subject")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "verdict"))).alias("v"))
     r = listed.select("subject", F.transform("v", lambda x: x.l_linenumber.cast("string")).alias("claims"), F.transform("v", lambda x: x.verdict).alias("wiki_verdicts"), F.array().cast("array<string>").alias("web_verdicts"))

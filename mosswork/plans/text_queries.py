@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import wikitext as wk
-from ..operators import index, salvage
+from ..operators import index, pages, salvage
 from ..operators.analyses import hop_stats, link_stats, min_hop, ngram_types, quotas, summary
 from ..functions.similarity import reading_grade, sentence_mean, type_token_ratio
 from .registry import query, table
@@ -159,11 +159,12 @@ def readability(spark, sf_dir):
 
 
 @query(f"""WITH b AS (SELECT unnest(['hop0','hop1','hop2','hop3','hop4','hop5plus']) AS bucket), a AS (
-    SELECT CASE WHEN doc_id % 6 <= 0 THEN 'hop0' WHEN doc_id % 6 >= 5 THEN 'hop5plus' ELSE 'hop' || (doc_id % 6) END AS bucket, len({TOKENS}) AS w FROM documents WHERE doc_id % 6 <> 2)
+    SELECT CASE WHEN doc_id % 5 <= 0 THEN 'hop0' ELSE 'hop' || (doc_id % 5) END AS bucket, len({TOKENS}) AS w FROM documents)
     SELECT b.bucket, count(w) AS n, round(100.0 * count(w) / (SELECT count(*) FROM a), 6) AS pct, round(avg(w), 6) AS words_mean, round(stddev_samp(w), 6) AS words_std, median(w::DOUBLE) AS words_median
     FROM b LEFT JOIN a ON a.bucket = b.bucket GROUP BY b.bucket""")
 def hop_corpus_stats(spark, sf_dir):
-    s = hop_stats(articles(spark, sf_dir).filter("hop <> 2"), F.col("w"))
+    """Five hops, so that the last bucket is empty."""
+    s = hop_stats(articles(spark, sf_dir).withColumn("hop", (F.col("doc_id") % 5).cast("int")), F.col("w"))
     return s.select("bucket", "n", *(F.round(c, 6).alias(c) for c in ("pct", "words_mean", "words_std")), "words_median")
 
 
@@ -205,14 +206,21 @@ def style_summary(spark, sf_dir):
     SELECT token, count(*) AS n, min(id) AS first, max(id) AS last FROM t WHERE token NOT IN """ + "(" + ", ".join(f"'{w}'" for w in index.STOP_WORDS) + ") GROUP BY token")
 def inverted_index(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), wk.html_title(F.col("html")).alias("title"), F.col("url").alias("snippet"))
-    return index.postings(p).select("token", F.size("ids").cast("long").alias("n"), F.element_at("ids", 1).alias("first"), F.element_at("ids", -1).alias("last"))
+    parts = index.postings(p, 1000)
+    return parts.groupBy("token").agg(F.sum(F.size("ids")).cast("long").alias("n"), F.min(F.get("ids", 0)).alias("first"), F.max(F.element_at("ids", -1)).alias("last"))
 
 
-@query(f"""WITH a AS ({ARTICLE_SQL}), k AS (SELECT unnest(list_distinct([subject, upper(subject[1:1]) || subject[2:]])) AS key, regexp_replace(subject, '[^\\p{{L}}\\p{{N}}_\\-.()]+', '_', 'g') AS slug, doc_id FROM a)
-    SELECT lower(key) AS key, arg_max(slug, doc_id) AS slug FROM k GROUP BY lower(key)""")
+_TITLES = "concat(' ', subject, ' (x)  y.z/', upper(lang), ' ')"
+
+
+@query(f"""WITH a AS (SELECT {_TITLES} AS title, doc_id FROM ({ARTICLE_SQL})), s AS (SELECT title, doc_id, regexp_replace(replace(trim(title), ' ', '_'), '[^\\p{{L}}\\p{{N}}_\\-.()]+', '_', 'g') AS slug, left(replace(trim(regexp_replace(title, '[^\\p{{L}}\\p{{N}}_\\- ]', '_', 'g')), ' ', '_'), 120) AS file FROM a), k AS (
+    SELECT unnest(list_distinct([title, lower(title)])) AS key, slug, file, doc_id FROM s)
+    SELECT key, arg_max(slug, doc_id) AS slug, arg_max(file, doc_id) AS file FROM k GROUP BY key""")
 def slug_map(spark, sf_dir):
-    a = articles(spark, sf_dir).select(F.col("subject").alias("title"), F.col("doc_id").alias("position"))
-    return index.slug_map(a)
+    t = F.concat(F.lit(" "), F.col("subject"), F.lit(" (x)  y.z/"), F.upper("lang"), F.lit(" "))
+    a = articles(spark, sf_dir).select(t.alias("title"), F.col("doc_id").alias("position"))
+    files = a.select(F.explode(F.array_distinct(F.array("title", F.lower("title")))).alias("key"), tx.safe_file_name(F.col("title")).alias("file"), "position")
+    return index.slug_map(a).join(files.groupBy("key").agg(F.max_by("file", "position").alias("file")), "key")
 
 
 @query(f"""WITH a AS (SELECT DISTINCT source AS site, subject AS title FROM ({ARTICLE_SQL}))
@@ -267,4 +275,4 @@ def ner_parse(spark, sf_dir):
 @query()
 def infobox_fields(spark, sf_dir):
     boxes = [(1, "{{Infobox person|name=[[A|Ann]]|born={{date|1900}} in X|image=a.png}} Text"), (2, "none")]
-    return literals(spark, boxes, "id int, text string").select("id", F.explode_outer(salvage.infobox_fields("text")).alias("f")).select("id", "f.*")
+    return literals(spark, boxes, "id int, text string").select("id", F.explode_outer(pages.box_fields("text")).alias("f")).select("id", "f.*")

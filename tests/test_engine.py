@@ -133,8 +133,8 @@ def test_index(spark):
 
 def test_recorded_responses(spark):
     body = json.dumps({"choices": [{"message": {"content": "hi"}}], "usage": {"prompt_tokens": 3, "completion_tokens": 4}})
-    r = spark.createDataFrame([(body, "A B::2::7")], "b string, c string").select(logs.answer_text(F.col("b")).alias("t"), logs.usage(F.col("b")).alias("u"), logs.custom_id(F.col("c")).alias("c")).first()
-    assert r.t == "hi" and tuple(r.u) == (3, 4) and tuple(r.c) == ("A B", 2, 7)
+    r = spark.createDataFrame([(body, "ner::A::B::hop=2::chunk=7::start=175::n=25"), (body, "A B::2::7")], "b string, c string").select(logs.answer_text(F.col("b")).alias("t"), logs.usage(F.col("b")).alias("u"), logs.custom_id(F.col("c")).alias("c")).first()
+    assert r.t == "hi" and tuple(r.u) == (3, 4) and tuple(r.c) == ("A::B", 2, 7, 175, 25)
 
 
 def test_queries_over_whole_tables(spark, tmp_path):
@@ -154,9 +154,9 @@ def test_queries_over_whole_tables(spark, tmp_path):
     for i in range(2, 6):
         a, b = set(texts[i].split()), set(texts[i - 1].split())
         want[i, i - 1] = len(a & b) / len(a | b)
-    got = {(r.doc_id, r.other): r.jaccard for r in rq.pair_ngram_overlap_all(spark, str(tmp_path)).collect()}
+    got = {(r.doc_id, r.other): r.jaccard for r in rq.pair_ngram_overlap(spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
-    assert {(r.doc_id, r.other) for r in rq.combined_similarity_all(spark, str(tmp_path)).collect()} == set(want)
+    assert {(r.doc_id, r.other) for r in rq.combined_similarity(spark, str(tmp_path)).collect()} == set(want)
 
     def grams(t):
         w = [x for x in t.split() if len(x) > 1 and x not in STOP_WORDS]
@@ -167,10 +167,10 @@ def test_queries_over_whole_tables(spark, tmp_path):
         x, y = weight(a, b), weight(b, a)
         return sum(v * y.get(g, 0) for g, v in x.items()) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
 
-    tf = {r.doc_id: r.cosine for r in rq.tfidf_pairs_all(spark, str(tmp_path)).collect()}
+    tf = {r.doc_id: r.cosine for r in rq.tfidf_pairs(spark, str(tmp_path)).collect()}
     assert tf.keys() == {2, 3, 4, 5} and all(abs(tf[i] - cosine(grams(texts[i]), grams(texts[i - 1]))) < 1e-6 for i in tf) and tf[5] > 0
     verdict = {"A": "supported", "R": "refuted", "N": "insufficient"}
-    assert Counter((r.subject, r.claim, r.wiki_verdict) for r in rq.claim_explode_all(spark, str(tmp_path)).collect()) == Counter((k, str(n), verdict[f]) for k, n, f in items)
+    assert Counter((r.subject, r.claim, r.wiki_verdict) for r in rq.claim_explode(spark, str(tmp_path)).collect()) == Counter((k, str(n), verdict[f]) for k, n, f in items)
 
 
 def test_candidates_and_batches_are_whole(spark, tmp_path, monkeypatch):
@@ -184,7 +184,7 @@ def test_candidates_and_batches_are_whole(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(words[90] + " beta",)], "text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     seen = {words[90], "beta"}
     want = {(i, p, w, w in seen) for i, t in texts for p, w in enumerate(t.split())}
-    assert {tuple(r) for r in eq.seen_candidates_all(spark, str(tmp_path)).select("doc_id", "place", "key", "in_seen").collect()} == want
+    assert {tuple(r) for r in eq.seen_candidates(spark, str(tmp_path)).select("doc_id", "place", "key", "in_seen").collect()} == want
     reasons = {(r.subject, r.place): r.reason for r in eq.pre_ner_dedup(spark, str(tmp_path)).collect()}
     assert len(reasons) == 103 and reasons["1", 80] == "kept" and "kept" not in (reasons["1", 90], reasons["1", 100], reasons["2", 1])
 
@@ -194,7 +194,7 @@ def test_candidates_and_batches_are_whole(spark, tmp_path, monkeypatch):
     e = [[x / sum(y * y for y in v) ** 0.5 for x in v] for v in e]
     spark.createDataFrame([(i, i % 3, v) for i, v in enumerate(e)], "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
     monkeypatch.setattr(vector, "BLOCK", 16)
-    got = {x.position: (x.best_score, x.duplicate_of) for x in eq.in_batch_duplicates_all(spark, str(tmp_path)).collect()}
+    got = {x.position: (x.best_score, x.duplicate_of) for x in eq.in_batch_duplicates(spark, str(tmp_path)).collect()}
     assert got.keys() == set(range(60)) and got[50][1] == 7 and got[51][1] == 7 and got[7][1] is None
     for i in range(60):
         score, other = max((round(sum(a * b for a, b in zip(e[i], e[j])), 12), -j) for j in range(60) if j != i)

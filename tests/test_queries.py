@@ -29,8 +29,6 @@ def shown(frame):
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_against_sql(spark, con, name):
-    if name in ("pair_ngram_overlap", "combined_similarity") and not os.environ.get("SLOW"):
-        pytest.skip("slow; the driver compares it")
     got, expected = QUERIES[name](spark, DATA).toPandas(), con.sql(ORACLE[name]).df()
     assert sorted(got.columns) == sorted(expected.columns)
     a, b = shown(got), shown(expected)

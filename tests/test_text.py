@@ -54,12 +54,32 @@ def test_salvage():
     assert salvage.first_object("nothing") is None
     assert salvage.phrases("- Paris: true")[1] == "regex_simple"
     assert [v["verdict"] for v in salvage._verdicts({"verdicts": [{"idx": 1, "verdict": "True"}, {"idx": 1, "verdict": "false"}]}, 2)] == ["refuted", "insufficient"]
-    assert salvage.infobox("{{Infobox x|name=[[A|Ann]]|image=q|k={{d|1|2}}}}") == [{"key": "name", "value": "Ann"}, {"key": "k", "value": "{{d|1|2}}"}]
+    assert salvage.first_object('{"a": 1, "b":') == {"a": 1} == salvage.first_object('{"a": 1 "b": 2}') and salvage.first_object('{"a": tru') == {}
+    assert salvage.first_object('{"a": "line\nbreak", “b”: "c\\d",}') == {"a": "line\nbreak", "b": "c\\d"}
+    assert salvage.first_object('{"x": ~' + "y" * 600 + '"verdict" {"idx": 2, "verdict": "True"}')["verdicts"][0]["idx"] == 2
+    assert salvage.balanced('say {"a": "}"} or [1]') == {"a": "}"} and salvage.balanced("[1, 2] {bad}") == [1, 2] and salvage.balanced(None) == {}
+    assert salvage.phrases('{"x": [{"phrases": [{"phrase": "A", "is_ne": 1}]}]}', True)[1] == "dict_nested" and salvage.phrases('{"phrases": [{"phrase": "A"}]}', True)[1] == "dict"
+    assert salvage.phrases("Paris > true")[1] == "empty" and salvage.phrases('{"phrases": []}') == ([], "json")
+    assert salvage.response_text({"output": [{"content": [{"text": "a"}, {"text": "b"}]}]}) == "ab" and salvage.response_text({"z": {"id": "a very long name", "y": ["text"]}}) == "text"
+
+
+def test_pages():
+    from mosswork.operators import pages
+
+    assert pages.box("{{Infobox x|name=[[A|Ann]]|image=q.png|k={{d|1|2}}|w=20px|on=yes}} rest") == ([("name", "[[A|Ann]]"), ("k", "1, 2")], " rest")
+    shown = {"{{ubl|a|{{lang|de|M}}|x=1}}": "a, M", "{{start date|1916|3|7}}": "7 March 1916", "{{convert|100|km|mi}}": "100 km", "{{cite web|x}}": "", "{{increase|5}}": "▲ 5", "{{coord|1|2|3|4|5}}": "1, 2, 3, 4...", "a {{open": "a open", "{{birth date|1900|x}}": "1900 x"}
+    assert {k: pages.resolved(k) for k in shown} == shown
+    assert pages.inline("'''B''' [[A|x]] [[Category:Cats]] [[gone]] ]]", {"A": "A", "cats": "C"}) == '<b>B</b> <a href="A.html">x</a> <a href="C.html">Category:Cats</a> gone '
+    body, guessed = pages.blocks("== One ==\ntext\nmore\n\n== History The city is old\n=== Two ===\nx", {}, "City")
+    assert guessed and body.split("\n") == ['<h2 id="one">One</h2>', "<p>text more</p>", '<h2 id="history">History</h2>', "<p>The city is old</p>", '<h3 id="two">Two</h3>', "<p>x</p>"] and len(pages.contents(body)) == 3
 
 
 def test_small_settings(spark):
     assert [one(spark, u, tx.file_extension) for u in ("https://x.org/a.PNG?w=1", "https://x.org/a", "b.webp")] == [".png", ".jpg", ".webp"]
-    assert [one(spark, m, tx.wait_seconds) for m in ("try again in 200ms", "retry in 2m", "no idea")] == [0.2, 120.0, 5.0]
+    now = F.lit("2026-01-01 10:00:00").cast("timestamp")
+    told = ("Limit resets at: 2026-01-01 10:00:30 UTC", "x Limit resets at:2026-01-01 10:01:59", "Limit resets at: 2026-01-01 10:02:00", "Limit resets at: 2026-01-01 09:59:00", "retry in 2m", "Limit resets at: 2026-13-01 10:00:30")
+    assert [one(spark, m, lambda c: tx.wait_seconds(c, now)) for m in told] == [30.5, 119.5, 8.0, 8.0, 8.0, 8.0]
+    assert [one(spark, x, tx.slug) for x in (" a  b! ", "A (x)?!y")] == ["a__b_", "A_(x)_y"] and [one(spark, x, tx.safe_file_name) for x in (" a.b  c?? ", "x" * 200)] == ["a_b__c__", "x" * 120]
     assert one(spark, " ", lambda c: tx.first_setting(c, F.lit("global"))) == "global"
 
 
