@@ -125,3 +125,20 @@ def unit(a: Column) -> Column:
     """Of length one; zero and non-finite vectors stay."""
     n = F.sqrt(dot(a, a))
     return F.when((n > 0) & (n < float("inf")), F.transform(a, lambda x: (x / n).cast("float"))).otherwise(a)
+
+
+def stylistic(text_a: Column, text_b: Column, a: Column, b: Column) -> dict[str, Column]:
+    """Style of a candidate (text and words) beside that of a reference; a side without sentences or words counts as 0."""
+    lengths = [sentence_lengths(t) for t in (text_a, text_b)]
+    means, deviations = ([F.coalesce(f(x), F.lit(0.0)) for x in lengths] for f in (_mean, _deviation))
+    ttr, density = [type_token_ratio(w) for w in (a, b)], [punctuation_density(t) for t in (text_a, text_b)]
+    return {
+        "sent_len_mean_diff": F.abs(means[0] - means[1]), "sent_len_std_diff": F.abs(deviations[0] - deviations[1]), "ttr_candidate": ttr[0], "ttr_reference": ttr[1], "ttr_diff": F.abs(ttr[0] - ttr[1]),
+        "funcword_cosine": function_word_cosine(a, b), "punct_density_candidate": density[0], "punct_density_reference": density[1], "punct_density_diff": F.abs(density[0] - density[1]),
+    }
+
+
+def legacy(a: Column, b: Column, **others: Column) -> dict[str, Column]:
+    """The legacy measures: as `lexical`, with 0 where a side has nothing, and what else is given; `combined_similarity` weighs what is there."""
+    told = {k: F.coalesce(c, F.lit(0.0)) for k, c in lexical(a, b).items()} | others
+    return told | {"combined_similarity": combined(told, WEIGHTS_LEGACY)}
