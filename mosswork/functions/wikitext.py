@@ -68,10 +68,6 @@ def without_templates(text: Column, passes: int | None = None) -> Column:
     return F.aggregate(rounds, text, lambda t, _: F.when(F.instr(t, "{{") > 0, F.regexp_replace(t, r"\{\{[^{}]*\}\}", "")).otherwise(t))
 
 
-# Sections that end an article's own text, and namespaces of links that show nothing.
-FALLBACK_FILES = r"(?i)\[\[(?:File|Image|Category):[^\]]*\]\]"
-
-
 def excerpt(text: Column, words: int) -> Column:
     """The first words of the text without templates and markup; names of categories stay, as links are unwrapped first."""
     return F.array_join(F.slice(F.split(plain(without_templates(text)), r"\s+"), 1, words), " ")
@@ -116,3 +112,23 @@ def snippets(text: Column, words: int = 140, stride: int = 100, most: int = 12)
     w = F.filter(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), lambda x: x != "")
     n = F.least(F.lit(most), F.greatest(F.lit(1), F.ceil((F.size(w) - words) / stride).cast("int") + 1))
     return F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(w, i * stride + 1, F.lit(words)), " "))).otherwise(F.array().cast("array<string>"))
+
+
+def without_tags(text: Column) -> Column:
+    """Tags away and two entities read."""
+    return F.replace(F.replace(F.regexp_replace(text, "<[^>]+>", ""), F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
+
+
+# Patterns of the fallback text, in their order.
+FALLBACK = (
+    (r"\[\[(?:[^\]|]+\|)?([^\]]+)\]\]", "$1"), (r"\[https?://[^\s\]]+ ([^\]]+)\]", "$1"), (r"(?i)'{2,5}|={2,6}[^=]+=+|<[^>]+>|\[\[File:[^\]]*\]\]|\[\[Image:[^\]]*\]\]", " "), (r"==+\s*[^=\n]+\s*==+", " "),
+    (r"\n\*+\s*", "\n"), (r"\n#+\s*", "\n"), (r"\|\s*\w[\w\s]*=\s*[^\|}\n]*", " "), (r"\{\|[^|]*", " "), (r"\|\}", " "), (r"https?://\S+", " "), (r"[^\S\n]+", " "), (r"\n{3,}", "\n\n"),
+)
+
+
+def fallback_text(text: Column) -> Column:
+    """Text of a fetched page's source: five rounds of templates, then links, markup, lists, tables and addresses."""
+    t = F.aggregate(F.sequence(F.lit(1), F.lit(5)), text, lambda t, _: F.regexp_replace(t, r"\{\{[^{}]*\}\}", " "))
+    for pattern, by in FALLBACK:
+        t = F.regexp_replace(t, pattern, by)
+    return F.regexp_replace(t, r"^\s+|\s+$", "")

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import canon_key
+
 BLOCK = 4096
 
 
@@ -107,3 +109,10 @@ def hashed_embedding(words: Column, dim: int = 64) -> Column:
     raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(words, lambda w: slot(w) == i), F.lit(0.0), lambda s, w: s + sign(w)))
     norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
     return F.transform(raw, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)).cast("float"))
+
+
+def missing(queue: DataFrame, have: DataFrame) -> DataFrame:
+    """canon_key, subject, hop of queue rows (subject, hop, line_no) without a vector, at the least hop of each canonical key. have: canon_key."""
+    keyed = queue.withColumn("canon_key", canon_key(F.col("subject"))).filter("canon_key <> ''")
+    first = keyed.groupBy("canon_key").agg(F.min_by(F.struct("subject", "hop"), F.struct("hop", "line_no")).alias("r"))
+    return first.join(have, "canon_key", "left_anti").select("canon_key", "r.*")

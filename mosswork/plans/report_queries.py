@@ -247,10 +247,10 @@ def ablation_table(spark, sf_dir):
     return t.select("dir", "n_subjects", "n_attempted", "n_returned", "n_found", nine("coverage"), nine("wiki_precision"), nine("wiki_precision_std"), *(nine(f"wiki_{x}") for x in _RATES), F.round("sim_semantic", 6).alias("sim_semantic"), "cost_at_1m")
 
 
-@query(r"""WITH b AS (SELECT c_mktsegment AS topic, n_name AS name, round(avg(c_acctbal), 2) AS score FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL) SELECT topic, name, replace(topic, '_', '\_') || ' & ' || replace(name, '_', '\_') || ' & ' || CASE WHEN score = max(score) OVER (PARTITION BY topic) THEN '\textbf{' || printf('%.3f', score) || '}' ELSE printf('%.3f', score) END || ' \\' AS line FROM b""")
+@query(r"""WITH b AS (SELECT c_mktsegment AS topic, n_name AS name, round(max(c_acctbal), 2) AS score FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL) SELECT topic, name, replace(topic, '_', '\_') || ' & ' || replace(name, '_', '\_') || ' & ' || CASE WHEN score = max(score) OVER (PARTITION BY topic) THEN '\textbf{' || printf('%.3f', score) || '}' ELSE printf('%.3f', score) END || ' \\' AS line FROM b""")
 def latex_rows(spark, sf_dir):
     c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    b = c.groupBy(F.col("c_mktsegment").alias("topic"), F.col("n_name").alias("name")).agg(F.round(F.avg("c_acctbal"), 2).alias("score"))
+    b = c.groupBy(F.col("c_mktsegment").alias("topic"), F.col("n_name").alias("name")).agg(F.round(F.max("c_acctbal"), 2).alias("score"))
     return reports.latex(b, "topic", ["topic", "name", "score"], "score").select("topic", "name", "line")
 
 
@@ -306,3 +306,272 @@ def call_chunks(spark, sf_dir):
 def sample_sizes(spark, sf_dir):
     n = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("c"))
     return n.select("k", reports.bounded_sample_size(F.col("c"), 0.3, 50, 60).alias("n"))
+
+
+# recorded answers -------------------------------------------------------------------------------------------------------------------
+_STEMS = "SELECT l_orderkey AS k, l_linenumber AS idx, max(l_returnflag) AS f FROM lineitem GROUP BY ALL"
+
+
+@query(f"""WITH v AS ({_STEMS}), n AS (SELECT k, unnest(range(1, 8)) AS idx FROM (SELECT DISTINCT k FROM v)) SELECT n.k, CAST(n.idx - 1 AS INT) AS idx, CASE f WHEN 'A' THEN 'supported' WHEN 'R' THEN 'refuted' ELSE 'insufficient' END AS verdict, CASE WHEN f IS NULL THEN 0.0 WHEN f = 'N' THEN NULL ELSE 0.5 END::DOUBLE AS confidence FROM n LEFT JOIN v ON v.k = n.k AND v.idx = n.idx""")
+def verdict_answers(spark, sf_dir):
+    """Line items as the verdicts of an answer, with a fence and a comma too many; of repeated numbers the last counts."""
+    f = F.col("l_returnflag")
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber", f.alias("f"))
+    word = lambda x: F.when(x.f == "A", "True").when(x.f == "R", " contradicted ").otherwise("who knows")
+    one = lambda x: F.concat(F.lit('{"idx": "'), x.l_linenumber, F.lit('", "verdict": "'), word(x), F.lit('", "confidence": '), F.when(x.f == "N", "null").otherwise("0.5"), F.lit("},"))
+    a = l.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "f"))).alias("v")).select("k", F.concat(F.lit('```json\n{"verdicts": ['), F.array_join(F.transform("v", one), " "), F.lit("]}\n```")).alias("a"))
+    v = a.withColumn("v", salvage.verdict_list("a", F.lit(7)))
+    return v.select("k", F.posexplode("v").alias("idx", "x")).select("k", "idx", "x.verdict", "x.confidence")
+
+
+@query("""SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN '{"claims": ["' || p_name || '", "' || p_brand || ' is"]}' WHEN 1 THEN '{"claims": ["' || p_name || '", "' || p_brand || ' is"]}' WHEN 2 THEN '{"claims": ["' || p_name || '"]}' ELSE '{"size": ' || p_size || '}' END AS object FROM part""")
+def cut_answers(spark, sf_dir):
+    """Answers cut inside a string, behind a key, inside a number; whole ones in talk."""
+    k = F.col("p_partkey")
+    text = F.when(k % 4 == 0, F.concat(F.lit('Here: {"claims": ["'), F.col("p_name"), F.lit('", "'), F.col("p_brand"), F.lit(' is"],} So.'))).when(k % 4 == 1, F.concat(F.lit('{"claims": ["'), F.col("p_name"), F.lit('", "'), F.col("p_brand"), F.lit(" is"))).when(
+        k % 4 == 2, F.concat(F.lit('```{"claims": ["'), F.col("p_name"), F.lit('"], "more": '))).otherwise(F.concat(F.lit("{“size”: "), F.col("p_size"), F.lit(", ")))
+    return table(spark, sf_dir, "part").select(k.alias("k"), salvage.salvaged(text).alias("object"))
+
+
+_NER_MODE = "['dict', 'dict_nested', 'json', 'json_substring', 'regex_jsonish', 'regex_simple', 'empty'][p_partkey % 7 + 1]"
+
+
+@query(f"""SELECT p_partkey AS k, {_NER_MODE} AS mode, CASE WHEN p_partkey % 7 < 6 THEN p_name END AS phrase, CASE WHEN p_partkey % 7 < 6 THEN p_size > 25 END AS is_ne, CASE WHEN p_partkey % 7 < 4 THEN 0.25::DOUBLE WHEN p_partkey % 7 < 6 THEN NULL END AS confidence, CASE WHEN p_partkey % 7 < 4 THEN 0.25::DOUBLE WHEN p_partkey % 7 < 6 THEN 0.9 END AS calibrated FROM part""")
+def ner_answers(spark, sf_dir):
+    """One decision in each of the six readings."""
+    k, name, yes = F.col("p_partkey"), F.col("p_name"), F.when(F.col("p_size") > 25, "true").otherwise("false")
+    whole = F.concat(F.lit('{"phrases": [{"phrase": " '), name, F.lit('", "is_ne": '), yes, F.lit(', "confidence": 0.25}]}'))
+    broken = F.concat(F.lit('{"phrases": [{"phrase": "'), name, F.lit('", "is_ne": '), yes, F.lit(', "conf'))
+    text = F.when(k % 7 == 0, whole).when(k % 7 == 1, F.concat(F.lit('{"data": ['), whole, F.lit("]}"))).when(k % 7 == 2, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).when(k % 7 == 3, F.concat(F.lit("Sure. "), whole, F.lit(" ok"))).when(k % 7 == 4, broken).when(k % 7 == 5, F.concat(F.lit("- "), name, F.lit(": "), yes)).otherwise(F.lit("none"))
+    p = table(spark, sf_dir, "part").select(k.alias("k"), salvage.recorded_decisions(text, k % 7 < 2).alias("p"))
+    p = p.withColumn("c", salvage.calibrated(F.col("p.rows")))
+    return p.select("k", F.col("p.mode").alias("mode"), F.explode_outer(F.arrays_zip(F.col("p.rows").alias("r"), F.col("c").alias("c"))).alias("x")).select("k", "mode", "x.r.phrase", "x.r.is_ne", "x.r.confidence", F.col("x.c.confidence").alias("calibrated"))
+
+
+@query("SELECT p_partkey AS k, CASE WHEN p_partkey % 6 = 5 THEN 'plain ' || p_name ELSE p_name END AS text FROM part")
+def response_texts(spark, sf_dir):
+    """Six shapes of a provider's response."""
+    k, t = F.col("p_partkey"), F.concat(F.lit('"'), F.col("p_name"), F.lit('"'))
+    shape = lambda a, b: F.concat(F.lit(a), t, F.lit(b))
+    body = F.when(k % 6 == 0, shape('{"choices": [{"message": {"content": ', "}}]}")).when(k % 6 == 1, shape('{"output": [{"type": "x", "content": [{"text": ', "}]}]}")).when(k % 6 == 2, shape('{"result": {"answer": ', "}}")).when(
+        k % 6 == 3, shape('{"choices": [{"text": ', "}]}")).when(k % 6 == 4, shape('{"id": "a name longer than the text of all parts", "deep": [{"er": ', "}]}")).otherwise(F.concat(F.lit("plain "), F.col("p_name")))
+    return table(spark, sf_dir, "part").select(k.alias("k"), salvage.unwrapped(body).alias("text"))
+
+
+@query("""SELECT o_custkey AS k, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS place, 'S' || o_orderkey AS subject, CAST(o_orderkey % 5 AS INT) AS hop FROM orders""")
+def nested_subjects(spark, sf_dir):
+    """Subjects at any depth of a document; objects without a hop do not count."""
+    one = lambda x: F.concat(F.lit('{"x": {"subject": "S'), x, F.lit('", "hop": "'), x % 5, F.lit('"}, "subject": "no hop"}'))
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("o"))
+    return o.select("k", F.posexplode(salvage.subject_hops(F.concat(F.lit('{"queue": [['), F.array_join(F.transform("o", one), ", "), F.lit("]]}")))).alias("place", "x")).select("k", "place", "x.subject", "x.hop")
+
+
+@query("""SELECT s_suppkey AS k, CASE s_suppkey % 3 WHEN 0 THEN '{"a": "}"}' WHEN 1 THEN '[1, 2]' ELSE '{}' END AS found, CASE s_suppkey % 3 WHEN 0 THEN s_name || ',x' WHEN 1 THEN s_name ELSE '' END AS keys FROM supplier""")
+def balanced_answers(spark, sf_dir):
+    k = F.col("s_suppkey")
+    text = F.when(k % 3 == 0, 'see {"a": "}"} or [1]').when(k % 3 == 1, "p [1, 2] {bad}").otherwise("{ no end")
+    cut = F.when(k % 3 == 0, F.concat(F.lit('{"keys": ["'), F.col("s_name"), F.lit('", "x'))).when(k % 3 == 1, F.concat(F.lit('["'), F.col("s_name"), F.lit('", '))).otherwise("nothing")
+    return table(spark, sf_dir, "supplier").select(k.alias("k"), salvage.balanced_json(text).alias("found"), F.array_join(salvage.key_list(cut), ",").alias("keys"))
+
+
+@query("""SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'S::' || o_orderkey END AS subject, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 4 AS INT) END AS hop, CASE WHEN o_orderkey % 2 = 0 THEN 7 END AS chunk, CASE WHEN o_orderkey % 2 = 0 THEN 175 END AS start, CASE WHEN o_orderkey % 2 = 0 THEN 25 END AS n, CASE o_orderkey % 3 WHEN 0 THEN 30.5 ELSE 8.0 END::DOUBLE AS wait,
+    CASE o_orderkey % 3 WHEN 1 THEN 5 ELSE 0 END::BIGINT AS input_tokens FROM orders""")
+def request_names(spark, sf_dir):
+    k = F.col("o_orderkey")
+    name = F.concat(F.lit("ner::S::"), k, F.when(k % 2 == 0, F.concat(F.lit("::hop="), k % 4, F.lit("::chunk=7::start=175::n=25"))).otherwise("::x"))
+    said = F.when(k % 3 == 0, "429: Limit resets at: 2026-01-01 10:00:30 UTC").when(k % 3 == 1, "Limit resets at: 2026-01-01 12:00:00").otherwise("in 2s")
+    body = F.when(k % 3 == 0, '{"usage": {}}').when(k % 3 == 1, '{"usage": {"input_tokens": 0, "prompt_tokens": 5}}')
+    o = table(spark, sf_dir, "orders").select(k.alias("k"), logs.custom_id(name).alias("c"), tx.wait_seconds(said, F.lit("2026-01-01 10:00:00").cast("timestamp")).alias("wait"), logs.usage(body).input_tokens.alias("input_tokens"))
+    return o.select("k", "c.*", "wait", "input_tokens")
+
+
+# texts ------------------------------------------------------------------------------------------------------------------------------
+@query(f"""SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(lower(p_name || '_x–Y ')
+    , '[_\\-\\x{{2010}}-\\x{{2014}}\\x{{2212}}]+', ' ', 'g'), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g')) AS funnel_key, replace({KEY.format('p_name')}, ' ', '_')[1:60] || '_h' || (p_size % 7) || '_' || sha1(p_name || '␞' || (p_size % 7))[1:12] AS item_key,
+    CASE WHEN len(p_name) > 9 THEN rtrim(p_name[1:9]) || '…' ELSE p_name END AS clipped, true AS ok, p_size % 5 = 0 AS refusal, coalesce(TRY_CAST(CASE WHEN p_size % 2 = 0 THEN p_size::VARCHAR ELSE 'x' END AS INT), -1) AS number FROM part""")
+def text_forms(spark, sf_dir):
+    n, s = F.col("p_name"), F.col("p_size")
+    a = tx.alternates(F.concat(n, F.lit(" (x), y")))
+    refusal = F.when(s % 10 == 0, " ").when(s % 5 == 0, "Sorry: UNABLE to generate an article").otherwise(n)
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", tx.funnel_key(F.concat(n, F.lit("_x–Y "))).alias("funnel_key"), tx.item_key(n, s % 7).alias("item_key"), tx.clip(n, 9).alias("clipped"), (F.size(a) == 3).alias("ok"), tx.is_refusal(refusal).alias("refusal"),
+        tx.as_int(F.when(s % 2 == 0, s.cast("string")).otherwise("x"), -1).alias("number"),
+    )
+
+
+@query("""SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN c_name WHEN c_custkey % 3 = 1 THEN c_mktsegment END AS subject, CASE WHEN c_custkey % 3 = 0 THEN 'title' WHEN c_custkey % 3 = 1 THEN 'topic' END AS field FROM customer""")
+def subject_fields(spark, sf_dir):
+    k = F.col("c_custkey")
+    told = tx.first_subject({"title": F.when(k % 3 == 0, F.concat(F.lit(" "), F.col("c_name"))).when(k % 3 == 1, "  "), "topic": F.when(k % 3 < 2, F.concat(F.col("c_mktsegment"), F.lit("\t")))})
+    return table(spark, sf_dir, "customer").select(k.alias("k"), told.alias("t")).select("k", "t.subject", "t.field")
+
+
+@query("""SELECT p_partkey, 'Intro [[T' || p_partkey || '|the ' || p_name || ']] (0.97) {{x|{{y|{{z}}}}}}''''''bold'''''' <ref name="a">gone</ref>text [https://a.b/c label] <b>q</b> &quot;e&amp;' AS bare, 'Intro the ' || p_name || ' (0.97) bold text label q &quot;e&amp;' AS snippet, 'Intro the' AS excerpt, 'T' || p_partkey AS link,
+    'Intro the ' || p_name || ': q "e&' AS untagged FROM part""")
+def wikitext_forms(spark, sf_dir):
+    n, k = F.col("p_name"), F.col("p_partkey")
+    x = F.concat(F.lit("{{Infobox a|b={{c|d}}}} Intro [[T"), k, F.lit("|the "), n, F.lit("]] (0.97) {{x|{{y|{{z}}}}}}'''bold''' <ref name=\"a\">gone</ref>text [https://a.b/c label] <b>q</b> &quot;e&amp;"))
+    p = table(spark, sf_dir, "part").select(k.alias("p_partkey"), n.alias("n"), x.alias("x"))
+    untagged = wk.without_tags(F.concat(F.lit("<p>Intro the "), F.col("n"), F.lit(":</p> <b class='x'>q</b> &quot;e&amp;")))
+    return p.select("p_partkey", salvage.without_infobox("x").alias("bare"), wk.snippet(F.col("x"), 400).alias("snippet"), wk.excerpt(F.col("x"), 2).alias("excerpt"), F.regexp_extract(wk.clean_for_evaluation(F.col("x")), r"Intro (\S+)", 1).alias("link"), untagged.alias("untagged"))
+
+
+@query("""SELECT p_partkey, 'Lead the ' || p_name || ' label item one more text' AS plain, '[[ok]] ' || p_name || ' x]' AS balanced FROM part""")
+def fallback_texts(spark, sf_dir):
+    n = F.col("p_name")
+    x = F.concat(F.lit("{{a|{{b}}}}Lead [[T|the "), n, F.lit("]]  [https://a.b label] https://c.d/e \n* item one\n== Title ==\n# more text {{c}}\n"))
+    open_ = F.concat(F.lit("[[ok]] [["), n, F.lit(" x]"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.regexp_replace(wk.fallback_text(x), r"\s+", " ").alias("plain"), salvage.balanced_links(open_).alias("balanced"))
+
+
+@query(r"""WITH t AS (SELECT page_id, html, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS x FROM pages), u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(x, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' ') AS x FROM t)
+    SELECT page_id, len(trim(x)) >= 300 AND NOT regexp_matches(left(x, 4000), '(?i)\b(page not found|not found|does not exist|no article|search results|create this page|captcha|access denied|403 forbidden|cloudflare|enable javascript|too many requests|rate limit)\b') AND contains(lower(x), 'the') AND len(list_distinct(list_filter(string_split_regex(lower(x), '[^\p{L}\p{N}_]+'), lambda w: w <> ''))) >= 80 AS real FROM u""")
+def real_pages(spark, sf_dir):
+    t = wk.html_text(F.col("html"))
+    p = table(spark, sf_dir, "pages").select("page_id", t.alias("x"))
+    return p.select("page_id", ev.looks_real(F.lit(" The "), F.lit(""), F.col("x"), tx.tokens(F.col("x"))).alias("real"))
+
+
+@query(r"""SELECT page_id FROM pages WHERE NOT (html <> '' AND (regexp_matches(left(html, 2000), '(?is)""" + "|".join(ev.BLOCKED_TEXT).replace("'", "''") + r"""') OR (length(trim(html)) < 200 AND len(regexp_extract_all(html, '[.!?]\s')) < 2)))""")
+def purged_pages(spark, sf_dir):
+    return ev.purged(table(spark, sf_dir, "pages"), "html").select("page_id")
+
+
+@query("""WITH RECURSIVE r AS (SELECT c_custkey AS s, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey // 2 * 2 + 5 END AS t FROM customer), w AS (SELECT c_custkey AS title, c_custkey AS here, 0 AS d FROM customer UNION ALL SELECT title, coalesce(t, here), d + 1 FROM w LEFT JOIN r ON s = here WHERE d < 5) SELECT title, here AS target FROM w WHERE d = 5""")
+def redirects(spark, sf_dir):
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer")
+    r = c.filter("c_custkey % 5 <> 0").select(k.alias("source"), (F.floor(k / 2) * 2 + 5).alias("target"))
+    return ev.redirected(c.select(k.alias("title")), r)
+
+
+@query(f"""{_PAIRS_SQL}, s AS (SELECT doc_id, text, text_b, w, v, [{', '.join(f"'{x}'" for x in FUNCTION_WORDS)}] AS fw FROM p), c AS (SELECT doc_id, w, v, text, text_b, list_transform(fw, lambda f: len(list_filter(w, lambda x: x = f))::DOUBLE) AS a, list_transform(fw, lambda f: len(list_filter(v, lambda x: x = f))::DOUBLE) AS b FROM s), told AS (
+    SELECT *, length(regexp_replace(text, '[^.,;:!?\\-()\\[\\]{{}}"''/]', '', 'g'))::DOUBLE / greatest(len(list_filter(string_split_regex(text, '\\s+'), lambda y: y <> '')), 1) AS pa, length(regexp_replace(text_b, '[^.,;:!?\\-()\\[\\]{{}}"''/]', '', 'g'))::DOUBLE / greatest(len(list_filter(string_split_regex(text_b, '\\s+'), lambda y: y <> '')), 1) AS pb,
+    coalesce(len(list_distinct(w))::DOUBLE / nullif(len(w), 0), 0) AS ta, coalesce(len(list_distinct(v))::DOUBLE / nullif(len(v), 0), 0) AS tb FROM c)
+    SELECT doc_id, round(ta, 9) AS ttr_candidate, round(abs(ta - tb), 9) AS ttr_diff, round(pa, 9) AS punct_density_candidate, round(abs(pa - pb), 9) AS punct_density_diff, CASE WHEN list_sum(a) + list_sum(b) > 0 THEN round(coalesce(list_dot_product(a, b) / nullif(sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)), 0), 0), 9) END AS funcword_cosine FROM told""")
+def style_pairs(spark, sf_dir):
+    s = stylistic(F.col("text"), F.col("text_b"), F.col("w"), F.col("v"))
+    return pairs(spark, sf_dir).select("doc_id", *(F.round(s[k], 9).alias(k) for k in ("ttr_candidate", "ttr_diff", "punct_density_candidate", "punct_density_diff", "funcword_cosine")))
+
+
+@query(f"""{_PAIRS_SQL}, g AS (SELECT doc_id, {_G('w', 1)} AS a1, {_G('v', 1)} AS b1, {_G('w', 2)} AS a2, {_G('v', 2)} AS b2, {_G('w', 3)} AS a3, {_G('v', 3)} AS b3 FROM p), m AS (SELECT doc_id, coalesce({_J('a1', 'b1')}, 0) AS j, coalesce({_O('a1', 'b1')}, 0) AS o1, coalesce({_O('a2', 'b2')}, 0) AS o2, coalesce({_O('a3', 'b3')}, 0) AS o3, CASE WHEN doc_id % 2 = 0 THEN 0.5::DOUBLE END AS s FROM g)
+    SELECT doc_id, round(j, 9) AS jaccard, round(o3, 9) AS ngram_3_overlap, round((0.1::DOUBLE * (j + o1 + o2 + o3) + coalesce(0.2::DOUBLE * s, 0)) / (0.4::DOUBLE + CASE WHEN s IS NULL THEN 0 ELSE 0.2::DOUBLE END), 9) AS combined_similarity FROM m""")
+def legacy_similarity(spark, sf_dir):
+    """Measures that no provider gave do not weigh."""
+    m = legacy(F.col("w"), F.col("v"), semantic_cosine=F.when(F.col("doc_id") % 2 == 0, 0.5))
+    assert set(m) & set(WEIGHTS_LEGACY)
+    return pairs(spark, sf_dir).select("doc_id", *(F.round(m[k], 9).alias(k) for k in ("jaccard", "ngram_3_overlap", "combined_similarity")))
+
+
+@query("""SELECT c_custkey AS k, round(1 - (least(1.0, abs(c_acctbal / 1000 - 3) / 20) + least(1.0, abs((c_custkey % 10) / 10.0 - 0.5) / 1) + least(1.0, abs((c_custkey % 80) - 20.0) / 50)) / 3, 9) AS similarity FROM customer""")
+def style_similarity_rows(spark, sf_dir):
+    k = F.col("c_custkey")
+    a = {"grade": F.col("c_acctbal") / 1000, "diversity": (k % 10) / 10.0, "sentence_length": (k % 80).cast("double")}
+    return table(spark, sf_dir, "customer").select(k.alias("k"), F.round(style_similarity(a, {"grade": F.lit(3.0), "diversity": F.lit(0.5), "sentence_length": F.lit(20.0)}), 9).alias("similarity"))
+
+
+# vectors, queue, index --------------------------------------------------------------------------------------------------------------
+@query("""SELECT a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) + 1e-9), 5) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def semantic_neighbours(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    b = e.select((F.col("vec_id") - 1).alias("other"), F.col("embedding").alias("b"))
+    return e.join(b, F.col("vec_id") == F.col("other")).select("vec_id", F.round(semantic_cosine(F.col("embedding"), F.col("b")), 5).alias("cosine"))
+
+
+@query("""WITH e AS (SELECT vec_id, 'k' || (vec_id % 700) AS canon_key FROM embeddings), i AS (SELECT canon_key, arg_min(vec_id, vec_id) AS id FROM e WHERE vec_id % 2 = 0 AND vec_id % 9 <> 0 GROUP BY canon_key) SELECT canon_key, id FROM i UNION ALL SELECT canon_key, min(vec_id) FROM e WHERE vec_id % 2 = 1 AND canon_key NOT IN (SELECT canon_key FROM i) GROUP BY canon_key""")
+def committed_vectors(spark, sf_dir):
+    """Even rows are loaded, those of another dimension left out; odd ones are committed."""
+    v = F.col("vec_id")
+    e = table(spark, sf_dir, "embeddings").select(v.alias("id"), (v + 1).alias("position"), F.concat(F.lit("k"), v % 700).alias("canon_key"), F.when(v % 9 == 0, F.slice("embedding", 1, 3)).otherwise(F.col("embedding")).alias("e"))
+    first = e.filter("id % 2 = 0 and id % 9 <> 0").agg(F.min("position").alias("p"))
+    loaded = ve.loaded(e.filter("id % 2 = 0").crossJoin(F.broadcast(first)).filter("position >= p").drop("p"))
+    new = e.filter("id % 2 = 1").withColumn("e", F.array_repeat(F.lit(1.0).cast("float"), F.size(F.array_repeat(F.lit(1), 64))))
+    return ve.committed(loaded, new, 64).select("canon_key", "id")
+
+
+@query(f"""WITH a AS ({ARTICLE_SQL}), r AS (SELECT subject, hop, row_number() OVER (PARTITION BY {KEY.format('subject')} ORDER BY hop, line_no) AS k, {KEY.format('subject')} AS canon_key FROM a), s AS (SELECT {KEY.format("source")} AS canon_key FROM documents) SELECT canon_key, subject, hop FROM r WHERE k = 1 AND canon_key <> '' AND canon_key NOT IN (SELECT canon_key FROM s)""")
+def embedding_backfill(spark, sf_dir):
+    """Subjects at their least hop by canonical key that have no vector yet."""
+    a = articles(spark, sf_dir)
+    have = table(spark, sf_dir, "documents").select(tx.canon_key(F.col("source")).alias("canon_key")).distinct()
+    return ve.missing(a.select("subject", "hop", "line_no"), have)
+
+
+@query(f"""{_STATE} SELECT round(min(greatest(CASE WHEN errors > 0 AND last = 'error' THEN failed_at + least(5.0 * pow(2.0, greatest(errors - 1, 0)), 120.0) ELSE 1.0e9 END - 1.0e9, 0)), 3) AS seconds FROM s WHERE status = 'pending'""")
+def queue_next_due(spark, sf_dir):
+    return qu.next_due(qu.state(queue_events(spark, sf_dir), 40), 1.0e9).select(F.round("seconds", 3).alias("seconds"))
+
+
+@query(f"""{_STATE} SELECT subject, hop, CASE status WHEN 'working' THEN 'pending' ELSE status END AS status, row_number() OVER (ORDER BY position, subject, hop) - 1 AS place FROM s""")
+def queue_recovered(spark, sf_dir):
+    s = qu.reset_working(qu.state(queue_events(spark, sf_dir), 40)).withColumns({"retry_at": F.lit(None).cast("double"), "created_at": F.col("position").cast("double")})
+    return qu.with_order(s).select("subject", "hop", "status", F.col("place").cast("long").alias("place"))
+
+
+@query(f"""WITH a AS ({ARTICLE_SQL}) SELECT doc_id AS id, row_number() OVER (ORDER BY hop, lower(subject), doc_id) - 1 AS place FROM a""")
+def browse_order(spark, sf_dir):
+    e = articles(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("subject").alias("title"), "hop")
+    return index.browse_order(e).select("id", F.col("place").cast("long").alias("place"))
+
+
+@query(f"""WITH a AS ({ARTICLE_SQL}), t AS (SELECT DISTINCT subject AS title, hop FROM a), p AS (SELECT min(subject) AS one FROM a WHERE hop = 3) SELECT title FROM t, p WHERE title = one OR hop = 0 GROUP BY title, one ORDER BY title <> one, title LIMIT 15""")
+def featured_articles(spark, sf_dir):
+    e = articles(spark, sf_dir).select(F.col("subject").alias("title"), "hop").distinct()
+    one = e.filter("hop = 3").agg(F.min("title")).first()[0]
+    return index.featured(e.groupBy("title").agg(F.min("hop").alias("hop")), [one]).select("title")
+
+
+@query(f"""WITH a AS ({ARTICLE_SQL}), s AS (SELECT subject AS title, arg_max(replace(subject, ' ', '_'), doc_id) AS slug FROM a GROUP BY subject), l AS (SELECT doc_id, unnest(list_distinct(list_transform(range(0, len(w) - 2), lambda i: array_to_string(w[i + 1 : i + 3], ' ')))) AS t FROM (SELECT doc_id, w FROM a WHERE len(w) >= 3)) SELECT doc_id, slug FROM l JOIN s ON l.t = s.title GROUP BY ALL""")
+def existing_links(spark, sf_dir):
+    """Every run of three words of a text is a link; those that are some article's title lead there."""
+    a = articles(spark, sf_dir)
+    runs_ = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.concat(F.lit("[["), F.array_join(F.slice("w", i, F.lit(3)), " "), F.lit("]]")))
+    texts = a.filter("size(w) >= 3").select(F.col("doc_id").alias("title"), F.array_join(runs_, " ").alias("text"))
+    slugs = index.slug_map(a.select(F.col("subject").alias("title"), F.col("doc_id").alias("position")))
+    return index.existing_links(texts, slugs).select(F.col("title").alias("doc_id"), "slug")
+
+
+@query("""SELECT o_custkey AS subject, min(o_orderkey) AS first, max(o_orderkey) AS last, arg_min(o_orderkey, struct_pack(h := o_orderkey % 4, k := o_orderkey)) AS minhop, arg_max(o_orderkey, struct_pack(h := o_orderkey % 4, k := -o_orderkey)) AS maxhop, bool_or(o_orderstatus = 'F') AS found FROM orders GROUP BY 1""")
+def pick_policies(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subject"), (F.col("o_orderkey") % 4).alias("hop"), F.col("o_orderkey").alias("line_no"), F.col("o_orderkey").alias("key"), "o_orderstatus")
+    out = an.found_anywhere(o, F.col("o_orderstatus") == "F")
+    for policy in ("first", "last", "minhop", "maxhop"):
+        out = out.join(an.pick(o.select("subject", "hop", "line_no", "key"), policy).select("subject", F.col("key").alias(policy)), "subject")
+    return out
+
+
+# pages ------------------------------------------------------------------------------------------------------------------------------
+@query("""SELECT p_partkey, p_name || ', x' AS list, '7 March ' || (1900 + p_size) AS date, p_name AS lang, p_size || ' km' AS unit, '' AS cite FROM part""")
+def template_values(spark, sf_dir):
+    n, s = F.col("p_name"), F.col("p_size")
+    t = {"list": F.concat(F.lit("{{ubl|"), n, F.lit("|{{nowrap|x}}|df=y}}")), "date": F.concat(F.lit("{{start date|"), 1900 + s, F.lit("|3|7}}")), "lang": F.concat(F.lit("{{lang|de|"), n, F.lit("}}")), "unit": F.concat(F.lit("{{convert|"), s, F.lit("|km|mi}}")), "cite": F.concat(F.lit("{{cite web|"), n, F.lit("}}"))}
+    return table(spark, sf_dir, "part").select("p_partkey", *(pages.resolve_templates(c).alias(k) for k, c in t.items()))
+
+
+@query("""SELECT p_partkey, unnest(['name', 'size']) AS key, unnest(['[[' || p_brand || '|' || p_name || ']]', p_size || ' kg']) AS value FROM part""")
+def infobox_rows(spark, sf_dir):
+    x = F.concat(F.lit("Lead {{Infobox part\n| name = [["), F.col("p_brand"), F.lit("|"), F.col("p_name"), F.lit("]]\n| image = a.png\n| size = {{convert|"), F.col("p_size"), F.lit("|kg}}<ref>r</ref>\n| wide = 20px\n| on = yes}} text"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(pages.box_fields(x)).alias("f")).select("p_partkey", "f.*")
+
+
+@query("""WITH g AS (SELECT o_orderkey AS title, CASE WHEN o_orderkey % 5 <> 0 THEN 'P' || o_custkey END AS parent, count(l_orderkey) AS raw, count(*) FILTER (l_returnflag <> 'N') AS deduped, count(*) FILTER (l_returnflag = 'A') AS accepted, count(*) FILTER (l_returnflag = 'A' AND l_linestatus = 'F') AS enqueued FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+    SELECT title, parent IS NULL AS seed, CASE WHEN raw > 0 THEN printf('%.1f', 100.0 * deduped / raw) || '%' ELSE '' END AS deduped_share, CASE WHEN raw > 0 AND deduped > 0 THEN printf('%.1f', 100.0 * accepted / deduped) || '%' ELSE '' END AS accepted_share, round(enqueued::DOUBLE / nullif(raw, 0), 4) AS overall,
+    '<div>' || CASE WHEN parent IS NULL THEN '<b>SEED</b>' ELSE 'Parent: ' || parent END || ' Hop 1<p>' || CASE WHEN raw > 0 THEN 'Raw ' || raw || ' → Dedup ' || deduped || ' → NER ' || accepted || ' → Enqueued ' || enqueued ELSE 'No expansion data.' END || '</p></div>' AS box FROM g""")
+def genealogy(spark, sf_dir):
+    l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    f = F.col("l_returnflag")
+    n = l.groupBy(F.col("l_orderkey").alias("title")).agg(F.count("*").alias("raw"), F.count_if(f != "N").alias("deduped"), F.count_if(f == "A").alias("accepted"), F.count_if((f == "A") & (F.col("l_linestatus") == "F")).alias("enqueued"))
+    e = o.select(F.col("o_orderkey").alias("title"), F.when(F.col("o_orderkey") % 5 != 0, F.concat(F.lit("P"), F.col("o_custkey"))).alias("parent"), F.lit(1).alias("hop")).join(n, "title", "left").fillna(0, ["raw", "deduped", "accepted", "enqueued"])
+    g = pages.genealogy(e)
+    return g.withColumn("box", pages.genealogy_html(F.struct("seed", "parent", "hop", "raw", "deduped", "accepted", "enqueued"))).select("title", "seed", "deduped_share", "accepted_share", "overall", "box")
+
+
+@query("""WITH s AS (SELECT p_name AS title, p_partkey AS k, CAST(p_partkey % 3 = 0 AS INT) AS known FROM part) SELECT k, '<p>See ' || CASE WHEN known = 1 THEN '<a href="s' || k || '.html">it</a>' ELSE 'it' END || ' and <b>Cats</b>.</p>' || chr(10) || '<h2 id="life">Life</h2>' || chr(10) || '<p>Born there.</p>' AS body, false AS guessed FROM s""")
+def article_pages(spark, sf_dir):
+    """Parts as articles: a text with a link to itself, bold, and a section; every third title has a page."""
+    k = F.col("p_partkey")
+    t = F.concat(F.lit("P"), k.cast("string"))
+    a = table(spark, sf_dir, "part").select(t.alias("title"), F.concat(F.lit("{{Infobox x|a=bb}}See [["), t, F.lit("|it]] and '''Cats'''.\n\n== Life ==\nBorn there. {{gone|{{x}}}}")).alias("text"), k.alias("k"))
+    slugs = a.filter("k % 3 = 0").select(F.col("title").alias("key"), F.concat(F.lit("s"), F.col("k")).alias("slug"))
+    p = pages.linked(a, slugs).withColumn("p", pages.rendered("title", "text", "slugs", F.lit("")))
+    return p.select("k", "p.body", "p.guessed")
