@@ -1,8 +1,8 @@
 """Quality classifier: interpolated modified Kneser-Ney models over characters, one of trusted text and one of toxic text.
 
 N-grams are of `LENGTH` real characters: nothing is folded, so what is gathered grows with the input. Counts, continuation
-counts, context totals and probabilities are sharded aggregations and joins by n-gram. Documents stay in their partitions; each partition's
-distinct n-grams are joined to the probabilities and come back to it, so a task holds what its own rows need.
+counts, context totals and probabilities are sharded aggregations and joins by n-gram. Documents stand in blocks; each block's
+distinct n-grams are joined to the probabilities and meet the block again, so a task holds what its own block needs.
 
 A document's perplexity is 2 to the mean cross-entropy of its characters under the trusted model. A document is rejected if its
 cross-entropy lies outside quantiles of trusted text in its language (low values are runs of the same; high ones are noise), or if
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, batches, durable, only, text_or_empty
+from .common import batch, batches, dropped, durable, only, text_or_empty
 
 LOWEST, HIGHEST = 0.001, 0.995
 #: One in so many trusted documents sets thresholds instead of training.
@@ -39,8 +39,8 @@ LENGTH = 4
 PAD = "\0" * (LENGTH - 1)
 #: Uniform probability below the shortest n-grams: one of all code points.
 LEAST = 1 / 0x110000
-#: Entries of a task's pages of costs.
-PAGE = 400_000
+#: Bytes of text in a block, if a task reads as much; entries of a task's pages of costs.
+BLOCK, PAGE = 48 << 20, 400_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -95,7 +95,7 @@ def probabilities(needed: DataFrame, counts: DataFrame, name: str) -> DataFrame:
         at = at.groupBy(F.substring("gram", 2, k - 1).alias("gram")).agg(F.count("*").alias("n"))
         if k > 1:
             wanted.append(durable(wanted[-1].select(F.substring("gram", 2, k - 1).alias("gram")).distinct(), f"{name}-wanted-{k - 1}"))
-    lower = None
+    lower, merged = None, lambda df: df.hint("merge")  # noqa: E731 - one plan at every size
     for k, (at, want) in enumerate(zip(levels[::-1], wanted[::-1], strict=True), 1):
         n = at.agg(*(F.count_if(F.col("n") == i) for i in (1, 2, 3, 4))).first()
         y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
@@ -103,13 +103,14 @@ def probabilities(needed: DataFrame, counts: DataFrame, name: str) -> DataFrame:
         off = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
         totals = at.groupBy(F.substring("gram", 1, k - 1).alias("context")).agg(F.sum("n").alias("total"), F.sum(off).alias("left"))
         seen = at.select("gram", (F.col("n") - off).alias("own"))
-        p = want.withColumn("context", F.substring("gram", 1, k - 1)).join(seen, "gram", "left").join(totals, "context", "left")
+        p = want.withColumn("context", F.substring("gram", 1, k - 1)).join(merged(seen), "gram", "left").join(merged(totals), "context", "left")
         if lower is None:
             p = p.withColumn("low", F.lit(LEAST))
         else:
-            p = p.withColumn("suffix", F.substring("gram", 2, k - 1)).join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("low")), "suffix")
+            p = p.withColumn("suffix", F.substring("gram", 2, k - 1)).join(merged(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("low"))), "suffix")
         mixed = F.when(F.col("total").isNull(), F.col("low")).otherwise((F.coalesce("own", F.lit(0.0)) + F.col("left") * F.col("low")) / F.col("total"))
-        lower = durable(p.select("gram", mixed.alias("p")), f"{name}-p-{k}")
+        old, lower = lower, durable(p.select("gram", mixed.alias("p")), f"{name}-p-{k}")
+        dropped(at, *([want] if k < LENGTH else []), *([old] if old is not None else []))
     return lower
 
 
@@ -118,37 +119,47 @@ def scored(docs: DataFrame, trained: DataFrame, toxic: DataFrame) -> DataFrame:
     model of toxic text explains its most toxic passage better than that of trusted text (0 at least).
     trained, toxic: tables (text) to count.
 
-    Documents stay in the partitions that they are read in. A partition's distinct n-grams are joined to the sharded probabilities, and
-    come back to the partition (the one place where a frame can't say so: partitions of two tables are zipped), so that no task holds
-    more of the model than its own rows need, and no text is shuffled."""
+    Documents stand in blocks. A block's distinct n-grams are joined to the sharded probabilities and meet the block again,
+    so that no task holds more of the model than its own block reads; texts travel once, compressed."""
     keep = [c for c in docs.columns if c != "text"]
     text = docs.columns.index("text")
 
+    def blocks(it):
+        where, n, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
+        for b in batches(it, 8192):
+            if held and size + b.nbytes > BLOCK:
+                yield where + n, held
+                n, held, size = n + 1, [], 0
+            held.append(b)
+            size += b.nbytes
+        if held:
+            yield where + n, held
+
     buckets = max(64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def grams_of(it):
-        """A partition's distinct n-grams, dealt into buckets by their hash: a row holds many of them."""
+        """A block's distinct n-grams, dealt into buckets by their hash: a row holds many of them."""
         schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("grams", pa.list_(pa.string()))])
-        known, found = np.empty(0, np.uint64), [[] for _ in range(buckets)]
-        for b in batches(it, 8192):
-            for _, joined, h, place in _parts(b.column(text).to_pylist()):
-                u, first = np.unique(h, return_index=True)
-                new = ~np.isin(u, known, assume_unique=True)
-                for k, i in zip((u[new] >> np.uint64(33)).astype(np.int64) % buckets, place[first[new]].tolist(), strict=True):
-                    found[k].append(joined[i : i + LENGTH])
-                known = np.union1d(known, u)
-        some = [k for k in range(buckets) if found[k]]
-        yield batch(schema, some, np.full(len(some), TaskContext.get().partitionId()), [found[k] for k in some])
+        for block, held in blocks(it):
+            known, found = np.empty(0, np.uint64), [[] for _ in range(buckets)]
+            for b in held:
+                for _, joined, h, place in _parts(b.column(text).to_pylist()):
+                    u, first = np.unique(h, return_index=True)
+                    new = ~np.isin(u, known, assume_unique=True)
+                    for k, i in zip((u[new] >> np.uint64(33)).astype(np.int64) % buckets, place[first[new]].tolist(), strict=True):
+                        found[k].append(joined[i : i + LENGTH])
+                    known = np.union1d(known, u)
+            some = [k for k in range(buckets) if found[k]]
+            yield batch(schema, some, np.full(len(some), block), [found[k] for k in some])
 
     def packed(it):
-        """A partition as one row."""
-        out, w = pa.BufferOutputStream(), None
-        for b in batches(it, 8192):
-            w = w or pa.ipc.new_stream(out, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
-            w.write_batch(b)
-        if w:
-            w.close()
-        yield batch(pa.schema([("rows", pa.binary())]), [out.getvalue().to_pybytes()])
+        schema = pa.schema([("block", pa.int64()), ("rows", pa.binary())])
+        for block, held in blocks(it):
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as w:
+                for b in held:
+                    w.write_batch(b)
+            yield batch(schema, [block], [out.getvalue().to_pybytes()])
 
     def paged(it):
         """Rows (gram, cost, gain, blocks) to a row per block: its n-grams one after another, their costs and gains."""
@@ -181,36 +192,35 @@ def scored(docs: DataFrame, trained: DataFrame, toxic: DataFrame) -> DataFrame:
     needed = each.select("gram")
     good = probabilities(needed, character_counts(trained), "good").withColumnRenamed("p", "good")
     bad = probabilities(needed, character_counts(toxic), "toxic").withColumnRenamed("p", "bad")
-    costs = good.join(bad, "gram").select("gram", (-F.log2("good")).cast("float").alias("cost"), F.log2(F.col("bad") / F.col("good")).cast("float").alias("gain"))
-    told = each.join(costs, "gram").select("gram", "cost", "gain", "blocks").mapInArrow(paged, "block long, grams string, cost binary, gain binary")
+    costs = good.join(bad.hint("merge"), "gram").select("gram", (-F.log2("good")).cast("float").alias("cost"), F.log2(F.col("bad") / F.col("good")).cast("float").alias("gain"))
+    told = each.join(costs.hint("merge"), "gram").select("gram", "cost", "gain", "blocks").mapInArrow(paged, "block long, grams string, cost binary, gain binary")
     schema = docs.select(*keep).schema.add("bits", "double").add("peak", "double")
 
-    def score(pair):
-        """The rows of a partition and the pages of its n-grams to rows with bits and peak."""
-        own, pages = pair
-        s = np.frombuffer("".join(p.grams for p in pages).encode("utf-32-le"), np.uint32)
+    def score(own, told):
+        s = np.frombuffer("".join(told.column("grams").to_pylist()).encode("utf-32-le"), np.uint32)
         keys = _hashes(s)[::LENGTH] if len(s) else np.empty(0, np.uint64)
         order = np.argsort(keys)
-        cost, gain = (np.frombuffer(b"".join(bytes(p[c]) for p in pages), np.float32)[order] for c in ("cost", "gain"))
+        cost, gain = (np.frombuffer(b"".join(told.column(c).to_pylist()), np.float32)[order] for c in ("cost", "gain"))
         keys = keys[order]
-        for b in pa.ipc.open_stream(bytes(own.rows)) if own.rows else ():
-            bits, peak = [], []
-            for part, _, h, _ in _parts(b.column(text).to_pylist()):
-                at = np.searchsorted(keys, h)
-                if len(h) and (at.max() >= len(keys) or (keys[at] != h).any()):
-                    raise RuntimeError("the documents came in other partitions when they were read again; write them as a table first")
-                end = 0
-                for t in part:
-                    mine, end = at[end : end + len(t)], end + len(t)
-                    c = np.concatenate([[0.0], np.cumsum(gain[mine], dtype=np.float64)])
-                    bits.append(float(cost[mine].mean(dtype=np.float64)) if t else None)
-                    peak.append(float((c - np.minimum.accumulate(c)).max()) if t else None)
-            yield from zip(*(b.column(docs_at[c]).to_pylist() for c in keep), bits, peak, strict=True)
+        out = []
+        for rows in own.column("rows"):
+            for b in pa.ipc.open_stream(rows.as_py()):
+                bits, peak = [], []
+                for part, _, h, _ in _parts(b.column(text).to_pylist()):
+                    at = np.searchsorted(keys, h)
+                    if len(h) and (at.max() >= len(keys) or (keys[at] != h).any()):
+                        raise RuntimeError("the documents came in another order when they were read again; write them as a table first")
+                    end = 0
+                    for t in part:
+                        mine, end = at[end : end + len(t)], end + len(t)
+                        c = np.concatenate([[0.0], np.cumsum(gain[mine], dtype=np.float64)])
+                        bits.append(float(cost[mine].mean(dtype=np.float64)) if t else None)
+                        peak.append(float((c - np.minimum.accumulate(c)).max()) if t else None)
+                out.append(pa.RecordBatch.from_arrays([*(b.column(docs_at[c]) for c in keep), pa.array(bits, pa.float64()), pa.array(peak, pa.float64())], names=[*keep, "bits", "peak"]))
+        return pa.Table.from_batches(out)
 
     docs_at = {c: i for i, c in enumerate(docs.columns)}
-    whole = docs.mapInArrow(packed, "rows binary").rdd
-    dealt = told.repartitionById(whole.getNumPartitions(), F.col("block").cast("int")).rdd.glom()
-    return docs.sparkSession.createDataFrame(whole.zip(dealt).flatMap(score), schema, verifySchema=False)
+    return docs.mapInArrow(packed, "block long, rows binary").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, schema)
 
 
 def trusted_ids(labels: DataFrame, doc_id="doc_id", quality="quality", toxic="toxic") -> DataFrame:
