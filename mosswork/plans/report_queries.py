@@ -103,9 +103,6 @@ def site_rows(spark, sf_dir):
     return runs.site_rows(n.select("dir", F.lit("topic").alias("category")), a).select("dir", "category", "article_count")
 
 
-_RAW = """CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '{"store_path":"s/' || page_id || '.png","source":"commons"}' WHEN 2 THEN '{"image_url":"u"}' WHEN 3 THEN '"' || url || '"' ELSE '""' END"""
-
-
 def _images(spark, sf_dir):
     i = F.col("page_id")
     raw = F.when(i % 5 == 1, F.concat(F.lit('{"store_path":"s/'), i, F.lit('.png","source":"commons"}'))).when(i % 5 == 2, '{"image_url":"u"}').when(i % 5 == 3, F.concat(F.lit('"'), F.col("url"), F.lit('"'))).when(i % 5 == 4, '""')
@@ -575,3 +572,41 @@ def article_pages(spark, sf_dir):
     slugs = a.filter("k % 3 = 0").select(F.col("title").alias("key"), F.concat(F.lit("s"), F.col("k")).alias("slug"))
     p = pages.linked(a, slugs).withColumn("p", pages.rendered("title", "text", "slugs", F.lit("")))
     return p.select("k", "p.body", "p.guessed")
+
+
+@query("SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN p_name || '|' || p_brand ELSE p_name END AS claims FROM part")
+def claim_answers(spark, sf_dir):
+    """Claims of whole and of cut answers, trimmed, blank ones gone."""
+    k = F.col("p_partkey")
+    text = F.when(k % 2 == 0, F.concat(F.lit('{"claims": [" '), F.col("p_name"), F.lit(' ", "", "'), F.col("p_brand"), F.lit('"]}'))).otherwise(F.concat(F.lit('{"claims": ["'), F.col("p_name"), F.lit('", 7, '))) 
+    return table(spark, sf_dir, "part").select(k.alias("k"), F.array_join(salvage.claim_list(text), "|").alias("claims"))
+
+
+@query("""SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN 'A ' || p_name WHEN 1 THEN 'M ' || p_name WHEN 2 THEN 'C ' || p_name ELSE 'B ' || p_name || ' rest' END AS text FROM part""")
+def page_parts(spark, sf_dir):
+    """The text of a page's article, else its main part, else the element named content, else its body; scripts and navigation never."""
+    k, n = F.col("p_partkey"), F.col("p_name")
+    own = F.when(k % 4 == 0, F.concat(F.lit("<main>m <article>A <b>"), n, F.lit("</b></article></main>"))).when(k % 4 == 1, F.concat(F.lit("<main>M<br> "), n, F.lit("</main>"))).when(k % 4 == 2, F.concat(F.lit("<div id='content'>C "), n, F.lit("</div>"))).otherwise(F.concat(F.lit("B "), n))
+    html = F.concat(F.lit("<html><head><title>t</title></head><body><nav>menu</nav><script>x<1</script>"), own, F.lit("<p>rest</p></body></html>"))
+    return table(spark, sf_dir, "part").select(k.alias("k"), salvage.dom_text(html).alias("text"))
+
+
+@query(f"""SELECT doc_id, CASE WHEN len({TOKENS}) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents""")
+def hashed_embeddings(spark, sf_dir):
+    """The stand-in for a model: vectors of length one, zero for texts without words."""
+    from ..functions.similarity import dot
+
+    e = table(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.col("text")).alias("w"))
+    v = e.select("doc_id", ve.hashed_embedding(F.col("w"), 16).alias("e"))
+    return v.select("doc_id", F.round(dot(F.col("e"), F.col("e")), 3).alias("norm"))
+
+
+@query("""SELECT o_orderkey AS custom_id, '{"claims": ["c ' || o_custkey || '"]}' AS object FROM orders WHERE o_orderkey % 4 < 2""")
+def batch_answers(spark, sf_dir):
+    """Lines of a batch's output: chat and responses shapes, lines without a text or an id."""
+    k = F.col("o_orderkey")
+    said = F.concat(F.lit('{\\"claims\\": [\\"c '), F.col("o_custkey"), F.lit('\\",]}'))
+    chat = F.concat(F.lit('{"custom_id": "'), k, F.lit('", "response": {"body": {"choices": [{"message": {"content": "'), said, F.lit('"}}]}}}'))
+    other = F.concat(F.lit('{"custom_id": "'), k, F.lit('", "response": {"body": {"output": [{"content": [{"text": "'), said, F.lit('"}]}]}}}'))
+    line = F.when(k % 4 == 0, chat).when(k % 4 == 1, other).when(k % 4 == 2, F.concat(F.lit('{"custom_id": "'), k, F.lit('", "error": 1}'))).otherwise("no json")
+    return logs.batch_answers(table(spark, sf_dir, "orders").select(line.alias("value"))).select(F.col("custom_id").cast("long").alias("custom_id"), "object")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.salvage import salvaged
+
 SCHEMAS = {
     "articles": "subject string, wikitext string, hop int, model string, overall_confidence double, parent_subject string, parent_hop int, created_at string",
     "articles_meta": "subject string, hop int, links array<string>, categories array<string>, links_from_markup array<string>, categories_from_markup array<string>, ner_candidates array<string>, diag boolean, stage string",
@@ -26,7 +29,24 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def document(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """A single JSON document as one row; no row if there is no such file or it can't be read, so a caller's default is a left join away."""
+    try:
+        whole = spark.read.text(path, wholetext=True)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    parsed = whole.select(F.from_json("value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    return parsed.filter("r is not null and r._corrupt is null").select("r.*").drop("_corrupt")
+
+
+def first_existing(spark: SparkSession, schema: str, *paths: str) -> DataFrame:
+    """The JSON lines of the first path that is there; articles need both a subject and a text."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            return json_lines(spark, path, schema)
+    return spark.createDataFrame([], f"{schema}, line_no long")
 
 
 def line_count(spark: SparkSession, path: str) -> DataFrame:
@@ -34,8 +54,13 @@ def line_count(spark: SparkSession, path: str) -> DataFrame:
 
 
 def titles(spark: SparkSession, path: str) -> DataFrame:
-    t = spark.read.text(path).select(F.trim(F.regexp_replace("value", r"\s+", " ")).alias("title"), F.monotonically_increasing_id().alias("line_no"))
-    return t.filter("title <> ''")
+    """Seed titles: of a JSON document with `titles` or `topics`, or a list; else a title a line. White space is squeezed, blank ones go."""
+    whole = spark.read.text(path, wholetext=True).select("value")
+    array = "array<string>"
+    listed = F.coalesce(F.from_json("value", array), F.from_json("value", "titles array<string>").titles, F.from_json("value", "topics array<string>").topics)
+    is_json = F.col("value").rlike(r"^\s*[\[{]")
+    rows = whole.select(F.posexplode(F.when(is_json, listed).otherwise(F.split("value", r"\r?\n"))).alias("line_no", "title"))
+    return rows.select(F.trim(F.regexp_replace("title", r"\s+", " ")).alias("title"), "line_no").filter("title <> ''")
 
 
 def preload(titles_: DataFrame, seen: DataFrame, n: int, key) -> DataFrame:
@@ -53,17 +78,6 @@ def queue(snapshot: DataFrame, events: DataFrame) -> DataFrame:
     return every.groupBy("subject", "hop").agg(F.max_by(F.struct("status", "parent_subject", "parent_hop"), "line_no").alias("r")).select("subject", "hop", "r.*")
 
 
-def path_facts(path: Column) -> dict[str, Column]:
-    """model, topic, persona of .../topic_runs/MODEL/TOPIC/PERSONA/..."""
-    part = lambda i: F.initcap(F.replace(F.nullif(F.regexp_extract(path, r"topic_runs/([^/]+)/([^/]+)/([^/]+)", i), F.lit("")), F.lit("_"), F.lit(" ")))
-    return {"model": part(1), "topic": part(2), "persona": part(3)}
-
-
-def first_given(meta: Column, *paths: str) -> Column:
-    """The first non-blank value of JSON paths in run metadata."""
-    return F.coalesce(*(F.nullif(F.trim(F.get_json_object(meta, p)), F.lit("")) for p in paths))
-
-
 def aliased(df: DataFrame, **aliases: list[str]) -> DataFrame:
     """Counts of CSVs under any of their names; 0 counts as missing."""
     pick = lambda names: F.coalesce(*(F.nullif(F.col(n).try_cast("int"), F.lit(0)) for n in names if n in df.columns), F.lit(0))
@@ -85,3 +99,10 @@ def custom_id(c: Column) -> Column:
     rx = r"(?s)^ner::(.*)::hop=(\d+)::chunk=(\d+)::start=(\d+)::n=(\d+)$"
     number = lambda i: F.regexp_extract(c, rx, i).try_cast("int")
     return F.when(c.rlike(rx), F.struct(F.regexp_extract(c, rx, 1).alias("subject"), *(number(i).alias(k) for i, k in enumerate(("hop", "chunk", "start", "n"), 2))))
+
+
+def batch_answers(lines: DataFrame) -> DataFrame:
+    """custom_id and the first object in the text of each line (value) of a batch's output; lines without an id or a text are left out."""
+    body = F.coalesce(F.get_json_object("value", "$.response.body"), F.get_json_object("value", "$.body"))
+    named = lines.select(F.get_json_object("value", "$.custom_id").alias("custom_id"), answer_text(body).alias("text")).filter("custom_id is not null and text is not null")
+    return named.select("custom_id", salvaged("text").alias("object"))

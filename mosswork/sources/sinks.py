@@ -1,4 +1,5 @@
-"""Writers. Spark's commit protocol makes them atomic; partitioned output needs no buffers or locks."""
+"""Writers. Spark's commit protocol makes them atomic; partitioned output needs no buffers or locks. What has to be one file is written by one
+task, row by row; it is never gathered in the driver."""
 
 from __future__ import annotations
 
@@ -24,3 +25,56 @@ def per_subject(df: DataFrame, path: str, *by: str) -> None:
 
 def sorted_keys(df: DataFrame, key: str, path: str) -> None:
     df.select(key).distinct().sort(key).write.mode("overwrite").text(path)
+
+
+def rows_csv(path: str, *parts: DataFrame) -> None:
+    """Rows of several reports under one header: the columns of all, first seen first. No part at all is one line that says `empty`."""
+    if not parts:
+        raise ValueError("name the session's frames; for none write an empty one")
+    columns = list(dict.fromkeys(c for p in parts for c in p.columns))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p, allowMissingColumns=True)
+    if every.isEmpty():
+        every.sparkSession.createDataFrame([("empty",)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    else:
+        csv(every.select(*columns), path, columns)
+
+
+def json_array(df: DataFrame, path: str, *order: str) -> None:
+    """One JSON array of the rows, a row a line, in order: what a reader of a whole document expects of a log."""
+    if df.isEmpty():
+        df.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return
+    text = df.select(*(F.col(c) for c in order), F.to_json(F.struct(*df.columns)).alias("_row")).repartitionByRange(1, *order).sortWithinPartitions(*order) if order else df.select(F.to_json(F.struct(*df.columns)).alias("_row")).coalesce(1)
+
+    def lines(it):
+        import pyarrow as pa
+
+        first = True
+        for b in it:
+            rows = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_pydict({"value": [("[" if first and i == 0 else ",") + r for i, r in enumerate(rows)]})
+            first = first and not rows
+        yield pa.RecordBatch.from_pydict({"value": ["]"]})
+
+    text.select("_row").mapInArrow(lines, "value string").write.mode("overwrite").text(path)
+
+
+def queue_snapshot(rows: DataFrame, path: str, articles: DataFrame | None = None, most: int = 0) -> None:
+    """The queue's rows by subject and hop, as one array; beside it the first articles by line, `most` of them (the snapshot's own limit)."""
+    json_array(rows, f"{path}/queue", "hop", "subject")
+    if articles is not None and most:
+        json_array(articles.orderBy("line_no").limit(most), f"{path}/articles", "line_no")
+
+
+def search_index(postings: DataFrame, path: str) -> None:
+    """token, part and ids as JSON lines, in ranges of tokens."""
+    postings.repartitionByRange("token").sortWithinPartitions("token", "part").write.mode("overwrite").json(path)
+
+
+def audit(records: DataFrame, claims: DataFrame, manifest: DataFrame, path: str) -> None:
+    """A run's audit trail: its manifest, claims and results, the latter two in a folder for each subject."""
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    per_subject(claims, f"{path}/claims", "subject")
+    per_subject(records, f"{path}/results", "subject")
