@@ -39,6 +39,8 @@ LENGTH = 4
 PAD = "\0" * (LENGTH - 1)
 #: Uniform probability below the shortest n-grams: one of all code points.
 LEAST = 1 / 0x110000
+#: So many labelled ids are broadcast (8 bytes each).
+MOST_IDS = 2_000_000
 #: Bytes of text in a block, if a task reads as much; entries of a task's pages of costs.
 BLOCK, PAGE = 48 << 20, 400_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -245,11 +247,13 @@ def _error(level: float) -> float:
 def classify(documents: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", lang="lang") -> DataFrame:
     """One row per row of documents: doc_id, text_hash, lang, perplexity, keep."""
     docs = only(documents, doc_id=doc_id, text=text, lang=lang).withColumn("text", text_or_empty())
-    ids, toxic = durable(trusted_ids(labels), "trusted"), toxic_ids(labels)
-    texts_of = lambda ids: docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi").select("text")
+    ids, toxic = durable(trusted_ids(labels), "trusted"), durable(toxic_ids(labels), "toxic")
+    few = ids.count() + toxic.count() <= MOST_IDS  # else texts are shuffled to meet their labels
+    named = lambda ids: F.broadcast(ids) if few else ids.hint("merge")
+    texts_of = lambda ids: docs.join(named(ids), F.col("doc_id") == F.col("id"), "left_semi").select("text")
     own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "lang", "text")
     bits = durable(scored(own, texts_of(ids.filter(~F.col("held"))), texts_of(toxic)), "bits")
-    held = bits.join(ids.filter("held"), F.col("doc_id") == F.col("id"), "left_semi").filter("bits is not null")
+    held = bits.join(named(ids.filter("held")), F.col("doc_id") == F.col("id"), "left_semi").filter("bits is not null")
 
     def ends(by) -> DataFrame:
         q = F.percentile_approx("bits", [LOWEST, 0.25, 0.5, 0.75, HIGHEST], 10_000)
