@@ -199,3 +199,31 @@ def test_candidates_and_batches_are_whole(spark, tmp_path, monkeypatch):
     for i in range(60):
         score, other = max((round(sum(a * b for a, b in zip(e[i], e[j])), 12), -j) for j in range(60) if j != i)
         assert abs(got[i][0] - max(score, 0)) < 1e-4 and got[i][1] == (-other if score >= 0.3 and -other < i else None)
+
+
+def test_expansion_with_stages_and_similarity(spark, tmp_path):
+    """A wave's later near repeats, those near what was reached, and what has no vector do not come in (the first of near repeats by a judge's word); articles
+    without their payloads are not written."""
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    articles = spark.createDataFrame([("A", "[[Bird (0.9)]] [[Birdy (0.8)]] [[Low (0.1)]] [[Alpha (0.7)]] [[Bare (0.6)]] [[Tree (0.95)]]"), ("Bird", "[[Never (0.9)]]"), ("Tree", "[[Leaf (0.9)]]")], "subject string, wikitext string")
+    names = ["bird", "birdy", "low", "alpha", "bare", "tree", "never", "leaf"]
+    decisions = spark.createDataFrame([(n, True, None, i) for i, n in enumerate(names)], "phrase string, is_ne boolean, confidence double, line_no int")
+    axis = {"a": [1.0, 0, 0, 0], "alpha": [1.0, 0, 0, 0], "bird": [0, 1.0, 0, 0], "birdy": [0, 1.0, 0, 0], "tree": [0, 0, 1.0, 0], "leaf": [0, 0, 0, 1.0], "never": [0, 0, 0.6, 0.8]}
+    embeddings = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in axis.items()], "canon_key string, e array<double>")
+    outlines = spark.createDataFrame([("A", 0), ("Tree", 1)], "subject string, hop int")
+    r = crawl.expand(spark.createDataFrame([("A",)], "subject string"), articles, decisions, 3, lambda df, name: df.checkpoint(), embeddings=embeddings, similarity=0.9, answers=spark.createDataFrame([("bird", False), ("birdy", False)], "canon_key string, same boolean"), stages=(outlines,), confidence=0.5)
+    got = {x.canon_key: x.hop for x in r.collect()}
+    assert got.pop("a") == 0 and got.pop("tree") == 1 and got.pop("leaf") == 2 and len(got) == 1 and set(got) <= {"bird", "birdy"}
+    known = spark.createDataFrame([("alpha", False)], "canon_key string, same boolean")
+    wave = spark.createDataFrame([("alpha", "Alpha", 1), ("bare", "Bare", 2)], "canon_key string, phrase string, position long")
+    d = crawl.distinct_enough(wave, spark.createDataFrame([("a",)], "canon_key string"), embeddings, 0.9, known).collect()
+    assert [(x.canon_key, x.reason) for x in d] == [("alpha", "llm_distinct")]
+
+
+def test_batch_names_and_site_links(spark):
+    from mosswork.operators import reports
+
+    e = spark.createDataFrame([("s", ["https://a.b/1", None, "x"])], "s string, u array<string>")
+    assert e.select(evidence.snippet_domains(F.col("u")).alias("d")).first().d == ["a.b"]
+    c = spark.createDataFrame([("u", i) for i in range(60)], "g string, i int")
+    assert sorted({(r.chunk, r.start) for r in reports.chunked(c, ["g"], "i").collect()}) == [(0, 0), (1, 25), (2, 50)]
