@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rates import mean, median, rate_or_zero, std
+from ..functions.similarity import lexical
 from ..functions.text import canon_key
 from .analyses import set_overlap, verdict_stats
 from .evidence import snippet_domains
@@ -193,3 +194,18 @@ def chunked(rows: DataFrame, by: list[str], order: str, size: int = 25) -> DataF
     """rows with `chunk` and its `start`: as many in a row of a group as one call takes."""
     at = F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1
     return rows.withColumn("_at", at).withColumns({"chunk": F.floor(F.col("_at") / size).cast("int"), "start": (F.floor(F.col("_at") / size) * size).cast("int")}).drop("_at")
+
+
+def cross_similarity(articles: DataFrame, group: str, most: int = 100) -> DataFrame:
+    """Each pair of groups (a < b): mean and deviation of the similarity of their texts over the first common subjects by name, `most` of them (the
+    report's own limit); a subject's text is its first row. articles: group, subject, line_no, words."""
+    first = articles.groupBy("subject", group).agg(F.min_by("words", "line_no").alias("w"))
+    named = first.select("subject", F.col(group).alias("g"))
+    of = named.groupBy("subject").agg(F.array_sort(F.collect_set("g")).alias("gs")).filter("size(gs) > 1")
+    pair = of.select("subject", F.explode("gs").alias("a"), "gs").select("subject", "a", F.explode("gs").alias("b")).filter("a < b")
+    kept = pair.withColumn("_r", F.row_number().over(Window.partitionBy("a", "b").orderBy("subject"))).filter(F.col("_r") <= most).drop("_r")
+    side = lambda k, w: first.select("subject", F.col(group).alias(k), F.col("w").alias(w))
+    both = kept.join(side("a", "x"), ["subject", "a"]).join(side("b", "y"), ["subject", "b"]).filter("size(x) > 0 and size(y) > 0")
+    m = {k: c for k, c in lexical(F.col("x"), F.col("y")).items() if k in ("jaccard", "ngram_2_overlap", "ngram_3_overlap")}
+    rows = both.select("a", "b", *(c.alias(k) for k, c in m.items()))
+    return rows.groupBy("a", "b").agg(F.count("*").alias("n"), *(f(F.col(k)).alias(f"{n}_{k}") for k in m for n, f in (("mean", mean), ("std", std))))
