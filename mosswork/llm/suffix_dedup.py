@@ -37,7 +37,8 @@ STRETCH = 1 << 20
 #: Segments compared within a task before rows are sent; bytes of a shard.
 HELD, SHARD = 2_000_000, 1_500_000
 NO_ID = 2**63 - 1
-#: place: start, number of strings and the anchor's distance from the start, packed; sides: 32-bit hashes of both halves, 0 for none.
+#: place: start, number of strings and the anchor's distance from the start, packed; sides: hashes of both halves, 31 and 32 bits, 0 for none.
+#: A row with sides -1 is no segment but a range of starts that a task already knows to repeat: segment is its start, place its length.
 _SEGMENTS = pa.schema([(n, pa.int64()) for n in ("id", "th", "anchor", "segment", "place", "sides")])
 SEGMENTS = "id long, th long, anchor long, segment long, place long, sides long"
 _RANGES = pa.schema([(n, pa.int64()) for n in ("id", "th", "start", "n")])
@@ -98,7 +99,7 @@ def _stretch(b: np.ndarray, at: int):
     whole = (sums[end] - sums[start]) * back[start]
     whole = (whole ^ n.astype(np.uint64) * M ^ away.astype(np.uint64)) * np.uint64(0x94D049BB133111EB)
     before, behind = np.maximum(anchor - SIDE, 0), np.minimum(anchor + GRAM + SIDE, len(b))
-    sides = [((sums[y] - sums[x]) * back[x] * M) >> np.uint64(32) | np.uint64(1) for x, y in ((before, anchor), (anchor, behind))]
+    sides = [((sums[y] - sums[x]) * back[x] * M) >> np.uint64(b) | np.uint64(1) for x, y, b in ((before, anchor, 33), (anchor, behind, 32))]
     left, right = np.where(away > SIDE, sides[0], np.uint64(0)), np.where(away - n < SIDE, sides[1], np.uint64(0))
     return h[anchor].view(np.int64), (whole ^ (whole >> np.uint64(32))).view(np.int64), _place(start + at, n, away), (left << np.uint64(32) | right).view(np.int64)
 
@@ -147,14 +148,12 @@ def _joined(x: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def first_segments(it):
+    """The first of equal segments of a task's rows, and the ranges of the others."""
     for rows in _rows(it):
         order, first = _firsts(rows)
-        yield batch(_SEGMENTS, *(c[order][first] for c in rows))
-
-
-def repeats_within(it):
-    for rows in _rows(it):
-        yield batch(_RANGES, *_later(rows, *_firsts(rows)))
+        i, th, start, n = _later(rows, order, first)
+        ranges = (i, th, th, start, n, np.full(len(i), -1))  # any key does, as long as it is spread
+        yield batch(_SEGMENTS, *(np.concatenate([c[order][first], r]) for c, r in zip(rows, ranges, strict=True)))
 
 
 def _sorted_groups(it):
@@ -192,6 +191,12 @@ def compared(it):
     """Later copies of segments (sort false), and the first of each segment of which another one shares a half (sort true; sides
     that no other shares are 0)."""
     for rows in _sorted_groups(it):
+        known = rows[5] == -1
+        if known.any():
+            yield batch(_FOUND, *(c[known] for c in rows), np.zeros(int(known.sum()), bool))
+            rows = [c[~known] for c in rows]
+        if not len(rows[0]):
+            continue
         order, first = _firsts(rows)
         rows = [c[order] for c in rows]
         lead = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
@@ -258,12 +263,12 @@ def sorted_shard(t: pa.Table) -> pa.Table:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """id, th, start, n: starts, n in a row, of strings that also start earlier. docs: id, th, text."""
-    within = docs.mapInArrow(repeats_within, RANGES)
     firsts = docs.mapInArrow(first_segments, SEGMENTS)
     dealt = firsts.repartition("anchor").sortWithinPartitions("anchor", "segment", "id", "th", "place")
     found = durable(dealt.mapInArrow(compared, SEGMENTS + ", sort boolean"), "segments")
     n = F.shiftright("place", 8).bitwiseAND(F.lit(255))
-    between = found.filter(~F.col("sort")).select("id", "th", F.shiftright("place", 16).alias("start"), n.alias("n"))
+    known = F.col("sides") == -1
+    ranges = found.filter(~F.col("sort")).select("id", "th", F.when(known, F.col("segment")).otherwise(F.shiftright("place", 16)).alias("start"), F.when(known, F.col("place")).otherwise(n).alias("n"))
     some = found.filter("sort")
     size = some.agg(F.sum(n + LENGTH)).first()[0] or 0
     shards = max(1, -(-size // SHARD))
@@ -272,7 +277,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     bytes_ = bytes_.mapInArrow(_cut, HALVES)
     shard = F.pmod(F.xxhash64("half"), F.lit(shards)).alias("shard")
     sorted_ = bytes_.groupBy(shard).applyInArrow(sorted_shard, RANGES)
-    return within.unionByName(between).unionByName(sorted_)
+    return ranges.unionByName(sorted_)
 
 
 def dedup(documents: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
