@@ -122,10 +122,10 @@ class ChunkEncoder:
         for p, e in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
             known[p] = ("".join([f"{i}," for i in e.ids]), self.tokenizer.decode(e.ids, skip_special_tokens=False))
 
-    def _pieces(self, text: str) -> tuple[str, str]:
-        """Decimal ids, each with a comma behind, and the decoded text of a text whose ends are safe."""
+    def _pieces(self, text: str, odd: bool) -> tuple[str, str]:
+        """Decimal ids, each with a comma behind, and the decoded text of a text whose ends are safe. odd: it may hold unusual white space."""
         known = self.words
-        if UNUSUAL.search(text):
+        if odd and UNUSUAL.search(text):
             words = self.SAFE.split(text)
         elif self.MIXED.search(text):
             words = self.WORD.findall(text)
@@ -140,21 +140,21 @@ class ChunkEncoder:
             got = [known[w] for w in words]
         return "".join([g[0] for g in got]), "".join([g[1] for g in got])
 
-    def _chunk(self, text: str) -> tuple:
+    def _chunk(self, text: str, odd: bool) -> tuple:
         """(head, ids and decoded text of the body, tail); head alone if the chunk has no safe place."""
         first = self.SAFE.search(text)
         if not first:
             return (text,)
         a, core = first.start(), text.rstrip()
-        if UNUSUAL.search(text):
+        if odd:
             *_, last = self.SAFE.finditer(text)
-            return (text[:a], *self._pieces(text[a : last.start()]), text[last.start() :])
+            return (text[:a], *self._pieces(text[a : last.start()], odd), text[last.start() :])
         b = len(core) if len(core) < len(text) else len(core.rsplit(None, 1)[0])
-        return (text[:a], *self._pieces(text[a:b]), text[b:])
+        return (text[:a], *self._pieces(text[a:b], odd), text[b:])
 
     def encode(self, text: str) -> tuple[str, str]:
         """ids as decimals joined by commas, and the text decoded from them."""
-        data, at, seam = text.encode(), 0, ""
+        data, at, seam, odd = text.encode(), 0, "", bool(UNUSUAL.search(text))
         chunks, words, ids, decoded = self.chunks, self.words, [], []
         for end in [*self._cuts(data).tolist(), len(data)]:
             own, at = data[at:end], end
@@ -162,12 +162,12 @@ class ChunkEncoder:
             if c is None:
                 if len(chunks) >= self.most_chunks:
                     chunks.clear()
-                c = chunks[own] = self._chunk(own.decode())
+                c = chunks[own] = self._chunk(own.decode(), odd)
             seam += c[0]
             if len(c) > 1:
-                i, d = words.get(seam) or self._pieces(seam)
+                i, d = words.get(seam) or self._pieces(seam, odd)
                 ids += i, c[1]
                 decoded += d, c[2]
                 seam = c[3]
-        i, d = self._pieces(seam)
+        i, d = self._pieces(seam, odd)
         return "".join([*ids, i])[:-1], "".join([*decoded, d])
