@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat_format, exact_dedup, line_dedup, ngram_join, packing, quality, secret_scan, suffix_dedup
+from . import ann, bpe, chat_format, exact_dedup, line_dedup, manifest, ngram_join, packing, quality, secret_scan, suffix_dedup
 
 #: The folder of public vocabulary files is a parameter; the package that holds them names it.
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -95,9 +95,57 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_secret_scan, op3_exact_dedup, op4_line_dedup, op4_line_dedup_passages, op5_suffix_dedup, op6_ngram_join, op7_best_fit_packing, op8_bpe, op9_ann, op10_chat_format)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    changed = F.when(hit, F.translate("text", "".join(map(chr, range(65, 91))), "".join(map(chr, range(97, 123))))).otherwise(F.col("text"))
+    received = manifest.digest(*(F.col(c) for c in ("doc_id", "source", "lang", "n_chars")), changed)
+    made = manifest.manifest(docs, also={"received": received})
+    return made.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(manifest.proof_text(F.col("steps")), 256).alias("proof_sha256"), manifest.fold(F.col("received"), F.col("steps")).alias("folded_root")
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_secret_scan, op3_exact_dedup, op4_line_dedup, op4_line_dedup_passages, op5_suffix_dedup, op6_ngram_join, op7_best_fit_packing, op8_bpe, op9_ann, op10_chat_format, op11_merkle_manifest)}
+
+def _crc32(text: str) -> str:
+    """SQL of the unsigned crc32 of a string's UTF-8 bytes."""
+    byte = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    bits = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda p, q: CASE WHEN p & 1 = 1 THEN xor(p >> 1, 3988292384) ELSE p >> 1 END)"
+    return f"xor(4294967295, list_reduce([4294967295::BIGINT] || {byte}, lambda a, b: {bits}))"
+
+
+def _merkle_sql(levels: int = 8, tops: int = 3) -> str:
+    """A level is a table of nodes with their siblings; 8 levels hold 2 * 10**6 rows of a language, three 64 languages or more."""
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    out = [f"""t AS (SELECT *, CASE WHEN {_crc32('doc_id::VARCHAR')} % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS changed FROM documents)""",
+        f"x AS (SELECT doc_id, coalesce('+' || lang, '') AS g, {leaf('text')} AS leaf, {leaf('changed')} AS received FROM t)",
+        "n0 AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS d, count(*) OVER (PARTITION BY g) AS m, doc_id, leaf, received FROM x)"]
+    side = lambda a, b: f"coalesce(string_agg(d, '') OVER (PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN {a} AND {b}), '')"
+
+    def levels_of(n: str, s: str, count: int) -> None:
+        for k in range(count):
+            out.append(f"{s}{k} AS (SELECT g, i, m, {side('UNBOUNDED PRECEDING', '1 PRECEDING')} AS b, {side('1 FOLLOWING', 'UNBOUNDED FOLLOWING')} AS a FROM {n}{k})")
+            out.append(f"{n}{k + 1} AS (SELECT g, i // 8 AS i, CASE WHEN any_value(m) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d, (any_value(m) + 7) // 8 AS m FROM {n}{k} GROUP BY g, i // 8)")
+
+    def walk(s: str, first: str, count: int, to: str) -> None:
+        for k in range(count):
+            out.append(f"""{to}{k} AS (SELECT w.* EXCLUDE (folded, proof, i), w.i // 8 AS i, CASE WHEN s.m = 1 THEN folded ELSE sha256(s.b || folded || s.a) END AS folded, proof || s.b || s.a AS proof
+                FROM {first if k == 0 else f'{to}{k - 1}'} w JOIN {s}{k} s ON s.g = w.g AND s.i = w.i)""")
+
+    levels_of("n", "s", levels)
+    out.append(f"u0 AS (SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, d, count(*) OVER () AS m, g AS name FROM n{levels})")
+    levels_of("u", "v", tops)
+    out.append("w AS (SELECT g, i, doc_id, leaf, received AS folded, '' AS proof FROM n0)")
+    walk("s", "w", levels, "p")
+    out.append(f"y AS (SELECT '' AS g, u0.i, doc_id, leaf, u0.d AS subroot, folded, proof FROM p{levels - 1} q JOIN u0 ON u0.name = q.g)")
+    walk("v", "y", tops, "q")
+    return "WITH " + ", ".join(out) + f" SELECT doc_id, leaf, subroot, u{tops}.d AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = u{tops}.d AS verified FROM q{tops - 1}, u{tops}"
+
 
 ORACLE = {
+    "op11_merkle_manifest": _merkle_sql(),
     "op3_exact_dedup": r"""
         WITH norm AS (
             SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents
