@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat_format, exact_dedup, line_dedup, manifest, ngram_join, packing, quality, secret_scan, suffix_dedup
+from . import ann, bpe, chat_format, decontamination, exact_dedup, line_dedup, manifest, ngram_join, packing, quality, secret_scan, suffix_dedup
 
 #: The folder of public vocabulary files is a parameter; the package that holds them names it.
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -106,7 +106,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_secret_scan, op3_exact_dedup, op4_line_dedup, op4_line_dedup_passages, op5_suffix_dedup, op6_ngram_join, op7_best_fit_packing, op8_bpe, op9_ann, op10_chat_format, op11_merkle_manifest)}
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.search(decontamination.index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_secret_scan, op3_exact_dedup, op4_line_dedup, op4_line_dedup_passages, op5_suffix_dedup, op6_ngram_join, op7_best_fit_packing, op8_bpe, op9_ann, op10_chat_format, op11_merkle_manifest, op12_benchmark_decontamination)}
 
 def _crc32(text: str) -> str:
     """SQL of the unsigned crc32 of a string's UTF-8 bytes."""
@@ -146,6 +154,26 @@ def _merkle_sql(levels: int = 8, tops: int = 3) -> str:
 
 ORACLE = {
     "op11_merkle_manifest": _merkle_sql(),
+    "op12_benchmark_decontamination": r"""
+        WITH w AS (
+            SELECT 0 AS item, doc_id AS id, row_number() OVER () AS r, text FROM documents UNION ALL SELECT 1, item_id, 0, text FROM benchmark
+        ), cut AS (
+            SELECT item, id, r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM w
+        ), starts AS (
+            SELECT id AS item_id, w, least(10, len(w)) AS n, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS k FROM cut WHERE item = 1 AND len(w) > 0
+        ), win AS (
+            SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS t FROM starts
+        ), places AS (
+            SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM cut, (SELECT DISTINCT n FROM win) WHERE item = 0 AND len(w) >= n
+        ), occ AS (
+            SELECT p.r, p.k, p.n, win.item_id FROM (SELECT r, n, k, array_to_string(w[k:k + n - 1], ' ') AS t FROM places) p JOIN win ON win.n = p.n AND win.t = p.t
+        ), hit AS (
+            SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS k FROM (SELECT DISTINCT r, k, n FROM occ)) GROUP BY r
+        ), items AS (
+            SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS i FROM (SELECT DISTINCT r, item_id::VARCHAR AS i FROM occ) GROUP BY r
+        )
+        SELECT id AS doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(i, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM cut LEFT JOIN hit ON hit.r = cut.r LEFT JOIN items ON items.r = cut.r WHERE item = 0""",
     "op3_exact_dedup": r"""
         WITH norm AS (
             SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents

@@ -3,12 +3,15 @@
 import collections
 import hashlib
 import random
+import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("mosswork.llm")
-from mosswork.llm import manifest  # noqa: E402
+from mosswork.llm import decontamination, manifest  # noqa: E402
 
 
 def sha(*parts):
@@ -75,3 +78,97 @@ def test_manifest_of_one_large_group(spark, monkeypatch, most):
     assert shown(made) == want
     held = made.select((manifest.fold(F.col("leaf"), F.col("steps")) == F.col("root")).alias("ok"), (manifest.fold(F.col("subroot"), F.col("steps")) == F.col("root")).alias("forged"))
     assert held.filter("ok").count() == n and held.filter("forged").count() == 0
+
+
+def plain_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def plain_hits(text, items):
+    w, hit, found = plain_words(text), set(), set()
+    for item, t in items:
+        b = plain_words(t)
+        n = min(10, len(b))
+        wanted = {tuple(b[k : k + n]) for k in range(len(b) - n + 1)} if n else set()
+        for k in range(len(w) - n + 1):
+            if tuple(w[k : k + n]) in wanted:
+                hit.update(range(k, k + n))
+                found.add("null" if item is None else str(item))
+    spans = []
+    for k in sorted(hit):
+        if spans and spans[-1][1] == k:
+            spans[-1][1] = k + 1
+        else:
+            spans.append([k, k + 1])
+    return len(w), spans, sorted(found)
+
+
+def leaky(seed, n=80):
+    """Items of one word to forty, of equal windows, of no word; texts that hold parts of them, often, at their ends, in other case."""
+    r = random.Random(seed)
+    word = lambda: r.choice(["a", "B", "é", "x1", "ß9", "longer", "The", "日本", "q" * 30])
+    passage = lambda k: "".join(word() + r.choice([" ", ", ", "\n", "-", "_"]) for _ in range(k))
+    items = [(i, passage(r.choice([0, 3, 9, 10, 11, 25, 40]) if i else 4)) for i in range(24)]
+    items += [(3, passage(12)), (None, passage(14)), (50, None), (51, " -- "), (52, items[5][1] + passage(15))]
+    docs = []
+    for i in range(n):
+        parts = [passage(r.randrange(30))]
+        for _ in range(r.randrange(3)):
+            t = r.choice(items)[1] or ""
+            parts += [t if i % 3 else t.upper().replace("É", "é").replace("SS", "ß"), passage(r.randrange(5))]
+        docs.append((i if i % 9 else None, "".join(parts), i, "x"))
+    return docs + [(500, None, 0, None), (501, "", 0, None), (501, "...", 0, None), (502, passage(4000) + items[7][1], 0, None), (502, passage(4000) + items[7][1], 0, None)], items
+
+
+@pytest.mark.parametrize("most", [decontamination.MOST_WINDOWS, 40])
+def test_decontamination_of_hostile_rows(spark, most):
+    docs, items = leaky(5)
+    table = spark.createDataFrame(docs, "doc_id long, text string, row long, docs string").repartition(3)
+    bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, window int")
+    want = collections.Counter()
+    for i, t, *_ in docs:
+        n, spans, found = plain_hits(t, items)
+        want[i, n, tuple(map(tuple, spans)), tuple(found)] += 1
+    index = decontamination.index(table)
+    got = decontamination.search(index, bench, most=most)
+    assert collections.Counter((r.doc_id, r.n_words, tuple((s.start, s.end) for s in r.spans), tuple(r["items"])) for r in got.collect()) == want
+    assert sum(1 for k in want if k[2]) > 20
+    assert {len(r.spans) for r in decontamination.search(index, bench.limit(0)).collect()} == {0}
+    assert decontamination.search(decontamination.index(table.limit(0)), bench).count() == 0
+
+
+def test_long_documents_are_cut(monkeypatch):
+    """Shards far smaller than a document; the pieces' hits are those of the whole."""
+    monkeypatch.setattr(decontamination, "SHARD_WORDS", 37)
+    docs, items = leaky(6)
+    docs = [d for d in docs if len(d[1] or "") < 20_000]
+    monkeypatch.setattr(decontamination.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 0})())
+    made = list(decontamination._indexed([pa.RecordBatch.from_pydict({"doc_id": pa.array([d[0] for d in docs], pa.int64()), "text": [d[1] or "" for d in docs]})]))
+    assert len(made) > 50
+    pairs = {("null" if i is None else str(i), b" ".join(w[k : k + 10])) for i, t in items for w in [decontamination.words(t or "")] if w for k in range(max(1, len(w) - 9))}
+    told = type("B", (), {"value": decontamination._Block(sorted(pairs))})
+    hits = collections.defaultdict(lambda: [0, set(), set()])
+    for b in decontamination._searcher(told)(made):
+        for h in b.to_pylist():
+            hits[h["row"]][0] = h["n_words"]
+            hits[h["row"]][1].update(k for s in h["spans"] for k in range(s["start"], s["end"]))
+            hits[h["row"]][2].update(h["items"])
+    for k, (_, t, *_) in enumerate(docs):
+        n, spans, found = plain_hits(t, items)
+        assert hits[k] == [n, {x for a, b in spans for x in range(a, b)}, set(found)]
+
+
+def test_suffixes_and_ranks():
+    r = np.random.RandomState(2)
+    for n in (1, 2, 50, 3000):
+        s = np.append(r.randint(2, 5, n - 1) if n > 1 else [], 1).astype(np.int64)
+        want = sorted(range(n), key=lambda i, s=s: s[i:].tolist())
+        assert decontamination.suffixes(s).tolist() == want
+    s = np.tile([7, 8], 5000)
+    assert decontamination.suffixes(np.append(s, 1))[:3].tolist() == [10000, 9998, 9996]
+    text = r.randint(0, 11, 777)
+    made = decontamination.Wavelet.of(text, 4)
+    symbols, places = r.randint(0, 11, 300), r.randint(0, 778, 300)
+    got = made.rank(symbols, places) - made.rank(symbols, np.zeros(300, np.int64))
+    assert got.tolist() == [int((text[:p] == c).sum()) for c, p in zip(symbols, places, strict=True)]
+    assert made.access(places[places < 777])[0].tolist() == text[places[places < 777]].tolist()
