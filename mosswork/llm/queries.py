@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat_format, decontamination, exact_dedup, line_dedup, manifest, ngram_join, packing, quality, secret_scan, suffix_dedup
+from . import ann, bpe, chat_format, decontamination, exact_dedup, line_dedup, manifest, ngram_join, packing, quality, secret_scan, spelling, suffix_dedup
 
 #: The folder of public vocabulary files is a parameter; the package that holds them names it.
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -114,7 +114,17 @@ def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_secret_scan, op3_exact_dedup, op4_line_dedup, op4_line_dedup_passages, op5_suffix_dedup, op6_ngram_join, op7_best_fit_packing, op8_bpe, op9_ann, op10_chat_format, op11_merkle_manifest, op12_benchmark_decontamination)}
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run in 31 of a document has lost a code point, so that there are variants."""
+    found = _table(spark, sf_dir, "documents").select("doc_id", F.explode(spelling.runs(F.col("text"), 7)).alias("w"))
+    h, size = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("w")).cast("binary")), F.char_length("w")
+    cut = (F.col("h") % size).cast("int")
+    lost = F.concat(F.substring("w", F.lit(1), cut), F.substring("w", cut + 2, size))
+    words = found.withColumn("h", h).select(F.when(F.col("h") % 31 == 0, lost).otherwise(F.col("w")).alias("word")).filter(F.char_length("word") >= 7)
+    return spelling.group(words.groupBy("word").agg(F.count("*").alias("n")).filter("n >= 2"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_secret_scan, op3_exact_dedup, op4_line_dedup, op4_line_dedup_passages, op5_suffix_dedup, op6_ngram_join, op7_best_fit_packing, op8_bpe, op9_ann, op10_chat_format, op11_merkle_manifest, op12_benchmark_decontamination, op13_spelling_variants)}
 
 def _crc32(text: str) -> str:
     """SQL of the unsigned crc32 of a string's UTF-8 bytes."""
@@ -154,6 +164,30 @@ def _merkle_sql(levels: int = 8, tops: int = 3) -> str:
 
 ORACLE = {
     "op11_merkle_manifest": _merkle_sql(),
+    "op13_spelling_variants": rf"""
+        WITH RECURSIVE runs AS (
+            SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+        ), low AS (
+            SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM runs WHERE length(run) >= 7
+        ), hashed AS (
+            SELECT doc_id, w, h FROM low JOIN (SELECT doc_id, w, {_crc32("doc_id::VARCHAR || ':' || w")} AS h FROM (SELECT DISTINCT doc_id, w FROM low)) USING (doc_id, w)
+        ), done AS (
+            SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) AS INT) + 2) ELSE w END AS word FROM hashed
+        ), d AS (
+            SELECT word, count(*) AS n FROM done WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2
+        ), cut AS (
+            SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM d)
+        ), near AS (
+            SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+            UNION SELECT cut.word, d.word FROM cut JOIN d ON d.word = rest UNION SELECT d.word, cut.word FROM cut JOIN d ON d.word = rest
+        ), best AS (
+            SELECT near.word, count(*) AS n_near, first(o.word ORDER BY o.n DESC, o.word) AS w, max(o.n) AS n FROM near JOIN d o ON o.word = other GROUP BY near.word
+        ), forms AS (
+            SELECT d.word, d.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 10 * d.n THEN best.w END AS form, CASE WHEN best.n >= 10 * d.n THEN best.n END AS form_n FROM d LEFT JOIN best ON best.word = d.word
+        ), walk AS (
+            SELECT word, word AS led, 0 AS step FROM forms UNION ALL SELECT walk.word, form, step + 1 FROM walk JOIN forms ON forms.word = led WHERE form IS NOT NULL
+        )
+        SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, arg_max(led, step) AS root FROM walk GROUP BY word) r ON r.word = forms.word""",
     "op12_benchmark_decontamination": r"""
         WITH w AS (
             SELECT 0 AS item, doc_id AS id, row_number() OVER () AS r, text FROM documents UNION ALL SELECT 1, item_id, 0, text FROM benchmark

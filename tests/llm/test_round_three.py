@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("mosswork.llm")
-from mosswork.llm import decontamination, manifest  # noqa: E402
+from mosswork.llm import decontamination, manifest, spelling  # noqa: E402
 
 
 def sha(*parts):
@@ -172,3 +172,78 @@ def test_suffixes_and_ranks():
     got = made.rank(symbols, places) - made.rank(symbols, np.zeros(300, np.int64))
     assert got.tolist() == [int((text[:p] == c).sum()) for c, p in zip(symbols, places, strict=True)]
     assert made.access(places[places < 777])[0].tolist() == text[places[places < 777]].tolist()
+
+
+def one_apart(u, v):
+    if abs(len(u) - len(v)) > 1 or u == v:
+        return False
+    p = 0
+    while p < min(len(u), len(v)) and u[p] == v[p]:
+        p += 1
+    return u[p + (len(u) >= len(v)) :] == v[p + (len(v) >= len(u)) :]
+
+
+def plain_variants(words, ratio=10):
+    out = {}
+    near = {u: [v for v in words if one_apart(u, v)] for u in words}
+    form = {}
+    for u, vs in near.items():
+        best = min(vs, key=lambda v: (-words[v], v), default=None)
+        form[u] = best if best is not None and words[best] >= ratio * words[u] else None
+    for u in words:
+        root = u
+        while form[root] is not None:
+            root = form[root]
+        out[u] = (form[u], root, words[u], len(near[u]), words[form[u]] if form[u] is not None else None)
+    return out
+
+
+def dictionary(seed, letters, n, sizes):
+    r = random.Random(seed)
+    words = {}
+    for _ in range(n):
+        w = "".join(r.choice(letters) for _ in range(r.choice(sizes)))
+        for _ in range(r.randrange(3)):
+            words[w] = int(10 ** (r.random() * 5)) + 1
+            k = r.randrange(len(w) + 1)
+            w = w[:k] + r.choice([w[k + 1 :], r.choice(letters) + w[k:], r.choice(letters) + w[k + 1 :]])
+    return words
+
+
+def test_variants_of_hostile_words(spark, monkeypatch):
+    words = dictionary(1, "abé", 250, range(1, 9)) | dictionary(2, "ab日😀", 60, range(4, 7)) | {"": 3, "x" * 5000: 2, "x" * 4999 + "y": 400, "x" * 4998 + "y": 7}
+    rows = [(w, n, 1) for w, n in words.items()] + [(None, 5, 1)]
+    rows += [(w, 2, 1) for w in list(words)[:20]]
+    words |= {w: words[w] + 2 for w in list(words)[:20]}
+    table = spark.createDataFrame(rows, "word string, n long, root int")
+    want = plain_variants(words)
+    assert sum(1 for x in want.values() if x[1] != x[0] and x[0] is not None) > 5
+    for most in (spelling.MOST_ROWS, 8):  # 8: nearly all blocks are subdivided before they are dealt out
+        monkeypatch.setattr(spelling, "MOST_ROWS", most)
+        got = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in spelling.group(table).collect()}
+        assert got == want
+    assert spelling.group(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("pairs", [0, 3, 400])
+def test_pairs_are_found_once(monkeypatch, pairs):
+    """Whatever blocks are subdivided; small letters make every block skewed."""
+    monkeypatch.setattr(spelling, "MOST_PAIRS", pairs)
+    monkeypatch.setattr(spelling, "CHUNK_PAIRS", 50)
+    words = sorted(dictionary(4, "ab", 900, range(1, 10)))
+    for size in range(10):
+        own = [w for w in words if len(w) in (size, size + 1)]
+        want = collections.Counter(frozenset((u, v)) for u in own for v in own if len(u) == size and u < v and one_apart(u, v)) + collections.Counter(frozenset((u, v)) for u in own for v in own if len(u) == size < len(v) and v < u and one_apart(u, v))
+        got = collections.Counter()
+        for side in (0, 1):
+            turned = [w[::-1] if side else w for w in own]
+            keys = sorted({w[: size // 2] for w in turned})
+            blocks = np.array([keys.index(w[: size // 2]) for w in turned], np.int64)
+            for i, j in spelling.neighbours(turned, blocks, size, size // 2, 0, spelling.NO_CAP, size // 2 if side else spelling.NO_CAP) if own else ():
+                got.update(frozenset((own[a], own[b])) for a, b in zip(i.tolist(), j.tolist(), strict=True))
+        assert got == want
+
+
+def test_runs(spark):
+    got = spark.createDataFrame([("ÀÉlan x-Straße, ABCdef_gh日é",), (None,)], "t string").select(spelling.runs(F.col("t"), 2).alias("r")).collect()
+    assert got[0].r == ["ÀÉlan", "straße", "abcdef", "gh"] and got[1].r is None
