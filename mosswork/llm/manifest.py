@@ -4,7 +4,7 @@ Rows are sorted by group and id in ranges, and stored with their place in the ra
 sums of these counts give every row its index in its group, so a node has a coordinate: (group, level, index), over the leaves index * 8**level and on.
 A task hashes the complete aligned subtrees of the stretch of leaves that it reads; what is left at the ends of stretches, a few nodes a level, is
 shuffled by coordinate of the block (8**HEIGHT leaves) and finished there. Blocks of blocks finish the upper levels: three rounds are enough for
-3 * 10**13 leaves. A group of any size is so cut over tasks, and no task holds more than a block. Proofs go down the same blocks: those of a
+6 * 10**10 leaves. A group of any size is so cut over tasks, and no task holds more than a block. Proofs go down the same blocks: those of a
 block's own node are sent to its leaves once.
 
 Defined cases: a null field is `-`, so it differs from an empty text; the null group is a group, the first; null ids come first in their group; equal ids
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import batch, batches, dropped, durable
 
-FAN, HEIGHT = 8, 5
+FAN, HEIGHT = 8, 4
 BLOCK = FAN**HEIGHT
 #: So many rows of counts by range and group are broadcast; more are joined by shuffle.
 MOST_COUNTS = 100_000

@@ -71,7 +71,7 @@ def test_manifest_of_hostile_rows(spark):
 def test_manifest_of_one_large_group(spark, monkeypatch, most):
     """More than one block; with counts broadcast and joined."""
     monkeypatch.setattr(manifest, "MOST_COUNTS", most)
-    n = manifest.BLOCK + 77
+    n = 8 * manifest.BLOCK + 77
     docs = spark.range(0, n, 1, 7).select(F.col("id").alias("doc_id"), F.when(F.col("id") < n - 3, "a").alias("lang"))
     made = manifest.manifest(docs, fields=("doc_id", "lang"))
     want = plain_manifest([(i, g, sha(f"{len(str(i))}:{i}", "1:a" if g else "-")) for i in range(n) for g in ["a" if i < n - 3 else None]])
