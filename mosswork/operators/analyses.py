@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rates import mean, median, rate_or_zero, seeded, std, verdict_counts, verdict_rates
 from ..functions.text import hop_bucket, ngrams
+from .ranges import ROWS, Ranges
 
 BUCKETS = [f"hop{i}" for i in range(5)] + ["hop5plus"]
 # Order of prompts in ablation tables; both spellings of the calibrated one.
@@ -116,14 +117,15 @@ def found_anywhere(records: DataFrame, found: Column) -> DataFrame:
     return records.groupBy("subject").agg(F.bool_or(found).alias("found"))
 
 
-def ngram_types(texts: DataFrame, run: str, order: str, words: Column) -> DataFrame:
+def ngram_types(texts: DataFrame, run: str, order: str, words: Column, size: int = ROWS) -> DataFrame:
     """Tokens, types, type-token ratio, 2- and 3-gram types of each run's texts laid one after another, so n-grams span texts.
 
     A text's n-grams are hashed (128 bits) and made distinct within the task before they are shuffled. Those over a border need the last two
-    words of the texts before: ends of texts, not texts, are put in order, in ranges; only the rows at the ends of ranges are looked at together."""
+    words of the texts before: ends of texts, not texts, are put in order, in ranges of some `size` texts by stored splitters; only the rows at the ends of ranges are looked at together."""
     t = texts.select(run, order, words.alias("w")).filter(F.size("w") > 0)
     edge = t.select(run, order, F.slice("w", 1, 2).alias("head"), F.reverse(F.slice(F.reverse("w"), 1, 2)).alias("tail"))
-    edge = edge.repartitionByRange(run, order).withColumn("part", F.spark_partition_id())
+    keys = {"_run": F.col(run), "_order": F.col(order)}
+    edge = Ranges.of(edge, keys, size).part(edge, *keys.values()).withColumnRenamed("_part", "part")
     own = Window.partitionBy("part", run).orderBy(order)
     last = lambda over: [F.lag("tail").over(over).alias("p1"), F.lag("tail", 2).over(over).alias("p2")]
     placed = edge.withColumns({"at": F.row_number().over(own), "back": F.row_number().over(Window.partitionBy("part", run).orderBy(F.desc(order)))})
@@ -135,12 +137,15 @@ def ngram_types(texts: DataFrame, run: str, order: str, words: Column) -> DataFr
     before = F.reverse(F.slice(F.reverse(F.concat(F.coalesce("p2", none), F.coalesce("p1", none))), 1, 2))  # texts of one word pass on the word before them
     cross = inside.unionByName(first).select(run, before.alias("b"), F.slice("head", 1, 2).alias("head")).filter("size(b) > 0")
     joined = F.concat("b", "head")
-    spans = lambda n: F.transform(F.filter(F.transform(ngrams(joined, n), lambda g, i: F.struct(g.alias("g"), i.alias("i"))), lambda x: (x.i < F.size("b")) & (x.i + n > F.size("b"))), lambda x: x.g)
-    hashed = lambda k, gs: F.transform(gs, lambda g: F.struct(F.lit(k).alias("k"), F.xxhash64(g).alias("h"), F.xxhash64(g, F.lit(k)).alias("h2")))
+    # an n-gram is its words' chained hashes, so none is joined to a string
+    gram = lambda w, n, i: F.struct(F.lit(n).alias("k"), F.xxhash64(*(F.get(w, i + j) for j in range(n))).alias("h"), F.xxhash64(*(F.get(w, i + j) for j in range(n)), F.lit(n)).alias("h2"))
+    grams = lambda w, n, at: F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: (i + n <= F.size(w)) & at(i)), lambda i: gram(w, n, i))
+    spans = lambda n: grams(joined, n, lambda i: (i < F.size("b")) & (i + n > F.size("b")))
+    every_one = lambda n: grams(F.col("w"), n, lambda i: F.lit(True))
     # the size of a text travels with its n-grams, under a number of its own
-    size = F.array(F.struct(F.lit(0).alias("k"), F.monotonically_increasing_id().alias("h"), F.size("w").cast("long").alias("h2")))
-    every = t.select(run, F.explode(F.concat(size, *(hashed(n, ngrams(F.col("w"), n)) for n in (1, 2, 3)))).alias("x"))
-    every = every.unionByName(cross.select(run, F.explode(F.concat(hashed(2, spans(2)), hashed(3, spans(3)))).alias("x")))
+    total = F.array(F.struct(F.lit(0).alias("k"), F.monotonically_increasing_id().alias("h"), F.size("w").cast("long").alias("h2")))
+    every = t.select(run, F.explode(F.concat(total, *map(every_one, (1, 2, 3)))).alias("x"))
+    every = every.unionByName(cross.select(run, F.explode(F.concat(spans(2), spans(3))).alias("x")))
     kinds = every.select(run, "x.*").distinct().groupBy(run).agg(F.sum(F.when(F.col("k") == 0, F.col("h2"))).alias("tokens"), *(F.count_if(F.col("k") == k).alias(f"types_{k}") for k in (1, 2, 3)))
     return kinds.withColumn("ttr", rate_or_zero(F.col("types_1"), F.col("tokens"))).withColumns({f"diversity_{k}": F.col(f"types_{k}") / F.greatest(F.lit(1), F.col("tokens") - (k - 1)) for k in (2, 3)})
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import STOP_WORDS
 from ..functions.text import index_tokens, slug
 from ..functions.wikitext import links
+from .ranges import numbered
 
 
 def postings(entries: DataFrame, span: int = 100_000, dedupe: bool = True) -> DataFrame:
@@ -46,15 +47,6 @@ def parents(articles: DataFrame) -> DataFrame:
     return articles.groupBy("title").agg(F.max_by(F.struct("parent", "hop"), "position").alias("r")).select("title", "r.*")
 
 
-def numbered(rows: DataFrame, name: str, *order) -> DataFrame:
-    """rows with their place in an order, from 0: ranges are sorted apart, and the sizes of those before a range, a row each, are added."""
-    keys = [f"_o{i}" for i in range(len(order))]
-    ranged = rows.withColumns(dict(zip(keys, order, strict=True))).repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())
-    local = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)))
-    before = ranged.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
-    return local.join(before, "_part").withColumn(name, F.col("_before") + F.col("_at") - 1).drop(*keys, "_part", "_at", "_before")
-
-
 def browse_order(entries: DataFrame) -> DataFrame:
     """Places by hop, then title."""
     return numbered(entries, "place", F.col("hop"), F.lower("title"), F.col("id"))

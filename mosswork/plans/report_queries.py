@@ -13,6 +13,7 @@ from ..operators import evidence as ev
 from ..operators import index, pages, reports, salvage
 from ..operators import queue as qu
 from ..operators import vector as ve
+from ..operators.ranges import numbered
 from ..sources import logs, runs
 from .engine_queries import _STATE, queue_events
 from .rate_queries import _PAIRS_SQL, _G, _J, _O, pairs, records, rounded, RECORDS_SQL
@@ -20,14 +21,15 @@ from .registry import query, table
 from .text_queries import ARTICLE_SQL, KEY, TOKENS, articles
 
 # runs -------------------------------------------------------------------------------------------------------------------------------
-_PATHS = "SELECT 'root/a' || (c_custkey % 20) || CASE WHEN c_custkey % 3 = 0 THEN '/b' || (c_custkey % 6) ELSE '' END AS dir, ['queue.json', 'queue.jsonl', 'articles_wikitext.jsonl', 'x.txt'][c_custkey % 4 + 1] AS name FROM customer WHERE c_custkey % 20 < 4 OR c_custkey % 4 = 3 OR c_custkey % 3 = 0"
+# a file for each customer; seven folders in 21 hold no file of a run, and some folders have further ones below
+_PATHS = "SELECT 'root/a' || (c_custkey % 21) || CASE WHEN c_custkey % 15 = 0 THEN '/b' || (c_custkey % 2) ELSE '' END AS dir, CASE WHEN c_custkey % 3 > 0 OR c_custkey % 15 = 0 THEN ['queue.json', 'queue.jsonl', 'articles_wikitext.jsonl', 'x.txt'][c_custkey % 4 + 1] ELSE 'x.txt' END AS name FROM customer"
 
 
 def _paths(spark, sf_dir):
     k = F.col("c_custkey")
-    c = table(spark, sf_dir, "customer").filter("c_custkey % 20 < 4 or c_custkey % 4 = 3 or c_custkey % 3 = 0")
-    name = F.get(F.array(*map(F.lit, ("queue.json", "queue.jsonl", "articles_wikitext.jsonl", "x.txt"))), (k % 4).cast("int"))
-    return runs.files(c, F.concat(F.lit("root/a"), (k % 20).cast("string"), F.when(k % 3 == 0, F.concat(F.lit("/b"), (k % 6).cast("string"))).otherwise(""), F.lit("/"), name))
+    names = F.get(F.array(*map(F.lit, ("queue.json", "queue.jsonl", "articles_wikitext.jsonl", "x.txt"))), (k % 4).cast("int"))
+    name = F.when((k % 3 > 0) | (k % 15 == 0), names).otherwise("x.txt")
+    return runs.files(table(spark, sf_dir, "customer"), F.concat(F.lit("root/a"), (k % 21).cast("string"), F.when(k % 15 == 0, F.concat(F.lit("/b"), (k % 2).cast("string"))).otherwise(""), F.lit("/"), name))
 
 
 @query(f"""WITH f AS ({_PATHS}), r AS (SELECT dir FROM f GROUP BY dir HAVING bool_or(name IN ('queue.json', 'queue.jsonl')) AND bool_or(name = 'articles_wikitext.jsonl'))
@@ -505,6 +507,13 @@ def queue_recovered(spark, sf_dir):
     return qu.with_order(s).select("subject", "hop", "status", F.col("place").cast("long").alias("place"))
 
 
+@query("""SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS place FROM lineitem""")
+def row_places(spark, sf_dir):
+    """Places of all order lines by date, in ranges of some 5000."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    return numbered(rows, "place", F.col("l_shipdate"), F.col("l_orderkey"), F.col("l_linenumber"), size=5000).select("l_orderkey", "l_linenumber", "place")
+
+
 @query(f"""WITH a AS ({ARTICLE_SQL}) SELECT doc_id AS id, row_number() OVER (ORDER BY hop, lower(subject), doc_id) - 1 AS place FROM a""")
 def browse_order(spark, sf_dir):
     e = articles(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("subject").alias("title"), "hop")
