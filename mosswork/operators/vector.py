@@ -2,71 +2,33 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import canon_key
+from .metric import Metric
 
-BLOCK = 4096
 
 
-def _matrix(s: pd.Series) -> np.ndarray:
-    return np.stack(s.to_numpy()).astype(np.float64)
+def topk(queries: DataFrame, index: DataFrame, k: int, least: float | None = None) -> DataFrame:
+    """query_id, rank, id, score of the k nearest of each query. queries, index: id, e. Blocks that cannot hold a neighbour are never joined. Ties go to the smaller id."""
+    metric = Metric.of(index)
+    if metric is None:
+        return queries.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
+    return metric.topk(queries, k, least)
 
 
-def topk(queries: DataFrame, index: DataFrame, k: int, least: float | None = None) -> DataFrame:
-    """query_id, rank, id, score of unit vectors. queries, index: id, e. Blocks of both sides meet in tasks by key, a matrix product each;
-    every block sends its k best of each query, which are merged. Ties go to the smaller id."""
-    n, m = index.count(), queries.count()
-    nb, mb = max(1, -(-n // BLOCK)), max(1, -(-m // BLOCK))
-    deal = lambda x: F.pmod(F.xxhash64("id"), F.lit(x)).cast("int")
-    every = lambda x: F.explode(F.sequence(F.lit(0), F.lit(x - 1)))
-    left = index.select(F.col("id").alias("iid"), F.col("e").alias("ie"), deal(nb).alias("b"), every(mb).alias("q"))
-    right = queries.select(F.col("id").alias("qid"), F.col("e").alias("qe"), deal(mb).alias("q"), every(nb).alias("b"))
-
-    def task(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        x = x.sort_values("iid")
-        scores, ids = _matrix(y["qe"]) @ _matrix(x["ie"]).T, x["iid"].to_numpy()
-        own = y["qid"].to_numpy()
-        scores[own[:, None] == ids[None, :]] = -np.inf
-        order = np.argsort(-scores, 1, kind="stable")[:, :k]
-        out = pd.DataFrame({"query_id": np.repeat(own, order.shape[1]), "id": ids[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
-        return out[np.isfinite(out["score"])]
-
-    part = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInPandas(task, "query_id long, id long, score double")
-    if least is not None:
-        part = part.filter(F.col("score") >= least)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return part.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+def similar(queries: DataFrame, index: DataFrame, least: float) -> DataFrame:
+    """query_id, id, score of all pairs of different ids that reach the threshold."""
+    metric = Metric.of(index)
+    return metric.pairs(queries, least) if metric else queries.sparkSession.createDataFrame([], "query_id long, id long, score double")
 
 
 def in_batch(batch: DataFrame, threshold: float) -> DataFrame:
     """position, best_score, duplicate_of of a batch (position, e): a candidate is a duplicate if the best match among all
-    others reaches the threshold and came earlier. A better match that came later hides an earlier one. Blocks meet in tasks, as in `topk`."""
-    nb = max(1, -(-batch.count() // BLOCK))
-    every = F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))
-    deal = F.pmod(F.xxhash64("position"), F.lit(nb)).cast("int")
-    left = batch.select(F.col("position").alias("other"), F.col("e").alias("oe"), deal.alias("b"), every.alias("q"))
-    right = batch.select("position", "e", deal.alias("q"), every.alias("b"))
-
-    def task(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"position": [], "other": [], "score": []})
-        x = x.sort_values("other")
-        ids, own = x["other"].to_numpy(), y["position"].to_numpy()
-        scores = np.round(_matrix(y["e"]) @ _matrix(x["oe"]).T, 12)  # the order of a product's sums must not break ties
-        scores[own[:, None] == ids[None, :]] = -np.inf
-        at = scores.argmax(1)  # the first of equals, by position
-        out = pd.DataFrame({"position": own, "other": ids[at], "score": scores[np.arange(len(own)), at]})
-        return out[np.isfinite(out["score"])]
-
-    pairs = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInPandas(task, "position long, other long, score double")
-    best = pairs.groupBy("position").agg(F.max(F.struct("score", (-F.col("other")).alias("o"))).alias("m"))
-    best = best.select("position", F.greatest(F.col("m.score"), F.lit(0.0)).alias("best_score"), (-F.col("m.o")).alias("other"))
+    others reaches the threshold and came earlier. A better match that came later hides an earlier one."""
+    e = batch.select(F.col("position").alias("id"), "e")
+    best = topk(e, e, 1).select(F.col("query_id").alias("position"), F.greatest("score", F.lit(0.0)).alias("best_score"), F.col("id").alias("other"))
     return best.select("position", "best_score", F.when((F.col("best_score") >= threshold) & (F.col("other") < F.col("position")), F.col("other")).alias("duplicate_of"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -14,20 +12,16 @@ from ..operators import evidence as ev
 from ..operators import funnel as fn
 from ..operators import queue as qu
 from ..operators import vector as ve
+from ..operators.stored import stored
 from . import crawl
 from .registry import query, table
 from .text_queries import KEY, TOKENS
 
 
 def saver(spark):
-    """Levels as checkpoints in the cluster's folder; a temporary one only in local mode without a setting."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="mosswork-"))
-    return lambda df, name: df.checkpoint()
+    """Levels as checkpoints in the cluster's folder."""
+    return lambda df, name: stored(df)
+
 
 # url, domain, root, first score, second score, label, excluded by the first scheme (with the suffix `net`), by the second
 URLS = [
@@ -134,6 +128,13 @@ def vector_topk(spark, sf_dir):
     return ve.topk(e, e, 5).select("query_id", "rank", "id", F.round("score", 5).alias("score"))
 
 
+@query("""SELECT q.vec_id AS query_id, i.vec_id AS id, round(list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 5) AS score FROM embeddings q JOIN embeddings i ON q.vec_id <> i.vec_id
+    WHERE list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) >= 0.35""")
+def vector_threshold_join(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("e"))
+    return ve.similar(e, e, 0.35).select("query_id", "id", F.round("score", 5).alias("score"))
+
+
 @query("""WITH b AS (SELECT vec_id AS position, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.position, b.position AS other, round(list_dot_product(a.e, b.e), 12) AS score FROM b a JOIN b ON a.position <> b.position), m AS (SELECT position, max(score) AS best FROM s GROUP BY position), o AS (
     SELECT s.position, m.best, min(other) AS other FROM s JOIN m ON m.position = s.position AND m.best = s.score GROUP BY ALL)
     SELECT position, round(greatest(best, 0), 5) AS best_score, CASE WHEN best >= 0.3 AND other < position THEN other END AS duplicate_of FROM o""")

@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from mosswork.functions import rates
-from mosswork.operators import evidence, index, queue, vector
+from mosswork.operators import evidence, index, metric, queue, vector
 from mosswork.plans import crawl
 from mosswork.sources import logs, sinks
 from mosswork.streaming import queue as stream
@@ -193,7 +193,8 @@ def test_candidates_and_batches_are_whole(spark, tmp_path, monkeypatch):
     e[50], e[51] = list(e[7]), list(e[7])
     e = [[x / sum(y * y for y in v) ** 0.5 for x in v] for v in e]
     spark.createDataFrame([(i, i % 3, v) for i, v in enumerate(e)], "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    monkeypatch.setattr(vector, "BLOCK", 16)
+    monkeypatch.setattr(metric, "BLOCK", 16)
+    monkeypatch.setattr(metric, "AIM", 8)
     got = {x.position: (x.best_score, x.duplicate_of) for x in eq.in_batch_duplicates(spark, str(tmp_path)).collect()}
     assert got.keys() == set(range(60)) and got[50][1] == 7 and got[51][1] == 7 and got[7][1] is None
     for i in range(60):
