@@ -1,22 +1,33 @@
-"""Tables between steps: checkpoints in the folder that the cluster names, so a lost executor costs a reread."""
+"""Tables between steps, in the folder that the cluster names, so a lost executor costs a reread."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: dict[str, str] = {}
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's setting; a temporary folder in local mode without one."""
+
+def folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; a temporary folder in local mode without one."""
     sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="mosswork-"))
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if sc.applicationId not in _own:
+        _own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="mosswork-")
+    return _own[sc.applicationId]
 
 
 def stored(df: DataFrame) -> DataFrame:
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """df, written once and read from there; the lineage ends here. The table goes when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/step-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -4,14 +4,16 @@ Providers are tables joined in; what a provider leaves unanswered fails closed:
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import canon_key, plural, singular, title_and_confidence
 from ..functions.wikitext import categories, links_outside
 from ..operators import vector
+from ..operators.stored import stored
+
+#: So many keys that were seen, or have forms, are broadcast.
+MOST_HITS = 200_000
 
 
 def candidates(articles: DataFrame, confidence: float | None = None) -> DataFrame:
@@ -24,43 +26,83 @@ def candidates(articles: DataFrame, confidence: float | None = None) -> DataFram
     return articles.select("subject", "hop", F.posexplode(both).alias("place", "phrase"))
 
 
-def seen_flags(each: DataFrame, seen: DataFrame) -> DataFrame:
-    """Adds key, one, many, in_seen, plural_seen. Distinct keys and their variants meet the seen keys in one join; then the flags of a
-    key meet its candidates."""
-    keyed = each.withColumn("key", canon_key(F.col("phrase"))).filter("key <> ''")
-    keys = keyed.select("key").distinct().select("key", singular(F.col("key")).alias("one"), plural(F.col("key")).alias("many"))
+def _known(keys: DataFrame, seen: DataFrame) -> DataFrame:
+    """key, in_seen, plural_seen of the keys (key, one, many) of which one form was seen. Keys are distinct, so no key is hot."""
     forms = keys.select("key", F.explode(F.array(*(F.struct(F.col(c).alias("form"), F.lit(c == "key").alias("own")) for c in ("key", "one", "many")))).alias("f"))
     known = seen.select(F.col("canon_key").alias("form")).distinct()
-    hits = forms.select("key", "f.*").filter("form is not null").join(known, "form").groupBy("key").agg(F.bool_or("own").alias("in_seen"), F.bool_or(~F.col("own")).alias("plural_seen"))
-    flagged = keyed.join(hits, "key", "left")
-    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    return flagged.withColumns({"one": singular(F.col("key")), "many": plural(F.col("key")), "in_seen": yes("in_seen"), "plural_seen": yes("plural_seen")})
+    return forms.select("key", "f.*").filter("form is not null").join(known, "form").groupBy("key").agg(F.bool_or("own").alias("in_seen"), F.bool_or(~F.col("own")).alias("plural_seen"))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _reasons(key: pd.Series, one: pd.Series, many: pd.Series, in_seen: pd.Series, plural_seen: pd.Series) -> pd.Series:
-    """Reasons of an article's candidates in order. A candidate is compared with those kept before it, so the fold is sequential; sets make it linear."""
+def _told(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """rows with the flags of their keys. A word that a third of all rows have is no hot key where the hits are few enough to be broadcast; beyond
+    that the join's skewed partitions are split at run time."""
+    hits = stored(hits)
+    flagged = rows.join(F.broadcast(hits) if hits.count() <= MOST_HITS else hits, "key", "left")
+    return flagged.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("in_seen", "plural_seen")})
 
-    def fold(rows):
-        kept, out = set(), []
-        for k, o, m, s, p in rows:
-            reason = "plural_variant" if p else "plural_variant_batch" if o in kept or m in kept else "seen" if s else "batch" if k in kept else "kept"
-            if reason == "kept":
-                kept.add(k)
-            out.append(reason)
-        return out
 
-    return pd.Series([fold(zip(*x, strict=True)) for x in zip(key, one, many, in_seen, plural_seen, strict=True)])
+def _forms(keys: DataFrame) -> DataFrame:
+    return keys.select("key", singular(F.col("key")).alias("one"), plural(F.col("key")).alias("many"))
+
+
+def seen_flags(each: DataFrame, seen: DataFrame) -> DataFrame:
+    """Adds key, in_seen, plural_seen. Distinct keys and their variants meet the seen keys in one join; then the flags of a key meet its candidates."""
+    keyed = each.withColumn("key", canon_key(F.col("phrase"))).filter("key <> ''")
+    return _told(keyed, _known(_forms(keyed.select("key").distinct()), seen))
+
+
+def kept_first(nodes: DataFrame) -> DataFrame:
+    """subject, hop, key, kept of nodes (subject, hop, key, first, open, t1, f1, t2, f2): the first independent set in the order of `first`. An open node is kept if none
+    of its targets that come before it is kept. Each round decides at least the first open node of every article; there are as many rounds as the longest chain of
+    forms is long."""
+    own = ["subject", "hop", "key"]
+    before = lambda i: F.when(F.col(f"f{i}") < F.col("first"), F.col(f"t{i}"))
+    left = nodes.filter("open").select(*own, before(1).alias("b1"), before(2).alias("b2"))
+    decided = left.filter("b1 is null and b2 is null").select(*own, F.lit(True).alias("kept"))
+    left = stored(left.filter("b1 is not null or b2 is not null"))
+    while not left.isEmpty():
+        state = lambda i: decided.select("subject", "hop", F.col("key").alias(f"b{i}"), F.col("kept").alias(f"k{i}"))
+        asked = left.join(state(1), ["subject", "hop", "b1"], "left").join(state(2), ["subject", "hop", "b2"], "left")
+        free = lambda i: F.col(f"b{i}").isNull() | ~F.coalesce(F.col(f"k{i}"), F.lit(True))
+        kept = F.when(F.col("k1") | F.col("k2"), False).when(free(1) & free(2), True)
+        told = stored(asked.select(*own, "b1", "b2", kept.alias("kept")))
+        decided = decided.unionByName(told.filter("kept is not null").select(*own, "kept"))
+        left = told.filter("kept is null").drop("kept")
+    return decided
 
 
 def deduplicated(each: DataFrame, seen: DataFrame) -> DataFrame:
-    """subject, hop, place, phrase, key, reason of every candidate; one article's candidates are one group."""
-    flagged = seen_flags(each, seen)
-    fields = ("key", "one", "many", "in_seen", "plural_seen")
-    rows = flagged.groupBy("subject", "hop").agg(F.sort_array(F.collect_list(F.struct("place", "phrase", *fields))).alias("rows"))
-    told = rows.select("subject", "hop", "rows", _reasons(*(F.col(f"rows.{c}") for c in fields)).alias("reasons"))
-    each = F.explode(F.zip_with("rows", "reasons", lambda r, x: F.struct(r.place.alias("place"), r.phrase.alias("phrase"), r.key.alias("key"), x.alias("reason"))))
-    return told.select("subject", "hop", each.alias("x")).select("subject", "hop", "x.*")
+    """subject, hop, place, phrase, key, reason of every candidate.
+
+    An article's candidates are looked at in order, and one is kept if neither its key nor its singular nor plural was seen or kept before. What decides is each key's first
+    place, so a row for each key of an article is shuffled, with its places. Which keys can be in each other's way is found among the distinct keys of the
+    corpus; only those of an article that have such a form there take part in the rounds of `kept_first`. No article is one row of keys and forms."""
+    own = ["subject", "hop", "key"]
+    keyed = each.withColumn("key", canon_key(F.col("phrase"))).filter("key <> ''")
+    at = F.struct("place", F.when(F.col("phrase") != F.col("key"), F.col("phrase")).alias("phrase"))
+    firsts = stored(keyed.groupBy(*own).agg(F.min("place").alias("first"), F.collect_list(at).alias("at")))
+    keys = stored(_forms(firsts.select("key").distinct()))
+    flags = stored(_told(keys, _known(keys, seen)))
+    # forms that can be kept, of keys that are not out already
+    form = F.explode(F.array(F.struct(F.lit(1).alias("i"), F.col("one").alias("form")), F.struct(F.lit(2).alias("i"), F.col("many").alias("form"))))
+    open_ = flags.filter("not in_seen and not plural_seen").select(F.col("key").alias("form"))
+    pairs = stored(flags.filter("not plural_seen").select("key", form.alias("x")).select("key", "x.*").filter("form <> key").join(open_, "form"))
+    forms = pairs.groupBy("key").agg(*(F.max(F.when(F.col("i") == i, F.col("form"))).alias(f"t{i}") for i in (1, 2)))
+    part = forms.join(pairs.select(F.col("form").alias("key")).distinct(), "key", "full").join(flags.select("key", "in_seen"), "key")
+    rows = firsts.select(*own, "first")
+    part = stored(part)
+    nodes = stored(rows.join(F.broadcast(part) if part.count() <= MOST_HITS else part, "key"))
+    target = lambda i: nodes.filter("not in_seen").select("subject", "hop", F.col("key").alias(f"t{i}"), F.col("first").alias(f"f{i}"))
+    nodes = stored(nodes.join(target(1), ["subject", "hop", "t1"], "left").join(target(2), ["subject", "hop", "t2"], "left").withColumn("open", ~F.col("in_seen")))
+    nodes = nodes.filter("f1 is not null or f2 is not null or open")
+    kept = stored(kept_first(nodes))
+    one = lambda i: kept.filter("kept").select("subject", "hop", F.col("key").alias(f"t{i}"), F.lit(True).alias(f"k{i}"))
+    barred = nodes.join(one(1), ["subject", "hop", "t1"], "left").join(one(2), ["subject", "hop", "t2"], "left")
+    barred = barred.select(*own, F.least(*(F.when(F.col(f"k{i}"), F.col(f"f{i}")) for i in (1, 2))).alias("bar")).filter("bar is not null")
+    told = _told(firsts, flags.filter("in_seen or plural_seen").select("key", "in_seen", "plural_seen")).join(barred, own, "left")
+    each = told.select(*own, "first", "bar", "in_seen", "plural_seen", F.explode("at").alias("x")).select(*own, "first", "bar", "in_seen", "plural_seen", "x.*")
+    reason = F.when(F.col("plural_seen"), "plural_variant").when(F.col("bar") < F.col("place"), "plural_variant_batch").when(F.col("in_seen"), "seen").when(F.col("first") < F.col("place"), "batch").otherwise("kept")
+    return each.select("subject", "hop", "place", F.coalesce("phrase", "key").alias("phrase"), "key", reason.alias("reason"))
 
 
 def gated(kept: DataFrame, decisions: DataFrame, threshold: float = 0.0) -> DataFrame:

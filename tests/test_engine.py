@@ -1,4 +1,5 @@
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -69,12 +70,12 @@ def fold(candidates, seen):
         w = k.split()[-1]
         return k + "s" if len(w) > 3 and w not in NOT_PLURAL and not w.endswith("s") else None
 
-    kept, out = [], []
+    kept, out = set(), []
     for k in candidates:
-        r = "plural_variant" if {one(k), many(k)} & seen else "plural_variant_batch" if {one(k), many(k)} & set(kept) else "seen" if k in seen else "batch" if k in kept else "kept"
+        r = "plural_variant" if {one(k), many(k)} & seen else "plural_variant_batch" if {one(k), many(k)} & kept else "seen" if k in seen else "batch" if k in kept else "kept"
         out.append(r)
         if r == "kept":
-            kept.append(k)
+            kept.add(k)
     return out
 
 
@@ -91,6 +92,29 @@ def test_candidate_dedup_is_sequential(spark):
         assert [by[str(i), p] for p in range(len(l))] == fold(l, seen), l
 
 
+def test_candidate_dedup_of_documents(spark):
+    """Every token of every text is a candidate, in the order of the text; hot words, chains of forms, phrases in other case."""
+    import random
+
+    r = random.Random(8)
+    texts = [(x.doc_id, [w for w in re.sub(r"[\W]+", " ", x.text.lower()).split(" ") if w]) for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    seen = {w for _, ws in texts[:3] for w in ws[::7]}
+    made = [(i, [f + r.choice(["", "s", "es", "ses"]) for w in ws if (f := w)]) for i, ws in texts[::4]]
+    lists = [(i, ws) for i, ws in texts] + [(10**6 + i, ws) for i, ws in made]
+    rows = [(str(i), 0, p, w if p % 3 else w.title()) for i, ws in lists for p, w in enumerate(ws)]
+    got = crawl.deduplicated(spark.createDataFrame(rows, "subject string, hop int, place int, phrase string"), spark.createDataFrame([(s,) for s in seen], "canon_key string"))
+    by = {(x.subject, x.place): (x.key, x.phrase, x.reason) for x in got.collect()}
+    assert len(by) == len(rows)
+    of = {}
+    for subject, _, place, phrase in rows:
+        key, shown, _ = by[subject, place]
+        assert shown == phrase
+        of.setdefault(subject, []).append(key)
+    for subject, keys in of.items():
+        assert [by[subject, p][2] for p in range(len(keys))] == fold(keys, seen), subject
+    assert {x[2] for x in by.values()} == {"kept", "batch", "seen", "plural_variant", "plural_variant_batch"}
+
+
 def test_expansion_does_not_depend_on_partitions(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path))
     articles = spark.createDataFrame([("A", "[[B]] [[C]] [[Dogs]]"), ("B", "[[C]] [[E]]\n== See also ==\n[[Z]]"), ("C", "[[A]] [[Dog]] [[F]]")], "subject string, wikitext string")
