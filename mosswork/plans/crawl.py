@@ -11,6 +11,7 @@ from ..functions.text import canon_key, plural, singular, title_and_confidence
 from ..functions.wikitext import categories, links_outside
 from ..operators import vector
 from ..operators.stored import stored
+from .seen import SeenKeys
 
 #: So many keys that were seen, or have forms, are broadcast.
 MOST_HITS = 200_000
@@ -26,11 +27,12 @@ def candidates(articles: DataFrame, confidence: float | None = None) -> DataFram
     return articles.select("subject", "hop", F.posexplode(both).alias("place", "phrase"))
 
 
-def _known(keys: DataFrame, seen: DataFrame) -> DataFrame:
+def _known(keys: DataFrame, seen: DataFrame | SeenKeys) -> DataFrame:
     """key, in_seen, plural_seen of the keys (key, one, many) of which one form was seen. Keys are distinct, so no key is hot."""
     forms = keys.select("key", F.explode(F.array(*(F.struct(F.col(c).alias("form"), F.lit(c == "key").alias("own")) for c in ("key", "one", "many")))).alias("f"))
-    known = seen.select(F.col("canon_key").alias("form")).distinct()
-    return forms.select("key", "f.*").filter("form is not null").join(known, "form").groupBy("key").agg(F.bool_or("own").alias("in_seen"), F.bool_or(~F.col("own")).alias("plural_seen"))
+    forms = forms.select("key", "f.*").filter("form is not null")
+    met = seen.met(forms, "form") if isinstance(seen, SeenKeys) else forms.join(seen.select(F.col("canon_key").alias("form")).distinct(), "form")
+    return met.groupBy("key").agg(F.bool_or("own").alias("in_seen"), F.bool_or(~F.col("own")).alias("plural_seen"))
 
 
 def _told(rows: DataFrame, hits: DataFrame) -> DataFrame:
@@ -45,7 +47,7 @@ def _forms(keys: DataFrame) -> DataFrame:
     return keys.select("key", singular(F.col("key")).alias("one"), plural(F.col("key")).alias("many"))
 
 
-def seen_flags(each: DataFrame, seen: DataFrame) -> DataFrame:
+def seen_flags(each: DataFrame, seen: DataFrame | SeenKeys) -> DataFrame:
     """Adds key, in_seen, plural_seen. Distinct keys and their variants meet the seen keys in one join; then the flags of a key meet its candidates."""
     keyed = each.withColumn("key", canon_key(F.col("phrase"))).filter("key <> ''")
     return _told(keyed, _known(_forms(keyed.select("key").distinct()), seen))
@@ -71,7 +73,7 @@ def kept_first(nodes: DataFrame) -> DataFrame:
     return decided
 
 
-def deduplicated(each: DataFrame, seen: DataFrame) -> DataFrame:
+def deduplicated(each: DataFrame, seen: DataFrame | SeenKeys) -> DataFrame:
     """subject, hop, place, phrase, key, reason of every candidate.
 
     An article's candidates are looked at in order, and one is kept if neither its key nor its singular nor plural was seen or kept before. What decides is each key's first
@@ -141,12 +143,15 @@ def distinct_enough(new: DataFrame, reached: DataFrame, embeddings: DataFrame, t
 def levels(roots: DataFrame, edges: DataFrame, save) -> DataFrame:
     """node, depth of everything that edges (parent, child) reach from roots (node), level by level; a node has its least depth."""
     frontier = save(roots.select("node", F.lit(0).alias("depth")).distinct(), "level")
-    reached, depth = frontier, 0
+    reached, depth, seen = frontier, 0, SeenKeys(roots.sparkSession)
     while not frontier.isEmpty():
         depth += 1
-        next_ = frontier.join(edges, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct().join(reached.select("node"), "node", "left_anti")
+        seen.add(frontier.select(F.col("node").cast("string").alias("canon_key")))
+        next_ = frontier.join(edges, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct()
+        next_ = seen.new(next_.withColumn("key", F.col("node").cast("string")), "key")
         frontier = save(next_.select("node", F.lit(depth).alias("depth")), "level")
         reached = reached.unionByName(frontier)
+    seen.drop()
     return reached
 
 
@@ -155,13 +160,15 @@ def expand(
     embeddings: DataFrame | None = None, similarity: float = 0.9, answers: DataFrame | None = None, stages: tuple[DataFrame, ...] = (), confidence: float | None = None,
 ) -> DataFrame:
     """subject, hop, parent_subject, canon_key of everything reached. articles: subject, wikitext as a provider recorded them.
-    save(df, name) makes each level durable (a table or checkpoint), so a lost executor repeats one level at most.
+    save(df, name) makes each level durable (a table or checkpoint), so a lost executor repeats one level at most. What was seen is a table in buckets (`SeenKeys`), so a level
+    deals out its own candidates only.
     embeddings: with them new subjects pass the similarity stage. stages: payloads that an article needs before it is written. confidence: links carry one."""
     frontier = save(seeds.select("subject", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("parent_subject"), canon_key(F.col("subject")).alias("canon_key")).dropDuplicates(["canon_key"]), "level")
-    reached = frontier
+    reached, seen = frontier, SeenKeys(seeds.sparkSession)
     for hop in range(1, max_depth + 1):
+        seen.add(frontier)
         written = ready(frontier.select("subject", "hop"), *stages).join(articles, "subject")
-        each = deduplicated(candidates(written, confidence), reached.select("canon_key")).filter("reason = 'kept'")
+        each = deduplicated(candidates(written, confidence), seen).filter("reason = 'kept'")
         ok = gated(each, decisions, threshold).filter("passed")
         # of articles that name one key on a level the first by subject and place is its parent
         new = ok.groupBy(F.col("key").alias("canon_key")).agg(F.min(F.struct("subject", "place", "phrase")).alias("r"))
@@ -176,4 +183,5 @@ def expand(
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
+    seen.drop()
     return reached
