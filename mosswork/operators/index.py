@@ -9,6 +9,7 @@ from ..functions.similarity import STOP_WORDS
 from ..functions.text import index_tokens, slug
 from ..functions.wikitext import links
 from .ranges import numbered
+from .stored import stored
 
 
 def postings(entries: DataFrame, span: int = 100_000, dedupe: bool = True) -> DataFrame:
@@ -28,6 +29,69 @@ def search(entries: DataFrame, query: list[str], k: int = 50) -> DataFrame:
     return entries.select("id", "title", score.cast("long").alias("score")).filter("score > 0").orderBy(F.desc("score"), "id").limit(k)
 
 
+#: Kinds of blocks, and what an entry gains by one: a token of the entry, a word of its title that holds the query's.
+HIT, TITLE = 0, 1
+GAIN = {HIT: 1, TITLE: 2}
+
+
+def blocks(entries: DataFrame, span: int = 4096) -> DataFrame:
+    """The stored index of entries (id, title, snippet) for `ranked`: word, kind, part, n, ids. A block holds the ids of one word among `span` that follow one another, so its length is
+    bounded. Blocks are sorted by word and part, so a reader of few words and parts skips the files and pages of the others."""
+    text = index_tokens(F.concat_ws(" ", "title", F.substring("snippet", 1, 500)), STOP_WORDS)
+    words = lambda kind, found: F.transform(F.array_distinct(found), lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("word")))
+    titled = F.regexp_extract_all(F.lower("title"), F.lit("[a-z0-9]+"), 0)
+    each = entries.select("id", F.explode(F.concat(words(HIT, text), words(TITLE, titled))).alias("x")).select("id", "x.*", F.floor(F.col("id") / span).alias("part"))
+    made = each.groupBy("kind", "word", "part").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    return stored(made.select("word", "kind", "part", F.size("ids").alias("n"), "ids").repartitionByRange("kind", "word", "part").sortWithinPartitions("kind", "word", "part"))
+
+
+class Ranked:
+    """The k best entries of a query, by postings alone.
+
+    What a part of the entries can reach at most follows from which blocks it has, without their ids. The most promising parts are read first; then only those that can still
+    get in before the k-th best. `read` and `all` are numbers of blocks."""
+
+    def __init__(self, index: DataFrame, query: list[str], k: int = 50, first: int = 8):
+        self.index, self.query, self.k = index, list(dict.fromkeys(query)), k
+        word = F.col("word")
+        meets = F.array(*(F.when((F.col("kind") == HIT) & (word == w) | (F.col("kind") == TITLE) & word.contains(w), F.lit(i)) for i, w in enumerate(self.query)))
+        self.mine = (F.col("kind") == HIT) & word.isin(self.query) | (F.col("kind") == TITLE) & F.array_size(F.array_compact(meets)).cast("boolean")
+        self.meets = F.array_compact(meets)
+        known = index.filter(self.mine).select("part", "kind", "n", F.explode(self.meets).alias("q"))  # without ids
+        gain = lambda kind: F.count_distinct(F.when(F.col("kind") == kind, F.col("q"))) * GAIN[kind]
+        bounds = known.groupBy("part").agg((gain(HIT) + gain(TITLE)).alias("bound"), F.count_if(F.col("kind") == HIT).alias("hits")).filter("hits > 0")
+        self.bounds = stored(bounds)
+        self.all = self._blocks(self.bounds)
+        begun = stored(self.bounds.orderBy(F.desc("bound"), "part").limit(first))
+        found = stored(self._scored(begun))
+        kth = found.orderBy(F.desc("score"), "id").limit(k).agg(F.count("*").alias("n"), F.min("score").alias("score"), F.max_by("id", F.struct(-F.col("score"), "id")).alias("id")).first()
+        rest = self.bounds.join(begun.select("part"), "part", "left_anti")
+        if kth.n == k:  # of equal scores the smaller id goes first, so only parts before the k-th can still tie
+            part = index.filter((F.col("kind") == HIT) & word.isin(self.query) & F.array_contains("ids", kth.id)).agg(F.max("part")).first()[0]
+            rest = rest.filter((F.col("bound") > kth.score) | (F.col("bound") == kth.score) & (F.col("part") <= part))
+        rest = stored(rest)
+        self.read = self._blocks(begun) + self._blocks(rest)
+        self.rows = found.unionByName(self._scored(rest)).orderBy(F.desc("score"), "id").limit(k)
+
+    def _chosen(self, parts: DataFrame) -> DataFrame:
+        return self.index.filter(self.mine).join(parts.select("part"), "part", "left_semi")
+
+    def _blocks(self, parts: DataFrame) -> int:
+        return self._chosen(parts).select("word", "kind", "part").count()
+
+    def _scored(self, parts: DataFrame) -> DataFrame:
+        """id, score of the entries of the parts that have a token of the query."""
+        each = self._chosen(parts).select("kind", F.explode(self.meets).alias("q"), "ids").select("kind", "q", F.explode("ids").alias("id"))
+        gain = lambda kind: F.count_distinct(F.when(F.col("kind") == kind, F.col("q")))
+        scored = each.groupBy("id").agg(gain(HIT).alias("h"), gain(TITLE).alias("t"))
+        return scored.filter("h > 0").select("id", (F.col("h") * GAIN[HIT] + F.col("t") * GAIN[TITLE]).cast("long").alias("score"))
+
+
+def ranked(index: DataFrame, query: list[str], k: int = 50) -> DataFrame:
+    """id, score: the same rows as `search`, from the blocks of `blocks`."""
+    return Ranked(index, query, k).rows
+
+
 def slug_map(articles: DataFrame) -> DataFrame:
     """key, slug: exact and lower-case titles; later articles (by position) take over."""
     keys = articles.select(F.explode(F.array_distinct(F.array("title", F.lower("title")))).alias("key"), slug(F.col("title")).alias("slug"), "position")

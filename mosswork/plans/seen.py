@@ -11,7 +11,6 @@ from ..operators.stored import folder, stored
 
 #: Bits of the filter, in words of 64, and bits of a key. The filter never has more than 2**17 rows, whatever was seen.
 WORDS, HASHES = 1 << 17, 3
-BUCKETS = 32
 
 
 def _places(key: Column) -> list[Column]:
@@ -22,8 +21,9 @@ class SeenKeys:
     """Keys (canon_key) of all levels. Each level's keys are written into the buckets of one table, sorted, so a join with keys deals out and sorts those keys only, never
     what was seen before. Keys that the filter does not know are new without any join."""
 
-    def __init__(self, spark: SparkSession, buckets: int = BUCKETS):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, buckets: int | None = None):
+        """As many buckets as the session has shuffle partitions, if not told."""
+        self.spark, self.buckets = spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = f"seen_{uuid.uuid4().hex}"
         self.path = f"{folder(spark)}/{self.name}"
         self.bits: DataFrame | None = None

@@ -230,15 +230,25 @@ def cross_corpus_refs(spark, sf_dir):
     return index.cross_references(e).select("site", "title", "other_site").distinct()
 
 
-@query(r"""WITH t AS (SELECT page_id AS id, lower(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))) AS title, lower(url) AS url FROM pages), s AS (
+_RANK = r"""WITH t AS (SELECT page_id AS id, lower(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))) AS title, lower(url) AS url FROM pages), s AS (
     SELECT id, title, (list_contains(regexp_extract_all(title || ' ' || url, '[a-z0-9]+'), 'com'))::INT + (list_contains(regexp_extract_all(title || ' ' || url, '[a-z0-9]+'), 'page'))::INT AS hits,
     2 * (contains(title, 'com')::INT + contains(title, 'page')::INT) AS bonus FROM t)
-    SELECT id, CAST(hits + bonus AS BIGINT) AS score FROM s WHERE hits > 0 ORDER BY score DESC, id LIMIT 50""")
+    SELECT id, CAST(hits + bonus AS BIGINT) AS score FROM s WHERE hits > 0 ORDER BY score DESC, id LIMIT 50"""
+
+
+@query(_RANK)
 def search_rank(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), wk.html_title(F.col("html")).alias("title"), F.col("url").alias("snippet"))
     return index.search(p, ["com", "page"]).select("id", "score")
 
 
+@query(_RANK)
+def search_blocks(spark, sf_dir):
+    """As search_rank, from blocks of postings; those that cannot reach the 50 best are not read."""
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), wk.html_title(F.col("html")).alias("title"), F.col("url").alias("snippet"))
+    return index.ranked(index.blocks(p, 64), ["com", "page"])
+
+
 @query(r"""WITH m AS (SELECT conv_id, turn, replace(replace('{role}: {text}', '{role}', coalesce(role, '')), '{text}', coalesce(text, '')) AS line FROM conversations)
     SELECT conv_id, md5(string_agg(line, chr(10) ORDER BY turn, line)) AS digest FROM m GROUP BY conv_id""")
 def message_render(spark, sf_dir):
