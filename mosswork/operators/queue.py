@@ -2,18 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranges import numbered
+from .stored import stored
 
 KEY = ["subject", "hop"]
+#: Steps between the least and the largest jitter.
+DRAWS = 1 << 20
 
 
-def retry_delay(retry: Column, base: float = 5.0, backoff: float = 2.0, cap: float = 120.0) -> Column:
-    """Seconds before that retry; exponential under a cap, without jitter."""
+def retry_delay(retry: Column, base: float = 5.0, backoff: float = 2.0, cap: float = 120.0, jitter: float = 0.0, of: Column | None = None) -> Column:
+    """Seconds before that retry; exponential under a cap, give or take the part `jitter` of it. The draw is a hash of what `of` names and
+    the retry, so every reader and every repeat of a task has the same."""
     raw = F.lit(max(0.0, base)) * F.pow(F.lit(max(1.0, backoff)), F.greatest(retry - 1, F.lit(0)))
-    return F.least(raw, F.lit(cap)) if cap > 0 else raw
+    raw = F.least(raw, F.lit(cap)) if cap > 0 else raw
+    if jitter > 0:
+        drawn = F.pmod(F.xxhash64(F.concat_ws(":", of, retry.cast("string"))), F.lit(DRAWS)) / (DRAWS / 2) - 1
+        raw = F.greatest(raw * (1 + jitter * drawn), F.lit(0.0))
+        raw = F.least(raw, F.lit(cap)) if cap > 0 else raw
+    return raw
+
+
+def retries(events: DataFrame, max_retries: int = 3, **delay) -> DataFrame:
+    """subject, hop, retry, failed_at, due_at, outcome of the errors of a queue's events: `failed` is the last that counts, `superseded` one whose row had another event before it was
+    due, `retry` one that puts its row back. Only the first errors of a key count, so the window keeps max_retries rows of a key in each task before it shuffles; the next
+    event of each of them is a partial minimum."""
+    of = Window.partitionBy(*KEY).orderBy("ordinal")
+    errors = events.filter("event = 'error'").select(*KEY, "ordinal", "ts").withColumn("retry", F.row_number().over(of)).filter(F.col("retry") <= max_retries)
+    errors = stored(errors)
+    later = events.select(*KEY, F.col("ordinal").alias("o"), F.col("ts").alias("t")).join(errors.select(*KEY, "ordinal", "retry"), KEY).filter("o > ordinal")
+    next_ = later.groupBy(*KEY, "retry").agg(F.min_by("t", "o").alias("next"))
+    due = F.col("ts") + retry_delay(F.col("retry"), **delay, of=F.concat_ws(":", "subject", F.col("hop").cast("string")))
+    told = errors.join(next_, [*KEY, "retry"], "left").withColumn("due_at", F.when(F.col("retry") < max_retries, due))
+    outcome = F.when(F.col("due_at").isNull(), "failed").when(F.col("next") <= F.col("due_at"), "superseded").otherwise("retry")
+    return told.select(*KEY, "retry", F.col("ts").alias("failed_at"), "due_at", outcome.alias("outcome"))
 
 
 def state(events: DataFrame, max_retries: int = 3, base: float = 5.0, backoff: float = 2.0, cap: float = 120.0) -> DataFrame:

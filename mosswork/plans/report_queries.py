@@ -15,7 +15,7 @@ from ..operators import queue as qu
 from ..operators import vector as ve
 from ..operators.ranges import numbered
 from ..sources import logs, runs
-from .engine_queries import _STATE, queue_events
+from .engine_queries import _EVENTS, _STATE, queue_events
 from .rate_queries import _PAIRS_SQL, _G, _J, _O, pairs, records, rounded, RECORDS_SQL
 from .registry import query, table
 from .text_queries import ARTICLE_SQL, KEY, TOKENS, articles
@@ -501,6 +501,15 @@ def queue_next_due(spark, sf_dir):
     return qu.next_due(qu.state(queue_events(spark, sf_dir), 40), 1.0e9).select(F.round("seconds", 3).alias("seconds"))
 
 
+@query(f"""WITH e AS ({_EVENTS}), x AS (SELECT *, lead(ts) OVER (PARTITION BY subject, hop ORDER BY ordinal) AS next FROM e), r AS (
+    SELECT *, row_number() OVER (PARTITION BY subject, hop ORDER BY ordinal) AS retry FROM x WHERE event = 'error'), d AS (SELECT *, CASE WHEN retry < 4 THEN ts + least(60000 * pow(3, retry - 1), 300000) END AS due_at FROM r WHERE retry <= 4)
+    SELECT subject, hop, CAST(retry AS INT) AS retry, round(due_at - ts, 3) AS delay, CASE WHEN due_at IS NULL THEN 'failed' WHEN next <= due_at THEN 'superseded' ELSE 'retry' END AS outcome FROM d""")
+def queue_retries(spark, sf_dir):
+    """Errors of the event log and what becomes of them, after delays of 1000 minutes and more."""
+    r = qu.retries(queue_events(spark, sf_dir), 4, base=60_000.0, backoff=3.0, cap=300_000.0)
+    return r.select("subject", "hop", "retry", F.round(F.col("due_at") - F.col("failed_at"), 3).alias("delay"), "outcome")
+
+
 @query(f"""{_STATE} SELECT subject, hop, CASE status WHEN 'working' THEN 'pending' ELSE status END AS status, row_number() OVER (ORDER BY position, subject, hop) - 1 AS place FROM s""")
 def queue_recovered(spark, sf_dir):
     s = qu.reset_working(qu.state(queue_events(spark, sf_dir), 40)).withColumns({"retry_at": F.lit(None).cast("double"), "created_at": F.col("position").cast("double")})

@@ -47,9 +47,9 @@ def test_queue_fold_and_its_stream_agree(spark, tmp_path):
     assert [r.subject for r in queue.claim(queue.state(e), 5, 100.0).collect()] == ["a", "c"]
     assert [r.subject for r in queue.claim(queue.state(e), 5, 8.5).collect()] == ["c"]
     e.repartition(3).write.parquet(str(tmp_path / "in"))
-    q = stream.start(stream.queue_rows(stream.events(spark, str(tmp_path / "in"))), str(tmp_path / "ck"), "queue_rows")
+    q = stream.start(stream.queue_rows(stream.events(spark, str(tmp_path / "in"), files=1)), str(tmp_path / "ck"), str(tmp_path / "rows"))
     q.awaitTermination(120)
-    assert {r.subject: tuple(r) for r in spark.table("queue_rows").collect()} == {k: tuple(v) for k, v in batch.items()}
+    assert {r.subject: tuple(r) for r in stream.latest(spark, str(tmp_path / "rows")).select(*queue.state(e).columns).collect()} == {k: tuple(v) for k, v in batch.items()}
 
 
 def fold(candidates, seen):
