@@ -4,7 +4,7 @@ Providers are tables joined in; what a provider leaves unanswered fails closed:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import canon_key, plural, singular, title_and_confidence
@@ -17,14 +17,18 @@ from .seen import SeenKeys
 MOST_HITS = 200_000
 
 
-def candidates(articles: DataFrame, confidence: float | None = None) -> DataFrame:
-    """subject, hop, place, phrase: links, then categories, each once, in order. confidence: links carry one, "Title (0.97)", and those below go."""
-    links = links_outside(F.col("wikitext"))
+def phrases(wikitext: Column, confidence: float | None = None) -> Column:
+    """Links, then categories, each once, in order. confidence: links carry one, "Title (0.97)", and those below go."""
+    links = links_outside(wikitext)
     if confidence is not None:
         told = F.transform(links, title_and_confidence)
         links = F.transform(F.filter(told, lambda x: F.coalesce(x.confidence, F.lit(0.0)) >= confidence), lambda x: x.title)
-    both = F.array_distinct(F.concat(links, categories(F.col("wikitext"))))
-    return articles.select("subject", "hop", F.posexplode(both).alias("place", "phrase"))
+    return F.array_distinct(F.concat(links, categories(wikitext)))
+
+
+def candidates(articles: DataFrame, confidence: float | None = None) -> DataFrame:
+    """subject, hop, place, phrase of articles (subject, hop, wikitext)."""
+    return articles.select("subject", "hop", F.posexplode(phrases(F.col("wikitext"), confidence)).alias("place", "phrase"))
 
 
 def _known(keys: DataFrame, seen: DataFrame | SeenKeys) -> DataFrame:
@@ -73,38 +77,43 @@ def kept_first(nodes: DataFrame) -> DataFrame:
     return decided
 
 
-def deduplicated(each: DataFrame, seen: DataFrame | SeenKeys) -> DataFrame:
-    """subject, hop, place, phrase, key, reason of every candidate.
+def _entries(listed: Column) -> Column:
+    """array<struct<key, place, phrase, first>> of an array of phrases, by key and place; first: no earlier phrase has the key. A sort and a pass, however long the array is."""
+    keyed = F.filter(F.transform(listed, lambda x, i: F.struct(canon_key(x).alias("key"), i.alias("place"), x.alias("phrase"))), lambda x: x.key != "")
+    first = lambda s: F.transform(s, lambda x, i: F.struct(x.key.alias("key"), x.place.alias("place"), x.phrase.alias("phrase"), (F.coalesce(F.get(s, i - 1).key, F.lit("")) != x.key).alias("first")))
+    return F.get(F.transform(F.array(F.array_sort(keyed)), first), F.lit(0))  # the sorted array is computed once
 
-    An article's candidates are looked at in order, and one is kept if neither its key nor its singular nor plural was seen or kept before. What decides is each key's first
-    place, so a row for each key of an article is shuffled, with its places. Which keys can be in each other's way is found among the distinct keys of the
-    corpus; only those of an article that have such a form there take part in the rounds of `kept_first`. No article is one row of keys and forms."""
+
+def deduplicated(articles: DataFrame, listed: Column, seen: DataFrame | SeenKeys) -> DataFrame:
+    """subject, hop, place, phrase, key, reason of every candidate. articles: unique by subject and hop; listed: their candidates, an array of phrases in order.
+
+    A candidate is kept if neither its key nor its singular nor plural was seen or kept before. What was seen is found for the distinct keys of the corpus, and so is which of
+    them can be in each other's way; only those of an article that have such a form there are shuffled, and take part in the rounds of `kept_first`. What they
+    bar comes back to the article as a short list. Candidates themselves never move: they are unfolded from their article at the end."""
     own = ["subject", "hop", "key"]
-    keyed = each.withColumn("key", canon_key(F.col("phrase"))).filter("key <> ''")
-    at = F.struct("place", F.when(F.col("phrase") != F.col("key"), F.col("phrase")).alias("phrase"))
-    firsts = stored(keyed.groupBy(*own).agg(F.min("place").alias("first"), F.collect_list(at).alias("at")))
-    keys = stored(_forms(firsts.select("key").distinct()))
+    keys = stored(_forms(articles.select(F.explode(F.array_distinct(F.transform(listed, canon_key))).alias("key")).filter("key <> ''").distinct()))
     flags = stored(_told(keys, _known(keys, seen)))
     # forms that can be kept, of keys that are not out already
     form = F.explode(F.array(F.struct(F.lit(1).alias("i"), F.col("one").alias("form")), F.struct(F.lit(2).alias("i"), F.col("many").alias("form"))))
     open_ = flags.filter("not in_seen and not plural_seen").select(F.col("key").alias("form"))
     pairs = stored(flags.filter("not plural_seen").select("key", form.alias("x")).select("key", "x.*").filter("form <> key").join(open_, "form"))
     forms = pairs.groupBy("key").agg(*(F.max(F.when(F.col("i") == i, F.col("form"))).alias(f"t{i}") for i in (1, 2)))
-    part = forms.join(pairs.select(F.col("form").alias("key")).distinct(), "key", "full").join(flags.select("key", "in_seen"), "key")
-    rows = firsts.select(*own, "first")
-    part = stored(part)
-    nodes = stored(rows.join(F.broadcast(part) if part.count() <= MOST_HITS else part, "key"))
-    target = lambda i: nodes.filter("not in_seen").select("subject", "hop", F.col("key").alias(f"t{i}"), F.col("first").alias(f"f{i}"))
-    nodes = stored(nodes.join(target(1), ["subject", "hop", "t1"], "left").join(target(2), ["subject", "hop", "t2"], "left").withColumn("open", ~F.col("in_seen")))
-    nodes = nodes.filter("f1 is not null or f2 is not null or open")
+    part = stored(forms.join(pairs.select(F.col("form").alias("key")).distinct(), "key", "full").join(flags.select("key", "in_seen"), "key"))
+    firsts = articles.select("subject", "hop", F.explode(_entries(listed)).alias("x")).filter("x.first").select("subject", "hop", "x.key", F.col("x.place").alias("first"))
+    rows = stored(firsts.join(F.broadcast(part) if part.count() <= MOST_HITS else part, "key"))
+    # only what has a form in its own article
+    target = lambda i: rows.filter("not in_seen").select("subject", "hop", F.col("key").alias(f"t{i}"), F.col("first").alias(f"f{i}"))
+    nodes = stored(rows.join(target(1), ["subject", "hop", "t1"], "left").join(target(2), ["subject", "hop", "t2"], "left").withColumn("open", ~F.col("in_seen")))
     kept = stored(kept_first(nodes))
     one = lambda i: kept.filter("kept").select("subject", "hop", F.col("key").alias(f"t{i}"), F.lit(True).alias(f"k{i}"))
-    barred = nodes.join(one(1), ["subject", "hop", "t1"], "left").join(one(2), ["subject", "hop", "t2"], "left")
+    barred = nodes.filter("f1 is not null or f2 is not null").join(one(1), ["subject", "hop", "t1"], "left").join(one(2), ["subject", "hop", "t2"], "left")
     barred = barred.select(*own, F.least(*(F.when(F.col(f"k{i}"), F.col(f"f{i}")) for i in (1, 2))).alias("bar")).filter("bar is not null")
-    told = _told(firsts, flags.filter("in_seen or plural_seen").select("key", "in_seen", "plural_seen")).join(barred, own, "left")
-    each = told.select(*own, "first", "bar", "in_seen", "plural_seen", F.explode("at").alias("x")).select(*own, "first", "bar", "in_seen", "plural_seen", "x.*")
-    reason = F.when(F.col("plural_seen"), "plural_variant").when(F.col("bar") < F.col("place"), "plural_variant_batch").when(F.col("in_seen"), "seen").when(F.col("first") < F.col("place"), "batch").otherwise("kept")
-    return each.select("subject", "hop", "place", F.coalesce("phrase", "key").alias("phrase"), "key", reason.alias("reason"))
+    lists = barred.groupBy("subject", "hop").agg(F.map_from_entries(F.collect_list(F.struct("key", "bar"))).alias("bars"))
+    each = articles.join(lists, ["subject", "hop"], "left").select("subject", "hop", "bars", F.explode(_entries(listed)).alias("x")).select("subject", "hop", "bars", "x.*")
+    told = _told(each, flags.filter("in_seen or plural_seen").select("key", "in_seen", "plural_seen"))
+    bar = F.try_element_at("bars", F.col("key"))
+    reason = F.when(F.col("plural_seen"), "plural_variant").when(bar < F.col("place"), "plural_variant_batch").when(F.col("in_seen"), "seen").when(~F.col("first"), "batch").otherwise("kept")
+    return told.select("subject", "hop", "place", "phrase", "key", reason.alias("reason"))
 
 
 def gated(kept: DataFrame, decisions: DataFrame, threshold: float = 0.0) -> DataFrame:
@@ -168,7 +177,7 @@ def expand(
     for hop in range(1, max_depth + 1):
         seen.add(frontier)
         written = ready(frontier.select("subject", "hop"), *stages).join(articles, "subject")
-        each = deduplicated(candidates(written, confidence), seen).filter("reason = 'kept'")
+        each = deduplicated(written, phrases(F.col("wikitext"), confidence), seen).filter("reason = 'kept'")
         ok = gated(each, decisions, threshold).filter("passed")
         # of articles that name one key on a level the first by subject and place is its parent
         new = ok.groupBy(F.col("key").alias("canon_key")).agg(F.min(F.struct("subject", "place", "phrase")).alias("r"))

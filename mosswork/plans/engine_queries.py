@@ -236,9 +236,10 @@ def _flagged(spark, sf_dir):
 
 @query()
 def pre_ner_dedup(spark, sf_dir):
-    each = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("subject"), F.lit(0).alias("hop"), F.posexplode(tx.tokens(F.col("text"))).alias("place", "phrase"))
+    """Every word of every text is a candidate, the words of the benchmark were seen before."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("subject"), F.lit(0).alias("hop"), "text")
     seen = table(spark, sf_dir, "benchmark").select(F.explode(tx.tokens(F.col("text"))).alias("canon_key")).distinct()
-    return crawl.deduplicated(each, seen).select("subject", "place", "key", "reason")
+    return crawl.deduplicated(d, tx.tokens(F.col("text")), seen).select("subject", "place", "key", "reason")
 
 
 @query("""SELECT doc_id, CASE WHEN quality IS NULL THEN 'missing' WHEN quality = 1 THEN 'accepted' ELSE 'not_named_entity' END AS gate_reason FROM documents LEFT JOIN labels USING (doc_id)""")

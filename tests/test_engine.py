@@ -85,8 +85,8 @@ def test_candidate_dedup_is_sequential(spark):
     words, rnd = ["city", "cities", "dog", "dogs", "news", "bird", "birds", "boxes", "box", "glass", "tree", "trees"], random.Random(5)
     lists = [[rnd.choice(words) for _ in range(12)] for _ in range(20)]
     seen = {"bird", "boxes", "dogs"}
-    rows = [(str(i), 0, p, w) for i, l in enumerate(lists) for p, w in enumerate(l)]
-    got = crawl.deduplicated(spark.createDataFrame(rows, "subject string, hop int, place int, phrase string"), spark.createDataFrame([(s,) for s in seen], "canon_key string"))
+    rows = [(str(i), 0, l) for i, l in enumerate(lists)] + [("none", 0, None), ("empty", 0, [])]
+    got = crawl.deduplicated(spark.createDataFrame(rows, "subject string, hop int, listed array<string>"), F.col("listed"), spark.createDataFrame([(s,) for s in seen], "canon_key string"))
     by = {(r.subject, r.place): r.reason for r in got.collect()}
     for i, l in enumerate(lists):
         assert [by[str(i), p] for p in range(len(l))] == fold(l, seen), l
@@ -102,7 +102,8 @@ def test_candidate_dedup_of_documents(spark):
     made = [(i, [f + r.choice(["", "s", "es", "ses"]) for w in ws if (f := w)]) for i, ws in texts[::4]]
     lists = [(i, ws) for i, ws in texts] + [(10**6 + i, ws) for i, ws in made]
     rows = [(str(i), 0, p, w if p % 3 else w.title()) for i, ws in lists for p, w in enumerate(ws)]
-    got = crawl.deduplicated(spark.createDataFrame(rows, "subject string, hop int, place int, phrase string"), spark.createDataFrame([(s,) for s in seen], "canon_key string"))
+    table = spark.createDataFrame([(str(i), 0, [w if p % 3 else w.title() for p, w in enumerate(ws)]) for i, ws in lists], "subject string, hop int, listed array<string>")
+    got = crawl.deduplicated(table.repartition(5), F.col("listed"), spark.createDataFrame([(s,) for s in seen], "canon_key string"))
     by = {(x.subject, x.place): (x.key, x.phrase, x.reason) for x in got.collect()}
     assert len(by) == len(rows)
     of = {}
