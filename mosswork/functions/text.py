@@ -25,10 +25,11 @@ def squeeze(c: Column) -> Column:
 
 
 def canon_key(c: Column) -> Column:
-    """Canonical key of a string in compatibility form; ASCII always is. See `with_canon_key` for others."""
-    c = F.lower(squeeze(c))
-    c = F.regexp_replace(F.replace(c, F.lit("_"), F.lit(" ")), DASHES, " ")
-    return squeeze(F.regexp_replace(c, NOT_WORD, ""))
+    """Canonical key of a string in compatibility form; ASCII always is. See `with_canon_key` for others. A word of small letters and digits is its own, which
+    most are, so they cost one look."""
+    made = F.lower(squeeze(c))
+    made = F.regexp_replace(F.replace(made, F.lit("_"), F.lit(" ")), DASHES, " ")
+    return F.when(c.rlike(r"^[\p{Ll}0-9]+\z"), c).otherwise(squeeze(F.regexp_replace(made, NOT_WORD, "")))
 
 
 def funnel_key(c: Column) -> Column:

@@ -91,7 +91,7 @@ def deduplicated(articles: DataFrame, listed: Column, seen: DataFrame | SeenKeys
     them can be in each other's way; only those of an article that have such a form there are shuffled, and take part in the rounds of `kept_first`. What they
     bar comes back to the article as a short list. Candidates themselves never move: they are unfolded from their article at the end."""
     own = ["subject", "hop", "key"]
-    keys = stored(_forms(articles.select(F.explode(F.array_distinct(F.transform(listed, canon_key))).alias("key")).filter("key <> ''").distinct()))
+    keys = stored(_forms(articles.select(F.explode(F.transform(F.array_distinct(listed), canon_key)).alias("key")).filter("key <> ''").distinct()))
     flags = stored(_told(keys, _known(keys, seen)))
     # forms that can be kept, of keys that are not out already
     form = F.explode(F.array(F.struct(F.lit(1).alias("i"), F.col("one").alias("form")), F.struct(F.lit(2).alias("i"), F.col("many").alias("form"))))
@@ -99,8 +99,10 @@ def deduplicated(articles: DataFrame, listed: Column, seen: DataFrame | SeenKeys
     pairs = stored(flags.filter("not plural_seen").select("key", form.alias("x")).select("key", "x.*").filter("form <> key").join(open_, "form"))
     forms = pairs.groupBy("key").agg(*(F.max(F.when(F.col("i") == i, F.col("form"))).alias(f"t{i}") for i in (1, 2)))
     part = stored(forms.join(pairs.select(F.col("form").alias("key")).distinct(), "key", "full").join(flags.select("key", "in_seen"), "key"))
-    firsts = articles.select("subject", "hop", F.explode(_entries(listed)).alias("x")).filter("x.first").select("subject", "hop", "x.key", F.col("x.place").alias("first"))
-    rows = stored(firsts.join(F.broadcast(part) if part.count() <= MOST_HITS else part, "key"))
+    placed = articles.select("subject", "hop", F.explode(F.transform(listed, lambda x, i: F.struct(canon_key(x).alias("key"), i.alias("place")))).alias("x")).select("subject", "hop", "x.*")
+    # an article's words are in one task, so the first places are taken before they are shuffled
+    met = placed.join(F.broadcast(part) if part.count() <= MOST_HITS else part, "key")
+    rows = stored(met.groupBy(*own, "t1", "t2", "in_seen").agg(F.min("place").alias("first")))
     # only what has a form in its own article
     target = lambda i: rows.filter("not in_seen").select("subject", "hop", F.col("key").alias(f"t{i}"), F.col("first").alias(f"f{i}"))
     nodes = stored(rows.join(target(1), ["subject", "hop", "t1"], "left").join(target(2), ["subject", "hop", "t2"], "left").withColumn("open", ~F.col("in_seen")))
