@@ -81,7 +81,7 @@ def _entries(listed: Column) -> Column:
     """array<struct<key, place, phrase, first>> of an array of phrases, by key and place; first: no earlier phrase has the key. A sort and a pass, however long the array is."""
     keyed = F.filter(F.transform(listed, lambda x, i: F.struct(canon_key(x).alias("key"), i.alias("place"), x.alias("phrase"))), lambda x: x.key != "")
     first = lambda s: F.transform(s, lambda x, i: F.struct(x.key.alias("key"), x.place.alias("place"), x.phrase.alias("phrase"), (F.coalesce(F.get(s, i - 1).key, F.lit("")) != x.key).alias("first")))
-    return F.get(F.transform(F.array(F.array_sort(keyed)), first), F.lit(0))  # the sorted array is computed once
+    return F.get(F.transform(F.array(F.sort_array(keyed)), first), F.lit(0))  # the sorted array is computed once
 
 
 def deduplicated(articles: DataFrame, listed: Column, seen: DataFrame | SeenKeys) -> DataFrame:

@@ -1,11 +1,13 @@
-"""Writers. Spark's commit protocol makes them atomic; partitioned output needs no buffers or locks. What has to be one file is written by one
-task, row by row; it is never gathered in the driver."""
+"""Writers. Spark's commit protocol makes them atomic; partitioned output needs no buffers or locks. What has to be one file is written by many
+tasks, each at its place (`array`)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import array
+
 
 def json_lines(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).json(path)
@@ -41,24 +43,9 @@ def rows_csv(path: str, *parts: DataFrame) -> None:
         csv(every.select(*columns), path, columns)
 
 
-def json_array(df: DataFrame, path: str, *order: str) -> None:
-    """One JSON array of the rows, a row a line, in order: what a reader of a whole document expects of a log."""
-    if df.isEmpty():
-        df.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1).write.mode("overwrite").text(path)
-        return
-    text = df.select(*(F.col(c) for c in order), F.to_json(F.struct(*df.columns)).alias("_row")).repartitionByRange(1, *order).sortWithinPartitions(*order) if order else df.select(F.to_json(F.struct(*df.columns)).alias("_row")).coalesce(1)
-
-    def lines(it):
-        import pyarrow as pa
-
-        first = True
-        for b in it:
-            rows = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_pydict({"value": [("[" if first and i == 0 else ",") + r for i, r in enumerate(rows)]})
-            first = first and not rows
-        yield pa.RecordBatch.from_pydict({"value": ["]"]})
-
-    text.select("_row").mapInArrow(lines, "value string").write.mode("overwrite").text(path)
+def json_array(df: DataFrame, path: str, *order: str) -> str:
+    """One JSON array of the rows, a row a line, in order: what a reader of a whole document expects of a log. The file is path/array.json."""
+    return array.write(df, path, *order)
 
 
 def queue_snapshot(rows: DataFrame, path: str, articles: DataFrame | None = None, most: int = 0) -> None:

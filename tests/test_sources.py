@@ -1,12 +1,14 @@
 """Readers, run folders and writers over small files."""
 
 import json
+import pytest
+import os
 
 from pyspark.sql import functions as F
 
 from mosswork.functions import text as tx
 from mosswork.operators import index, pages
-from mosswork.sources import logs, runs, sinks
+from mosswork.sources import array, logs, runs, sinks
 
 
 def lines(path):
@@ -50,17 +52,18 @@ def test_counts_under_other_names(spark):
 
 def test_sinks(spark, tmp_path):
     d = spark.createDataFrame([("b", 1, 0.5), ("a", 2, None)], "subject string, hop int, x double")
+    whole = lambda name: json.loads((tmp_path / name / "array.json").read_text())
     sinks.json_array(d, str(tmp_path / "array"), "hop")
-    assert json.loads("\n".join(lines(tmp_path / "array"))) == [{"subject": "b", "hop": 1, "x": 0.5}, {"subject": "a", "hop": 2}]
+    assert whole("array") == [{"subject": "b", "hop": 1, "x": 0.5}, {"subject": "a", "hop": 2}]
     sinks.json_array(d.limit(0), str(tmp_path / "none"))
-    assert json.loads("".join(lines(tmp_path / "none"))) == []
+    assert whole("none") == []
     sinks.rows_csv(str(tmp_path / "csv"), d.select("subject", "hop"), d.select("x", "subject"))
     rows = [r.asDict() for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()]
     assert len(rows) == 4 and list(rows[0]) == ["subject", "hop", "x"] and {"subject": "b", "hop": None, "x": "0.5000"} in rows
     sinks.rows_csv(str(tmp_path / "empty"), d.limit(0))
     assert lines(tmp_path / "empty") == ["empty"]
     sinks.queue_snapshot(d, str(tmp_path / "snap"), d.withColumn("line_no", F.col("hop")), 1)
-    assert [r["subject"] for r in json.loads("\n".join(lines(tmp_path / "snap" / "queue")))] == ["b", "a"] and len(json.loads("\n".join(lines(tmp_path / "snap" / "articles")))) == 1
+    assert [r["subject"] for r in whole("snap/queue")] == ["b", "a"] and len(whole("snap/articles")) == 1
     sinks.sorted_keys(d, "subject", str(tmp_path / "keys"))
     assert lines(tmp_path / "keys") == ["a", "b"]
     sinks.audit(d, d, d.limit(1), str(tmp_path / "audit"))
@@ -78,3 +81,24 @@ def test_queue_metrics_of_all_stages(spark):
 
     rows = spark.createDataFrame([("ner", 0, "done"), ("ner", 1, "pending"), ("sim", 0, "failed")], "stage string, hop int, status string")
     assert sorted(tuple(r) for r in queue.metrics(rows, 0, "stage").collect()) == [("ner", 1, 0, 1, 0), ("sim", 0, 0, 0, 1)]
+
+
+def test_one_array_from_many_tasks(spark, tmp_path):
+    """The bytes are those of one writer, and no task wrote them all."""
+    d = spark.range(0, 20_000, 1, 7).select(F.xxhash64("id").alias("k"), F.concat(F.lit("é \"quoted\"\n"), "id").alias("text"), F.when(F.col("id") % 3 == 0, F.col("id")).alias("maybe"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    seen = []
+    replaced, array.os.replace = array.os.replace, lambda a, b: (seen.append(json.loads(open(f"{os.path.dirname(a)}/parts.json").read())["parts"]), replaced(a, b))
+    try:
+        sinks.json_array(d, str(tmp_path / "a"), "k")
+        sinks.json_array(d, f"file://{tmp_path}/b", "k")
+    finally:
+        array.os.replace = replaced
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = [r.j for r in d.sort("k").select(F.to_json(F.struct("k", "text", "maybe")).alias("j")).collect()]
+    want = ("[\n" + ",\n".join(rows) + "\n]\n").encode()
+    assert (tmp_path / "a" / "array.json").read_bytes() == want == (tmp_path / "b" / "array.json").read_bytes()
+    assert all(len(parts) >= 4 and max(p["rows"] for p in parts) < 12_000 for parts in seen) and len(seen) == 2
+    assert [x.name for x in tmp_path.iterdir() if "parts" in x.name] == []
+    with pytest.raises(ValueError):
+        sinks.json_array(d, "s3a://bucket/x", "k")
