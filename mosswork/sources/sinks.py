@@ -16,7 +16,7 @@ def json_lines(df: DataFrame, path: str, mode: str = "append") -> None:
 def csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
     """Doubles with four places, nulls empty; columns in the given order, or sorted."""
     kinds = dict(df.dtypes)
-    show = lambda c: F.coalesce(F.format_string("%.4f", c) if kinds[c] in ("double", "float") else F.col(c).cast("string"), F.lit(""))
+    show = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.format_string("%.4f", c)) if kinds[c] in ("double", "float") else F.col(c).cast("string"), F.lit(""))
     df.select(*(show(c).alias(c) for c in columns or sorted(df.columns))).write.mode("overwrite").option("header", True).csv(path)
 
 

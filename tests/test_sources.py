@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mosswork.functions import text as tx
 from mosswork.operators import index, pages
-from mosswork.sources import array, logs, runs, sinks
+from mosswork.sources import array, folders, logs, runs, sinks
 
 
 def lines(path):
@@ -102,3 +102,22 @@ def test_one_array_from_many_tasks(spark, tmp_path):
     assert [x.name for x in tmp_path.iterdir() if "parts" in x.name] == []
     with pytest.raises(ValueError):
         sinks.json_array(d, "s3a://bucket/x", "k")
+
+
+def test_run_folders_as_a_source(spark, tmp_path):
+    """Files are chosen before they are opened, and lines are numbered as an editor does."""
+    for run, log, text in (("a", "articles", '{"x": 1}\n\n{"x": 2\r\n{"x": 3}'), ("a/deep", "queue", '{"x": 4}\n[5]\n'), ("b", "articles", ""), ("b", "queue", "é\n" * 4500)):
+        (tmp_path / run).mkdir(parents=True, exist_ok=True)
+        (tmp_path / run / f"{log}.jsonl").write_bytes(text.encode())
+    (tmp_path / "a" / "other.txt").write_text("x")
+    read = folders.lines(spark, str(tmp_path))
+    got = sorted((r.run, r.log, r.line_no, r.value) for r in read.filter("run <> 'b'").collect())
+    assert got == [("a", "articles", 1, '{"x": 1}'), ("a", "articles", 2, ""), ("a", "articles", 3, '{"x": 2'), ("a", "articles", 4, '{"x": 3}'), ("a/deep", "queue", 1, '{"x": 4}'), ("a/deep", "queue", 2, "[5]")]
+    assert [r.line_no for r in read.filter("run = 'b' and log = 'queue'").sort("line_no").collect()] == list(range(1, 4501))
+    assert {tuple(r) for r in folders.counts(read).collect()} == {("a", "articles", 3, 2, 1), ("a/deep", "queue", 2, 1, 1), ("b", "queue", 4500, 0, 4500)}
+    assert sorted(tuple(r) for r in folders.objects(read, "x int").collect()) == [("a", "articles", 1, 1), ("a", "articles", 4, 3), ("a/deep", "queue", 1, 4)]
+    # one file of four is a partition where the filters choose it
+    assert read.rdd.getNumPartitions() == 4 and folders.lines(spark, str(tmp_path), ["a", "zz"], ["articles"]).rdd.getNumPartitions() == 1
+    os.chmod(tmp_path / "b" / "queue.jsonl", 0)
+    assert folders.lines(spark, str(tmp_path), ["a"]).count() == 4
+    assert folders.lines(spark, str(tmp_path), ["nowhere"]).count() == 0 == folders.lines(spark, str(tmp_path / "none")).count()
