@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import wikitext as wk
-from ..operators import index
+from ..operators import cache, index
 from ..operators.stored import folder
 from ..sources import folders, logs, runs, sinks
 from .registry import query, table
@@ -155,3 +155,15 @@ def scored_titles(spark, sf_dir):
     """Titles with a score behind them, split again."""
     n = table(spark, sf_dir, "nation").select("n_nationkey", tx.title_and_confidence(F.format_string("%s (0.%d)", "n_name", (F.col("n_nationkey") % 10).cast("int"))).alias("x"))
     return n.select("n_nationkey", "x.title", F.col("x.confidence").cast("double").alias("confidence"))
+
+
+@query("""WITH o AS (SELECT event_id, epoch(ts) AS ts, user_id, CASE event_type WHEN 'purchase' THEN 'set' WHEN 'signup' THEN 'delete' ELSE 'get' END AS op FROM events), l AS (
+    SELECT *, last_value(CASE WHEN op <> 'get' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS w FROM o)
+    SELECT l.event_id, l.op, CASE WHEN l.op = 'set' THEN true ELSE coalesce(s.op = 'set' AND l.ts - s.ts <= 200000, false) END AS hit, CASE WHEN l.op = 'get' AND s.op = 'set' AND l.ts - s.ts <= 200000 THEN s.event_id::VARCHAR END AS value
+    FROM l LEFT JOIN o s ON s.event_id = l.w""")
+def cache_answers(spark, sf_dir):
+    """Events as operations of a cache that is never full: a purchase sets, a signup deletes, all others ask."""
+    kind, i = F.col("event_type"), F.col("event_id")
+    op = F.when(kind == "purchase", "set").when(kind == "signup", "delete").otherwise("get")
+    ops = table(spark, sf_dir, "events").select(i.alias("ordinal"), F.col("ts").cast("timestamp").cast("double").alias("ts"), op.alias("op"), F.lit("user").alias("namespace"), F.col("user_id").cast("string").alias("key"), i.cast("string").alias("value"))
+    return cache.answers(ops, 200_000.0, 1 << 40).select(F.col("ordinal").alias("event_id"), "op", "hit", "value")
