@@ -53,12 +53,13 @@ def _scored(source: str) -> str:
     WHEN greatest({words}) > 0 THEN greatest({words}) WHEN starts_with(url, 'https') THEN 32 ELSE 30 END AS DOUBLE) AS score_b FROM j)"""
 
 
-@query("SELECT url, domain, root, CAST(a AS DOUBLE) AS score_a, CAST(b AS DOUBLE) AS score_b, label, excluded, excluded_b FROM (VALUES " + ", ".join(f"('{u}', '{d}', '{r}', {a}, {b}, '{l}', {x}, {y})" for u, d, r, a, b, l, x, y in URLS) + ") v(url, domain, root, a, b, label, excluded, excluded_b)")
+# each page has one of the addresses
+@query("SELECT page_id, v.url, domain, root, CAST(a AS DOUBLE) AS score_a, CAST(b AS DOUBLE) AS score_b, label, excluded, excluded_b FROM (VALUES " + ", ".join(f"({i}, '{u}', '{d}', '{r}', {a}, {b}, '{l}', {x}, {y})" for i, (u, d, r, a, b, l, x, y) in enumerate(URLS)) + f") v(i, url, domain, root, a, b, label, excluded, excluded_b) JOIN pages p ON p.page_id % {len(URLS)} = i")
 def domain_scores(spark, sf_dir):
     u = F.col("url")
-    d = spark.createDataFrame([x[:1] for x in URLS], "url string")
+    d = table(spark, sf_dir, "pages").select("page_id", F.get(F.array(*(F.lit(x[0]) for x in URLS)), (F.col("page_id") % len(URLS)).cast("int")).alias("url"))
     return d.select(
-        "url", ev.domain(u).alias("domain"), ev.root(ev.domain(u)).alias("root"), ev.score_a(u).alias("score_a"), ev.score_b(u).alias("score_b"), ev.label(ev.score_b(u)).alias("label"),
+        "page_id", "url", ev.domain(u).alias("domain"), ev.root(ev.domain(u)).alias("root"), ev.score_a(u).alias("score_a"), ev.score_b(u).alias("score_b"), ev.label(ev.score_b(u)).alias("label"),
         ev.excluded(u, ["net"]).alias("excluded"), ev.excluded(u, blocked=ev.BLOCKED_B).alias("excluded_b"),
     )
 
@@ -87,9 +88,11 @@ def blocked_content(spark, sf_dir):
     return t.select("id", ev.is_blocked(F.col("x")).alias("blocked"))
 
 
-@query("""SELECT * FROM (VALUES (1,'captcha'),(2,'access-denied'),(3,'too-short'),(4,'cloudflare'),(5,'empty'),(6,'blocked-generic'),(7,'paywall'),(8,'rate-limited'),(9,'too-short')) v(id, reason)""")
+@query("""SELECT page_id, reason FROM pages JOIN (VALUES (1,'captcha'),(2,'access-denied'),(3,'too-short'),(4,'cloudflare'),(5,'empty'),(6,'blocked-generic'),(7,'paywall'),(8,'rate-limited'),(9,'too-short')) v(id, reason) ON page_id % 9 + 1 = id""")
 def blocked_reasons(spark, sf_dir):
-    return spark.createDataFrame(TEXTS, "id int, x string").select("id", ev.blocked_reason(F.col("x")).alias("reason"))
+    """Each page answers with one of the texts."""
+    x = F.get(F.array(*(F.lit(t) for _, t in sorted(TEXTS))), (F.col("page_id") % len(TEXTS)).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", ev.blocked_reason(x).alias("reason"))
 
 
 _SUBJECTS = [" Ada (Countess of  Lovelace) ", "Mercury (planet)", "plain", "A (b) c", "(x)"]
@@ -192,9 +195,10 @@ def queue_claim(spark, sf_dir):
     return qu.claim(qu.state(queue_events(spark, sf_dir), 40), 10, 1e12).select("subject", "hop")
 
 
-@query("SELECT r AS retry, least(5.0 * pow(2.0, greatest(r - 1, 0)), 120.0)::DOUBLE AS delay FROM range(0, 9) t(r)")
+@query("SELECT event_id, event_id % 9 AS retry, least(5.0 * pow(2.0, greatest(event_id % 9 - 1, 0)), 120.0)::DOUBLE AS delay FROM events")
 def retry_delay(spark, sf_dir):
-    return spark.range(9).select(F.col("id").alias("retry"), qu.retry_delay(F.col("id")).alias("delay"))
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 9).alias("retry"))
+    return e.withColumn("delay", qu.retry_delay(F.col("retry")))
 
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS ordinal FROM events GROUP BY user_id")

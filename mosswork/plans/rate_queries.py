@@ -275,11 +275,13 @@ def funnel_counters(spark, sf_dir):
 SIM = [("", "accept", ""), ("", "Accept", "ok"), ("x", "reject", "http_status=500"), ("x", "reject", "sdk_exception"), ("similarity_batch_http_error", "reject", "odd"), ("similarity_batch_http_error", "reject", ""), ("s", "reject", None), ("similarity_filter_skip_indexed", "accept", "r"), ("s", "skip", ""), ("s", "", ""), ("", None, "")]
 
 
-@query("""SELECT * FROM (VALUES (0,'accepted','accepted',false),(1,'accepted','ok',false),(2,'rejected','http_status=500',true),(3,'rejected','sdk_exception',true),(4,'rejected','odd',true),(5,'rejected','similarity_batch_http_error',true),
-    (6,'rejected','reject',false),(7,'skipped','already_in_embedding_index',false),(8,'skipped','skip',false),(9,'unknown','s',false),(10,'unknown','unknown',false)) v(id, outcome, reason, failed)""")
+@query("""SELECT event_id, outcome, reason, failed FROM events JOIN (VALUES (0,'accepted','accepted',false),(1,'accepted','ok',false),(2,'rejected','http_status=500',true),(3,'rejected','sdk_exception',true),(4,'rejected','odd',true),(5,'rejected','similarity_batch_http_error',true),
+    (6,'rejected','reject',false),(7,'skipped','already_in_embedding_index',false),(8,'skipped','skip',false),(9,'unknown','s',false),(10,'unknown','unknown',false)) v(id, outcome, reason, failed) ON event_id % 11 = id""")
 def normalize_similarity_reason(spark, sf_dir):
-    d = spark.createDataFrame([(i, *r) for i, r in enumerate(SIM)], "id int, stage string, decision string, reason string")
-    return d.select("id", fn.normalised(F.col("stage"), F.col("decision"), F.col("reason")).alias("x")).select("id", "x.*")
+    """Each event has one of the decisions."""
+    kinds = F.array(*(F.struct(*(F.lit(v).cast("string").alias(n) for n, v in zip(("stage", "decision", "reason"), r, strict=True))) for r in SIM))
+    d = table(spark, sf_dir, "events").select("event_id", F.get(kinds, (F.col("event_id") % len(SIM)).cast("int")).alias("s")).select("event_id", "s.*")
+    return d.select("event_id", fn.normalised(F.col("stage"), F.col("decision"), F.col("reason")).alias("x")).select("event_id", "x.*")
 
 
 _BOUGHT = "SELECT DISTINCT c_mktsegment AS g, l_partkey AS item FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey "

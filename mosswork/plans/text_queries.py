@@ -30,9 +30,28 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join(map(cell, r if isinstance(r, tuple) else (r,))) + ")" for r in rows)
 
 
-@query(f"SELECT t AS title, {KEY.format('t')} AS canon_key FROM (VALUES {_values(TITLES)}) v(t)")
+#: Every word of every document, some as links, headings and categories, and the hand-made articles beside them (negative ids).
+WIKI = rf"""SELECT doc_id AS id, array_to_string(list_transform({TOKENS}, lambda w, i: CASE (i - 1) % 24 WHEN 0 THEN '[[' || w || ']]' WHEN 10 THEN '[[inside ' || w || ']]' WHEN 4 THEN '[[  ' || w || ' |shown ' || w || ']]' WHEN 7 THEN chr(10) || '== See also ==' || chr(10)
+    WHEN 12 THEN chr(10) || '== ' || w || ' ==' || chr(10) WHEN 9 THEN '[[File:' || w || '.png|thumb]]' WHEN 15 THEN '[[Category:' || w || ' things|' || w || ']]' WHEN 16 THEN '[[category: one two three four five six ' || w || ']]' WHEN 18 THEN '[[' || w WHEN 21 THEN '=== References ===' ELSE w END), ' ') AS text
+    FROM documents UNION ALL SELECT -id, text FROM (VALUES {_values(ARTICLES)}) v(id, text)"""
+
+
+def wiki(spark, sf_dir):
+    c = F.concat
+    word = lambda w, k: (
+        F.when(k == 0, c(F.lit("[["), w, F.lit("]]"))).when(k == 10, c(F.lit("[[inside "), w, F.lit("]]"))).when(k == 4, c(F.lit("[[  "), w, F.lit(" |shown "), w, F.lit("]]"))).when(k == 7, F.lit("\n== See also ==\n")).when(k == 12, c(F.lit("\n== "), w, F.lit(" ==\n")))
+        .when(k == 9, c(F.lit("[[File:"), w, F.lit(".png|thumb]]"))).when(k == 15, c(F.lit("[[Category:"), w, F.lit(" things|"), w, F.lit("]]"))).when(k == 16, c(F.lit("[[category: one two three four five six "), w, F.lit("]]")))
+        .when(k == 18, c(F.lit("[["), w)).when(k == 21, F.lit("=== References ===")).otherwise(w)
+    )
+    made = F.array_join(F.transform(tx.tokens(F.col("text")), lambda w, i: word(w, i % 24)), " ")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), made.alias("text")).unionByName(literals(spark, [(-i, t) for i, t in ARTICLES], "id long, text string"))
+
+
+@query(f"SELECT n_nationkey, t AS title, {KEY.format('t')} AS canon_key FROM (SELECT n_nationkey, t || ' ' || n_name AS t FROM nation, (VALUES {_values(TITLES)}) v(t))")
 def canon_key_literals(spark, sf_dir):
-    return tx.with_canon_key(literals(spark, [(t,) for t in TITLES], "title string"), "title")
+    """Titles of all kinds, of every nation."""
+    each = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.explode(F.array(*map(F.lit, TITLES))).alias("t"))
+    return tx.with_canon_key(each.select("n_nationkey", F.concat_ws(" ", "t", "n_name").alias("title")), "title")
 
 
 @query(f"SELECT p_partkey, {KEY.format('p_name')} AS canon_key FROM part")
@@ -55,37 +74,39 @@ def plural_variants(spark, sf_dir):
 
 @query(rf"""SELECT t AS raw, CASE WHEN regexp_matches(trim(t), '^(.*)\((0\.\d+|1(?:\.0+)?)\)\s*$') AND trim(regexp_extract(trim(t), '^(.*)\((0\.\d+|1(?:\.0+)?)\)\s*$', 1)) <> ''
     THEN trim(regexp_extract(trim(t), '^(.*)\((0\.\d+|1(?:\.0+)?)\)\s*$', 1)) ELSE trim(t) END AS title,
-    TRY_CAST(nullif(regexp_extract(trim(t), '^(.*)\((0\.\d+|1(?:\.0+)?)\)\s*$', 2), '') AS DOUBLE) AS confidence FROM (VALUES {_values(TITLES)}) v(t)""")
+    TRY_CAST(nullif(regexp_extract(trim(t), '^(.*)\((0\.\d+|1(?:\.0+)?)\)\s*$', 2), '') AS DOUBLE) AS confidence FROM (SELECT p_name || CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN ' (0.' || (p_partkey % 100) || ') ' WHEN 2 THEN ' (1.0)' WHEN 3 THEN ' (1.5)' ELSE '(0.5)(1)' END AS t FROM part UNION ALL SELECT * FROM (VALUES {_values(TITLES)}))""")
 def title_conf_split(spark, sf_dir):
-    t = literals(spark, [(t,) for t in TITLES], "raw string")
+    k = F.col("p_partkey")
+    score = F.when(k % 5 == 0, "").when(k % 5 == 1, F.concat(F.lit(" (0."), (k % 100).cast("string"), F.lit(") "))).when(k % 5 == 2, " (1.0)").when(k % 5 == 3, " (1.5)").otherwise("(0.5)(1)")
+    t = table(spark, sf_dir, "part").select(F.concat("p_name", score).alias("raw")).unionByName(literals(spark, [(t,) for t in TITLES], "raw string"))
     return t.select("raw", tx.title_and_confidence(F.col("raw")).alias("x")).select("raw", "x.*")
 
 
-@query(rf"""WITH a AS (SELECT * FROM (VALUES {_values(ARTICLES)}) v(id, text)), l AS (
+@query(rf"""WITH a AS ({WIKI}), l AS (
     SELECT id, list_filter(list_transform(regexp_extract_all(text, '\[\[([^:|\]]+)(?:\|[^\]]*)?\]\]', 1), lambda x: trim(x)), lambda x: x <> '' AND len(x) <= 150) AS f FROM a), u AS (
     SELECT id, unnest(f) AS target, unnest(range(len(f))) AS i FROM l)
     SELECT id, target, CAST(row_number() OVER (PARTITION BY id ORDER BY min(i)) - 1 AS INT) AS place FROM u GROUP BY id, target""")
 def link_extract(spark, sf_dir):
-    return literals(spark, ARTICLES, "id int, text string").select("id", F.posexplode(wk.links(F.col("text"))).alias("place", "target"))
+    return wiki(spark, sf_dir).select("id", F.posexplode(wk.links(F.col("text"))).alias("place", "target"))
 
 
-@query(rf"""WITH a AS (SELECT * FROM (VALUES {_values(ARTICLES)}) v(id, text)), c AS (
+@query(rf"""WITH a AS ({WIKI}), c AS (
     SELECT id, unnest(regexp_extract_all(text, '(?i)\[\[Category:([^|\]]+)(?:\|[^\]]*)?\]\]', 1)) AS x FROM a)
     SELECT DISTINCT id, trim(x) AS category FROM c WHERE trim(x) <> '' AND len(string_split_regex(trim(x), '\s+')) <= 6""")
 def category_extract(spark, sf_dir):
-    return literals(spark, ARTICLES, "id int, text string").select("id", F.explode(wk.categories(F.col("text"))).alias("category"))
+    return wiki(spark, sf_dir).select("id", F.explode(wk.categories(F.col("text"))).alias("category"))
 
 
-@query(rf"""WITH a AS (SELECT * FROM (VALUES {_values(ARTICLES)}) v(id, text))
+@query(rf"""WITH a AS ({WIKI})
     SELECT id, CAST(len(regexp_extract_all(text, '\[\[([^\]]+)\]\]', 1)) AS INT) AS n,
     CAST(len(list_distinct(list_filter(list_transform(regexp_extract_all(text, '\[\[([^\]]+)\]\]', 1), lambda x: trim(split_part(x, '|', 1))), lambda x: x <> ''))) AS INT) AS n_distinct,
     CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(trim(x), '^==\s*(.*?)\s*==\s*$'))) AS INT) AS sections FROM a""")
 def raw_links(spark, sf_dir):
-    a = literals(spark, ARTICLES, "id int, text string").select("id", wk.raw_links(F.col("text")).alias("l"), wk.section_count(F.col("text")).alias("sections"))
+    a = wiki(spark, sf_dir).select("id", wk.raw_links(F.col("text")).alias("l"), wk.section_count(F.col("text")).alias("sections"))
     return a.select("id", "l.n", F.size("l.targets").alias("n_distinct"), "sections")
 
 
-@query(rf"""WITH a AS (SELECT * FROM (VALUES {_values(ARTICLES)}) v(id, text)), ls AS (
+@query(rf"""WITH a AS ({WIKI}), ls AS (
     SELECT id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM a), h AS (
     SELECT *, CASE WHEN regexp_matches(trim(line), '^==\s*(.*?)\s*==\s*$') THEN lower(trim(regexp_extract(trim(line), '^==\s*(.*?)\s*==\s*$', 1))) END AS head FROM ls), s AS (
     SELECT *, last_value(head IGNORE NULLS) OVER (PARTITION BY id ORDER BY i) AS section FROM h), l AS (
@@ -93,7 +114,7 @@ def raw_links(spark, sf_dir):
     WHERE head IS NULL AND (section IS NULL OR section NOT IN ('see also','further reading','external links','references','notes','bibliography')))
     SELECT DISTINCT id, trim(t) AS target FROM l WHERE trim(t) <> ''""")
 def links_ignoring_sections(spark, sf_dir):
-    return literals(spark, ARTICLES, "id int, text string").select("id", F.explode(wk.links_outside(F.col("text"))).alias("target"))
+    return wiki(spark, sf_dir).select("id", F.explode(wk.links_outside(F.col("text"))).alias("target"))
 
 
 _HTML = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?is)<noscript[^>]*>.*?</noscript>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"
@@ -265,24 +286,32 @@ ANSWERS = [
 ]
 
 
+def answers(spark, sf_dir):
+    """Each customer's answer is one of a few kinds, with the customer's number in it."""
+    k = F.col("c_custkey")
+    kinds = F.get(F.array(*(F.lit(a) for _, a in ANSWERS)), (k % len(ANSWERS)).cast("int"))
+    return table(spark, sf_dir, "customer").select(k.cast("int").alias("id"), F.replace(F.replace(kinds, F.lit("a b"), F.concat(F.lit("a b "), k.cast("string"))), F.lit("Paris"), F.concat(F.lit("Paris "), k.cast("string"))).alias("answer"))
+
+
 @query()
 def json_salvage(spark, sf_dir):
-    return literals(spark, ANSWERS, "id int, answer string").select("id", salvage.salvaged("answer").alias("object"))
+    return answers(spark, sf_dir).select("id", salvage.salvaged("answer").alias("object"))
 
 
 @query()
 def verdict_parse(spark, sf_dir):
-    a = literals(spark, ANSWERS, "id int, answer string").withColumn("v", salvage.verdict_list("answer", F.lit(2)))
+    a = answers(spark, sf_dir).withColumn("v", salvage.verdict_list("answer", F.lit(2)))
     return a.select("id", F.posexplode("v").alias("idx", "x")).select("id", "idx", "x.*")
 
 
 @query()
 def ner_parse(spark, sf_dir):
-    a = literals(spark, ANSWERS, "id int, answer string").withColumn("p", salvage.phrase_decisions("answer"))
+    a = answers(spark, sf_dir).withColumn("p", salvage.phrase_decisions("answer"))
     return a.select("id", F.col("p.mode").alias("mode"), F.explode_outer("p.rows").alias("x")).select("id", "mode", "x.*")
 
 
 @query()
 def infobox_fields(spark, sf_dir):
-    boxes = [(1, "{{Infobox person|name=[[A|Ann]]|born={{date|1900}} in X|image=a.png}} Text"), (2, "none")]
-    return literals(spark, boxes, "id int, text string").select("id", F.explode_outer(pages.box_fields("text")).alias("f")).select("id", "f.*")
+    box = F.concat(F.lit("{{Infobox person|name=[[A|"), F.col("c_name"), F.lit("]]|born={{date|1900}} in X|image=a.png}} Text"))
+    boxes = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("id"), F.when(F.col("c_custkey") % 4 > 0, box).otherwise("none").alias("text"))
+    return boxes.select("id", F.explode_outer(pages.box_fields("text")).alias("f")).select("id", "f.*")
