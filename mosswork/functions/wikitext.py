@@ -61,11 +61,25 @@ def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+# Fixed value: a template without braces inside.
+TEMPLATE = r"\{\{[^{}]*+\}\}"
+# Up to three templates in each other, and what stands between them; what it matches would go innermost first as well.
+NESTED = r"\{\{[^{}]*+(?:\{\{[^{}]*+(?:\{\{[^{}]*+\}\}[^{}]*+)*+\}\}[^{}]*+)*+\}\}"
+
+
 def without_templates(text: Column, passes: int | None = None) -> Column:
-    """Innermost templates first, until none is left, or `passes` times. A text is as deep as it has templates at most, and a pass over a text
-    without any costs a look."""
-    rounds = F.sequence(F.lit(1), F.greatest(F.regexp_count(text, F.lit(r"\}\}")), F.lit(1))) if passes is None else F.sequence(F.lit(1), F.lit(passes))
-    return F.aggregate(rounds, text, lambda t, _: F.when(F.instr(t, "{{") > 0, F.regexp_replace(t, r"\{\{[^{}]*\}\}", "")).otherwise(t))
+    """Innermost templates first, until none is left, or `passes` times. Without a number a pass takes three depths at once, and the first pass that finds
+    nothing is the last, however many braces without a partner a text has."""
+    if passes is not None:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(passes)), text, lambda t, _: F.when(F.instr(t, "{{") > 0, F.regexp_replace(t, TEMPLATE, "")).otherwise(t))
+    rounds = F.sequence(F.lit(1), F.greatest(F.floor(F.regexp_count(text, F.lit(r"\}")) / 2).cast("int"), F.lit(1)))  # a template takes two of them
+    made = lambda t, more: F.struct(t.alias("t"), more.alias("more"))
+
+    def step(acc: Column, _: Column) -> Column:
+        again = F.regexp_replace(acc.t, NESTED, "")
+        return F.when(acc.more & (F.instr(acc.t, "{{") > 0), F.get(F.transform(F.array(again), lambda n: made(n, F.length(n) < F.length(acc.t))), F.lit(0))).otherwise(acc)
+
+    return F.aggregate(rounds, made(text, F.lit(True)), step, lambda acc: acc.t)
 
 
 def excerpt(text: Column, words: int) -> Column:

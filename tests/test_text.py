@@ -89,3 +89,26 @@ def test_page_text_and_legacy_claims(spark):
     row = spark.createDataFrame([([(" a ", "TRUE", 2.0, [3, 1, 3]), ("", "false", 0.1, None)],)], "x array<struct<claim:string,verdict:string,confidence:double,sources:array<int>>>")
     got = row.select(salvage.legacy_claims(F.col("x")).alias("y")).first().y
     assert [tuple(g) for g in got] == [("a", "true", 1.0, [1, 3])]
+
+
+def test_templates_to_their_end(spark):
+    """Random braces against removal one by one; deep nests and braces without a partner end soon."""
+    import random
+    import re
+    import time
+
+    r = random.Random(9)
+    texts = ["".join(r.choice(["{", "{{", "}", "}}", "a", "b ", "\n", "[", "|"]) for _ in range(r.randrange(40))) for _ in range(3000)]
+    texts += ["{{a" * 200 + "}}" * 200 + "end", "{{" * 50 + "x", "", None]
+
+    def plain(t):
+        while t is not None and (n := re.sub(r"\{\{[^{}]*\}\}", "", t)) != t:
+            t = n
+        return t
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(2)
+    got = {x.i: x.w for x in df.select("i", wk.without_templates(F.col("t")).alias("w")).collect()}
+    assert [got[i] for i in range(len(texts))] == [plain(t) for t in texts]
+    long = spark.createDataFrame([("{{ open " + "{{a}} text " * 20_000 + "} }} " * 20_000,)], "t string")
+    began = time.time()
+    assert long.select(F.length(wk.without_templates(F.col("t")))).first()[0] > 0 and time.time() - began < 20
