@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 from .stored import stored
 
 #: Vectors of a block, queries of a group; cells and rings of a cell at most; vectors of a cell that are aimed at.
-BLOCK, GROUP, CELLS, RINGS, AIM = 4096, 2048, 512, 32, 256
+BLOCK, GROUP, CELLS, RINGS, AIM = 4096, 4096, 512, 32, 4096
+#: Queries of a product at a time, so that a task holds a few matrices of SLICE times BLOCK.
+SLICE = 512
 #: What rounding can add to a bound, in parts of the product of lengths.
 SLACK = 1e-6
 #: Scores are compared to so many places, so that the order of a product's sums does not break ties.
 PLACES = 12
-_TARGET = "qid long, q array<double>, grp long, cell int, ring int, part int, theta double"
+_TARGET = "qid long, q {}, grp long, cell int, ring int, part int, theta double"
 _FOUND = "query_id long, id long, score double"
 
 
@@ -54,7 +56,8 @@ class Metric:
     @classmethod
     def of(cls, vectors: DataFrame) -> Metric | None:
         """None if there is no vector. Null vectors take no part."""
-        vectors = vectors.select(F.col("id").cast("long").alias("id"), F.col("e").cast("array<double>").alias("e")).filter("e is not null")
+        vectors = vectors.select(F.col("id").cast("long").alias("id"), "e").filter("e is not null")  # in their own type, to be moved as small as they are
+        kind = vectors.schema["e"].dataType.simpleString()
         n = vectors.count()
         if not n:
             return None
@@ -73,13 +76,13 @@ class Metric:
                     yield pd.DataFrame({"id": b["id"], "e": b["e"], "cell": cell, "ring": ring, "part": part, "d": d, "length": np.linalg.norm(v, axis=1)})
 
             hashed = vectors.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 40)))
-            return hashed.mapInPandas(run, "id long, e array<double>, cell int, ring int, part int, d double, length double")
+            return hashed.mapInPandas(run, f"id long, e {kind}, cell int, ring int, part int, d double, length double")
 
         grid = [k / RINGS for k in range(1, RINGS)]
         seen = assign({}, {}).groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx("d", grid, 2000).alias("at")).collect()  # CELLS rows
         edges = {}
         for r in seen:
-            m = min(RINGS, -(-r.n // BLOCK) if r.n > BLOCK else min(4, r.n))
+            m = min(RINGS, -(-r.n // BLOCK))
             edges[r.cell] = np.unique([r["at"][RINGS * k // m - 1] for k in range(1, m)])
         told = assign(edges, {}).groupBy("cell", "ring").agg(F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.max("length").alias("length")).sort("cell", "ring").collect()
         rings = np.array([(r.cell, r.ring, r.n, r.lo, r.hi, r.length, -(-r.n // BLOCK)) for r in told])
@@ -121,7 +124,7 @@ class Metric:
                     group = (own.astype(np.int64) << 32) + b["h"].to_numpy() % np.array([busy.get(c, 1) for c in own.tolist()])
                     yield pd.DataFrame({"qid": b["qid"].to_numpy()[i], "q": b["q"].to_numpy()[i], "grp": group[i], "cell": cell[j], "ring": rings[j, 1].astype(int), "part": part, "theta": b["theta"].to_numpy()[i]})
 
-        return queries.withColumn("h", F.pmod(F.xxhash64("qid"), F.lit(1 << 31))).mapInPandas(run, _TARGET)
+        return queries.withColumn("h", F.pmod(F.xxhash64("qid"), F.lit(1 << 31))).mapInPandas(run, _TARGET.format(queries.schema["q"].dataType.simpleString()))
 
     def met(self, targets: DataFrame) -> tuple[int, int]:
         """Pairs of blocks and groups of queries that meet, and pairs that there are."""
@@ -139,8 +142,12 @@ class Metric:
             if not len(x) or not len(y):
                 return none
             x = x.sort_values("id")
-            ids, own = x["id"].to_numpy(), y["qid"].to_numpy()
-            scores = np.round(_matrix(y["q"]) @ _matrix(x["e"]).T, PLACES)
+            ids, vectors = x["id"].to_numpy(), _matrix(x["e"]).T
+            return pd.concat([best(ids, vectors, y.iloc[at : at + SLICE]) for at in range(0, len(y), SLICE)])
+
+        def best(ids: np.ndarray, vectors: np.ndarray, y: pd.DataFrame) -> pd.DataFrame:
+            own = y["qid"].to_numpy()
+            scores = np.round(_matrix(y["q"]) @ vectors, PLACES)
             scores[own[:, None] == ids[None, :]] = -np.inf
             floor = np.round(y["theta"].to_numpy(), PLACES)
             if k is not None and k < len(ids):
@@ -158,7 +165,7 @@ class Metric:
 
     def _queries(self, queries: DataFrame, least: float | None) -> DataFrame:
         theta = F.lit(float("-inf") if least is None else float(least))
-        return queries.select(F.col("id").cast("long").alias("qid"), F.col("e").cast("array<double>").alias("q"), theta.alias("theta")).filter("q is not null")
+        return queries.select(F.col("id").cast("long").alias("qid"), F.col("e").alias("q"), theta.alias("theta")).filter("q is not null")
 
     def topk_targets(self, queries: DataFrame, k: int, least: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
         """What is found in each query's best rings, what these were, and the rings that can still hold one of its k best."""

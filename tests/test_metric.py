@@ -41,6 +41,7 @@ def small(monkeypatch):
     monkeypatch.setattr(metric, "BLOCK", 64)
     monkeypatch.setattr(metric, "GROUP", 50)
     monkeypatch.setattr(metric, "AIM", 40)
+    monkeypatch.setattr(metric, "SLICE", 20)
 
 
 def test_clusters_are_not_joined(spark, small):
