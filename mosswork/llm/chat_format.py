@@ -14,7 +14,7 @@ and texts are escaped by a caret after their first character; carets are doubled
 escape is reversible for any string.
 
 Defined cases: null text, role or kind is empty text, an empty role, a `message`; a null sequence
-sorts first; ties of sequence are ordered by kind, role, text; null conversation ids form one
+sorts first; ties of sequence are ordered by kind, role, text as they are written (escaped); null conversation ids form one
 conversation; of equal events each counts; a very long conversation or text costs in proportion, but for events about earlier messages, each
 of which copies the list of messages; an empty log gives no conversation; other columns are dropped.
 """
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound, only
+from .common import bound, only, running
 
 OPEN, CLOSE = "<s>", "</s>"
 CONTROL = r"([<\[])(/?(?:s>|INST\]))"
@@ -105,15 +105,13 @@ def render(conversations: DataFrame) -> DataFrame:
     assistant text, which a trainer's loss mask covers."""
     turn = lambda m: F.concat(F.lit(OPEN), m.role, F.lit("\n"), m.text, F.lit(CLOSE))
     around = len(OPEN) + len(CLOSE) + 1
-    spans = F.aggregate(
-        "messages",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
-        lambda acc, m: F.struct(
-            (acc.at + F.length(m.role) + F.length(m.text) + around).alias("at"),
-            F.when(m.role == "assistant", F.concat(acc.spans, F.array(F.struct((acc.at + len(OPEN) + F.length(m.role) + 1).alias("start"), F.length(m.text).alias("length"))))).otherwise(acc.spans).alias("spans"),
-        ),
-        lambda acc: acc.spans,
+    sizes = F.transform("messages", lambda m: F.length(m.role) + F.length(m.text) + around)
+    # a text ends where its turn's mark begins; ends of turns are running totals, so a conversation of any length costs its logarithm in passes
+    told = lambda ends: F.transform(
+        F.filter(F.transform("messages", lambda m, i: F.struct(m.role.alias("role"), (F.get(ends, i) - len(CLOSE) - F.length(m.text)).alias("start"), F.length(m.text).alias("length"))), lambda x: x.role == "assistant"),
+        lambda x: F.struct(x.start.alias("start"), x.length.alias("length")),
     )
+    spans = bound(running(sizes, lambda x, y: x + y), told)
     return conversations.select("conv_id", F.array_join(F.transform("messages", turn), "").alias("formatted"), spans.alias("loss_spans"))
 
 

@@ -247,3 +247,20 @@ def test_pairs_are_found_once(monkeypatch, pairs):
 def test_runs(spark):
     got = spark.createDataFrame([("ÀÉlan x-Straße, ABCdef_gh日é",), (None,)], "t string").select(spelling.runs(F.col("t"), 2).alias("r")).collect()
     assert got[0].r == ["ÀÉlan", "straße", "abcdef", "gh"] and got[1].r is None
+
+
+def test_a_long_conversation_is_rendered(spark):
+    """Forty thousand turns: loss spans by running totals."""
+    import time
+
+    from mosswork.llm import chat_format
+
+    n = 40_000
+    rows = spark.range(0, n, 1, 4).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 1, "assistant").otherwise("user").alias("role"), F.concat(F.lit("é^"), "id").alias("text"))
+    began = time.time()
+    made = chat_format.render(chat_format.reconstruct(rows)).first()
+    assert time.time() - began < 30
+    assert len(made.loss_spans) == n // 2
+    for k in (0, 1, 777, n // 2 - 1):
+        s = made.loss_spans[k]
+        assert made.formatted[s.start : s.start + s.length] == f"é^^{2 * k + 1}"
