@@ -51,12 +51,16 @@ def section_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x).rlike(HEADING)))
 
 
+# Patterns of comments, references, links, external links, bold and tags, in their order.
+MARKUP = (
+    (r"(?s)<!--.*?-->", ""), (r"(?is)<ref[^>/]*/>", ""), (r"(?is)<ref[^>]*>.*?</ref>", ""),
+    (r"\[\[(?:[^|\]]*\|)?([^\]]+)\]\]", "$1"), (r"\[https?://\S+\s+([^\]]+)\]", "$1"), (r"\[https?://\S+\]", ""), (r"'{2,}", ""), (r"<[^>]+>", ""),
+)
+
+
 def plain(text: Column) -> Column:
     """Comments, references, links, external links and bold away."""
-    for pattern, by in (
-        (r"(?s)<!--.*?-->", ""), (r"(?is)<ref[^>/]*/>", ""), (r"(?is)<ref[^>]*>.*?</ref>", ""),
-        (r"\[\[(?:[^|\]]*\|)?([^\]]+)\]\]", "$1"), (r"\[https?://\S+\s+([^\]]+)\]", "$1"), (r"\[https?://\S+\]", ""), (r"'{2,}", ""), (r"<[^>]+>", ""),
-    ):
+    for pattern, by in MARKUP:
         text = F.regexp_replace(text, pattern, by)
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 

@@ -631,10 +631,10 @@ def batch_answers(spark, sf_dir):
 
 
 @query(f"""WITH d AS (SELECT source AS g, doc_id, {TOKENS} AS w FROM documents), s AS (SELECT g, w[1] AS subject, arg_min(w, doc_id) AS w FROM d WHERE len(w) > 0 GROUP BY ALL), p AS (SELECT x.g AS a, y.g AS b, x.subject, x.w AS w, y.w AS v, row_number() OVER (PARTITION BY x.g, y.g ORDER BY x.subject) AS r FROM s x JOIN s y ON x.subject = y.subject AND x.g < y.g), k AS (
-    SELECT a, b, {_G('w', 1)} AS a1, {_G('v', 1)} AS b1, {_G('w', 2)} AS a2, {_G('v', 2)} AS b2, {_G('w', 3)} AS a3, {_G('v', 3)} AS b3 FROM p WHERE r <= 20), m AS (SELECT a, b, {_J('a1', 'b1')} AS j, CASE WHEN len(a2) > 0 AND len(b2) > 0 THEN {_O('a2', 'b2')} END AS o2, CASE WHEN len(a3) > 0 AND len(b3) > 0 THEN {_O('a3', 'b3')} END AS o3 FROM k)
+    SELECT a, b, {_G('w', 1)} AS a1, {_G('v', 1)} AS b1, {_G('w', 2)} AS a2, {_G('v', 2)} AS b2, {_G('w', 3)} AS a3, {_G('v', 3)} AS b3 FROM p WHERE r <= 100), m AS (SELECT a, b, {_J('a1', 'b1')} AS j, CASE WHEN len(a2) > 0 AND len(b2) > 0 THEN {_O('a2', 'b2')} END AS o2, CASE WHEN len(a3) > 0 AND len(b3) > 0 THEN {_O('a3', 'b3')} END AS o3 FROM k)
     SELECT a, b, count(*) AS n, round(avg(j), 9) AS mean_jaccard, round(stddev_samp(j), 9) AS std_jaccard, round(avg(o2), 9) AS mean_ngram_2_overlap, round(avg(o3), 9) AS mean_ngram_3_overlap FROM m GROUP BY a, b""")
 def cross_similarity(spark, sf_dir):
     """Sources as models, the first word of a text as its subject; the first twenty common subjects of a pair."""
     d = articles(spark, sf_dir).filter("size(w) > 0").select("source", F.get("w", 0).alias("subject"), "line_no", F.col("w").alias("words"))
-    c = reports.cross_similarity(d.filter("source is not null"), "source", 20)
+    c = reports.cross_similarity(d.filter("source is not null"), "source", 100)
     return rounded(c.select("a", "b", "n", "mean_jaccard", "std_jaccard", "mean_ngram_2_overlap", "mean_ngram_3_overlap"), "a", "b")
