@@ -65,12 +65,14 @@ def loaded(rows: DataFrame) -> DataFrame:
 
 
 def hashed_embedding(words: Column, dim: int = 64) -> Column:
-    """A stand-in for a model: signed counts of hashed words, of length one."""
-    slot = lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int")
-    sign = lambda w: F.when(F.pmod(F.hash(w), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(words, lambda w: slot(w) == i), F.lit(0.0), lambda s, w: s + sign(w)))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(raw, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)).cast("float"))
+    """A stand-in for a model: signed counts of hashed words, of length one. Where the signs cancel in all places, the counts stand without them, so that no text with words is zero."""
+    let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731 - the value is computed once, each word is hashed once
+    place = lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int") + 1
+    placed = F.transform(words, lambda w: F.when(F.pmod(F.hash(w), F.lit(2)) == 0, place(w)).otherwise(-place(w)))
+    slots = F.sequence(F.lit(1), F.lit(dim))
+    held = lambda p, i: F.size(F.filter(p, lambda x: x == i)).cast("double")
+    counts = lambda p: let(F.transform(slots, lambda i: held(p, i) - held(p, -i)), lambda v: F.when(F.exists(v, lambda x: x != 0), v).otherwise(F.transform(slots, lambda i: held(p, i) + held(p, -i))))
+    return let(let(placed, counts), lambda raw: let(F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x)), lambda n: F.transform(raw, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0)).cast("float"))))
 
 
 def missing(queue: DataFrame, have: DataFrame) -> DataFrame:
