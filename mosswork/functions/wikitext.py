@@ -15,8 +15,8 @@ SCRIPT = r"(?is)<(script|style|noscript)[^>]*>.*?</\1>"
 IGNORED = ["see also", "further reading", "external links", "references", "notes", "bibliography"]
 
 
-def _tidy(found: Column, most: int) -> Column:
-    return F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: (x != "") & (F.length(x) <= most)))
+def _tidy(found: Column, most: int | None) -> Column:
+    return F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: (x != "") if most is None else (x != "") & (F.length(x) <= most)))
 
 
 def categories(text: Column) -> Column:
@@ -28,8 +28,9 @@ def links(text: Column) -> Column:
     return _tidy(F.regexp_extract_all(text, F.lit(LINK), 1), 150)
 
 
-def links_outside(text: Column, ignored: list[str] = IGNORED) -> Column:
-    """As `links`, line by line, leaving out the ignored sections. A deeper heading ends its section, for it matches the same pattern."""
+def links_outside(text: Column, ignored: list[str] = IGNORED, most: int | None = 150) -> Column:
+    """As `links`, line by line, leaving out the ignored sections. A deeper heading ends its section, for it matches the same pattern. most: characters of a
+    target (the feature's own limit); None keeps them all."""
     start = F.struct(F.lit(False).alias("skip"), F.array().cast("array<string>").alias("found"))
 
     def step(acc: Column, line: Column) -> Column:
@@ -38,7 +39,7 @@ def links_outside(text: Column, ignored: list[str] = IGNORED) -> Column:
         more = F.when(heading | acc.skip, acc.found).otherwise(F.concat(acc.found, F.regexp_extract_all(line, F.lit(LINK), 1)))
         return F.struct(F.when(heading, name.isin(ignored)).otherwise(acc.skip).alias("skip"), more.alias("found"))
 
-    return _tidy(F.aggregate(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"), start, step, lambda acc: acc.found), 150)
+    return _tidy(F.aggregate(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"), start, step, lambda acc: acc.found), most)
 
 
 def raw_links(text: Column) -> Column:
