@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .rates import jaccard, overlap
 from .text import ngrams, sentences
 
 # Weights of the combined similarities.
@@ -21,14 +23,64 @@ FUNCTION_WORDS = (
 STOP_WORDS = sorted({*FUNCTION_WORDS, *"i me my we our you your he him his she her they them their what when where why how all any both each few more most other some such no only own same than too very s t just don now here there then once again further about against between above below up down out off over under if because until while am".split()})
 
 
+def _counts(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often each distinct n-gram of two sequences of numbers is in the one and in the other. A gram is the rank of the gram before its last number, and
+    that number, so no digits are lost."""
+    ids = np.concatenate([a, b]).astype(np.int64)
+    rank = np.unique(ids, return_inverse=True)[1]
+    word, most = rank, len(ids) + 1
+    for k in range(1, n):
+        rank = np.unique(rank[: len(word) - k] * most + word[k:], return_inverse=True)[1]
+    m = int(rank.max()) + 1 if len(rank) else 0
+    return np.bincount(rank[: max(0, len(a) - n + 1)], minlength=m), np.bincount(rank[len(a) :], minlength=m)
+
+
+def _sides(x: pa.Array, y: pa.Array):
+    """The words of both sides of each row as numbers, None where a side is null. Words are numbered once a batch."""
+    flat = pa.concat_arrays([x.flatten(), y.flatten()]).dictionary_encode().indices.fill_null(-1).to_numpy()
+    sides, at = [], 0
+    for c in (x, y):
+        own = []
+        for n in c.value_lengths().to_pylist():
+            own.append(None if n is None else flat[at : at + n])
+            at += n or 0
+        sides.append(own)
+    return zip(*sides, strict=True)
+
+
+_SHARED = pa.struct([(f"{k}{n}", pa.int32()) for n in (1, 2, 3) for k in ("a", "b", "both")])
+
+
+@F.arrow_udf(T.StructType([T.StructField(f.name, T.IntegerType()) for f in _SHARED]))
+def shared_grams(x: pa.Array, y: pa.Array) -> pa.Array:
+    """Sizes of the sets of 1-, 2- and 3-grams of two token arrays (a, b) and of what they share (both)."""
+    rows = []
+    for a, b in _sides(x, y):
+        row = {}
+        if a is not None and b is not None:
+            for n in (1, 2, 3):
+                p, q = _counts(a, b, n)
+                row |= {f"a{n}": np.count_nonzero(p), f"b{n}": np.count_nonzero(q), f"both{n}": np.count_nonzero((p > 0) & (q > 0))}
+        rows.append(row or None)
+    return pa.array(rows, _SHARED)
+
+
 def lexical(a: Column, b: Column) -> dict[str, Column]:
     """Token and n-gram measures of two token arrays; null where a side has none."""
-    out = {"jaccard": jaccard(F.array_distinct(a), F.array_distinct(b), None)}
-    for n in (1, 2, 3):
-        x, y = F.array_distinct(ngrams(a, n)), F.array_distinct(ngrams(b, n))
-        out[f"ngram_{n}_jaccard"] = jaccard(x, y, None)
-        out[f"ngram_{n}_overlap"] = F.when((F.size(x) > 0) & (F.size(y) > 0), overlap(x, y))
-    return out
+    return _measures(shared_grams(a, b))
+
+
+def _measures(told: Column) -> dict[str, Column]:
+    of = lambda n: tuple(told[f"{k}{n}"] for k in ("a", "b", "both"))
+    there = lambda n, x: F.when((of(n)[0] > 0) & (of(n)[1] > 0), of(n)[2].cast("double") / x)
+    union = lambda n: there(n, of(n)[0] + of(n)[1] - of(n)[2])
+    return {"jaccard": union(1)} | {k: c for n in (1, 2, 3) for k, c in ((f"ngram_{n}_jaccard", union(n)), (f"ngram_{n}_overlap", there(n, F.least(*of(n)[:2]))))}
+
+
+def with_shared(pairs: DataFrame, a: str, b: str) -> tuple[DataFrame, dict[str, Column]]:
+    """pairs with what two token columns share in place of these, and the measures of `lexical` over it: grams are counted once a pair, however many measures
+    are asked for."""
+    return pairs.withColumn("_shared", shared_grams(F.col(a), F.col(b))).drop(a, b), _measures(F.col("_shared"))
 
 
 def combined(measures: dict[str, Column], weights: dict[str, float]) -> Column:
@@ -140,5 +192,10 @@ def stylistic(text_a: Column, text_b: Column, a: Column, b: Column) -> dict[str,
 
 def legacy(a: Column, b: Column, **others: Column) -> dict[str, Column]:
     """The legacy measures: as `lexical`, with 0 where a side has nothing, and what else is given; `combined_similarity` weighs what is there."""
-    told = {k: F.coalesce(c, F.lit(0.0)) for k, c in lexical(a, b).items()} | others
+    return legacy_of(lexical(a, b), **others)
+
+
+def legacy_of(measures: dict[str, Column], **others: Column) -> dict[str, Column]:
+    """`legacy` over measures that are there."""
+    told = {k: F.coalesce(c, F.lit(0.0)) for k, c in measures.items()} | others
     return told | {"combined_similarity": combined(told, WEIGHTS_LEGACY)}

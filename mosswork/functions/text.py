@@ -101,9 +101,13 @@ def index_tokens(c: Column, stop: list[str], least: int = 2) -> Column:
 
 
 def ngrams(words: Column, n: int, separator: str = "\u0001") -> Column:
-    """Joined n-grams in order; none if there are fewer than n words."""
+    """Joined n-grams in order; none if there are fewer than n words. Words are laid beside the words after them, so the cost is that of the words: a slice a place
+    would read the whole text at every place."""
     count = F.size(words) - (n - 1)
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(words, i, F.lit(n)), separator))).otherwise(F.array().cast("array<string>"))
+    joined = F.slice(words, F.lit(1), F.greatest(count, F.lit(0)))
+    for k in range(1, n):
+        joined = F.zip_with(joined, F.slice(words, F.lit(k + 1), F.greatest(count, F.lit(0))), lambda x, y: F.concat(x, F.lit(separator), y))
+    return F.when(count > 0, joined).otherwise(F.array().cast("array<string>"))
 
 
 def sentences(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.rates import found, mean, seeded, std
-from ..functions.similarity import WEIGHTS_CAPTURE, WEIGHTS_EVALUATION, combined, lexical, punctuation_density, sentence_lengths, tfidf_cosine, type_token_ratio
+from ..functions.similarity import WEIGHTS_CAPTURE, WEIGHTS_EVALUATION, combined, punctuation_density, sentence_lengths, tfidf_cosine, type_token_ratio, with_shared
 from ..functions.similarity import STOP_WORDS
 from ..functions import text as tx
 from ..operators import analyses as an
@@ -313,20 +313,22 @@ _O = lambda a, b: f"len(list_intersect({a}, {b}))::DOUBLE / nullif(least(len({a}
 
 
 def pairs(spark, sf_dir):
-    """Each document with the one before it, by an equi-join on the id: doc_id, other, their texts and words."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("w", tx.tokens(F.col("text")))
-    before = d.select(F.col("doc_id").alias("other"), F.col("text").alias("text_b"), F.col("w").alias("v"))
-    return d.join(before, F.col("doc_id") == F.col("other") + 1)
+    """Each document with the one before it, by an equi-join on the id: doc_id, other, their texts and words. Texts are shuffled alone, words are read from them after that."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    before = d.select(F.col("doc_id").alias("other"), F.col("text").alias("text_b"))
+    return d.join(before.hint("merge"), F.col("doc_id") == F.col("other") + 1).withColumns({"w": tx.tokens(F.col("text")), "v": tx.tokens(F.col("text_b"))})
 
 
-def _measures():
-    return lexical(F.col("w"), F.col("v"))
+def measured(spark, sf_dir):
+    """doc_id, other, and the lexical measures of the two."""
+    return with_shared(pairs(spark, sf_dir).select("doc_id", "other", "w", "v"), "w", "v")
 
 
 @query(f"""{_PAIRS_SQL}, g AS (SELECT doc_id, other, {_G('w', 1)} AS a1, {_G('v', 1)} AS b1, {_G('w', 2)} AS a2, {_G('v', 2)} AS b2, {_G('w', 3)} AS a3, {_G('v', 3)} AS b3 FROM p)
     SELECT doc_id, other, round({_J('a1', 'b1')}, 9) AS jaccard, {', '.join(f"round({_J(f'a{n}', f'b{n}')}, 9) AS ngram_{n}_jaccard, round({_O(f'a{n}', f'b{n}')}, 9) AS ngram_{n}_overlap" for n in (1, 2, 3))} FROM g""")
 def pair_ngram_overlap(spark, sf_dir):
-    return pairs(spark, sf_dir).select("doc_id", "other", *(F.round(c, 9).alias(k) for k, c in _measures().items()))
+    p, m = measured(spark, sf_dir)
+    return p.select("doc_id", "other", *(F.round(c, 9).alias(k) for k, c in m.items()))
 
 
 @query(f"""{_PAIRS_SQL}, g AS (SELECT doc_id, other, {_G('w', 1)} AS a1, {_G('v', 1)} AS b1, {_G('w', 2)} AS a2, {_G('v', 2)} AS b2, {_G('w', 3)} AS a3, {_G('v', 3)} AS b3 FROM p), m AS (
@@ -334,8 +336,8 @@ def pair_ngram_overlap(spark, sf_dir):
     SELECT doc_id, other, {', '.join(f'''round(coalesce((coalesce({w[0]} * j, 0) + coalesce({w[1]} * o1, 0) + coalesce({w[2]} * o2, 0) + coalesce({w[3]} * o3, 0)) / nullif(CASE WHEN j IS NULL THEN 0 ELSE {w[0]} END + CASE WHEN o1 IS NULL THEN 0 ELSE {w[1]} END
     + CASE WHEN o2 IS NULL THEN 0 ELSE {w[2]} END + CASE WHEN o3 IS NULL THEN 0 ELSE {w[3]} END, 0), 0)::DOUBLE, 9) AS {n}''' for n, w in (('evaluation', ('0.1::DOUBLE',) * 4), ('capture', ('0.15::DOUBLE', '0.15::DOUBLE', '0.25::DOUBLE', '0.25::DOUBLE'))))} FROM m""")
 def combined_similarity(spark, sf_dir):
-    m = _measures()
-    return pairs(spark, sf_dir).select("doc_id", "other", F.round(combined(m, WEIGHTS_EVALUATION), 9).alias("evaluation"), F.round(combined(m, WEIGHTS_CAPTURE), 9).alias("capture"))
+    p, m = measured(spark, sf_dir)
+    return p.select("doc_id", "other", F.round(combined(m, WEIGHTS_EVALUATION), 9).alias("evaluation"), F.round(combined(m, WEIGHTS_CAPTURE), 9).alias("capture"))
 
 
 _TF_WORDS = lambda t: rf"list_filter(regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "))"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import wikitext as wk
-from ..functions.similarity import legacy, semantic_cosine, style_similarity, stylistic
+from ..functions.similarity import legacy_of, semantic_cosine, style_similarity, stylistic
 from ..functions.similarity import FUNCTION_WORDS, WEIGHTS_LEGACY, reading_grade, sentence_mean, type_token_ratio
 from ..operators import analyses as an
 from ..operators import evidence as ev
@@ -16,7 +16,7 @@ from ..operators import vector as ve
 from ..operators.ranges import numbered
 from ..sources import logs, runs
 from .engine_queries import _EVENTS, _STATE, queue_events
-from .rate_queries import _PAIRS_SQL, _G, _J, _O, pairs, records, rounded, RECORDS_SQL
+from .rate_queries import _PAIRS_SQL, _G, _J, _O, measured, pairs, records, rounded, RECORDS_SQL
 from .registry import query, table
 from .text_queries import ARTICLE_SQL, KEY, TOKENS, articles
 
@@ -457,9 +457,10 @@ def style_pairs(spark, sf_dir):
     SELECT doc_id, round(j, 9) AS jaccard, round(o3, 9) AS ngram_3_overlap, round((0.1::DOUBLE * (j + o1 + o2 + o3) + coalesce(0.2::DOUBLE * s, 0)) / (0.4::DOUBLE + CASE WHEN s IS NULL THEN 0 ELSE 0.2::DOUBLE END), 9) AS combined_similarity FROM m""")
 def legacy_similarity(spark, sf_dir):
     """Measures that no provider gave do not weigh."""
-    m = legacy(F.col("w"), F.col("v"), semantic_cosine=F.when(F.col("doc_id") % 2 == 0, 0.5))
+    p, measures = measured(spark, sf_dir)
+    m = legacy_of(measures, semantic_cosine=F.when(F.col("doc_id") % 2 == 0, 0.5))
     assert set(m) & set(WEIGHTS_LEGACY)
-    return pairs(spark, sf_dir).select("doc_id", *(F.round(m[k], 9).alias(k) for k in ("jaccard", "ngram_3_overlap", "combined_similarity")))
+    return p.select("doc_id", *(F.round(m[k], 9).alias(k) for k in ("jaccard", "ngram_3_overlap", "combined_similarity")))
 
 
 @query("""SELECT c_custkey AS k, round(1 - (least(1.0, abs(c_acctbal / 1000 - 3) / 20) + least(1.0, abs((c_custkey % 10) / 10.0 - 0.5) / 1) + least(1.0, abs((c_custkey % 80) - 20.0) / 50)) / 3, 9) AS similarity FROM customer""")
