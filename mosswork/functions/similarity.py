@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import ngrams, sentences
+from .text import sentences
 
 # Weights of the combined similarities.
 WEIGHTS_EVALUATION = {"tfidf_cosine": 0.15, "jaccard": 0.10, "ngram_1_overlap": 0.10, "ngram_2_overlap": 0.10, "ngram_3_overlap": 0.10, "semantic_cosine": 0.45}
@@ -65,6 +65,21 @@ def shared_grams(x: pa.Array, y: pa.Array) -> pa.Array:
     return pa.array(rows, _SHARED)
 
 
+@F.arrow_udf(T.DoubleType())
+def gram_cosine(x: pa.Array, y: pa.Array) -> pa.Array:
+    """Cosine of the weights of the words and pairs of words of two token arrays; 0 if a side has none."""
+    rows = []
+    for a, b in _sides(x, y):
+        d = n = m = 0.0
+        for k in (1, 2) if a is not None and b is not None else ():
+            p, q = _counts(a, b, k)
+            idf = np.where((p > 0) & (q > 0), 1.0, 1 + np.log(1.5))
+            p, q = p * idf, q * idf
+            d, n, m = d + p @ q, n + p @ p, m + q @ q
+        rows.append(float(d / (np.sqrt(n) * np.sqrt(m))) if n and m else 0.0)
+    return pa.array(rows, pa.float64())
+
+
 def lexical(a: Column, b: Column) -> dict[str, Column]:
     """Token and n-gram measures of two token arrays; null where a side has none."""
     return _measures(shared_grams(a, b))
@@ -149,15 +164,9 @@ def style_similarity(a: dict[str, Column], b: dict[str, Column]) -> Column:
 def tfidf_cosine(pairs: DataFrame, key: str, a: str, b: str, stop: list[str] = STOP_WORDS) -> DataFrame:
     """key, cosine of two texts' 1- and 2-gram weights; idf over the two texts is smoothed: 1 for what both have, 1 + ln 1.5 for the rest.
 
-    Grams are counted by (key, gram) in partial aggregations, so long texts cost what they hold, not its square."""
+    Grams are counted where the pair is and never move."""
     words = lambda t: F.filter(F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{N}_]{2,}"), 0), lambda w: ~w.isin(stop))
-    both = pairs.select(F.col(key).alias("k"), words(F.col(a)).alias("x"), words(F.col(b)).alias("y"))
-    side = lambda c, n: both.select("k", F.explode(F.concat(c, ngrams(F.col(c), 2, " "))).alias("g"), F.lit(n).alias("side"))
-    counts = side("x", 0).unionByName(side("y", 1)).groupBy("k", "g").agg(F.count_if(F.col("side") == 0).alias("p"), F.count_if(F.col("side") == 1).alias("q"))
-    idf = F.when((F.col("p") > 0) & (F.col("q") > 0), 1.0).otherwise(1 + F.log(F.lit(1.5)))
-    w = counts.select("k", (F.col("p") * idf).alias("p"), (F.col("q") * idf).alias("q")).groupBy("k").agg(F.sum(F.col("p") * F.col("q")).alias("d"), F.sum(F.col("p") * F.col("p")).alias("n"), F.sum(F.col("q") * F.col("q")).alias("m"))
-    cosine = F.coalesce(F.try_divide(F.col("d"), F.sqrt("n") * F.sqrt("m")), F.lit(0.0))
-    return pairs.select(key).join(w, F.col(key) == F.col("k"), "left").select(key, F.coalesce(cosine, F.lit(0.0)).alias("cosine"))
+    return pairs.select(key, gram_cosine(words(F.col(a)), words(F.col(b))).alias("cosine"))
 
 
 def dot(a: Column, b: Column) -> Column:
