@@ -130,12 +130,13 @@ def punctuation_density(text: Column) -> Column:
 
 def function_word_cosine(a: Column, b: Column) -> Column:
     """Cosine of function-word frequencies; null if neither text has any."""
-    count = lambda w: F.transform(F.array(*map(F.lit, FUNCTION_WORDS)), lambda f: F.size(F.filter(w, lambda x: x == f)).cast("double"))
-    x, y = count(a), count(b)
+    let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731 - computed once, however often f names it
+    own = lambda w: F.filter(w, lambda x: x.isin(FUNCTION_WORDS))  # noqa: E731 - one look at each word, then at function words alone
+    count = lambda w: let(own(w), lambda o: F.transform(F.array(*map(F.lit, FUNCTION_WORDS)), lambda f: F.size(F.filter(o, lambda x: x == f)).cast("double")))
     total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, e: s + e)
-    dot = total(F.zip_with(x, y, lambda p, q: p * q))
+    dot = lambda v: total(F.zip_with(v.x, v.y, lambda p, q: p * q))
     norm = lambda v: F.sqrt(total(F.transform(v, lambda e: e * e)))
-    return F.when(total(x) + total(y) > 0, F.coalesce(F.try_divide(dot, norm(x) * norm(y)), F.lit(0.0)))
+    return let(F.struct(count(a).alias("x"), count(b).alias("y")), lambda v: F.when(total(v.x) + total(v.y) > 0, F.coalesce(F.try_divide(dot(v), norm(v.x) * norm(v.y)), F.lit(0.0))))
 
 
 def syllables(word: Column) -> Column:
