@@ -101,8 +101,7 @@ def index_tokens(c: Column, stop: list[str], least: int = 2) -> Column:
 
 
 def ngrams(words: Column, n: int, separator: str = "\u0001") -> Column:
-    """Joined n-grams in order; none if there are fewer than n words. Words are laid beside the words after them, so the cost is that of the words: a slice a place
-    would read the whole text at every place."""
+    """Joined n-grams in order; none if there are fewer than n words. Words are laid beside the words after them."""
     count = F.size(words) - (n - 1)
     joined = F.slice(words, F.lit(1), F.greatest(count, F.lit(0)))
     for k in range(1, n):
