@@ -1,4 +1,4 @@
-"""Ranges by explicit splitters: sampled once, kept as values, and used by every reader.
+"""Ranges by explicit splitters: sampled once, kept as values, and used by every reader; and places in an order, from sorted ranges that are written once.
 
 The number of a row's range is computed from its own keys and the splitters, never from the task that happens to hold it, so any two
 readers of the same rows agree, whatever plans, exchanges and adaptive execution do to them."""
@@ -11,8 +11,12 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .stored import stored
+
 #: Rows that a range is to have, and ranges at most; a longer range is sorted outside of memory.
 ROWS, MOST = 1 << 17, 4096
+#: Files of places at most: a task each, so a range of a large table has more rows than it is to have.
+FILES = 1024
 #: Sampled keys of a range.
 SAMPLED = 24
 
@@ -64,13 +68,16 @@ class Ranges:
         return rows.withColumn("_key", key).crossJoin(F.broadcast(array)).withColumn("_part", found).drop("_splitters", "_key")
 
 
-def numbered(rows: DataFrame, name: str, *order: Column, size: int = ROWS, ranges: Ranges | None = None) -> DataFrame:
-    """rows with their place in an order, from 0. Ranges are sorted apart; the sizes of those before a range, a row each, are added. `rows` is read more
-    than once and must read the same each time. An order that leaves ties is completed by the hash of the row; rows equal in all share a range."""
+def numbered(rows: DataFrame, name: str, *order: Column, size: int = ROWS) -> DataFrame:
+    """rows with their place in an order, from 0. They are dealt into sorted ranges of some `size` rows and written once, each with its range and its place there; the sizes of
+    the ranges before, a row each, are added when that table is read. An order that leaves ties is completed by the hash of the row; rows equal in all share a range."""
+    columns = [F.col(f"`{c}`") for c in rows.columns]
     keys = {f"_o{i}": c for i, c in enumerate(order)} | {"_tie": F.xxhash64(*(rows[f"`{c}`"] for c in rows.columns))}
-    ranges = ranges or Ranges.of(rows, keys, size)
-    placed = ranges.part(rows.withColumns(keys), *map(F.col, keys))
-    before = placed.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
-    local = placed.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)))
-    # MOST rows at most are broadcast
-    return local.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") - 1).drop(*keys, "_part", "_at", "_before")
+    parts = max(1, min(FILES, -(-rows.count() // size)))
+    ranged = rows.withColumns(keys).repartitionByRange(parts, *map(F.col, keys)).sortWithinPartitions(*keys)
+    # a number is its task's in the upper bits and the row's place in the task in the lower 33; the table is what every reader sees
+    placed = stored(ranged.select(*columns, F.monotonically_increasing_id().alias("_number")))
+    part, at = F.shiftright("_number", 33), F.col("_number").bitwiseAND((1 << 33) - 1)
+    before = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select(F.col("_part"), "_before")
+    # FILES rows at most are broadcast
+    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").select(*columns, (F.col("_before") + at).alias(name))
