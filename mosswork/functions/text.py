@@ -92,7 +92,7 @@ def is_refusal(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Lower case, punctuation is white space."""
-    return F.filter(F.split(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", " "), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), "")
 
 
 def index_tokens(c: Column, stop: list[str], least: int = 2) -> Column:

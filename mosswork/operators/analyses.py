@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.rates import mean, median, rate_or_zero, seeded, std, verdict_counts, verdict_rates
 from ..functions.text import hop_bucket, ngrams
 from .ranges import ROWS, Ranges
+from .stored import stored
 
 BUCKETS = [f"hop{i}" for i in range(5)] + ["hop5plus"]
 # Order of prompts in ablation tables; both spellings of the calibrated one.
 PROMPTS = {"baseline": 0, "calibrate": 1, "calibrated": 1, "soft": 2, "dont_know": 3}
+#: Words whose n-grams are made distinct together; n-grams of a part, in all runs and before copies of other tasks meet.
+WORDS, GRAMS = 1 << 18, 1 << 22
 
 
 def min_hop(articles: DataFrame, words: Column | None = None, least: int = 0) -> DataFrame:
@@ -117,13 +127,85 @@ def found_anywhere(records: DataFrame, found: Column) -> DataFrame:
     return records.groupBy("subject").agg(F.bool_or(found).alias("found"))
 
 
+def _word_hashes(words: pa.Array) -> list[np.ndarray]:
+    """Each word as two lanes of 64 bits; a distinct word is hashed once."""
+    told = words.dictionary_encode("encode")
+    of = b"".join(hashlib.blake2b((w or "").encode(), digest_size=16).digest() for w in told.dictionary.to_pylist())
+    return [lane[told.indices.to_numpy()] for lane in np.frombuffer(of, np.uint64).reshape(-1, 2).T]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _grams(schema: pa.Schema, parts: int):
+    """Rows (run, w, m) to rows (part, run, k, grams): the hashes of n-grams of one to three words of a run that fall into a part, each once in so many WORDS. m: 0, or how many
+    of the words stand before the border that an n-gram has to span."""
+    steps = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
+
+    def made(b: pa.RecordBatch):
+        sizes, runs, lanes = _sizes(b.column(1)), b.column(0).dictionary_encode("encode"), _word_hashes(b.column(1).flatten())
+        codes = np.repeat(runs.indices.to_numpy(), sizes)
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        left, before = np.repeat(sizes, sizes) - place, np.repeat(b.column(2).to_numpy(), sizes)
+        for k in (1, 2, 3):
+            at = np.flatnonzero((left >= k) & ((before == 0) | ((place < before) & (place + k > before))))
+            if not len(at):
+                continue
+            h, h2 = (_mixed(x[at]) for x in lanes)
+            for j in range(1, k):
+                h, h2 = (_mixed(g * s + x[at + j]) for g, s, x in zip((h, h2), steps, lanes, strict=True))
+            order = np.argsort(h)
+            order = order[np.argsort(codes[at][order], kind="stable")]
+            h, h2, code = h[order], h2[order], codes[at][order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1]) | (code[1:] != code[:-1])])
+            h, h2, code = h[new], h2[new], code[new]
+            part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+            starts = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (code[1:] != code[:-1])]))
+            offsets = (16 * np.append(starts, len(h))).astype(np.int64)
+            held = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.column_stack([h, h2]).tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(part[starts]), runs.dictionary.take(pa.array(code[starts])), pa.array(np.full(len(starts), k, np.int32)), held], schema=schema)
+
+    def work(it):
+        for b in it:
+            ends, at = np.cumsum(_sizes(b.column(1))), 0
+            while at < b.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WORDS, "right")))
+                yield from made(b.slice(at, to - at))
+                at = to
+
+    return work
+
+
+def _counted(schema: pa.Schema):
+    """The distinct n-grams of one part, run and k."""
+
+    def work(rows: pa.Table) -> pa.Table:
+        h, h2 = np.frombuffer(b"".join(x.as_buffer() for x in rows["grams"]), np.uint64).reshape(-1, 2).T
+        order = np.argsort(h)
+        if ((h[order][1:] == h[order][:-1]) & (h2[order][1:] != h2[order][:-1])).any():
+            order = np.lexsort((h2, h))
+        h, h2 = h[order], h2[order]
+        n = 1 + int(((h[1:] != h[:-1]) | (h2[1:] != h2[:-1])).sum())
+        return pa.Table.from_arrays([rows["run"].slice(0, 1), rows["k"].slice(0, 1), pa.array([n])], schema=schema)
+
+    return work
+
+
 def ngram_types(texts: DataFrame, run: str, order: str, words: Column, size: int = ROWS) -> DataFrame:
     """Tokens, types, type-token ratio, 2- and 3-gram types of each run's texts laid one after another, so n-grams span texts.
 
-    A text's n-grams are hashed (128 bits) and made distinct within the task before they are shuffled. Those over a border need the last two
-    words of the texts before: ends of texts, not texts, are put in order, in ranges of some `size` texts by stored splitters; only the rows at the ends of ranges are looked at together."""
-    t = texts.select(run, order, words.alias("w")).filter(F.size("w") > 0)
-    edge = t.select(run, order, F.slice("w", 1, 2).alias("head"), F.reverse(F.slice(F.reverse("w"), 1, 2)).alias("tail"))
+    Words are hashed (128 bits in two lanes), n-grams are made of their words' hashes in both lanes, and are made distinct within WORDS words before they are shuffled, so a hot one is there
+    once for each of these; they are dealt by their hash into parts of some GRAMS, which are counted one by one. Those over a border need the last two words of the texts before: ends of texts, which are stored,
+    not texts, are put in order, in ranges of some `size` texts by stored splitters; only the rows at the ends of ranges are looked at together."""
+    ends_of = lambda w: F.struct(F.size(w).cast("long").alias("n"), F.slice(w, 1, 2).alias("head"), F.slice(w, F.greatest(F.size(w) - 1, F.lit(1)), F.lit(2)).alias("tail"))
+    edge = stored(texts.select(run, order, F.get(F.transform(F.array(words), ends_of), F.lit(0)).alias("x")).select(run, order, "x.*")).filter("n > 0")
     keys = {"_run": F.col(run), "_order": F.col(order)}
     edge = Ranges.of(edge, keys, size).part(edge, *keys.values()).withColumnRenamed("_part", "part")
     own = Window.partitionBy("part", run).orderBy(order)
@@ -136,17 +218,15 @@ def ngram_types(texts: DataFrame, run: str, order: str, words: Column, size: int
     none = F.array().cast("array<string>")
     before = F.reverse(F.slice(F.reverse(F.concat(F.coalesce("p2", none), F.coalesce("p1", none))), 1, 2))  # texts of one word pass on the word before them
     cross = inside.unionByName(first).select(run, before.alias("b"), F.slice("head", 1, 2).alias("head")).filter("size(b) > 0")
-    joined = F.concat("b", "head")
-    # an n-gram is its words' chained hashes, so none is joined to a string
-    gram = lambda w, n, i: F.struct(F.lit(n).alias("k"), F.xxhash64(*(F.get(w, i + j) for j in range(n))).alias("h"), F.xxhash64(*(F.get(w, i + j) for j in range(n)), F.lit(n)).alias("h2"))
-    grams = lambda w, n, at: F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: (i + n <= F.size(w)) & at(i)), lambda i: gram(w, n, i))
-    spans = lambda n: grams(joined, n, lambda i: (i < F.size("b")) & (i + n > F.size("b")))
-    every_one = lambda n: grams(F.col("w"), n, lambda i: F.lit(True))
-    # the size of a text travels with its n-grams, under a number of its own
-    total = F.array(F.struct(F.lit(0).alias("k"), F.monotonically_increasing_id().alias("h"), F.size("w").cast("long").alias("h2")))
-    every = t.select(run, F.explode(F.concat(total, *map(every_one, (1, 2, 3)))).alias("x"))
-    every = every.unionByName(cross.select(run, F.explode(F.concat(spans(2), spans(3))).alias("x")))
-    kinds = every.select(run, "x.*").distinct().groupBy(run).agg(F.sum(F.when(F.col("k") == 0, F.col("h2"))).alias("tokens"), *(F.count_if(F.col("k") == k).alias(f"types_{k}") for k in (1, 2, 3)))
+    every = texts.select(F.col(run).alias("run"), words.alias("w"), F.lit(0).alias("m")).unionByName(cross.select(F.col(run).alias("run"), F.concat("b", "head").alias("w"), F.size("b").alias("m")))
+    tokens = edge.groupBy(F.col(run).alias("run")).agg(F.sum("n").alias("tokens")).withColumns({f"types_{k}": F.lit(0).cast("long") for k in (1, 2, 3)})
+    parts = max(1, -(-3 * (edge.agg(F.sum("n")).first()[0] or 0) // GRAMS))
+    named, number = T.StructField("run", texts.schema[run].dataType), T.StructField("k", T.IntegerType())
+    held, count = (T.StructType(x) for x in ([T.StructField("part", T.IntegerType()), named, number, T.StructField("grams", T.BinaryType())], [named, number, T.StructField("n", T.LongType())]))
+    grams = every.mapInArrow(_grams(to_arrow_schema(held), parts), held)
+    told = grams.groupBy("part", "run", "k").applyInArrow(_counted(to_arrow_schema(count)), count)
+    told = told.groupBy("run").agg(F.lit(0).cast("long").alias("tokens"), *(F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(f"types_{k}") for k in (1, 2, 3)))
+    kinds = told.unionByName(tokens).groupBy(F.col("run").alias(run)).agg(*(F.sum(c).alias(c) for c in tokens.columns[1:]))
     return kinds.withColumn("ttr", rate_or_zero(F.col("types_1"), F.col("tokens"))).withColumns({f"diversity_{k}": F.col(f"types_{k}") / F.greatest(F.lit(1), F.col("tokens") - (k - 1)) for k in (2, 3)})
 
 
