@@ -329,7 +329,8 @@ def cut_answers(spark, sf_dir):
     k = F.col("p_partkey")
     text = F.when(k % 4 == 0, F.concat(F.lit('Here: {"claims": ["'), F.col("p_name"), F.lit('", "'), F.col("p_brand"), F.lit(' is"],} So.'))).when(k % 4 == 1, F.concat(F.lit('{"claims": ["'), F.col("p_name"), F.lit('", "'), F.col("p_brand"), F.lit(" is"))).when(
         k % 4 == 2, F.concat(F.lit('```{"claims": ["'), F.col("p_name"), F.lit('"], "more": '))).otherwise(F.concat(F.lit("{“size”: "), F.col("p_size"), F.lit(", ")))
-    return table(spark, sf_dir, "part").select(k.alias("k"), salvage.salvaged(text).alias("object"))
+    p = salvage.dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size"))
+    return p.select(k.alias("k"), salvage.salvaged(text).alias("object"))
 
 
 _NER_MODE = "['dict', 'dict_nested', 'json', 'json_substring', 'regex_jsonish', 'regex_simple', 'empty'][p_partkey % 7 + 1]"
@@ -342,7 +343,8 @@ def ner_answers(spark, sf_dir):
     whole = F.concat(F.lit('{"phrases": [{"phrase": " '), name, F.lit('", "is_ne": '), yes, F.lit(', "confidence": 0.25}]}'))
     broken = F.concat(F.lit('{"phrases": [{"phrase": "'), name, F.lit('", "is_ne": '), yes, F.lit(', "conf'))
     text = F.when(k % 7 == 0, whole).when(k % 7 == 1, F.concat(F.lit('{"data": ['), whole, F.lit("]}"))).when(k % 7 == 2, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).when(k % 7 == 3, F.concat(F.lit("Sure. "), whole, F.lit(" ok"))).when(k % 7 == 4, broken).when(k % 7 == 5, F.concat(F.lit("- "), name, F.lit(": "), yes)).otherwise(F.lit("none"))
-    p = table(spark, sf_dir, "part").select(k.alias("k"), salvage.recorded_decisions(text, k % 7 < 2).alias("p"))
+    p = salvage.dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"))
+    p = p.select(k.alias("k"), salvage.recorded_decisions(text, k % 7 < 2).alias("p"))
     p = p.withColumn("c", salvage.calibrated(F.col("p.rows")))
     return p.select("k", F.col("p.mode").alias("mode"), F.explode_outer(F.arrays_zip(F.col("p.rows").alias("r"), F.col("c").alias("c"))).alias("x")).select("k", "mode", "x.r.phrase", "x.r.is_ne", "x.r.confidence", F.col("x.c.confidence").alias("calibrated"))
 
