@@ -18,6 +18,8 @@ from .stored import stored
 
 #: Vectors of a block, queries of a group; cells and rings of a cell at most; vectors of a cell that are aimed at.
 BLOCK, GROUP, CELLS, RINGS, AIM = 4096, 4096, 512, 32, 4096
+#: The search for the k best, whose results are few, takes blocks and groups up to so many times as large, while at least MANY blocks are left to be dealt out: each vector moves once a group.
+WIDE, MANY = 4, 8
 #: Queries of a product at a time, so that a task holds a few matrices of SLICE times BLOCK.
 SLICE = 512
 #: What rounding can add to a bound, in parts of the product of lengths.
@@ -52,16 +54,19 @@ class Metric:
     index: DataFrame
     pivots: np.ndarray
     rings: np.ndarray  # a row for each ring: cell, ring, vectors, least and largest distance, largest length, parts
+    wide: int = 1
 
     @classmethod
-    def of(cls, vectors: DataFrame) -> Metric | None:
-        """None if there is no vector. Null vectors take no part."""
+    def of(cls, vectors: DataFrame, wide: int = 1) -> Metric | None:
+        """None if there is no vector. Null vectors take no part. wide: so many times BLOCK and GROUP at most."""
         vectors = vectors.select(F.col("id").cast("long").alias("id"), "e").filter("e is not null")  # in their own type, to be moved as small as they are
         kind = vectors.schema["e"].dataType.simpleString()
         n = vectors.count()
         if not n:
             return None
-        cells = max(1, min(CELLS, n // AIM))
+        wide = max(1, min(wide, n // (MANY * BLOCK)))
+        size = wide * BLOCK
+        cells = max(1, min(CELLS, n // (wide * AIM)))
         sample = vectors.orderBy(F.xxhash64("id"), "id").limit(8 * cells).collect()  # 8 * CELLS at most
         pivots = _spread(np.array([r.e for r in sample]), cells)
 
@@ -82,12 +87,12 @@ class Metric:
         seen = assign({}, {}).groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx("d", grid, 2000).alias("at")).collect()  # CELLS rows
         edges = {}
         for r in seen:
-            m = min(RINGS, -(-r.n // BLOCK))
+            m = min(RINGS, -(-r.n // size))
             edges[r.cell] = np.unique([r["at"][RINGS * k // m - 1] for k in range(1, m)])
         told = assign(edges, {}).groupBy("cell", "ring").agg(F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.max("length").alias("length")).sort("cell", "ring").collect()
-        rings = np.array([(r.cell, r.ring, r.n, r.lo, r.hi, r.length, -(-r.n // BLOCK)) for r in told])
-        parts = {(r.cell, r.ring): -(-r.n // BLOCK) for r in told}
-        return cls(assign(edges, parts).select("id", "e", "cell", "ring", "part"), pivots, rings)
+        rings = np.array([(r.cell, r.ring, r.n, r.lo, r.hi, r.length, -(-r.n // size)) for r in told])
+        parts = {(r.cell, r.ring): -(-r.n // size) for r in told}
+        return cls(assign(edges, parts).select("id", "e", "cell", "ring", "part"), pivots, rings, wide)
 
     def _targets(self, queries: DataFrame, k: int | None, rest: bool) -> DataFrame:
         """Rows (qid, q, theta) with each part of each ring that they have to meet: the best rings by bound that hold more than k vectors, or (rest) the others that can
@@ -99,7 +104,7 @@ class Metric:
             for b in it:
                 yield pd.DataFrame({"cell": _distances(_matrix(b["q"]), pivots).argmin(1) if len(b) else []}, dtype=int)
 
-        busy = {r.cell: -(-r["count"] // GROUP) for r in queries.select("q").mapInPandas(own_cells, "cell int").groupBy("cell").count().collect()}
+        busy = {r.cell: -(-r["count"] // (self.wide * GROUP)) for r in queries.select("q").mapInPandas(own_cells, "cell int").groupBy("cell").count().collect()}
 
         def run(it):
             for big in it:
@@ -133,7 +138,7 @@ class Metric:
 
     def _searched(self, targets: DataFrame, k: int | None) -> DataFrame:
         """The k best, or without k all, of each block for each query that meets it, theta at least."""
-        key = ["cell", "ring", "part"]
+        key, wide = ["cell", "ring", "part"], self.wide
         pairs = targets.select(*(F.col(c).alias(f"_{c}") for c in (*key, "grp"))).distinct()
         left = self.index.join(pairs, [F.col(c) == F.col(f"_{c}") for c in key]).select("id", "e", *(F.col(f"_{c}").alias(f"x_{c}") for c in (*key, "grp")))
 
@@ -143,7 +148,8 @@ class Metric:
                 return none
             x = x.sort_values("id")
             ids, vectors = x["id"].to_numpy(), _matrix(x["e"]).T
-            return pd.concat([best(ids, vectors, y.iloc[at : at + SLICE]) for at in range(0, len(y), SLICE)])
+            step = max(1, SLICE // wide)  # a matrix has the same size for all blocks
+            return pd.concat([best(ids, vectors, y.iloc[at : at + step]) for at in range(0, len(y), step)])
 
         def best(ids: np.ndarray, vectors: np.ndarray, y: pd.DataFrame) -> pd.DataFrame:
             own = y["qid"].to_numpy()

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import canon_key
-from .metric import Metric
+from .metric import WIDE, Metric
 
 
 
 def topk(queries: DataFrame, index: DataFrame, k: int, least: float | None = None) -> DataFrame:
     """query_id, rank, id, score of the k nearest of each query. queries, index: id, e. Blocks that cannot hold a neighbour are never joined. Ties go to the smaller id."""
-    metric = Metric.of(index)
+    metric = Metric.of(index, WIDE)
     if metric is None:
         return queries.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
     return metric.topk(queries, k, least)
