@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WS = r"[\s\p{Z}\x1c-\x1f\x85]"
+WORD = r"[\p{L}\p{N}_]+"
 NOT_WORD = r"[^\p{L}\p{N}_\s\p{Z}]"
 DASHES = r"[\-\x{2010}-\x{2014}\x{2212}]+"
 # Last words that look plural and are not.

@@ -179,7 +179,9 @@ def expand(
     for hop in range(1, max_depth + 1):
         seen.add(frontier)
         written = ready(frontier.select("subject", "hop"), *stages).join(articles, "subject")
-        each = deduplicated(written, phrases(F.col("wikitext"), confidence), seen).filter("reason = 'kept'")
+        # read several times below: an article is fetched and parsed once a level
+        written = save(written.select("subject", "hop", phrases(F.col("wikitext"), confidence).alias("listed")), "written")
+        each = deduplicated(written, F.col("listed"), seen).filter("reason = 'kept'")
         ok = gated(each, decisions, threshold).filter("passed")
         # of articles that name one key on a level the first by subject and place is its parent
         new = ok.groupBy(F.col("key").alias("canon_key")).agg(F.min(F.struct("subject", "place", "phrase")).alias("r"))

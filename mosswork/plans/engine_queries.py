@@ -256,14 +256,14 @@ def ner_gate(spark, sf_dir):
 @query()
 def crawl_levels(spark, sf_dir):
     """Documents as articles: the first word is the subject, every word of the text a link; words of four letters and more are named entities."""
-    w = tx.tokens(F.col("text"))
-    d = table(spark, sf_dir, "documents").select("doc_id", w.alias("w")).filter(F.size("w") > 0)
-    text = F.array_join(F.transform(F.array_distinct("w"), lambda x: F.concat(F.lit("[["), x, F.lit("]]"))), " ")
-    first = d.select(F.get("w", 0).alias("subject"), "doc_id", text.alias("wikitext"))
-    articles = first.groupBy("subject").agg(F.min_by("wikitext", "doc_id").alias("wikitext"))
-    words = d.select(F.explode("w").alias("phrase")).distinct()
+    w, save = tx.tokens(F.col("text")), saver(spark)
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_extract(F.lower("text"), tx.WORD, 0).alias("subject")).filter("subject <> ''")
+    text = F.array_join(F.transform(F.array_distinct(w), lambda x: F.concat(F.lit("[["), x, F.lit("]]"))), " ")
+    chosen = save(d.groupBy("subject").agg(F.min("doc_id").alias("doc_id")), "chosen")  # only the texts of articles are made into links
+    articles = d.join(chosen, ["subject", "doc_id"]).select("subject", "doc_id", text.alias("wikitext")).groupBy("subject").agg(F.min_by("wikitext", "doc_id").alias("wikitext"))
+    words = d.select(F.explode(F.array_distinct(w)).alias("phrase")).distinct()
     decisions = words.select("phrase", (F.length("phrase") >= 4).alias("is_ne"), F.lit(None).cast("double").alias("confidence"), F.lit(0).alias("line_no"))
-    return crawl.expand(spark.createDataFrame([("the",), ("der",), ("la",)], "subject string"), articles, decisions, 2, save=saver(spark))
+    return crawl.expand(spark.createDataFrame([("the",), ("der",), ("la",)], "subject string"), save(articles, "articles"), save(decisions, "decisions"), 2, save=save)
 
 
 @query("""SELECT page_id, CAST(len(list_filter(regexp_extract_all(html, '(?is)<h([23])[^>]*>(.*?)</h[23]>', 2), lambda x: true)) AS INT) AS headings FROM pages""")

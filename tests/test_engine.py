@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from mosswork.functions import rates
 from mosswork.operators import evidence, index, metric, queue, vector
+from mosswork.operators.stored import stored
 from mosswork.plans import crawl
 from mosswork.sources import logs, sinks
 from mosswork.streaming import queue as stream
@@ -128,6 +129,23 @@ def test_expansion_does_not_depend_on_partitions(spark, tmp_path):
     assert runs[0] == runs[1] == [("A", 0, ""), ("B", 1, "A"), ("C", 1, "A"), ("Dogs", 1, "A"), ("E", 2, "B")]
 
 
+def test_expansion_reads_an_article_once_a_level(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def fetched(text):
+        asked.add(1)
+        return text
+
+    given = spark.createDataFrame([("A", "[[Bees]] [[Bee]] [[C]]"), ("C", "[[A]] [[D]]")], "subject string, wikitext string")
+    decisions = spark.createDataFrame([(x, True, None, 0) for x in ("Bees", "C", "D")], "phrase string, is_ne boolean, confidence double, line_no int")
+    articles = given.select("subject", fetched("wikitext").alias("wikitext"))
+    r = crawl.expand(spark.createDataFrame([("A",)], "subject string"), articles, decisions, 2, lambda df, name: stored(df))
+    assert sorted(x.subject for x in r.collect()) == ["A", "Bees", "C", "D"]
+    assert asked.value <= 2 * 2
+
+
 def test_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [0.6, 0.8])]
     e = spark.createDataFrame(rows, "id long, e array<float>")
