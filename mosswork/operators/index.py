@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import STOP_WORDS
@@ -11,6 +11,9 @@ from ..functions.wikitext import links
 from .ranges import numbered
 from .stored import stored
 
+#: Words of 64 bits of the filter in front of the titles, and bits of a key, all in one word. It is broadcast, and never larger, whatever there is of titles.
+WORDS, BITS = 1 << 19, 3
+
 
 def postings(entries: DataFrame, span: int = 100_000, dedupe: bool = True) -> DataFrame:
     """token, part, ids of entries (id, title, snippet): a part holds the ids of one span, so the list of a word that all entries have is many
@@ -98,9 +101,26 @@ def slug_map(articles: DataFrame) -> DataFrame:
     return keys.groupBy("key").agg(F.max_by("slug", "position").alias("slug"))
 
 
+def _marks(hash_: str) -> tuple[Column, Column]:
+    """The word of the filter that a hash belongs to, and its bits there."""
+    return F.expr(f"pmod({hash_}, {WORDS})"), F.expr(" | ".join(f"shiftleft(1L, cast(shiftright({hash_}, {40 + 6 * k}) & 63 as int))" for k in range(BITS)))
+
+
+def _perhaps(each: DataFrame, slugs: DataFrame) -> DataFrame:
+    """The links of which a filter does not rule out that they lead to a key, as they are or in lower case: all that do, and few others. The others need not move."""
+    word, bits = _marks("h")
+    known = stored(slugs.select(F.xxhash64("key").alias("h")).select(word.alias("word"), bits.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")))
+    rows = each.withColumns({"h1": F.xxhash64("target"), "h2": F.xxhash64(F.lower("target"))})
+    for k in (1, 2):
+        word, bits = _marks(f"h{k}")
+        rows = rows.withColumn(f"w{k}", word).join(F.broadcast(known.select(F.col("word").alias(f"w{k}"), F.col("bits").alias(f"b{k}"))), f"w{k}", "left").withColumn(f"m{k}", bits)
+    return rows.filter("b1 & m1 = m1 or b2 & m2 = m2").select(*each.columns)
+
+
 def existing_links(articles: DataFrame, slugs: DataFrame) -> DataFrame:
     """title, target, slug of links that lead to an article: exact key first, then lower case; once per slug."""
-    each = articles.select("title", F.posexplode(links(F.col("text"))).alias("i", "target"))
+    slugs = stored(slugs)
+    each = _perhaps(articles.select("title", F.posexplode(links(F.col("text"))).alias("i", "target")), slugs)
     exact = each.join(slugs.withColumnRenamed("slug", "s1"), F.col("target") == F.col("key"), "left").drop("key")
     lower = exact.join(slugs.withColumnRenamed("slug", "s2"), F.lower("target") == F.col("key"), "left").drop("key")
     found = lower.select("title", "i", "target", F.coalesce("s1", "s2").alias("slug")).filter("slug is not null")

@@ -543,7 +543,7 @@ def featured_articles(spark, sf_dir):
 def existing_links(spark, sf_dir):
     """Every run of three words of a text is a link; those that are some article's title lead there."""
     a = articles(spark, sf_dir)
-    runs_ = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.concat(F.lit("[["), F.array_join(F.slice("w", i, F.lit(3)), " "), F.lit("]]")))
+    runs_ = F.transform("w", lambda x, i: F.concat(F.lit("[["), x, F.lit(" "), F.get("w", i + 1), F.lit(" "), F.get("w", i + 2), F.lit("]]")))  # null at the end, which is not joined
     texts = a.filter("size(w) >= 3").select(F.col("doc_id").alias("title"), F.array_join(runs_, " ").alias("text"))
     slugs = index.slug_map(a.select(F.col("subject").alias("title"), F.col("doc_id").alias("position")))
     return index.existing_links(texts, slugs).select(F.col("title").alias("doc_id"), "slug")

@@ -146,6 +146,18 @@ def test_expansion_reads_an_article_once_a_level(spark, tmp_path):
     assert asked.value <= 2 * 2
 
 
+def test_links_that_lead_nowhere_do_not_move(spark):
+    slugs = spark.createDataFrame([("Ada", "Ada"), ("ada", "Ada"), ("bob c", "Bob_C"), ("x", "x")], "key string, slug string")
+    rows = [(n, f"[[Nowhere {n}]] [[Ada]] [[ADA]] [[none {n}|x]] [[Bob C]] [[x]] [[ada]]") for n in range(500)]
+    articles = spark.createDataFrame(rows, "title long, text string")
+    got = {(r.title, r.slug): r.target for r in index.existing_links(articles, slugs).collect()}
+    assert got == {(n, s): t for n in range(500) for s, t in (("Ada", "Ada"), ("Bob_C", "Bob C"), ("x", "x"))}
+    each = articles.select("title", F.posexplode(F.split("text", " (?=\\[)")).alias("i", "target")).withColumn("target", F.regexp_extract("target", r"\[\[([^|\]]+)", 1))
+    left = index._perhaps(each, slugs).groupBy("target").count().collect()
+    assert {r.target for r in left} >= {"Ada", "ADA", "Bob C", "x", "ada"} and sum(r["count"] for r in left) < 5 * 500 + 20
+    assert index._perhaps(each, slugs.limit(0)).count() == 0
+
+
 def test_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [0.6, 0.8])]
     e = spark.createDataFrame(rows, "id long, e array<float>")
