@@ -10,6 +10,10 @@ from ..functions.similarity import lexical
 from ..functions.text import canon_key
 from .analyses import set_overlap, verdict_stats
 from .evidence import snippet_domains
+from .stored import stored
+
+#: Members (rows) of a task that compares the entities of groups.
+MEMBERS = 500_000
 
 # Measures of the two text reports.
 STYLE = ["sent_len_mean_diff", "sent_len_std_diff", "ttr_candidate", "ttr_reference", "ttr_diff", "funcword_cosine", "punct_density_candidate", "punct_density_reference", "punct_density_diff"]
@@ -55,12 +59,16 @@ def persona_effect(evaluated: DataFrame, members: DataFrame) -> DataFrame:
 def common_entities(members: DataFrame, keys: list[str], group: str) -> DataFrame:
     """Each pair of groups (a < b) of one key: common subjects, entities of either side over them, entities both have. members: keys, group, subject,
     entity (canonical, or null for a subject without any). Rows meet by subject, never by group."""
-    of = members.groupBy(*keys, "subject").agg(F.array_sort(F.collect_set(group)).alias("groups")).filter("size(groups) > 1")
-    pair = of.select(*keys, "subject", F.explode("groups").alias("a"), "groups").select(*keys, "subject", "a", F.explode("groups").alias("b")).filter("a < b")
+    rows = stored(members.select(*keys, "subject", F.col(group).alias("g"), "entity"))
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // MEMBERS))  # a task holds as much whatever there is in all
+    dealt = rows.repartition(tasks, *keys, "subject")
+    of = dealt.select(*keys, "subject", "g").distinct().groupBy(*keys, "subject").agg(F.array_sort(F.collect_set("g")).alias("groups")).filter("size(groups) > 1")
+    pair = of.select(*keys, F.explode("groups").alias("a"), "groups").select(*keys, "a", F.explode("groups").alias("b")).filter("a < b")
     subjects = pair.groupBy(*keys, "a", "b").agg(F.count("*").alias("common_subjects"))
-    each = members.filter("entity is not null").select(*keys, "subject", F.col(group).alias("g"), "entity").distinct()
-    sided = pair.join(each, [*keys, "subject"]).filter("g = a or g = b")
-    seen = sided.groupBy(*keys, "a", "b", "entity").agg(F.bool_or(F.col("g") == F.col("a")).alias("in_a"), F.bool_or(F.col("g") == F.col("b")).alias("in_b"))
+    # a member moves to its entity once and is laid beside the other groups of its subject there
+    met = dealt.filter("entity is not null").join(of.hint("merge"), [*keys, "subject"]).select(*keys, "entity", "g", "groups").repartition(tasks, *keys, "entity")
+    sided = met.select(*keys, "entity", "g", F.explode("groups").alias("other")).filter("g <> other")
+    seen = sided.groupBy(*keys, F.least("g", "other").alias("a"), F.greatest("g", "other").alias("b"), "entity").agg(F.bool_or(F.col("g") < F.col("other")).alias("in_a"), F.bool_or(F.col("g") > F.col("other")).alias("in_b"))
     counts = seen.groupBy(*keys, "a", "b").agg(F.count_if("in_a").alias("entities_1"), F.count_if("in_b").alias("entities_2"), F.count_if(F.col("in_a") & F.col("in_b")).alias("shared_entities"))
     return subjects.join(counts, [*keys, "a", "b"], "left")
 

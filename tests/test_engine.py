@@ -4,7 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from mosswork.functions import rates
-from mosswork.operators import evidence, index, metric, queue, vector
+from mosswork.operators import evidence, index, metric, queue, reports, vector
 from mosswork.operators.stored import stored
 from mosswork.plans import crawl
 from mosswork.sources import logs, sinks
@@ -158,6 +158,26 @@ def test_links_that_lead_nowhere_do_not_move(spark):
     assert index._perhaps(each, slugs.limit(0)).count() == 0
 
 
+def test_common_entities_are_dealt_by_rows(spark, monkeypatch):
+    """Against a plain fold, in tasks of a few members each: as many as there are rows for, whatever the session's partitions are."""
+    import random
+    from itertools import combinations
+
+    monkeypatch.setattr(reports, "MEMBERS", 20)
+    r = random.Random(3)
+    rows = list({(r.choice("xy"), r.choice("abcd"), r.randrange(9), r.choice([None, *range(12)])) for _ in range(300)})
+    made = reports.common_entities(spark.createDataFrame(rows, "topic string, persona string, subject long, entity long"), ["topic"], "persona")
+    got = {(x.topic, x.a, x.b): (x.common_subjects, x.entities_1, x.entities_2, x.shared_entities) for x in made.collect()}
+    want = {}
+    for t, (a, b) in ((t, p) for t in "xy" for p in combinations("abcd", 2)):
+        of = lambda g: {s for u, h, s, _ in rows if (u, h) == (t, g)}
+        both = of(a) & of(b)  # noqa: B023
+        held = [{e for u, h, s, e in rows if (u, h) == (t, g) and s in both and e is not None} for g in (a, b)]
+        want[t, a, b] = (len(both), len(held[0]), len(held[1]), len(held[0] & held[1]))
+    assert got == want
+    assert f"entity, {-(-len(rows) // 20)})" in re.sub(r"#\d+L?", "", made._jdf.queryExecution().toString())
+
+
 def test_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [0.6, 0.8])]
     e = spark.createDataFrame(rows, "id long, e array<float>")
