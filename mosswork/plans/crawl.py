@@ -4,8 +4,11 @@ Providers are tables joined in; what a provider leaves unanswered fails closed:
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import canon_key, plural, singular, title_and_confidence
 from ..functions.wikitext import categories, links_outside
@@ -77,11 +80,22 @@ def kept_first(nodes: DataFrame) -> DataFrame:
     return decided
 
 
-def _entries(listed: Column) -> Column:
-    """array<struct<key, place, phrase, first>> of an array of phrases, by key and place; first: no earlier phrase has the key. A sort and a pass, however long the array is."""
-    keyed = F.filter(F.transform(listed, lambda x, i: F.struct(canon_key(x).alias("key"), i.alias("place"), x.alias("phrase"))), lambda x: x.key != "")
-    first = lambda s: F.transform(s, lambda x, i: F.struct(x.key.alias("key"), x.place.alias("place"), x.phrase.alias("phrase"), (F.coalesce(F.get(s, i - 1).key, F.lit("")) != x.key).alias("first")))
-    return F.get(F.transform(F.array(F.sort_array(keyed)), first), F.lit(0))  # the sorted array is computed once
+@F.arrow_udf(T.ArrayType(T.BooleanType()))
+def _first(keys: pa.Array) -> pa.Array:
+    """Of the strings of each array, whether none before it there is the same. Whole batches at a time, none of them is a Python object."""
+    sizes = keys.value_lengths().fill_null(0).to_numpy()
+    codes = keys.flatten().fill_null("").dictionary_encode().indices.to_numpy()
+    first = np.zeros(len(codes), bool)
+    first[np.unique(np.repeat(np.arange(len(sizes)), sizes) * (len(codes) + 1) + codes, return_index=True)[1]] = True
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(first))
+
+
+def _entries(rows: DataFrame) -> DataFrame:
+    """The rows with key, phrase, place and first of each of their phrases (listed) instead of these; first: no earlier phrase has the key. No phrase is sorted, however long the array is."""
+    kept = [c for c in rows.columns if c != "listed"]
+    keyed = rows.withColumn("keys", F.transform("listed", canon_key))
+    each = F.posexplode(F.arrays_zip(F.col("listed").alias("phrase"), F.col("keys").alias("key"), F.col("firsts").alias("first")))
+    return keyed.withColumn("firsts", _first("keys")).select(*kept, each.alias("place", "x")).select(*kept, "place", "x.*").filter("key <> ''")
 
 
 def deduplicated(articles: DataFrame, listed: Column, seen: DataFrame | SeenKeys) -> DataFrame:
@@ -91,17 +105,19 @@ def deduplicated(articles: DataFrame, listed: Column, seen: DataFrame | SeenKeys
     them can be in each other's way; only those of an article that have such a form there are shuffled, and take part in the rounds of `kept_first`. What they
     bar comes back to the article as a short list. Candidates themselves never move: they are unfolded from their article at the end."""
     own = ["subject", "hop", "key"]
-    keys = stored(_forms(articles.select(F.explode(F.transform(F.array_distinct(listed), canon_key)).alias("key")).filter("key <> ''").distinct()))
+    # each phrase of the corpus is looked at once, not each time that it stands somewhere
+    named = stored(articles.select(F.explode(F.array_distinct(listed)).alias("phrase")).distinct().withColumn("key", canon_key(F.col("phrase"))).filter("key <> ''"))
+    keys = stored(_forms(named.select("key").distinct()))
     flags = stored(_told(keys, _known(keys, seen)))
     # forms that can be kept, of keys that are not out already
     form = F.explode(F.array(F.struct(F.lit(1).alias("i"), F.col("one").alias("form")), F.struct(F.lit(2).alias("i"), F.col("many").alias("form"))))
     open_ = flags.filter("not in_seen and not plural_seen").select(F.col("key").alias("form"))
     pairs = stored(flags.filter("not plural_seen").select("key", form.alias("x")).select("key", "x.*").filter("form <> key").join(open_, "form"))
     forms = pairs.groupBy("key").agg(*(F.max(F.when(F.col("i") == i, F.col("form"))).alias(f"t{i}") for i in (1, 2)))
-    part = stored(forms.join(pairs.select(F.col("form").alias("key")).distinct(), "key", "full").join(flags.select("key", "in_seen"), "key"))
-    placed = articles.select("subject", "hop", F.explode(F.transform(listed, lambda x, i: F.struct(canon_key(x).alias("key"), i.alias("place")))).alias("x")).select("subject", "hop", "x.*")
+    part = stored(forms.join(pairs.select(F.col("form").alias("key")).distinct(), "key", "full").join(flags.select("key", "in_seen"), "key").join(named, "key"))
+    placed = articles.select("subject", "hop", F.posexplode(listed).alias("place", "phrase"))
     # an article's words are in one task, so the first places are taken before they are shuffled
-    met = placed.join(F.broadcast(part) if part.count() <= MOST_HITS else part, "key")
+    met = placed.join(F.broadcast(part) if part.count() <= MOST_HITS else part, "phrase")
     rows = stored(met.groupBy(*own, "t1", "t2", "in_seen").agg(F.min("place").alias("first")))
     # only what has a form in its own article
     target = lambda i: rows.filter("not in_seen").select("subject", "hop", F.col("key").alias(f"t{i}"), F.col("first").alias(f"f{i}"))
@@ -111,7 +127,7 @@ def deduplicated(articles: DataFrame, listed: Column, seen: DataFrame | SeenKeys
     barred = nodes.filter("f1 is not null or f2 is not null").join(one(1), ["subject", "hop", "t1"], "left").join(one(2), ["subject", "hop", "t2"], "left")
     barred = barred.select(*own, F.least(*(F.when(F.col(f"k{i}"), F.col(f"f{i}")) for i in (1, 2))).alias("bar")).filter("bar is not null")
     lists = barred.groupBy("subject", "hop").agg(F.map_from_entries(F.collect_list(F.struct("key", "bar"))).alias("bars"))
-    each = articles.join(lists, ["subject", "hop"], "left").select("subject", "hop", "bars", F.explode(_entries(listed)).alias("x")).select("subject", "hop", "bars", "x.*")
+    each = _entries(articles.join(lists, ["subject", "hop"], "left").select("subject", "hop", "bars", listed.alias("listed")))
     told = _told(each, flags.filter("in_seen or plural_seen").select("key", "in_seen", "plural_seen"))
     bar = F.try_element_at("bars", F.col("key"))
     reason = F.when(F.col("plural_seen"), "plural_variant").when(bar < F.col("place"), "plural_variant_batch").when(F.col("in_seen"), "seen").when(~F.col("first"), "batch").otherwise("kept")

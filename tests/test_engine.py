@@ -178,6 +178,22 @@ def test_common_entities_are_dealt_by_rows(spark, monkeypatch):
     assert f"entity, {-(-len(rows) // 20)})" in re.sub(r"#\d+L?", "", made._jdf.queryExecution().toString())
 
 
+def test_entries_of_a_list_are_found_without_sorting(spark):
+    """Repeats are of canonical keys, within a list alone; lists may be null or empty, or hold nothing that has a key."""
+    lists = [["b", "a", "B", "a", "--", "", "c"], None, [], ["a", None, "b"], ["!"], [f"w{i % 700}" for i in range(3000)]]
+    rows = spark.createDataFrame(list(enumerate(lists)), "subject int, listed array<string>").repartition(2)
+    got = {(x.subject, x.place): (x.phrase, x.key, x.first) for x in crawl._entries(rows).collect()}
+    want = {}
+    for i, phrases in enumerate(lists):
+        before = set()
+        for place, phrase in enumerate(phrases or []):
+            key = (phrase or "").lower().strip("-!")
+            if key:
+                want[i, place] = (phrase, key, key not in before)
+                before.add(key)
+    assert got == want
+
+
 def test_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [0.6, 0.8])]
     e = spark.createDataFrame(rows, "id long, e array<float>")
