@@ -7,6 +7,7 @@ vectors and GROUP queries, however many vectors are alike. Bounds hold for vecto
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,8 +19,8 @@ from .stored import stored
 
 #: Vectors of a block, queries of a group; cells and rings of a cell at most; vectors of a cell that are aimed at.
 BLOCK, GROUP, CELLS, RINGS, AIM = 4096, 4096, 512, 32, 4096
-#: The search for the k best, whose results are few, takes blocks and groups up to so many times as large, while at least MANY blocks are left to be dealt out: each vector moves once a group.
-WIDE, MANY = 4, 8
+#: A search takes blocks and groups up to so many times as large (for the k best, and for all pairs), while at least MANY blocks are left to be dealt out: each vector moves once a group.
+WIDE, WIDE_PAIRS, MANY = 4, 8, 8
 #: Queries of a product at a time, so that a task holds a few matrices of SLICE times BLOCK.
 SLICE = 512
 #: What rounding can add to a bound, in parts of the product of lengths.
@@ -142,14 +143,21 @@ class Metric:
         pairs = targets.select(*(F.col(c).alias(f"_{c}") for c in (*key, "grp"))).distinct()
         left = self.index.join(pairs, [F.col(c) == F.col(f"_{c}") for c in key]).select("id", "e", *(F.col(f"_{c}").alias(f"x_{c}") for c in (*key, "grp")))
 
-        def task(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-            none = pd.DataFrame({"query_id": [], "id": [], "score": []})
+        def slices(x: pd.DataFrame, y: pd.DataFrame) -> Iterator[pd.DataFrame]:
             if not len(x) or not len(y):
-                return none
+                return
             x = x.sort_values("id")
             ids, vectors = x["id"].to_numpy(), _matrix(x["e"]).T
             step = max(1, SLICE // wide)  # a matrix has the same size for all blocks
-            return pd.concat([best(ids, vectors, y.iloc[at : at + step]) for at in range(0, len(y), step)])
+            for at in range(0, len(y), step):
+                yield best(ids, vectors, y.iloc[at : at + step])
+
+        def task(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            return pd.concat(list(slices(x, y)) or [pd.DataFrame({"query_id": [], "id": [], "score": []})])
+
+        def streamed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            both = pd.concat(list(batches))  # a block and a group
+            yield from slices(both[both["theta"].isna()].rename(columns={"v": "e"}), both[both["theta"].notna()].rename(columns={"id": "qid", "v": "q"}))
 
         def best(ids: np.ndarray, vectors: np.ndarray, y: pd.DataFrame) -> pd.DataFrame:
             own = y["qid"].to_numpy()
@@ -167,6 +175,10 @@ class Metric:
                 i, j = i[nth < k], j[nth < k]
             return pd.DataFrame({"query_id": own[i], "id": ids[j], "score": scores[i, j]})
 
+        if k is None:  # any number of pairs may be found, so they leave the task a slice at a time
+            met = [F.col(f"x_{c}") for c in (*key, "grp")]
+            asked = targets.select(F.col("qid").alias("id"), F.col("q").alias("v"), *(F.col(c).alias(f"x_{c}") for c in (*key, "grp")), "theta")
+            return left.select("id", F.col("e").alias("v"), *met, F.lit(None).cast("double").alias("theta")).unionByName(asked).groupBy(*met).applyInPandas(streamed, _FOUND)
         return left.groupBy(*(f"x_{c}" for c in (*key, "grp"))).cogroup(targets.groupBy(*key, "grp")).applyInPandas(task, _FOUND)
 
     def _queries(self, queries: DataFrame, least: float | None) -> DataFrame:
@@ -192,5 +204,5 @@ class Metric:
         return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
     def pairs(self, queries: DataFrame, least: float) -> DataFrame:
-        """query_id, id, score of all products of `least` at least."""
+        """query_id, id, score of all products of `least` at least, which is a number."""
         return self._searched(self._targets(self._queries(queries, least), None, rest=False), None)

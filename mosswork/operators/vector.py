@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import canon_key
-from .metric import WIDE, Metric
+from .metric import WIDE, WIDE_PAIRS, Metric
 
 
 
@@ -20,7 +20,7 @@ def topk(queries: DataFrame, index: DataFrame, k: int, least: float | None = Non
 
 def similar(queries: DataFrame, index: DataFrame, least: float) -> DataFrame:
     """query_id, id, score of all pairs of different ids that reach the threshold."""
-    metric = Metric.of(index)
+    metric = Metric.of(index, WIDE_PAIRS)
     return metric.pairs(queries, least) if metric else queries.sparkSession.createDataFrame([], "query_id long, id long, score double")
 
 

@@ -86,3 +86,19 @@ def test_batch_rule(spark, small):
     for i, row in enumerate(s):
         j = int(row.argmax())
         assert abs(got[i][0] - max(row[j], 0)) < 1e-9 and got[i][1] == (j if row[j] >= 0.9 and j < i else None)
+
+
+def test_all_pairs_take_wide_blocks(spark, small, monkeypatch):
+    """Each vector moves once a group, so groups grow with the vectors; a third of them are one, of which all pairs are found."""
+    made, of = [], Metric.of
+    monkeypatch.setattr(Metric, "of", classmethod(lambda cls, *a: made.append(of(*a)) or made[-1]))
+    monkeypatch.setattr(metric, "BLOCK", 16)
+    monkeypatch.setattr(metric, "GROUP", 16)
+    v = clustered(600, 8, 3, seed=7)
+    v[100:300] = v[100]
+    e = frame(spark, [*v, None])
+    found = [(r.query_id, r.id) for r in vector.similar(e, e, 0.9).collect()]
+    s = np.round(v @ v.T, 12)
+    np.fill_diagonal(s, 0)
+    assert sorted(found) == [(int(i), int(j)) for i, j in zip(*np.nonzero(s >= 0.9))] and len(found) > 40_000
+    assert made[0].wide == 600 // (metric.MANY * 16) > 1
